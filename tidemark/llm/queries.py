@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, langid, license, media
+from . import bpe, common, decontam, langid, license, media
 
 
 def rank_file() -> str:
@@ -29,6 +29,20 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    n_hit = decontam.hit_words(F.col("hits"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     tokens = bpe.decode(bpe.encode(docs, rank_file(), split_pattern()), rank_file(), split_pattern())
@@ -102,8 +116,11 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_language": op2_language,
+    "op4_decontamination": op4_decontamination,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_transport_stream": op8_transport_stream,
     "op9_license_scan": op9_license_scan,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_decontamination": decontam.ORACLE_SQL,
+}
