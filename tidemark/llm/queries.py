@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontam, langid, license, media
+from . import bpe, common, decontam, langid, license, media, urls
 
 
 def rank_file() -> str:
@@ -20,6 +20,20 @@ def split_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+OP1_RULES = [
+    urls.Rule("net", "/", "block"),
+    urls.Rule("example.net", "/en/", "allow"),
+    urls.Rule("example.com", "/de/", "block"),
+    urls.Rule("org", "/fr/", "allow"),
+]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = common.table(spark, sf_dir, "pages")
+    links = common.checkpointed(urls.html_links(pages))
+    return urls.judge(pages, links, OP1_RULES).withColumnRenamed("id", "page_id")
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
@@ -114,7 +128,45 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP1_SQL = r"""
+WITH RECURSIVE
+p AS (SELECT page_id, url, html FROM pages),
+tag AS (SELECT url AS source, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b[^>]*>')) AS tag FROM p),
+lnk AS (
+  SELECT source, replace(trim(CASE
+    WHEN regexp_matches(tag, '(?i)\brel\s*=\s*["'']?([^"''>]*\s)?canonical\b')
+      THEN regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]*)', 1)
+    WHEN regexp_matches(tag, '(?i)\bhttp-equiv\s*=\s*["'']?refresh\b')
+      THEN regexp_extract(tag, '(?i)url\s*=\s*[''"]?([^''"\s]+)', 1) END), '&amp;', '&') AS target FROM tag),
+urls AS (
+  SELECT source, CASE WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN target
+    WHEN starts_with(target, '//') THEN 'http:' || target
+    WHEN starts_with(target, '/') THEN 'http://' || regexp_extract(source, '://([^/?#]*)', 1) || target
+    ELSE 'http://' || regexp_extract(source, '://([^/?#]*)', 1)
+      || coalesce(nullif(regexp_extract(source, '://[^/?#]*(/[^?#]*/|/)', 1), ''), '/') || target END AS target
+  FROM lnk WHERE target <> '' AND source IS NOT NULL),
+one AS (SELECT url FROM p UNION SELECT source FROM urls UNION SELECT target FROM urls),
+parts AS (
+  SELECT url, CASE WHEN contains(url, '://') THEN translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+         CASE WHEN contains(url, '://') THEN regexp_extract(url, '://[^/?#]*([^?#]*)', 1) ELSE '' END AS path,
+         regexp_extract(url, '^[^#]*?(\?[^#]*)', 1) AS query FROM one),
+rules(h, t, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+fits AS (
+  SELECT url, arg_max(h || t, length(h || t)) AS rule, arg_max(v, length(h || t)) AS own
+  FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, t) GROUP BY url),
+n AS (SELECT parts.url, host, path, CASE WHEN contains(parts.url, '://') THEN host || path || query END AS node, rule, own FROM parts LEFT JOIN fits USING (url)),
+e AS (SELECT a.node AS a, b.node AS b FROM urls JOIN n a ON a.url = source JOIN n b ON b.url = target),
+both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach(a, b) AS (SELECT a, a FROM both_ways UNION SELECT r.a, w.b FROM reach r JOIN both_ways w ON r.b = w.a),
+class AS (SELECT a AS node, min(b) AS component FROM reach GROUP BY a),
+says AS (SELECT component, bool_or(own = 'allow') AS allows, bool_or(own = 'block') AS blocks FROM class JOIN n USING (node) GROUP BY component)
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
+       coalesce(own, CASE WHEN allows THEN 'allow' WHEN blocks THEN 'block' ELSE 'allow' END) AS verdict, class.component
+FROM p LEFT JOIN n ON n.url = p.url LEFT JOIN class USING (node) LEFT JOIN says ON says.component = class.component
+"""
+
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op2_language": op2_language,
     "op4_decontamination": op4_decontamination,
     "op6_byte_bpe": op6_byte_bpe,
@@ -122,5 +174,6 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_url_filter": OP1_SQL,
     "op4_decontamination": decontam.ORACLE_SQL,
 }
