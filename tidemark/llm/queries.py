@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontam, langid, license, media, urls
+from . import bpe, common, decontam, langid, license, media, neardup, urls
 
 
 def rank_file() -> str:
@@ -43,6 +43,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.cluster(common.table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
     items = F.coalesce("items", F.array().cast("array<string>"))
@@ -168,6 +172,7 @@ FROM p LEFT JOIN n ON n.url = p.url LEFT JOIN class USING (node) LEFT JOIN says
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_language": op2_language,
+    "op3_near_duplicates": op3_near_duplicates,
     "op4_decontamination": op4_decontamination,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_transport_stream": op8_transport_stream,
