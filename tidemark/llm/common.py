@@ -37,15 +37,20 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder, so that a lost executor costs no more than a read.
-
-    The folder is the session's spark.checkpoint.dir; only where that is unset (as in tests) is one made here.
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share: the session's spark.checkpoint.dir; only where that is unset (as in
+    tests, on one machine) a temporary one.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "tidemark-checkpoints"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder, so that a lost executor costs no more than a read."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -161,3 +161,19 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_
        sha256(coalesce(t.items, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)
 """
+
+
+def remove(
+    docs: DataFrame,
+    items: DataFrame,
+    size: int = SIZE,
+    text_col: str = "text",
+    item_id_col: str = "item_id",
+    item_text_col: str = "text",
+) -> DataFrame:
+    """The rows of docs, with all their columns, whose text holds no window of any item."""
+    one = docs.select(F.lit(0).alias("row"), F.col(text_col).alias("text"))
+    found = find(one, items, size, "row", "text", item_id_col, item_text_col)
+    hit = found.where(F.col("hits").isNotNull()).select(F.col("key").alias("_decontam_key")).distinct()
+    keyed = docs.withColumn("_decontam_key", common.text_key(text_col))
+    return keyed.join(hit, "_decontam_key", "left_anti").select(*docs.columns)

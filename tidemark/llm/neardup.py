@@ -257,3 +257,25 @@ def cluster(
     )
     named = by_text.join(by_class, "class").select("key", "class_id", "class_rows", "class_texts", F.coalesce("links", F.lit(0)).alias("links"))
     return rows.join(named, "key").select("id", "class_id", "class_rows", "class_texts", "links")
+
+
+def deduplicate(
+    docs: DataFrame, size: int = WORDS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row of docs for each class, with all its columns: that of the least id (null ids last; of equal ids any)."""
+    of = common.checkpointed(classes(docs, size, threshold, text_col))
+    name = "_neardup_key"
+    keyed = docs.withColumn(name, F.substring(common.text_key(text_col), 1, 16))
+    by_text = keyed.groupBy(name).agg(F.min(id_col).alias("_neardup_id"))
+    by_text = common.checkpointed(
+        by_text.join(of.select(F.col("key").alias(name), F.col("class").alias("_neardup_class")), name, "left").withColumn(
+            "_neardup_class", F.coalesce("_neardup_class", name)
+        )
+    )
+    # The text of each class with the least id, and that id.
+    first = by_text.groupBy("_neardup_class").agg(F.min(F.struct(F.col("_neardup_id").isNull(), "_neardup_id", name)).alias("m"))
+    first = common.checkpointed(first.select(F.col(f"m.{name}").alias(name), F.col("m._neardup_id").alias("_neardup_id")))
+    kept = keyed.join(first, name).where(F.col(id_col).eqNullSafe(F.col("_neardup_id")))
+    if kept.select(name).count() > first.count():  # rows of equal texts and ids
+        kept = kept.dropDuplicates([name])
+    return kept.select(*docs.columns)

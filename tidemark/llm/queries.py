@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontam, langid, license, media, neardup, urls
+from . import bpe, common, decontam, langid, license, media, neardup, pii, quality, urls
 
 
 def rank_file() -> str:
@@ -61,6 +61,30 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.train(docs))
+
+    def order(kind: F.Column) -> F.Column:
+        return F.array_position(F.array(*map(F.lit, pii.KINDS)), kind)
+
+    def listed(spans: F.Column) -> F.Column:
+        by = F.transform(spans, lambda s: F.struct(order(s["kind"]).alias("k"), s["start"].alias("a"), s["end"].alias("b"), s["kind"].alias("kind")))
+        return F.array_join(F.transform(F.array_sort(by), lambda s: F.concat_ws(":", s["kind"], s["a"].cast("string"), s["b"].cast("string"))), ",")
+
+    def count(kind: str) -> F.Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    plain = F.transform("added", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *map(count, pii.BASE_KINDS),
+        F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        listed(F.concat("base", plain)).alias("spans"),
+        F.size("added").cast("long").alias("n_added"),
+    )
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     tokens = bpe.decode(bpe.encode(docs, rank_file(), split_pattern()), rank_file(), split_pattern())
@@ -72,6 +96,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.train(docs)).withColumnRenamed("id", "doc_id")
+
+
 def op8_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.write_streams(common.table(spark, sf_dir, "documents"))
     read = media.read_streams(stored)
@@ -174,7 +203,9 @@ QUERIES = {
     "op2_language": op2_language,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_decontamination": op4_decontamination,
+    "op5_personal_data": op5_personal_data,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_quality": op7_quality,
     "op8_transport_stream": op8_transport_stream,
     "op9_license_scan": op9_license_scan,
 }
