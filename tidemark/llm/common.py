@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -54,6 +55,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df, written once as Parquet in the shared folder and read again; shuffles that made it are cleared at once. For
+    tables of the size of the input, which a checkpoint would hold uncompressed.
+    """
+    spark = df.sparkSession
+    path, setting = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(setting, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def map_batches(df: DataFrame, schema: str, fn: Callable[[dict[str, list]], dict[str, list]]) -> DataFrame:
     """Applies fn to each Arrow batch's columns (as lists); what it returns must have the columns of schema."""
     from pyspark.sql.types import StructType

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontam, langid, license, media, neardup, pii, quality, urls
+from . import bpe, common, decontam, langid, license, media, neardup, pii, quality, repeats, urls
 
 
 def rank_file() -> str:
@@ -161,6 +161,18 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(common.table(spark, sf_dir, "documents"))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_bytes",
+        gone.alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 OP1_SQL = r"""
 WITH RECURSIVE
 p AS (SELECT page_id, url, html FROM pages),
@@ -208,6 +220,7 @@ QUERIES = {
     "op7_quality": op7_quality,
     "op8_transport_stream": op8_transport_stream,
     "op9_license_scan": op9_license_scan,
+    "op10_repeats": op10_repeats,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": OP1_SQL,
