@@ -1,5 +1,460 @@
-"""The registered queries of the library and their SQL."""
+"""The registered queries of the library and their SQL. Domain tables are views of the test tables, the same on both sides."""
 
-QUERIES = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import hashing, scalars, text
+from ..operators import evaluate, review, scan, store
+from . import catalog
+
+KEY = b"example-key-of-the-tests"
+QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = ""
+FLAGSHIP = "stub_scan_flags"
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def content_items(spark: SparkSession, folder: str) -> DataFrame:
+    """documents as posts: the source is the tenant."""
+    return table(spark, folder, "documents").select(
+        "doc_id",
+        F.col("source").alias("tenant"),
+        F.when(F.col("doc_id") % 2 == 0, "reddit").otherwise("x").alias("platform"),
+        F.when(F.col("doc_id") % 5 == 0, "amplified").otherwise("authored").alias("authorship"),
+        F.col("text").alias("body"),
+    )
+
+
+def flags_of(spark: SparkSession, folder: str) -> DataFrame:
+    """documents as flags."""
+    k = F.col("doc_id")
+    return table(spark, folder, "documents").select(
+        F.col("source").alias("tenant"),
+        k.alias("flag_id"),
+        F.element_at(F.array(*map(F.lit, ("high", "medium", "low", "none"))), (k % 4 + 1).cast("int")).alias("risk"),
+        F.when(k % 7 < 5, "open").otherwise("resolved").alias("status"),
+        F.timestamp_seconds(k % 50 * 86400).alias("created_at"),
+        F.when(k % 11 == 0, F.timestamp_seconds(F.lit(0))).alias("hidden_at"),
+    )
+
+
+_FLAGS_SQL = """
+flags AS (
+  SELECT source AS tenant, doc_id AS flag_id, ['high', 'medium', 'low', 'none'][doc_id % 4 + 1] AS risk,
+         CASE WHEN doc_id % 7 < 5 THEN 'open' ELSE 'resolved' END AS status, doc_id % 50 AS day, doc_id % 11 = 0 AS hidden,
+         CASE doc_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS risk_key
+  FROM documents)"""
+
+_MINIMAL = r"""
+regexp_replace(array_to_string(list_filter(list_transform(string_split(regexp_replace(nfc_normalize(
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+    replace(replace(replace(replace(replace(replace(replace({0}, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '),
+    '<(?:br|BR|Br)/?>|<(?:br|BR) />', chr(10), 'g'),
+    '</(?:p|div|li|tr|h[1-4]|blockquote|pre|section|article)>', chr(10), 'g'),
+    '<[^>]*(?:>|\z)', '', 'g'),
+    '[\x00-\x08\x0B-\x1F\x7F-\x{{9F}}]', '', 'g'),
+    '(?:https?://|www\.)[^\s\p{{Z}}\x{{85}}]*', '<url>', 'g')),
+  '[ \t]+', ' ', 'g'), chr(10)), lambda x: regexp_replace(x, '[\s\p{{Z}}]+$', '')), lambda x: x <> ''), chr(10)), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"""
+
+
+@query(f"SELECT page_id, {_MINIMAL.format('html')} AS body FROM pages")
+def minimize_pages(spark, folder):
+    return table(spark, folder, "pages").select("page_id", text.minimize(F.col("html")).alias("body"))
+
+
+@query("SELECT doc_id, ((length(text) + 3) // 4)::BIGINT AS tokens FROM documents")
+def token_estimate(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", text.estimate_tokens(F.col("text")).alias("tokens"))
+
+
+@query("""
+SELECT doc_id, source AS tenant, 'flag' AS decision, 'low' AS risk, 'hate' AS category, 0.75 AS confidence,
+       'hateful_or_dehumanizing_content' AS reason_code, left(text, 8) AS evidence
+FROM documents WHERE ('0x' || left(sha256('0:' || text), 2))::INT % 2 = 1 AND strlen(text) >= 8""")
+def stub_scan_flags(spark, folder):
+    rows = content_items(spark, folder).select("doc_id", "tenant", F.col("body").alias("text")).withColumn("item_index", F.lit(0))
+    found = scan.stub_results(rows, ["hate", "negativity"]).where("decision = 'flag'")
+    return found.select("doc_id", "tenant", "decision", "risk", "category", "confidence", "reason_code", "evidence")
+
+
+@query(f"""WITH {_FLAGS_SQL}
+SELECT tenant, count(*) AS n_all, count(*) FILTER (risk = 'high') AS n_high, count(*) FILTER (risk = 'medium') AS n_medium,
+       count(*) FILTER (risk = 'low') AS n_low FROM flags GROUP BY tenant""")
+def flag_counts_by_risk(spark, folder):
+    return review.risk_counts(flags_of(spark, folder), ["tenant"])
+
+
+@query(f"""WITH {_FLAGS_SQL}
+SELECT tenant, count(*) AS flagged_count, CASE min(doc_key) WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' ELSE 'none' END AS level
+FROM (SELECT *, list_position(['high', 'medium', 'low', 'none'], risk) - 1 AS doc_key FROM flags) WHERE NOT hidden AND status = 'open' GROUP BY tenant""")
+def top_risk_per_tenant(spark, folder):
+    return review.highest_open_risk(flags_of(spark, folder), ["tenant"])
+
+
+@query(f"""WITH {_FLAGS_SQL}
+SELECT tenant, flag_id, risk, place::INT AS place FROM (
+  SELECT *, row_number() OVER (PARTITION BY tenant ORDER BY risk_key, day DESC, flag_id) AS place FROM flags WHERE NOT hidden AND status = 'open' AND flag_id > 20)
+WHERE place <= 51""")
+def review_page(spark, folder):
+    page = review.review_list(flags_of(spark, folder), ["tenant"], status="open", cursor=F.lit(20))
+    return page.select("tenant", "flag_id", "risk", "place")
+
+
+@query(f"""WITH {_FLAGS_SQL},
+head AS (SELECT *, row_number() OVER (PARTITION BY tenant ORDER BY risk_key, day DESC, flag_id) AS place FROM flags WHERE NOT hidden AND status = 'open'),
+level AS (SELECT tenant, count(*) AS n, min(list_position(['high', 'medium', 'low', 'none'], risk)) AS k FROM head GROUP BY tenant),
+preview AS (SELECT tenant, string_agg(flag_id::VARCHAR, ',' ORDER BY place) AS p FROM head WHERE place <= 3 GROUP BY tenant)
+SELECT t.tenant, coalesce(n, 0)::BIGINT AS flagged_count, ['high', 'medium', 'low', 'none'][coalesce(k, 4)] AS level,
+       [320, 245, 180, 0][coalesce(k, 4)]::INT AS gauge, coalesce(p, '') AS preview
+FROM (SELECT DISTINCT source AS tenant FROM documents) t LEFT JOIN level ON level.tenant = t.tenant LEFT JOIN preview ON preview.tenant = t.tenant""")
+def dashboard_summary(spark, folder):
+    scans = table(spark, folder, "documents").select(F.col("source").alias("tenant"))
+    out = review.dashboard(scans, flags_of(spark, folder), ["tenant"])
+    return out.withColumn("preview", F.array_join(F.col("preview").cast("array<string>"), ","))
+
+
+@query("""
+SELECT source AS tenant, sha256(text) AS content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY ALL""")
+def import_dedupe(spark, folder):
+    rows = table(spark, folder, "documents").select(F.col("source").alias("tenant"), hashing.sha256_hex(F.col("text")).alias("content_hash"), "doc_id")
+    return rows.groupBy("tenant", "content_hash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+
+@query("SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role, arg_max(text, turn) AS body FROM conversations GROUP BY conv_id")
+def latest_revision(spark, folder):
+    rows = table(spark, folder, "conversations")
+    return store.latest(rows, ["conv_id"], F.col("turn").desc()).select("conv_id", "turn", "role", F.col("text").alias("body"))
+
+
+@query("""
+SELECT conv_id, role, count(*) AS copies, count(DISTINCT sha256(text)) AS revisions FROM conversations GROUP BY conv_id, role HAVING count(DISTINCT sha256(text)) > 1""")
+def revision_conflicts(spark, folder):
+    rows = table(spark, folder, "conversations").withColumn("h", hashing.sha256_hex(F.col("text")))
+    return rows.groupBy("conv_id", "role").agg(F.count("*").alias("copies"), F.countDistinct("h").alias("revisions")).where("revisions > 1")
+
+
+_SCANS = """(SELECT o_orderkey AS scan_id, o_custkey AS user_id, CASE o_orderstatus WHEN 'F' THEN 'succeeded' WHEN 'P' THEN 'running' ELSE 'queued' END AS status,
+ o_orderdate AS created_at, CASE WHEN o_orderkey % 3 > 0 THEN o_orderdate END AS finished_at FROM orders)"""
+
+
+def scans_of(spark: SparkSession, folder: str) -> DataFrame:
+    """orders as scans of customers."""
+    return table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("scan_id"),
+        F.col("o_custkey").alias("user_id"),
+        F.when(F.col("o_orderstatus") == "F", "succeeded").when(F.col("o_orderstatus") == "P", "running").otherwise("queued").alias("status"),
+        F.col("o_orderdate").alias("created_at"),
+        F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderdate")).alias("finished_at"),
+    )
+
+
+@query(f"""SELECT user_id, scan_id, status FROM {_SCANS} QUALIFY row_number() OVER (
+  PARTITION BY user_id ORDER BY CASE WHEN status IN ('queued', 'running') THEN 0 ELSE 1 END, created_at DESC, scan_id DESC) = 1""")
+def current_scan(spark, folder):
+    active = F.when(F.col("status").isin("queued", "running"), 0).otherwise(1)
+    return store.latest(scans_of(spark, folder), ["user_id"], active, F.col("created_at").desc(), F.col("scan_id").desc()).select("user_id", "scan_id", "status")
+
+
+@query(f"""SELECT user_id, scan_id FROM {_SCANS} WHERE status = 'succeeded' QUALIFY row_number() OVER (
+  PARTITION BY user_id ORDER BY finished_at DESC NULLS LAST, created_at DESC, scan_id DESC) = 1""")
+def latest_succeeded_scan(spark, folder):
+    rows = scans_of(spark, folder).where("status = 'succeeded'")
+    return store.latest(rows, ["user_id"], F.col("finished_at").desc_nulls_last(), F.col("created_at").desc(), F.col("scan_id").desc()).select("user_id", "scan_id")
+
+
+@query("SELECT c_custkey AS user_id, 'free_beta' AS product FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o_orderstatus <> 'F')")
+def grant_backfill_anti(spark, folder):
+    users = table(spark, folder, "customer").select(F.col("c_custkey").alias("user_id"))
+    live = table(spark, folder, "orders").where("o_orderstatus <> 'F'").select(F.col("o_custkey").alias("user_id"))
+    return users.join(live, "user_id", "left_anti").withColumn("product", F.lit("free_beta"))
+
+
+@query("""
+SELECT c_custkey AS user_id, coalesce(n, 0)::BIGINT AS used, CASE WHEN c_custkey % 10 > 0 THEN greatest(12 - coalesce(n, 0), 0)::BIGINT END AS remaining
+FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey""")
+def usage_remaining(spark, folder):
+    grants = table(spark, folder, "customer").select(F.col("c_custkey").alias("user_id"), F.when(F.col("c_custkey") % 10 > 0, F.lit(12)).cast("long").alias("quota"))
+    usages = table(spark, folder, "orders").select(F.col("o_custkey").alias("user_id"))
+    return review.remaining(grants, usages, "user_id", "quota").select("user_id", "used", "remaining")
+
+
+@query("""
+SELECT source AS tenant, lang, count(DISTINCT doc_id % 2) AS platforms, count(DISTINCT doc_id % 2) <= 1 AS within FROM documents GROUP BY ALL""")
+def platform_limit_check(spark, folder):
+    rows = content_items(spark, folder).join(table(spark, folder, "documents").select("doc_id", "lang"), "doc_id")
+    return review.platform_limit(rows, ["tenant", "lang"], 1)
+
+
+_CONCERNS_SQL = "[" + ", ".join(f"'{c}'" for c in (*catalog.CONCERNS, "unknown")) + "]"
+
+
+def concerns_of(spark: SparkSession, folder: str) -> DataFrame:
+    """Each customer's orders as a list of concerns in order of the orders, with repeats and unknown ones."""
+    names = F.array(*map(F.lit, (*catalog.CONCERNS, "unknown")))
+    each = F.struct("o_orderkey", F.element_at(names, (F.col("o_orderkey") % 11 + 1).cast("int")).alias("c"))
+    rows = table(spark, folder, "orders").groupBy(F.col("o_custkey").alias("user_id")).agg(F.array_sort(F.collect_list(each)).alias("x"))
+    return rows.select("user_id", F.transform("x", lambda e: e["c"]).alias("concerns"))
+
+
+@query(f"""
+SELECT user_id, array_to_string(list_filter({_CONCERNS_SQL}[1:10], lambda x: list_contains(v, x)), ',') AS concerns
+FROM (SELECT o_custkey AS user_id, list({_CONCERNS_SQL}[o_orderkey % 11 + 1]) AS v FROM orders GROUP BY o_custkey)""")
+def policy_canonical_order(spark, folder):
+    return concerns_of(spark, folder).select("user_id", F.array_join(scalars.in_order(F.col("concerns"), catalog.CONCERNS), ",").alias("concerns"))
+
+
+_STEP_SQL = ", ".join(f"'{c}'" for c in catalog.STEP_CONCERNS)
+
+
+@query(f"""
+WITH e AS (SELECT o_custkey AS user_id, o_orderkey * 10 AS k, {_CONCERNS_SQL}[o_orderkey % 11 + 1] AS c FROM orders),
+x AS (SELECT user_id, k, c FROM e WHERE c <> 'drinking_drugs' UNION ALL SELECT user_id, k + 1, 'underage_drinking' FROM e WHERE c = 'drinking_drugs'
+      UNION ALL SELECT user_id, k + 2, 'drug_use' FROM e WHERE c = 'drinking_drugs'),
+d AS (SELECT user_id, c, min(k) AS k FROM x WHERE c IN ({_STEP_SQL}) GROUP BY user_id, c)
+SELECT u.user_id, coalesce(string_agg(d.c, ',' ORDER BY d.k), '') AS concerns FROM (SELECT DISTINCT user_id FROM e) u LEFT JOIN d USING (user_id) GROUP BY u.user_id""")
+def concern_expansion(spark, folder):
+    return concerns_of(spark, folder).select("user_id", F.array_join(scalars.migrated_concerns(F.col("concerns")), ",").alias("concerns"))
+
+
+@query("""
+WITH RECURSIVE i AS (
+  SELECT source AS tenant, doc_id, (length(text) + 3) // 4 AS tokens, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents),
+p AS (
+  SELECT tenant, doc_id, r, 0 AS b, 0 AS k, 2500 + tokens + 24 AS total FROM i WHERE r = 1
+  UNION ALL
+  SELECT i.tenant, i.doc_id, i.r, CASE WHEN p.k + 1 >= 16 OR total + tokens + 24 > 12000 THEN b + 1 ELSE b END,
+         CASE WHEN p.k + 1 >= 16 OR total + tokens + 24 > 12000 THEN 0 ELSE p.k + 1 END,
+         CASE WHEN p.k + 1 >= 16 OR total + tokens + 24 > 12000 THEN 2500 ELSE total END + tokens + 24
+  FROM p JOIN i ON i.tenant IS NOT DISTINCT FROM p.tenant AND i.r = p.r + 1)
+SELECT doc_id, tenant, b::INT AS batch_ordinal, k::INT AS item_index FROM p""")
+def pack_batches(spark, folder):
+    rows = content_items(spark, folder).select("doc_id", "tenant", text.estimate_tokens(F.col("body")).alias("tokens"))
+    return scan.pack(rows, "tenant", ["doc_id"]).select("doc_id", "tenant", "batch_ordinal", "item_index")
+
+
+@query()
+def scan_documents(spark, folder):
+    """The whole flow with segments; its parts are held against SQL one by one."""
+    rows = content_items(spark, folder).select("tenant", "doc_id", "body")
+    return scan.scan_stub(rows, "tenant", ["doc_id"], ["hate", "negativity"]).select("tenant", "doc_id", "risk", "category", "confidence")
+
+
+_RANKED = "CASE l_returnflag WHEN 'R' THEN 'high' WHEN 'A' THEN 'low' ELSE CASE WHEN l_linenumber % 2 = 0 THEN 'medium' ELSE 'none' END END"
+
+
+@query(f"""
+WITH s AS (SELECT l_orderkey AS id, l_linenumber::BIGINT * 1000000000 + l_partkey * 1000 + l_suppkey % 1000 AS o, {_RANKED} AS risk, l_discount AS confidence, l_linestatus AS category, 'c' || l_suppkey % 3 AS code FROM lineitem),
+k AS (SELECT *, CASE risk WHEN 'high' THEN 4 WHEN 'medium' THEN 3 WHEN 'low' THEN 2 ELSE 1 END AS rank FROM s),
+w AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY id ORDER BY rank DESC, confidence DESC, o) = 1),
+r AS (SELECT w.id, k.code, min(k.o) AS o FROM w JOIN k ON k.id = w.id AND k.category = w.category GROUP BY w.id, k.code),
+t AS (SELECT id, string_agg(code, ',' ORDER BY o, code) AS reasons FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY o, code) <= 3) GROUP BY id)
+SELECT w.id, risk <> 'none' AS flagged, risk, category, confidence, CASE WHEN risk <> 'none' THEN reasons ELSE '' END AS reasons FROM w JOIN t ON t.id = w.id""")
+def rollup_segments(spark, folder):
+    line = table(spark, folder, "lineitem")
+    none = F.array().cast("array<struct<text:string,supports:string>>")
+    rows = line.select(
+        F.col("l_orderkey").alias("id"),
+        (F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey") * 1000 + F.col("l_suppkey") % 1000).alias("segment_ordinal"),
+        F.lit("flag").alias("decision"),
+        F.when(F.col("l_returnflag") == "R", "high").when(F.col("l_returnflag") == "A", "low").when(F.col("l_linenumber") % 2 == 0, "medium").otherwise("none").alias("risk"),
+        F.col("l_linestatus").alias("category"),
+        F.col("l_discount").alias("confidence"),
+        F.array(F.struct(F.concat(F.lit("c"), (F.col("l_suppkey") % 3).cast("string")).alias("code"), F.lit("").alias("summary"))).alias("reasons"),
+        none.alias("evidence"),
+    )
+    out = scan.roll_up(rows, ["id"])
+    codes = F.array_join(F.coalesce(F.transform("reasons", lambda r: r["code"]), F.array().cast("array<string>")), ",")
+    return out.select("id", "flagged", "risk", "category", "confidence", codes.alias("reasons"))
+
+
+@query("""
+SELECT doc_id, CASE doc_id % 12
+  WHEN 1 THEN 'SCAN_DECISION_FIELDS' WHEN 2 THEN 'SCAN_DECISION_FIELDS' WHEN 3 THEN 'SCAN_CATEGORY_NOT_SELECTED' WHEN 4 THEN 'SCAN_CATEGORY_NOT_SELECTED'
+  WHEN 5 THEN 'SCAN_DECISION_FIELDS' WHEN 6 THEN 'SCAN_REASON_CATEGORY' WHEN 7 THEN 'SCAN_OUTPUT_TEXT_LIMIT' WHEN 8 THEN 'SCAN_EVIDENCE_NOT_SUBSTRING'
+  WHEN 9 THEN CASE WHEN doc_id % 5 = 0 THEN 'SCAN_AMPLIFIED_ATTRIBUTION' END WHEN 10 THEN 'SCAN_OUTPUT_SCHEMA' END AS error
+FROM documents WHERE length(text) >= 4""")
+def validate_output_codes(spark, folder):
+    """Answers that break one rule each, by number of the document."""
+    rows = content_items(spark, folder).withColumnRenamed("body", "text").where(F.length("text") >= 4)
+    k = F.col("doc_id") % 12
+    reason = F.struct(
+        F.when(k == 6, "sustained_hostility").otherwise("targeted_harassment").alias("code"),
+        F.when(k == 7, F.repeat(F.lit("x"), 241)).when(k == 9, "What You WROTE here").otherwise("Targets someone.").alias("summary"),
+    )
+    proof = F.struct(F.when(k == 8, F.concat(F.left("text", F.lit(4)), F.lit("☃nowhere"))).otherwise(F.left("text", F.lit(4))).alias("text"), F.lit("targeted_harassment").alias("supports"))
+    no_reason, no_proof = F.array().cast("array<struct<code:string,summary:string>>"), F.array().cast("array<struct<text:string,supports:string>>")
+    rows = (
+        rows.withColumn("decision", F.when(k.isin(0, 1), "no_flag").otherwise("flag"))
+        .withColumn("risk", F.when(k == 0, "none").when(k.isin(1, 11), "low").when(k == 2, "none").otherwise("high"))
+        .withColumn("category", F.when(k.isin(0, 1), None).when(k == 3, "other").when(k == 4, "drug_use").otherwise("hate"))
+        .withColumn("confidence", F.when(k == 10, F.lit(float("nan"))).otherwise(0.5))
+        .withColumn("reasons", F.when(k.isin(0, 1, 5), no_reason).otherwise(F.array(reason)))
+        .withColumn("evidence", F.when(k.isin(0, 1), no_proof).otherwise(F.array(proof)))
+    )
+    return rows.select("doc_id", scan.result_error(["hate", "negativity", "other"]).alias("error"))
+
+
+def cases_of(spark: SparkSession, folder: str) -> DataFrame:
+    """labels as cases: toxic is what is expected, the stub's flag what was said, quality the slice."""
+    said = stub_scan_flags(spark, folder).select("doc_id", F.lit(True).alias("said"))
+    rows = table(spark, folder, "labels").where("toxic IS NOT NULL AND quality IS NOT NULL").join(said, "doc_id", "left")
+    return rows.select(
+        "doc_id",
+        F.when(F.col("quality") == 1, "core").otherwise("edge").alias("slice"),
+        (F.col("toxic") == 1).alias("expected"),
+        F.coalesce("said", F.lit(False)).alias("predicted"),
+    )
+
+
+_CASES_SQL = """
+said AS (SELECT doc_id FROM documents WHERE ('0x' || left(sha256('0:' || text), 2))::INT % 2 = 1 AND strlen(text) >= 8),
+c AS (SELECT quality = 1 AS core, toxic = 1 AS e, doc_id IN (SELECT doc_id FROM said WHERE doc_id IS NOT NULL) AS p FROM labels WHERE toxic IS NOT NULL AND quality IS NOT NULL),
+m AS (SELECT count(*) FILTER (core AND e AND p) AS core_tp, count(*) FILTER (core AND e AND NOT p) AS core_fn, count(*) FILTER (core AND NOT e AND p) AS core_fp,
+             count(*) FILTER (core AND NOT e AND NOT p) AS core_tn, count(*) FILTER (NOT core AND e AND p) AS edge_tp, count(*) FILTER (NOT core AND e AND NOT p) AS edge_fn FROM c)"""
+
+
+@query(f"WITH {_CASES_SQL} SELECT * FROM m")
+def confusion_matrix(spark, folder):
+    return evaluate.confusion(cases_of(spark, folder))
+
+
+@query(f"""WITH {_CASES_SQL},
+r AS (SELECT core_tp / nullif(core_tp + core_fn, 0) AS core_recall, core_tp / nullif(core_tp + core_fp, 0) AS core_precision, edge_tp / nullif(edge_tp + edge_fn, 0) AS edge_recall FROM m)
+SELECT *, array_to_string(list_filter([CASE WHEN coalesce(core_recall, 0) < 0.92 THEN 'core_recall' END, CASE WHEN coalesce(core_precision, 0) < 0.88 THEN 'core_precision' END,
+  CASE WHEN coalesce(edge_recall, 0) < 0.85 THEN 'edge_recall' END], lambda x: x IS NOT NULL), ',') AS failures FROM r""")
+def eval_gates(spark, folder):
+    out = evaluate.gates(evaluate.ratios(evaluate.confusion(cases_of(spark, folder))))
+    return out.select("core_recall", "core_precision", "edge_recall", F.array_join("failures", ",").alias("failures"))
+
+
+@query("""
+SELECT count(a.h) AS baseline, count(b.h) AS candidate, count(*) FILTER (a.h IS DISTINCT FROM b.h) AS different, count(*) FILTER (a.h IS DISTINCT FROM b.h) = 0 AS equal
+FROM (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 10 > 0) a
+FULL JOIN (SELECT doc_id, sha256(CASE WHEN doc_id % 9 = 0 THEN text || '.' ELSE text END) AS h FROM documents WHERE doc_id % 13 > 0) b USING (doc_id)""")
+def compare_reports(spark, folder):
+    docs = table(spark, folder, "documents")
+    one = docs.where("doc_id % 10 > 0").select(F.col("doc_id").alias("case_id"), hashing.sha256_hex(F.col("text")).alias("hash"))
+    body = F.when(F.col("doc_id") % 9 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text"))
+    two = docs.where("doc_id % 13 > 0").select(F.col("doc_id").alias("case_id"), hashing.sha256_hex(body).alias("hash"))
+    return evaluate.compare(one, two)
+
+
+def work_items(spark: SparkSession, folder: str) -> DataFrame:
+    """events as work items: type is the kind, user the tenant."""
+    k = F.col("event_id")
+    return table(spark, folder, "events").select(
+        k.alias("id"),
+        F.col("event_type").alias("kind"),
+        F.col("ts").alias("created_at"),
+        F.col("ts").alias("run_after"),
+        F.col("user_id").alias("tenant_id"),
+        F.get_json_object("props", "$.k").cast("int").alias("priority"),
+        F.when(k % 3 == 0, "running").otherwise("pending").alias("status"),
+        (k % 4).cast("int").alias("attempt_count"),
+        F.lit(3).alias("max_attempts"),
+        F.when(k % 3 == 0, F.col("ts") + F.expr("INTERVAL 1 MINUTE")).alias("lease_expires_at"),
+        F.when(k % 15 == 0, F.col("ts")).alias("cancel_requested_at"),
+    )
+
+
+@query("""
+SELECT event_type AS kind, event_id AS id, (props->>'$.k')::INT AS priority FROM events WHERE event_id % 3 > 0 AND event_id % 4 < 3
+QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY (props->>'$.k')::INT DESC NULLS LAST, ts, event_id) = 1""")
+def queue_claim_order(spark, folder):
+    now = F.to_timestamp(F.lit("2100-01-01 00:00:00"))
+    return store.claim_order(work_items(spark, folder), now, ["kind"]).select("kind", "id", "priority")
+
+
+@query("""
+SELECT event_id AS id, CASE WHEN event_id % 3 > 0 AND event_id % 4 >= 3 THEN 'failed'
+  WHEN event_id % 3 > 0 THEN 'pending' WHEN event_id % 15 = 0 THEN 'cancelled' WHEN event_id % 4 >= 3 THEN 'failed' ELSE 'pending' END AS new_status FROM events""")
+def queue_sweep(spark, folder):
+    return store.sweep(work_items(spark, folder), F.to_timestamp(F.lit("2100-01-01 00:00:00"))).select("id", "new_status")
+
+
+@query("""
+SELECT event_type AS kind, count(*) AS kept FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR GROUP BY event_type""")
+def retention_sweep(spark, folder):
+    rows = table(spark, folder, "events")
+    newest = rows.agg(F.max("ts").alias("newest"))
+    kept = rows.join(F.broadcast(newest), F.col("ts") >= F.col("newest") - F.expr("INTERVAL 24 HOURS"))
+    return kept.groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("kept"))
+
+
+@query("""
+WITH e AS (SELECT event_type AS kind, isodow(ts) <= 5 AND hour(ts) IN (1, 2, 3, 6, 7, 8, 9) AS peak, 1000 + event_id % 500 AS tokens, event_id % 2000 AS hits, event_id % 97 AS output FROM events)
+SELECT kind, peak, count(*) AS calls, round(sum(CASE WHEN peak THEN 1.0 ELSE 0.5 END * ((tokens - least(hits, tokens)) * 0.30 + least(hits, tokens) * 0.006 + output * 1.20) / 1000000), 6)::DOUBLE AS cost
+FROM e GROUP BY kind, peak""")
+def cost_by_peak(spark, folder):
+    k = F.col("event_id")
+    cost = scalars.cost(1000 + k % 500, k % 2000, k % 97, F.col("ts"))
+    rows = table(spark, folder, "events").groupBy(F.col("event_type").alias("kind"), scalars.is_peak(F.col("ts")).alias("peak"))
+    return rows.agg(F.count("*").alias("calls"), F.round(F.sum(cost), 6).alias("cost"))
+
+
+@query(f"""
+WITH s AS (SELECT user_id, status FROM {_SCANS} QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, scan_id DESC) = 1)
+SELECT c_custkey AS user_id, CASE WHEN c_custkey % 17 = 0 THEN 'welcome' WHEN c_custkey % 5 = 0 THEN 'onboarding'
+  WHEN c_custkey % 3 = 0 OR status IS NULL THEN 'awaiting_import' WHEN status <> 'succeeded' THEN 'scanning'
+  WHEN c_acctbal > 0 THEN 'app' ELSE 'awaiting_import' END AS gate
+FROM customer LEFT JOIN s ON s.user_id = c_custkey""")
+def lifecycle_gate(spark, folder):
+    last = store.latest(scans_of(spark, folder), ["user_id"], F.col("created_at").desc(), F.col("scan_id").desc()).select("user_id", "status")
+    users = table(spark, folder, "customer").select(F.col("c_custkey").alias("user_id"), "c_acctbal").join(last, "user_id", "left")
+    k = F.col("user_id")
+    ready = F.when(k % 3 == 0, F.array(F.lit("x"))).otherwise(F.array(F.lit("x"), F.lit("reddit")))
+    wanted = F.array(F.lit("reddit"), F.lit("x"), F.lit("tiktok"))
+    gate = scalars.lifecycle_gate(k % 17 != 0, F.when(k % 5 != 0, "completed").otherwise("in_progress"), wanted, ready, F.col("status"), F.col("c_acctbal") > 0)
+    return users.select("user_id", gate.alias("gate"))
+
+
+@query(r"""
+SELECT doc_id, array_to_string(list_transform(list_filter(list_transform(string_split(text, '|'), lambda x: regexp_replace(x, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), lambda x: x <> '')[1:3],
+  lambda x: left(x, 40)), ';') AS tags FROM documents WHERE text IS NOT NULL""")
+def evidence_tags(spark, folder):
+    rows = table(spark, folder, "documents").where("text IS NOT NULL")
+    return rows.select("doc_id", F.array_join(text.tags(F.col("text")), ";").alias("tags"))
+
+
+@query("""
+SELECT c_custkey AS user_id, CASE c_custkey % 3 WHEN 0 THEN lower(replace(c_name, '#', '.')) || '@example.com' WHEN 1 THEN '+1415' || lpad((c_custkey % 10000000)::VARCHAR, 7, '0') END AS contact FROM customer""")
+def contact_normalize(spark, folder):
+    k = F.col("c_custkey")
+    digits = F.lpad((k % 10_000_000).cast("string"), 7, "0")
+    mail = F.concat(F.lit("  "), F.replace("c_name", F.lit("#"), F.lit(".")), F.lit("@Example.com "))
+    phone = F.concat(F.lit("(415) "), F.left(digits, F.lit(3)), F.lit("-"), F.right(digits, F.lit(4)))
+    raw = F.when(k % 3 == 0, mail).when(k % 3 == 1, phone).otherwise("not a contact")
+    return table(spark, folder, "customer").select(k.alias("user_id"), text.contact(raw)["value"].alias("contact"))
+
+
+@query("SELECT c_custkey AS user_id, left(sha256('salt:user::' || c_name), 12) AS token FROM customer")
+def pseudonymize(spark, folder):
+    return table(spark, folder, "customer").select(F.col("c_custkey").alias("user_id"), hashing.pseudonym("salt:", "user", F.col("c_name")).alias("token"))
+
+
+def _pad(byte: int) -> str:
+    return bytes(b ^ byte for b in KEY.ljust(64, b"\0")).hex()
+
+
+@query(f"""
+SELECT doc_id, sha256(unhex('{_pad(0x5C)}') || unhex(sha256(unhex('{_pad(0x36)}') || encode(text)))) AS hmac FROM documents WHERE text IS NOT NULL""")
+def batch_hmac(spark, folder):
+    rows = table(spark, folder, "documents").where("text IS NOT NULL")
+    return rows.select("doc_id", F.lower(F.hex(hashing.hmac_sha256(KEY, F.col("text")))).alias("hmac"))
