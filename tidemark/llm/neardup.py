@@ -6,17 +6,19 @@ similarity; they are banded, texts that share a band are candidates, and candida
 Jaccard similarity reaches the threshold. Classes are the connected components of links.
 
 Candidates are verified in rounds that follow the links found: first each text against the most connected text that
-it shares a band with, then each band's texts against that band's most connected text, then whatever pairs of a band
-are still in different classes. Pairs already in one class need no check, so a large group of copies costs a check or
-two a text; no link between different classes goes unchecked.
+it shares a band with, then each band's texts against that band's most connected text. Pairs already in one class need
+no check, so a large group of copies costs a check or two a text. The texts of bands that still hold several classes
+are joined by their rarest shingles, with bounds that no pair over the threshold can miss; so no link between different
+classes goes unchecked, and no band's pairs are all made.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, shingles
@@ -30,6 +32,8 @@ SLOT_BITS = 18
 #: A shingle's weight goes from 1 (in all documents) to 1 + DAMP (in one of DEEP documents or fewer). The damping
 #: keeps copies of a text that a large part of the corpus repeats as similar as they look.
 DAMP, DEEP = 0.25, 400.0
+#: Ratio of the steps of size by which texts meet in the last round.
+STEP = 1.02
 
 
 def _slots(hashes: np.ndarray) -> np.ndarray:
@@ -178,6 +182,58 @@ def _verify(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame
     return common.map_batches(pairs.join(two, "b").join(one, "a"), "a binary, b binary, similarity double", run)
 
 
+def _close(texts: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): the pairs of texts (key, class) of different classes whose similarity can reach the threshold.
+
+    A pair over it has at least `threshold` of either's weight in common, so with shingles ordered by rarity its first
+    common one stands within the first 1 - threshold of either's weight; and what follows it in either text has to be
+    threshold / (1 + threshold) of both weights together. Texts meet by shingle and by size, in steps of STEP; a text
+    looks only for sizes that this bound allows at that shingle. Shingles that no other text has are no use.
+    """
+
+    def run(x: dict[str, list]) -> dict[str, list]:
+        sizes = [len(h) // 8 for h in x["hashes"]]
+        return {
+            "key": [k for k, n in zip(x["key"], sizes, strict=True) for _ in range(n)],
+            "class": [c for c, n in zip(x["class"], sizes, strict=True) for _ in range(n)],
+            "shingle": np.frombuffer(b"".join(x["hashes"]), np.int64),
+            "weight": np.frombuffer(b"".join(x["weights"]), np.float32).astype(np.float64),
+        }
+
+    rows = common.map_batches(vectors.join(texts, "key"), "key binary, class binary, shingle long, weight double", run)
+    rows = common.written(rows)
+    counts = rows.groupBy("shingle").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("key").orderBy("n", "shingle")
+    rows = rows.join(counts, "shingle").select(
+        "key",
+        "class",
+        "shingle",
+        "n",
+        F.sum("weight").over(Window.partitionBy("key")).alias("size"),
+        (F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("weight")).alias("before"),
+    )
+    slack = 1e-6
+    rows = rows.where((F.col("n") > 1) & (F.col("before") <= (1 - threshold + slack) * F.col("size")))
+    rows = common.written(rows.select("key", "class", "shingle", "size", (F.col("size") - F.col("before")).alias("rest")))
+    share = threshold / (1 + threshold) - slack
+
+    def step(size: F.Column) -> F.Column:
+        return F.floor(F.log(size) / math.log(STEP)).cast("int")
+
+    seek = rows.select(
+        F.col("key").alias("a"),
+        F.col("class").alias("ca"),
+        "shingle",
+        F.col("size").alias("sa"),
+        F.col("rest").alias("ra"),
+        F.explode(F.sequence(step(F.col("size") * (threshold - slack)), step(F.col("size") / (threshold - slack)))).alias("step"),
+    ).where(F.col("ra") >= share * (F.col("sa") + F.pow(F.lit(STEP), F.col("step"))))
+    stand = rows.select(F.col("key").alias("b"), F.col("class").alias("cb"), "shingle", F.col("size").alias("sb"), F.col("rest").alias("rb"), step(F.col("size")).alias("step"))
+    least = share * (F.col("sa") + F.col("sb"))
+    found = seek.join(stand, ["shingle", "step"]).where((F.col("ca") != F.col("cb")) & (F.col("ra") >= least) & (F.col("rb") >= least))
+    return found.select("a", "b")
+
+
 def classes(docs: DataFrame, size: int = WORDS, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """(key, class, links) for each distinct text that is linked to another: class is the least key of its component,
     links the number of verified links found at it. Texts are named by common.text_key.
@@ -220,9 +276,7 @@ def classes(docs: DataFrame, size: int = WORDS, threshold: float = THRESHOLD, te
             pairs = pairs.select(F.col("head.key").alias("a"), F.col("key").alias("b"))
         else:
             left = now.join(open_.select("band"), "band", "left_semi")
-            one = left.select("band", F.col("key").alias("a"), F.col("class").alias("ca"))
-            two = left.select("band", F.col("key").alias("b"), F.col("class").alias("cb"))
-            pairs = one.join(two, "band").where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b"))).select("a", "b")
+            pairs = _close(common.checkpointed(left.select("key", "class").distinct()), vectors, threshold)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = common.checkpointed(pairs.join(tested, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
