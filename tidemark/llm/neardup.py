@@ -245,16 +245,16 @@ def classes(docs: DataFrame, size: int = WORDS, threshold: float = THRESHOLD, te
     shared = spark.sparkContext.broadcast(weights)
 
     signed = _sign(texts, size, shared).groupBy("key").agg(F.first("bands").alias("bands"))
-    placed = common.checkpointed(signed.select("key", F.explode("bands").alias("band")))
+    placed = common.written(signed.select("key", F.explode("bands").alias("band")))
     sizes = placed.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    members = common.checkpointed(placed.join(sizes, "band"))
+    members = common.written(placed.join(sizes, "band"))
     # How many texts a text shares its bands with: the text that most others are copies of comes first.
     weight = members.groupBy("key").agg(F.sum(F.col("n") - 1).alias("weight"))
-    weight = common.checkpointed(weight.select("key", F.struct(-F.col("weight"), "key").alias("rank")))
-    members = common.checkpointed(members.join(weight, "key").select("band", "key", "rank"))
+    weight = common.written(weight.select("key", F.struct(-F.col("weight"), "key").alias("rank")))
+    members = common.written(members.join(weight, "key").select("band", "key", "rank"))
 
     distinct = texts.groupBy("key").agg(F.first("text").alias("text"))
-    vectors = common.checkpointed(_vectors(distinct.join(weight.select("key"), "key", "left_semi"), size, shared))
+    vectors = common.written(_vectors(distinct.join(weight.select("key"), "key", "left_semi"), size, shared))
     empty = spark.createDataFrame([], "a binary, b binary, similarity double")
     links, tested, of = empty, empty.select("a", "b"), None
 
@@ -276,16 +276,16 @@ def classes(docs: DataFrame, size: int = WORDS, threshold: float = THRESHOLD, te
             pairs = pairs.select(F.col("head.key").alias("a"), F.col("key").alias("b"))
         else:
             left = now.join(open_.select("band"), "band", "left_semi")
-            pairs = _close(common.checkpointed(left.select("key", "class").distinct()), vectors, threshold)
+            pairs = _close(common.written(left.select("key", "class").distinct()), vectors, threshold)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = common.checkpointed(pairs.join(tested, ["a", "b"], "left_anti"))
+        pairs = common.written(pairs.join(tested, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
             if turn < 2:
                 continue
             break
-        found = common.checkpointed(_verify(pairs, vectors, threshold))
+        found = common.written(_verify(pairs, vectors, threshold))
         links, tested = links.unionByName(found), tested.unionByName(pairs)
-        of = common.checkpointed(connected_components(links))
+        of = common.written(connected_components(links))
     ends = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("links"))
     if of is None:
         return spark.createDataFrame([], "key binary, class binary, links long")
@@ -302,10 +302,10 @@ def cluster(
     words only with their equals; a null text counts as empty. Repeated rows give a row each, null ids a row with
     whatever id their class has; an empty table gives none. Other columns are left out.
     """
-    of = common.checkpointed(classes(docs, size, threshold, text_col))
+    of = common.written(classes(docs, size, threshold, text_col))
     rows = docs.select(F.col(id_col).alias("id"), F.substring(common.text_key(text_col), 1, 16).alias("key"))
     by_text = rows.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n"))
-    by_text = common.checkpointed(by_text.join(of, "key", "left").withColumn("class", F.coalesce("class", "key")))
+    by_text = common.written(by_text.join(of, "key", "left").withColumn("class", F.coalesce("class", "key")))
     by_class = by_text.groupBy("class").agg(
         F.min("least").alias("class_id"), F.sum("n").alias("class_rows"), F.count("*").alias("class_texts")
     )
@@ -317,18 +317,18 @@ def deduplicate(
     docs: DataFrame, size: int = WORDS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row of docs for each class, with all its columns: that of the least id (null ids last; of equal ids any)."""
-    of = common.checkpointed(classes(docs, size, threshold, text_col))
+    of = common.written(classes(docs, size, threshold, text_col))
     name = "_neardup_key"
     keyed = docs.withColumn(name, F.substring(common.text_key(text_col), 1, 16))
     by_text = keyed.groupBy(name).agg(F.min(id_col).alias("_neardup_id"))
-    by_text = common.checkpointed(
+    by_text = common.written(
         by_text.join(of.select(F.col("key").alias(name), F.col("class").alias("_neardup_class")), name, "left").withColumn(
             "_neardup_class", F.coalesce("_neardup_class", name)
         )
     )
     # The text of each class with the least id, and that id.
     first = by_text.groupBy("_neardup_class").agg(F.min(F.struct(F.col("_neardup_id").isNull(), "_neardup_id", name)).alias("m"))
-    first = common.checkpointed(first.select(F.col(f"m.{name}").alias(name), F.col("m._neardup_id").alias("_neardup_id")))
+    first = common.written(first.select(F.col(f"m.{name}").alias(name), F.col("m._neardup_id").alias("_neardup_id")))
     kept = keyed.join(first, name).where(F.col(id_col).eqNullSafe(F.col("_neardup_id")))
     if kept.select(name).count() > first.count():  # rows of equal texts and ids
         kept = kept.dropDuplicates([name])
