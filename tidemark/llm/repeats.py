@@ -179,7 +179,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     settled = shared.where(F.col("seen") == 1).join(wholes.where(F.col("k") > 1).select("gram", "whole"), ["gram", "whole"])
     settled = settled.select("id", F.array(F.struct("lo", "n")).alias("spans"))
     # All kinds of a run of bytes, one anchor of each, if one of them stands alone.
-    open_ = wholes.join(wholes.where(F.col("k") == 1).select("gram").distinct(), "gram", "left_semi")
+    alone = common.written(wholes.where(F.col("k") == 1).select("gram").distinct())
+    open_ = wholes.join(alone, "gram", "left_semi")
     parts = 1 + (open_.agg(F.sum("n")).first()[0] or 0) // PART
     open_ = open_.groupBy("id").agg(F.collect_list(F.struct("at", "lo", "n", "gram", "total")).alias("open"))
     merged = common.written(_merged(_runs(texts.join(open_, "id"), parts)))
