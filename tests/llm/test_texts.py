@@ -245,3 +245,28 @@ def test_prefix_filters_lose_nothing(sets, block, threshold):
     index = license.Index(named, {b"a": 5, b"b": 1}, threshold)
     wanted = [(k, len(words & s) / len(s)) for k, s in sorted(named.items()) if len(words & s) >= license.needed(len(s), threshold)]
     assert index.match(words) == wanted
+
+
+def license_labels(spark, *texts):
+    rows = [(k, t) for k, t in enumerate(texts)]
+    found = license.scan(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("id").collect()
+    return [{queries.OP9_LABELS[m.label] for m in r.matches} for r in found]
+
+
+def test_wrapped_license_notices(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not"
+    grant = "# Permission is hereby granted, free of charge, to any\n# person obtaining a copy\n# of this software and"
+    filler = "\n".join(f"line {k} of the text" for k in range(300))
+    found = license_labels(spark, bsd, mpl, grant, f"{filler}\n{bsd}\n{filler}\n{mpl}", bsd.replace("\n", "\r\n\r\n"), filler)
+    assert found == [{"bsd"}, {"mpl"}, {"mit"}, {"bsd", "mpl"}, {"bsd"}, set()]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("abcdxyz"), max_size=30), st.integers(1, 8), st.integers(1, 4))
+def test_windows_are_those_of_brute_force(letters, length, least):
+    words, template = [x.encode() for x in letters], frozenset((b"a", b"b", b"c", b"d"))
+    fits = {k: n for k in range(len(words)) if (n := len(template.intersection(words[k : k + length]))) >= least}
+    got = license.windows(words, template, length, least)
+    assert bool(got) == bool(fits) and all(fits[k] == n for k, n in got)
+    assert max((n for _, n in got), default=0) == max(fits.values(), default=0)

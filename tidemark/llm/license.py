@@ -1,8 +1,10 @@
-"""License scans: an exact set-similarity join of text blocks with license templates, and literal phrases.
+"""License scans: an exact set-similarity join of windows of text with license templates, and literal phrases.
 
-A block is a line, or a part of a longer line between sentence ends; its set holds its distinct words. A block matches
-a template if it contains at least THRESHOLD of the template's words. Words are ordered by how many blocks of the
-whole corpus have them, rarest first; a matching block must hold one of a template's first words in that order.
+A template is looked for in each window of SPREAD times its own length in words, wherever lines and sentences end; a
+window matches if it contains at least THRESHOLD of the template's distinct words. A text with a matching window has as
+many of these words in all, so whole texts are joined first. Words are ordered by how many blocks (lines, or parts of
+a line between sentence ends) of the whole corpus have them, rarest first; a matching text must hold one of a
+template's first words in that order.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ TEMPLATES = {
     "public-domain": "This work has been released into the public domain",
 }
 THRESHOLD = 0.8
+#: Length of the window that a template is looked for in, as a multiple of the template's: room for words put between.
+SPREAD = 2
 _BLOCK = re.compile(rb"\n+|(?<=[.!?])[ \t]+(?=[A-Z])")
 
 
@@ -86,7 +90,7 @@ class Index:
                 self.prefix[w].append((name, at))
         self.probes = frozenset(self.prefix)
 
-    def match(self, block: frozenset[bytes]) -> list[tuple[str, float]]:
+    def match(self, block: set[bytes] | frozenset[bytes]) -> list[tuple[str, float]]:
         """(template, containment) for each template that the block's words contain enough of."""
         tried: dict[str, int] = {}
         for w in block & self.probes:
@@ -121,6 +125,30 @@ def phrase_places(words: list[bytes], phrases: dict[tuple[bytes, ...], str]) ->
     return out
 
 
+def windows(words: list[bytes], template: frozenset[bytes], length: int, least: int) -> list[tuple[int, int]]:
+    """(start, words of the template) of windows of so many words that hold at least `least` of the template's distinct
+    words. Windows start at such a word; of those that start within one length of the first, the fullest is told.
+    """
+    at = [k for k, w in enumerate(words) if w in template]
+    held: dict[bytes, int] = defaultdict(int)
+    best: list[tuple[int, int]] = []
+    n = end = group = 0
+    for start in at:
+        while end < len(at) and at[end] < start + length:
+            n += not held[words[at[end]]]
+            held[words[at[end]]] += 1
+            end += 1
+        if n >= least:
+            if not best or start >= group + length:
+                best.append((start, n))
+                group = start
+            elif n > best[-1][1]:
+                best[-1] = (start, n)
+        held[words[start]] -= 1
+        n -= not held[words[start]]
+    return best
+
+
 def scan(
     docs: DataFrame,
     templates: dict[str, str] = TEMPLATES,
@@ -129,16 +157,17 @@ def scan(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """(id, n_words, places array<struct<label,at>>, matches array<struct<block,label,containment>>) for each row.
+    """(id, n_words, places array<struct<label,at>>, matches array<struct<at,label,containment>>) for each row.
 
-    places: where phrases stand, at in words from 0, by at; matches: blocks (from 0) and their templates. A null text
-    counts as empty; no words: no places, no matches. Repeated rows and null ids give a row each, an empty table none;
+    places: where phrases stand, at in words from 0, by at; matches: windows (their first word, from 0) and their
+    templates, by at. A null text counts as empty; no words: no places, no matches. Repeated rows and null ids give a row each, an empty table none;
     other columns are left out.
     """
     common.small_batches(docs.sparkSession)
     sets = template_sets(templates)
     frequencies = word_frequencies(docs, frozenset().union(*sets.values()), text_col) if sets else {}
     index = docs.sparkSession.sparkContext.broadcast(Index(sets, frequencies, threshold))
+    lengths = {name: SPREAD * len(common.words_of(t)) for name, t in templates.items()}
     literal = {tuple(common.words_of(p)): label for p, label in phrases.items()}
     phrase_words = [frozenset(p) for p in literal]
 
@@ -151,17 +180,17 @@ def scan(
             whole = set(words)
             places = phrase_places(words, literal) if any(p <= whole for p in phrase_words) else {}
             matches = []
-            if not found.probes.isdisjoint(whole):
-                for k, block in enumerate(blocks_of(data)):
-                    have = frozenset(block.translate(common.WORD_BYTES).split())
-                    matches += [{"block": k, "label": name, "containment": c} for name, c in found.match(have)]
+            for name, _ in found.match(whole):
+                own = found.sets[name]
+                for at, n in windows(words, own, lengths[name], needed(len(own), threshold)):
+                    matches.append({"at": at, "label": name, "containment": n / len(own)})
             out["n_words"].append(len(words))
             out["places"].append(sorted(({"label": n, "at": a} for n, each in places.items() for a in each), key=lambda p: (p["at"], p["label"])))
-            out["matches"].append(matches)
+            out["matches"].append(sorted(matches, key=lambda m: (m["at"], m["label"])))
         return out
 
     schema = (
         f"{common.ddl(docs, id_col, 'id')}, n_words long, places array<struct<label:string,at:long>>,"
-        " matches array<struct<block:long,label:string,containment:double>>"
+        " matches array<struct<at:long,label:string,containment:double>>"
     )
     return common.map_batches(docs.select(id_col, text_col), schema, run)
