@@ -270,3 +270,16 @@ def test_windows_are_those_of_brute_force(letters, length, least):
     got = license.windows(words, template, length, least)
     assert bool(got) == bool(fits) and all(fits[k] == n for k, n in got)
     assert max((n for _, n in got), default=0) == max(fits.values(), default=0)
+
+
+def test_license_templates_are_told_apart(spark):
+    other = ["Licensed under CC BY 4.0", "Licensed under CC BY-NC 4.0.", "Released under the Apache License"]
+    other += ["Released under the GNU General Public License", "Released under the Apache License by MIT researchers"]
+    other += ["This work is licensed under the Eclipse Public License, version 2", "This work has been released into the public"]
+    found = license_labels(spark, *other)
+    assert found == [{"cc-by"}, {"cc-by", "cc-by-nc"}, set(), set(), set(), set(), set()]
+    kept = ["Licensed under the Apache License 2.0", "Released under the terms of the MIT License", "Released under the MIT or Apache licenses"]
+    kept += ["This work is licensed under the GNU General Public Licence, version 2", "This work has been placed into the public domain"]
+    assert license_labels(spark, *kept) == [{"apache"}, {"mit"}, {"mit"}, {"gpl"}, {"public-domain"}]
+    scattered = " and so on ".join("released under the sun is all that MIT and others say of any license".split())
+    assert license_labels(spark, scattered * 9) == [set()]

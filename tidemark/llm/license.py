@@ -1,7 +1,8 @@
 """License scans: an exact set-similarity join of windows of text with license templates, and literal phrases.
 
 A template is looked for in each window of SPREAD times its own length in words, wherever lines and sentences end; a
-window matches if it contains at least THRESHOLD of the template's distinct words. A text with a matching window has as
+window matches if it contains at least THRESHOLD of the template's distinct words, and what tells the template from
+others (KEYS): with few words, four of five are those of any license. A text with a matching window has as
 many of these words in all, so whole texts are joined first. Words are ordered by how many blocks (lines, or parts of
 a line between sentence ends) of the whole corpus have them, rarest first; a matching text must hold one of a
 template's first words in that order.
@@ -38,6 +39,17 @@ TEMPLATES = {
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "public-domain": "This work has been released into the public domain",
 }
+#: Template label -> what a window's words, each between blanks, must hold besides.
+KEYS = {
+    "apache-2.0": rb" apache (?:\S+ ){0,3}licen[sc]es? | apache (?:v|version )?2 ",
+    "cc-by-4.0": rb" cc (?:4 0 )?by ",
+    "cc-by-nc-4.0": rb" cc (?:4 0 )?(?:by nc|nc by) ",
+    "gpl-2.0": rb" (?:gnu|the|a) general public ",
+    "gpl-3.0": rb" (?:gnu|the|a) general public ",
+    "mit-notice": rb" mit (?:\S+ ){0,2}licen[sc]es? ",
+    "mpl-2.0": rb" mozilla | mpl ",
+    "public-domain": rb" public domain ",
+}
 THRESHOLD = 0.8
 #: Length of the window that a template is looked for in, as a multiple of the template's: room for words put between.
 SPREAD = 2
@@ -125,9 +137,12 @@ def phrase_places(words: list[bytes], phrases: dict[tuple[bytes, ...], str]) ->
     return out
 
 
-def windows(words: list[bytes], template: frozenset[bytes], length: int, least: int) -> list[tuple[int, int]]:
-    """(start, words of the template) of windows of so many words that hold at least `least` of the template's distinct
-    words. Windows start at such a word; of those that start within one length of the first, the fullest is told.
+def windows(
+    words: list[bytes], template: frozenset[bytes], length: int, least: int, key: re.Pattern[bytes] | None = None
+) -> list[tuple[int, int]]:
+    """(start, words of the template) of windows of so many words that hold the key and at least `least` of the
+    template's distinct words. Windows start at such a word; of those that start within one length of the first, the
+    fullest is told.
     """
     at = [k for k, w in enumerate(words) if w in template]
     held: dict[bytes, int] = defaultdict(int)
@@ -138,7 +153,7 @@ def windows(words: list[bytes], template: frozenset[bytes], length: int, least:
             n += not held[words[at[end]]]
             held[words[at[end]]] += 1
             end += 1
-        if n >= least:
+        if n >= least and (key is None or key.search(b" %s " % b" ".join(words[start : start + length]))):
             if not best or start >= group + length:
                 best.append((start, n))
                 group = start
@@ -154,6 +169,7 @@ def scan(
     templates: dict[str, str] = TEMPLATES,
     phrases: dict[str, str] = PHRASES,
     threshold: float = THRESHOLD,
+    keys: dict[str, bytes] = KEYS,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -168,6 +184,7 @@ def scan(
     frequencies = word_frequencies(docs, frozenset().union(*sets.values()), text_col) if sets else {}
     index = docs.sparkSession.sparkContext.broadcast(Index(sets, frequencies, threshold))
     lengths = {name: SPREAD * len(common.words_of(t)) for name, t in templates.items()}
+    told_by = {name: re.compile(keys[name]) for name in templates if name in keys}
     literal = {tuple(common.words_of(p)): label for p, label in phrases.items()}
     phrase_words = [frozenset(p) for p in literal]
 
@@ -182,7 +199,7 @@ def scan(
             matches = []
             for name, _ in found.match(whole):
                 own = found.sets[name]
-                for at, n in windows(words, own, lengths[name], needed(len(own), threshold)):
+                for at, n in windows(words, own, lengths[name], needed(len(own), threshold), told_by.get(name)):
                     matches.append({"at": at, "label": name, "containment": n / len(own)})
             out["n_words"].append(len(words))
             out["places"].append(sorted(({"label": n, "at": a} for n, each in places.items() for a in each), key=lambda p: (p["at"], p["label"])))
