@@ -49,6 +49,24 @@ def test_language_rejects_narrow_margins(spark):
     assert mixed[1] < langid.MARGIN
 
 
+def test_language_of_only_short_or_long_texts(spark):
+    rng = np.random.default_rng(3)
+    vocabulary = {x: ["".join(rng.choice(list("abcdefghijklmnopqrst"), 6)) for _ in range(40)] for x in ("short", "long", "usual")}
+
+    def texts(x, n, words):
+        return [(" ".join(rng.choice(vocabulary[x], words)), x) for _ in range(n)]
+
+    rows = texts("short", 300, 8) + texts("long", 20, 2000) + texts("usual", 300, 100) + [("az", "tiny"), ("12", "none")]
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string"))
+    sizes = {lang: len(d) for lang, d in model.dictionaries}
+    assert min(sizes[x] for x in vocabulary) > 5000 and max(sizes.values()) <= langid.SLOTS * (sum(langid.TRAIN_CHARS) + 3)
+    assert sizes["tiny"] > 0 and sizes["none"] == 0
+    again = langid.train(spark.createDataFrame(rows[::-1] * 2, "text string, lang string").repartition(5))
+    assert dict(again.dictionaries) == dict(model.dictionaries)
+    for x in vocabulary:
+        assert all(langid.classify(t, model)[0] == x for t, _ in texts(x, 20, 10))
+
+
 # Personal data -------------------------------------------------------------------------------------------------------
 
 
