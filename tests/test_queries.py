@@ -1,7 +1,11 @@
 """Every registered query of the library against its SQL."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
+from tidemark.operators import scan
 from tidemark.plans import registry
 
 
@@ -21,3 +25,33 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def packed_plainly(rows, most, max_tokens, base, per_item):
+    out, last = {}, object()
+    for s, k, n in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1])):
+        if s != last:
+            last, ordinal, index, total = s, 0, 0, base
+        elif index >= most or total + n + per_item > max_tokens:
+            ordinal, index, total = ordinal + 1, 0, base
+        out[k] = (ordinal, index)
+        total, index = max(total + n + per_item, total + 1), index + 1
+    return out
+
+
+@pytest.mark.parametrize("sizes, most", [((1, 9, 40, 300), 16), ((5,), 7), ((1, 50, 120), 3), ((1,), 100)])
+def test_packing_deals_a_hot_scan_out(spark, sizes, most):
+    draw = random.Random(most)
+    rows = [(draw.choice(["hot"] * 9 + [None, "a", "z"]), k, draw.choice(sizes)) for k in range(600)]
+    items = spark.createDataFrame(rows, "tenant string, id long, tokens long").repartition(3)
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        found = scan.pack(items, "tenant", ["id"], max_items=most, max_tokens=200, base=20, per_item=2, max_output=1000, out=1)
+        got = found.withColumn("p", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set(setting, before)
+    assert len(got) == len(rows)
+    assert {r.id: (r.batch_ordinal, r.item_index) for r in got} == packed_plainly(rows, most, 200, 20, 2)
+    assert len({r.p for r in got if r.tenant == "hot"}) > 3

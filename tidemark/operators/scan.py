@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -40,33 +42,110 @@ def pack(
     """items with batch_ordinal and item_index (from 0): each scan's items in order, greedily; the first item of a batch is
     always taken, none is dropped.
 
-    Where a batch ends depends on all items before, so a scan is read by one task, as a stream of sorted Arrow batches
-    with two numbers of state, whatever its length. Ties of the order go by all its columns; nulls come first.
+    Where a batch ends depends on all items before. The rows are parted by ranges of (scan, order), so that a large scan
+    is dealt out to many tasks; each part tells how it ends for every row at which a batch may begin in it (a batch has
+    few items, so these are its first few), the driver follows these from part to part, and each part is then packed
+    from where it begins. Ties of the order go by all its columns; nulls come first.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import IntegerType, StructField, StructType
 
-    ordered = items.repartition(scan).sortWithinPartitions(scan, *order)
+    most = max(1, min(max_items, max_output // out))
+    ordered = items.repartitionByRange(scan, *order).sortWithinPartitions(scan, *order)
+    ordered = _kept(ordered.withColumn("_part", F.spark_partition_id()))
     schema = StructType([*items.schema.fields, StructField("batch_ordinal", IntegerType()), StructField("item_index", IntegerType())])
     kinds, key, size = to_arrow_schema(schema), items.columns.index(scan), items.columns.index(tokens)
+    kept = len(items.columns)
+
+    def step(ordinal: int, index: int, total: int, n: int) -> tuple[int, int, int]:
+        """The state after an item of n tokens: its batch, the items and the tokens of this."""
+        if index >= most or index and total + n + per_item > max_tokens:
+            ordinal, index, total = ordinal + 1, 0, base
+        return ordinal, index + 1, max(total + n + per_item, total + 1)
+
+    new = (0, 0, base)
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A start's end is that of the state it has run into, so many batches later; equal states are followed once.
+        part, first, last, head, changed, rows = None, None, None, [], False, 0
+        states: dict[int, tuple[int, int, int]] = {}
+        runs_as: list[tuple[int, int]] = []
+        for batch in batches:
+            for p, s, n in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                if not rows:
+                    part, first = p, s
+                elif s != last:
+                    changed, states = True, {0: new}
+                if not changed and rows < most:
+                    head.append(n)
+                    states[rows] = new
+                    runs_as.append((rows, 0))
+                last, rows = s, rows + 1
+                seen: dict[tuple[int, int], int] = {}
+                for k, state in list(states.items()):
+                    ordinal, *rest = states[k] = step(*state, n)
+                    at = seen.setdefault(tuple(rest), k)
+                    if at != k:
+                        runs_as = [(at, d + ordinal - states[at][0]) if r == k else (r, d) for r, d in runs_as]
+                        del states[k]
+        if rows:
+            found = [states[0]] * len(head) if changed else [(states[r][0] + d, *states[r][1:]) for r, d in runs_as]
+            row = {"part": part, "changed": changed, "n": rows, "head": head, "found": [list(x) for x in found]}
+            told = pa.RecordBatch.from_pylist([row], schema=ends_kinds)
+            scans = pa.array([first, last], kinds.field(key).type)
+            yield pa.RecordBatch.from_arrays([*told.columns, scans[:1], scans[1:]], names=[*ends_kinds.names, "first", "last"])
+
+    ends_kinds = pa.schema(
+        [("part", pa.int32()), ("changed", pa.bool_()), ("n", pa.int64()), ("head", pa.list_(pa.int64())), ("found", pa.list_(pa.list_(pa.int64())))]
+    )
+    kind = items.schema[scan].dataType.simpleString()
+    told = ordered.select("_part", scan, F.col(tokens).cast("long")).mapInArrow(
+        ends, f"part int, changed boolean, n long, head array<long>, found array<array<long>>, first {kind}, last {kind}"
+    )
+    last, state, begins = object(), new, {}
+    for r in sorted(told.collect(), key=lambda r: r["part"]):
+        if r["first"] != last:
+            state = new
+        begins[r["part"]] = state
+        # A batch that is open goes on for some rows; the next begins at one of those told, or in another scan.
+        for k, n in enumerate(r["head"]):
+            after = step(*state, n)
+            if after[1] == 1:
+                ordinal, *rest = r["found"][k]
+                state = (ordinal if r["changed"] else after[0] + ordinal, *rest)
+                break
+            state = after
+        else:
+            if r["changed"]:
+                state = tuple(r["found"][0])
+        last = r["last"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, ordinal, index, total = object(), 0, 0, base
+        state = last = None
         for batch in batches:
             where, at = [], []
-            for s, n in zip(batch.column(key).to_pylist(), batch.column(size).to_pylist(), strict=True):
+            for p, s, n in zip(*(batch.column(c).to_pylist() for c in (kept, key, size)), strict=True):
+                if state is None:
+                    last, state = s, begins[p]
                 if s != last:
-                    last, ordinal, index, total = s, 0, 0, base
-                elif index >= max_items or (index + 1) * out > max_output or total + n + per_item > max_tokens:
-                    ordinal, index, total = ordinal + 1, 0, base
-                where.append(ordinal)
-                at.append(index)
-                total, index = max(total + n + per_item, total + 1), index + 1
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(where, pa.int32()), pa.array(at, pa.int32())], schema=kinds)
+                    last, state = s, new
+                state = step(*state, n)
+                where.append(state[0])
+                at.append(state[1] - 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(where, pa.int32()), pa.array(at, pa.int32())], schema=kinds)
 
     return ordered.mapInArrow(run, schema)
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """df, computed once, in the session's spark.checkpoint.dir; where that is unset, in a temporary folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "tidemark-checkpoints"))
+    return df.checkpoint()
+
+
 def stub_results(items: DataFrame, concerns: list[str], index: str = "item_index", body: str = "text") -> DataFrame:
     """items with decision, risk, category, confidence, reason_code and evidence of the deterministic stub classifier."""
     first = next((c for c in concerns if c != "other"), "negativity")
