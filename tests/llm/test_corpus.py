@@ -1,8 +1,11 @@
 """Operators across texts, against SQL or brute force."""
 
+import collections
 import hashlib
 import itertools
+import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -92,29 +95,42 @@ def test_components_like_union_find(spark, seed):
 # Near duplicates -----------------------------------------------------------------------------------------------------
 
 
+def similar_by_brute_force(texts, least=0.8):
+    """Pairs of ids of different texts that are so similar, in plain Python: sets of word tuples, counted and weighed."""
+    bags = {}
+    for k, t in texts.items():
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))
+        bags[k] = collections.Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else {}
+    frequency = collections.Counter(s for bag in bags.values() for s in bag)
+    rarest = len(texts) / neardup.DEEP
+    weight = {s: 1 + math.log((len(texts) + 1) / ((n if n > rarest else rarest) + 1)) for s, n in frequency.items()}
+    total = {k: sum(n * weight[s] for s, n in bag.items()) for k, bag in bags.items()}
+    holders = collections.defaultdict(list)
+    for k, bag in bags.items():
+        for s in bag:
+            holders[s].append(k)
+    shared = collections.Counter()
+    for s, ids in holders.items():
+        for i, j in itertools.combinations(ids, 2):
+            shared[i, j] += min(bags[i][s], bags[j][s]) * weight[s]
+    return {p for p, w in shared.items() if texts[p[0]] != texts[p[1]] and w / (total[p[0]] + total[p[1]] - w) >= least}
+
+
 def classes_by_brute_force(texts):
     """Least id of each id's class, by all pairs."""
-    from tidemark.llm import shingles
-
-    hashes, ends = shingles.word_hashes(list(texts.values()))
-    counts = np.zeros(1 << neardup.SLOT_BITS, np.int64)
-    for a, b in itertools.pairwise(ends):
-        counts[np.unique(neardup._slots(shingles.shingle_hashes(hashes[a:b], neardup.WORDS)))] += 1
-    weights = neardup.slot_weights(counts, len(texts))
-    vectors = [neardup.vector(hashes[a:b], neardup.WORDS, weights) for a, b in itertools.pairwise(ends)]
-    ids = list(texts)
-    least = {k: k for k in ids}
+    least = {k: k for k in texts}
 
     def find(x):
         while least[x] != x:
             x = least[x]
         return x
 
-    for (i, a), (j, b) in itertools.combinations(list(zip(ids, vectors, strict=True)), 2):
-        if texts[i] == texts[j] or neardup.weighted_jaccard(a, b) >= neardup.THRESHOLD:
-            x, y = sorted((find(i), find(j)))
-            least[y] = x
-    return {k: find(k) for k in ids}
+    first = {}
+    equal = {(first.setdefault(t, k), k) for k, t in texts.items()}
+    for i, j in similar_by_brute_force(texts) | equal:
+        x, y = sorted((find(i), find(j)))
+        least[y] = x
+    return {k: find(k) for k in texts}
 
 
 def test_near_duplicates_like_brute_force(spark, data):
@@ -126,6 +142,40 @@ def test_near_duplicates_like_brute_force(spark, data):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(got.values()))
 
 
+def test_links_that_bands_miss_are_few(spark, data):
+    """Recall of links and classes on a larger table, against all pairs in plain Python."""
+    folder = data.replace("0.001", "0.01")
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    got = {r.doc_id: r.class_id for r in queries.op3_near_duplicates(spark, folder).collect()}
+    pairs = similar_by_brute_force(texts)
+    assert len(pairs) >= 10
+    assert np.mean([got[i] == got[j] for i, j in pairs]) > 0.995
+    wanted = classes_by_brute_force(texts)
+    assert all(wanted[k] == wanted[c] for k, c in got.items())  # no class joins what is not linked
+
+
+def test_frequencies_are_exact(spark, monkeypatch):
+    """Blocks of a few texts, over several tasks, give the same table as counting everything."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefg") for _ in range(rng.randint(0, 12))) for _ in range(900)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    from tidemark.llm import shingles
+
+    words = [t.split() for t in texts]
+    counts = collections.Counter()
+    for w in words:
+        counts.update({" ".join(w[k : k + 2]) for k in range(max(1, len(w) - 1))} if w else ())
+    deep = 40
+    monkeypatch.setattr(neardup, "DEEP", deep)
+    got = neardup.document_frequencies(docs, 2)
+    wanted = {s: n for s, n in counts.items() if n > len(texts) / deep}
+    hashes, ends = shingles.word_hashes(list(counts))
+    for s, a, b in zip(counts, ends[:-1], ends[1:], strict=True):
+        n = wanted.get(s, len(texts) / deep)
+        assert abs(got.of(shingles.shingle_hashes(hashes[a:b], 2))[0] - (1 + math.log((len(texts) + 1) / (n + 1)))) < 1e-5
+    assert len(got.shingles) == len(wanted)
+
+
 def test_samples_agree_as_often_as_sets_are_similar():
     rng = np.random.default_rng(1)
     hashes = np.sort(rng.integers(0, 1 << 63, 400, dtype=np.uint64))
@@ -228,8 +278,17 @@ def held_against_brute_force(spark, texts):
         assert (r.n_bytes, [(g["start"], g["end"]) for g in r.removed], bytes(r.kept)) == w
 
 
-def test_repeats_like_brute_force(spark, data):
-    held_against_brute_force(spark, [r.text for r in spark.read.parquet(f"{data}/documents.parquet").limit(120).collect()])
+def test_repeats_query_like_brute_force(spark, data):
+    """All columns of the query, over all documents."""
+    texts = {r.doc_id: common.utf8(r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    wanted = dict(zip(texts, cut_by_brute_force(list(texts.values())), strict=True))
+    got = queries.op10_repeats(spark, data).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        size, spans, kept = wanted[r.doc_id]
+        assert (r.n_bytes, r.n_removed, r.n_spans) == (size, sum(b - a for a, b in spans), len(spans))
+        assert r.kept_sha256 == hashlib.sha256(kept).hexdigest()
+    assert sum(r.n_spans for r in got) > 20
 
 
 def test_repeats_at_the_edges(spark, monkeypatch):
@@ -280,8 +339,9 @@ def test_merge_gives_order_and_prefixes():
             continue
         sources = [[s for _, s in r.strings()] for r in runs]
         at, out = [0] * len(runs), []
-        for run, share in suffixes.merge(runs):
+        for run, share, told in suffixes.merge(runs):
             key = sources[run][at[run]]
+            assert told == key
             at[run] += 1
             last = out[-1] if out else b""
             assert share == next((j for j, (x, y) in enumerate(zip(key, last, strict=False)) if x != y), len(last))

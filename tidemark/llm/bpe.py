@@ -59,7 +59,6 @@ def encode(
     rank_file is a path that each executor can open. Null and empty texts give no ids; repeated rows and null ids give
     a row each; an empty table gives none; other columns are left out, whatever their names.
     """
-    common.small_batches(docs.sparkSession)
     schema = f"{common.ddl(docs, id_col, 'id')}, ids array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

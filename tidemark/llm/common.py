@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -33,19 +34,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bounds what one Arrow batch of long texts can hold in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Rows of an Arrow batch that are worked on at once: bounds what long texts can hold in a Python worker.
+ROWS = 256
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder that driver and executors share: the session's spark.checkpoint.dir; only where that is unset (as in
-    tests, on one machine) a temporary one.
+    """A folder that driver and executors share: the session's spark.checkpoint.dir. Only on one machine (a local
+    master, as in tests) is a temporary one taken where that is unset; on a cluster this is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "tidemark-checkpoints"))
+        if not shared:
+            if not re.fullmatch(r"local(\[[^,\]]*\])?", context.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            shared = os.path.join(tempfile.gettempdir(), "tidemark-checkpoints")
+        context.setCheckpointDir(shared)
     return context.getCheckpointDir()
 
 
@@ -55,19 +65,70 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df, written once as Parquet in the shared folder and read again; shuffles that made it are cleared at once. For
-    tables of the size of the input, which a checkpoint would hold uncompressed.
+class Scratch:
+    """Tables of one run in the shared folder, by name. What a result reads has to stay; the rest is dropped."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+        self.paths: dict[str, list[str]] = {}
+
+    def write(self, name: str, df: DataFrame) -> DataFrame:
+        """df, written once as Parquet and read again. Shuffles that made it are cleared at once: this is a setting of
+        the session only, which is put back.
+        """
+        path, setting = f"{self.folder}/{name}-{uuid.uuid4().hex[:8]}", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(setting)
+        self.spark.conf.set(setting, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(setting, before)
+        self.paths.setdefault(name, []).append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Removes all tables written under these names."""
+        for path in [p for n in names for p in self.paths.pop(n, ())]:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: A key with more than one in PARTS of all rows is hot (there are fewer than PARTS such keys, whatever the input), and
+#: its rows are dealt out in shares of about that size.
+PARTS = 256
+
+
+#: Rows under which no key has so many that dealing them out is worth two more jobs.
+FEW = 4096
+
+
+def spread_join(
+    rows: DataFrame, side: DataFrame, key: str, counts: DataFrame, by: str, how: str = "inner", total: int | None = None
+) -> DataFrame:
+    """rows joined with side on key, the rows of a hot key dealt out to many tasks by a hash of `by`, and that key's rows
+    of side, which are few, given to each of them. counts: (key, n), how many rows there are of each key; only the hot
+    ones reach the driver. total: the rows, if known. The result is that of the plain join.
     """
-    spark = df.sparkSession
-    path, setting = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(setting, before)
-    return spark.read.schema(df.schema).parquet(path)
+    if total is None:
+        total = counts.agg(F.sum("n")).first()[0] or 0
+    if total < FEW:
+        return rows.join(side, key, how)
+    found = counts.where(F.col("n") * PARTS > total).select(key, F.ceil(F.col("n") * PARTS / max(total, 1)).cast("int")).collect()
+    if not found:
+        return rows.join(side, key, how)
+    kind = rows.schema[key].dataType
+    table = F.array(*[F.struct(F.lit(k).cast(kind).alias(key), F.lit(n).alias("_salts")) for k, n in found])
+    hot = F.broadcast(rows.sparkSession.range(1).select(F.explode(table).alias("x")).select("x.*"))
+    some = F.col("_salts").isNotNull()
+    left = rows.join(hot, key, "left").withColumn("_salt", F.when(some, F.pmod(F.hash(by), F.col("_salts"))).otherwise(0)).drop("_salts")
+    each = F.when(some, F.sequence(F.lit(0), F.col("_salts") - 1)).otherwise(F.array(F.lit(0)))
+    right = side.join(hot, key, "left").withColumn("_salt", F.explode(each)).drop("_salts")
+    return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
+def as_rows(df: DataFrame) -> F.Column:
+    """All columns of df as one struct, so that no name of theirs can clash."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def map_batches(df: DataFrame, schema: str, fn: Callable[[dict[str, list]], dict[str, list]]) -> DataFrame:
@@ -78,7 +139,7 @@ def map_batches(df: DataFrame, schema: str, fn: Callable[[dict[str, list]], dict
     kinds = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = fn({name: batch.column(k).to_pylist() for k, name in enumerate(batch.schema.names)})
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in kinds], schema=kinds)
 

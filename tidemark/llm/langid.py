@@ -112,7 +112,6 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     A text that is null or has no letter gets und, score 0, not accepted. Only the text counts. Repeated rows and null
     ids give a row each, an empty table none; other columns are left out.
     """
-    common.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(x: dict[str, list]) -> dict[str, list]:

@@ -179,7 +179,6 @@ def scan(
     templates, by at. A null text counts as empty; no words: no places, no matches. Repeated rows and null ids give a row each, an empty table none;
     other columns are left out.
     """
-    common.small_batches(docs.sparkSession)
     sets = template_sets(templates)
     frequencies = word_frequencies(docs, frozenset().union(*sets.values()), text_col) if sets else {}
     index = docs.sparkSession.sparkContext.broadcast(Index(sets, frequencies, threshold))

@@ -192,7 +192,6 @@ def write_streams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Repeated rows and null ids give a row each, an empty table none; other columns are left out.
     """
-    common.small_batches(docs.sparkSession)
 
     def run(x: dict[str, list]) -> dict[str, list]:
         raw = [common.utf8(t) for t in x[text_col]]

@@ -1,9 +1,9 @@
 """Near duplicates by improved consistent weighted sampling over TF-IDF word shingles.
 
-Each distinct text is a weighted set: its five-word shingles, weighted by count and by a damped inverse document
-frequency. HASHES consistent weighted samples of it agree between two texts as often as their weighted Jaccard
-similarity; they are banded, texts that share a band are candidates, and candidates are linked if their exact weighted
-Jaccard similarity reaches the threshold. Classes are the connected components of links.
+Each distinct text is a weighted set: its five-word shingles, weighted by count and by inverse document frequency.
+HASHES consistent weighted samples of it agree between two texts as often as their weighted Jaccard similarity; they
+are banded, texts that share a band are candidates, and candidates are linked if their exact weighted Jaccard
+similarity reaches the threshold. Classes are the connected components of links.
 
 Candidates are verified in rounds that follow the links found: first each text against the most connected text that
 it shares a band with, then each band's texts against that band's most connected text. Pairs already in one class need
@@ -16,9 +16,12 @@ from __future__ import annotations
 
 import functools
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, shingles
@@ -27,69 +30,103 @@ from .components import connected_components
 WORDS, THRESHOLD = 5, 0.8
 #: 16 bands of 4 samples: at similarity 0.8 a pair shares none with a chance of 1 in 5,000.
 BANDS, ROWS = 16, 4
-#: Document frequencies are counted over shingles hashed to this many slots: a table of fixed size at any scale.
-SLOT_BITS = 18
-#: A shingle's weight goes from 1 (in all documents) to 1 + DAMP (in one of DEEP documents or fewer). The damping
-#: keeps copies of a text that a large part of the corpus repeats as similar as they look.
-DAMP, DEEP = 0.25, 400.0
+#: Shingles of more than one in DEEP documents have their own document frequency; rarer ones all count as that rare.
+DEEP = 400
+#: Bound of the table of those; fewer than 4/3 DEEP times the different shingles of a mean document are looked at. Of
+#: more than that, those of most documents are taken, and the rest weigh as the rarest of these.
+TABLE = 1 << 20
+#: Texts and shingles that a task counts at once.
+BLOCK = (4096, 1 << 22)
 #: Ratio of the steps of size by which texts meet in the last round.
-STEP = 1.02
-
-
-def _slots(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-
-
-def document_frequencies(docs: DataFrame, size: int, text_col: str) -> tuple[np.ndarray, int]:
-    """(documents by slot, documents): over all rows. Each task counts in a table of fixed size before the shuffle."""
-    parts, width = 64, (1 << SLOT_BITS) // 64
-
-    def run(batches):
-        import pyarrow as pa
-
-        counts = np.zeros(1 << SLOT_BITS, np.int32)
-        total = 0
-        for batch in batches:
-            hashes, ends = shingles.word_hashes(batch.column(0).to_pylist())
-            total += len(ends) - 1
-            for a, b in zip(ends[:-1], ends[1:], strict=True):
-                counts[np.unique(_slots(shingles.shingle_hashes(hashes[a:b], size)))] += 1
-        if total:
-            whole = pa.array(range(parts + 1), pa.int32())
-            data = [counts[k * width : (k + 1) * width].astype("<i4").tobytes() for k in range(parts)]
-            yield pa.RecordBatch.from_arrays([whole, pa.array([*data, np.array([total], "<i4").tobytes()])], names=["part", "n"])
-
-    def add(batches):
-        import pyarrow as pa
-
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[part] = sums.get(part, 0) + np.frombuffer(x, "<i4").astype("<i8")
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "n"]
-        )
-
-    each = docs.select(text_col).mapInArrow(run, "part int, n binary")
-    sums = each.repartition(parts + 1, "part").mapInArrow(add, "part int, n binary").collect()
-    out, total = np.zeros(1 << SLOT_BITS, np.int64), 0
-    for part, n in sums:
-        if part == parts:
-            total += int(np.frombuffer(n, "<i8")[0])
-        else:
-            out[part * width : (part + 1) * width] += np.frombuffer(n, "<i8")
-    return out, total
+STEP = 1.1
+
+
+@dataclass(frozen=True)
+class Weights:
+    """Inverse document frequency, 1 + ln((documents + 1) / (frequency + 1)): of frequent shingles (sorted), of others."""
+
+    shingles: np.ndarray
+    weights: np.ndarray
+    other: float
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.shingles):
+            return np.full(len(hashes), self.other, np.float32)
+        at = np.minimum(np.searchsorted(self.shingles, hashes), len(self.shingles) - 1)
+        return np.where(self.shingles[at] == hashes, self.weights[at], np.float32(self.other)).astype(np.float32)
+
+
+def _idf(frequency: np.ndarray, documents: int) -> np.ndarray:
+    return (1 + np.log((documents + 1) / (frequency + 1))).astype(np.float32)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(texts, different shingles, in how many of these texts each is) of a task's texts, some thousands at once."""
+    each: list[np.ndarray] = []
+    texts = total = 0
 
+    def counted() -> tuple[int, np.ndarray, np.ndarray]:
+        hashes, n = np.unique(np.concatenate([np.empty(0, np.uint64), *each]), return_counts=True)
+        return texts, hashes, n
 
-def slot_weights(frequencies: np.ndarray, documents: int) -> np.ndarray:
-    rarity = np.log((documents + 1) / (frequencies + 1)) / np.log(DEEP)
-    return (1 + DAMP * np.clip(rarity, 0, 1)).astype(np.float32)
+    for batch in common.slices(batches):
+        hashes, ends = shingles.word_hashes(batch.column(0).to_pylist())
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            each.append(np.unique(shingles.shingle_hashes(hashes[a:b], size)))
+            texts, total = texts + 1, total + len(each[-1])
+            if texts >= BLOCK[0] or total >= BLOCK[1]:
+                yield counted()
+                each, texts, total = [], 0, 0
+    if texts:
+        yield counted()
 
 
-def vector(words: np.ndarray, size: int, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def document_frequencies(docs: DataFrame, size: int, text_col: str = "text") -> Weights:
+    """Exact frequencies, over all rows, of the shingles of more than one in DEEP of them.
+
+    A block of texts tells its shingles of at least one in 4 DEEP of its texts. What a shingle has in blocks that do not
+    tell it is less than one in 4 DEEP of all texts, so one of more than one in DEEP is told of three quarters of these at
+    least; there are few such, and they are counted again in all texts.
+    """
+    column = docs.select(F.col(text_col).alias("text"))
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts, hashes, n in _blocks(batches, size):
+            some = n >= texts / (4 * DEEP)
+            names = pa.array([None, *hashes[some].view(np.int64).tolist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([names, pa.array(np.append(texts, n[some]), pa.int64())], names=["shingle", "n"])
+
+    sums = column.mapInArrow(told, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    sums = common.Scratch(docs.sparkSession).write("shingles", sums)
+    documents = sums.where(F.col("shingle").isNull()).agg(F.sum("n")).first()[0] or 0
+    some = sums.where(F.col("shingle").isNotNull() & (F.col("n") >= 0.75 * documents / DEEP)).orderBy(F.desc("n"), "shingle").limit(TABLE + 1)
+    found = np.array([r[0] for r in some.select("shingle").collect()], np.int64).view(np.uint64)
+    more = len(found) > TABLE
+    looked_for = docs.sparkSession.sparkContext.broadcast(np.sort(found[:TABLE]))
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = looked_for.value
+        n = np.zeros(len(table), np.int64)
+        for _, hashes, k in _blocks(batches, size):
+            at = np.minimum(np.searchsorted(table, hashes), len(table) - 1)
+            same = table[at] == hashes
+            n[at[same]] += k[same]
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(n[some], pa.int64())], names=["at", "n"])
+
+    exact = np.zeros(len(looked_for.value), np.int64)
+    if len(exact):
+        for at, n in column.mapInArrow(counts, "at int, n long").groupBy("at").agg(F.sum("n")).collect():
+            exact[at] = n
+    own = exact > documents / DEEP
+    rarest = exact[own].min() if more and own.any() else documents / DEEP
+    return Weights(looked_for.value[own], _idf(exact[own], documents), float(_idf(np.array(rarest), documents)))
+
+
+def vector(words: np.ndarray, size: int, weights: Weights) -> tuple[np.ndarray, np.ndarray]:
     """(sorted shingle hashes, their weights) of one text's words."""
     hashes, counts = np.unique(shingles.shingle_hashes(words, size), return_counts=True)
-    return hashes, counts.astype(np.float32) * weights[_slots(hashes)]
+    return hashes, counts.astype(np.float32) * weights.of(hashes)
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -155,141 +192,151 @@ def _sign(docs: DataFrame, size: int, shared) -> DataFrame:
     return common.map_batches(docs, "key binary, bands array<long>", run)
 
 
-def _vectors(docs: DataFrame, size: int, shared) -> DataFrame:
-    """(key, hashes binary, weights binary) for each text."""
+def _verify(pairs: DataFrame, texts: DataFrame, size: int, shared, threshold: float) -> DataFrame:
+    """(a, b, similarity) of the pairs that reach the threshold. What is exchanged are texts, which are smaller than
+    their vectors; those are made where a pair is compared. a may stand in very many pairs.
+    """
+    two = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("bt")), "b")
+    counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    both = common.spread_join(two, texts.select(F.col("key").alias("a"), F.col("text").alias("at")), "a", counts, "b")
 
     def run(x: dict[str, list]) -> dict[str, list]:
-        hashes, ends = shingles.word_hashes(x["text"])
+        one = {k: t for k, t in zip(x["a"], x["at"], strict=True)}  # of few rows many have the same text
+        names = list(one)
+        hashes, ends = shingles.word_hashes([*one.values(), *x["bt"]])
         each = [vector(hashes[a:b], size, shared.value) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        return {"key": x["key"], "hashes": [h.tobytes() for h, _ in each], "weights": [w.tobytes() for _, w in each]}
-
-    return common.map_batches(docs, "key binary, hashes binary, weights binary", run)
-
-
-def _verify(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity) of the pairs that reach the threshold."""
-    one = vectors.select(F.col("key").alias("a"), F.col("hashes").alias("ah"), F.col("weights").alias("aw"))
-    two = vectors.select(F.col("key").alias("b"), F.col("hashes").alias("bh"), F.col("weights").alias("bw"))
-
-    def run(x: dict[str, list]) -> dict[str, list]:
-        def of(h: bytes, w: bytes) -> tuple[np.ndarray, np.ndarray]:
-            return np.frombuffer(h, np.uint64), np.frombuffer(w, np.float32)
-
-        found = [weighted_jaccard(of(*v[:2]), of(*v[2:])) for v in zip(x["ah"], x["aw"], x["bh"], x["bw"], strict=True)]
+        of = dict(zip(names, each, strict=False))
+        found = [weighted_jaccard(of[k], v) for k, v in zip(x["a"], each[len(names) :], strict=True)]
         keep = [k for k, s in enumerate(found) if s >= threshold]
         return {"a": [x["a"][k] for k in keep], "b": [x["b"][k] for k in keep], "similarity": [found[k] for k in keep]}
 
-    return common.map_batches(pairs.join(two, "b").join(one, "a"), "a binary, b binary, similarity double", run)
+    return common.map_batches(both.select("a", "b", "at", "bt"), "a binary, b binary, similarity double", run)
 
 
-def _close(texts: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+def _close(left: DataFrame, texts: DataFrame, size: int, shared, threshold: float, scratch: common.Scratch) -> DataFrame:
     """(a, b): the pairs of texts (key, class) of different classes whose similarity can reach the threshold.
 
-    A pair over it has at least `threshold` of either's weight in common, so with shingles ordered by rarity its first
-    common one stands within the first 1 - threshold of either's weight; and what follows it in either text has to be
-    threshold / (1 + threshold) of both weights together. Texts meet by shingle and by size, in steps of STEP; a text
-    looks only for sizes that this bound allows at that shingle. Shingles that no other text has are no use.
+    A pair over it has threshold / (1 + threshold) of both weights together in common; so with shingles ordered by
+    rarity, what follows its first common one in either text, with this one, has to weigh as much. Texts meet by that
+    shingle and by size, in steps of STEP; the one of less weight looks for sizes from its own on, as far as the bound
+    lets it at that shingle: where most of it is its own, it looks for none. Shingles that no other text has are no use.
     """
-
-    def run(x: dict[str, list]) -> dict[str, list]:
-        sizes = [len(h) // 8 for h in x["hashes"]]
-        return {
-            "key": [k for k, n in zip(x["key"], sizes, strict=True) for _ in range(n)],
-            "class": [c for c, n in zip(x["class"], sizes, strict=True) for _ in range(n)],
-            "shingle": np.frombuffer(b"".join(x["hashes"]), np.int64),
-            "weight": np.frombuffer(b"".join(x["weights"]), np.float32).astype(np.float64),
-        }
-
-    rows = common.map_batches(vectors.join(texts, "key"), "key binary, class binary, shingle long, weight double", run)
-    rows = common.written(rows)
-    counts = rows.groupBy("shingle").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("key").orderBy("n", "shingle")
-    rows = rows.join(counts, "shingle").select(
-        "key",
-        "class",
-        "shingle",
-        "n",
-        F.sum("weight").over(Window.partitionBy("key")).alias("size"),
-        (F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("weight")).alias("before"),
-    )
-    slack = 1e-6
-    rows = rows.where((F.col("n") > 1) & (F.col("before") <= (1 - threshold + slack) * F.col("size")))
-    rows = common.written(rows.select("key", "class", "shingle", "size", (F.col("size") - F.col("before")).alias("rest")))
-    share = threshold / (1 + threshold) - slack
-
-    def step(size: F.Column) -> F.Column:
-        return F.floor(F.log(size) / math.log(STEP)).cast("int")
-
-    seek = rows.select(
+    left = scratch.write("left", left.join(texts, "key").select(F.monotonically_increasing_id().alias("id"), "key", "class", "text"))
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches):
+            hashes, ends = shingles.word_hashes(batch.column(1).to_pylist())
+            each = [np.unique(shingles.shingle_hashes(hashes[a:b], size)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            ids = np.repeat(batch.column(0).to_numpy(), [len(h) for h in each])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate([np.empty(0, np.uint64), *each]).view(np.int64))], names=["id", "shingle"])
+
+    rows = scratch.write("rows", left.select("id", "text").mapInArrow(named, "id long, shingle long"))
+    counts = scratch.write("counts", rows.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") > 1))
+    common_ = common.spread_join(rows, counts, "shingle", counts, "id").groupBy("id").agg(F.collect_list(F.struct("shingle", "n")).alias("known"))
+    kinds = pa.schema([("key", pa.binary()), ("class", pa.binary()), ("shingle", pa.int64()), ("size", pa.float64()), ("rest", pa.float64())])
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches):
+            key, of, text, known = (batch.column(k).to_pylist() for k in range(4))
+            hashes, ends = shingles.word_hashes(text)
+            for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                h, w = vector(hashes[a:b], size, shared.value)
+                w, n = w.astype(np.float64), np.ones(len(h), np.int64)
+                n[np.searchsorted(h, np.array([x["shingle"] for x in known[k]], np.int64).view(np.uint64))] = [x["n"] for x in known[k]]
+                order = np.lexsort((h, n))
+                before = np.cumsum(w[order]) - w[order]
+                total = w.sum()
+                use = np.flatnonzero((n[order] > 1) & (before <= (1 - threshold + 1e-6) * total))
+                columns = [[key[k]] * len(use), [of[k]] * len(use), h[order][use].view(np.int64), np.full(len(use), total), total - before[use]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, kinds, strict=True)], schema=kinds)
+
+    each = left.join(common_, "id").select("key", "class", "text", "known")
+    stand = scratch.write("prefixes", each.mapInArrow(prefixes, "key binary, class binary, shingle long, size double, rest double"))
+    scratch.drop("rows", "counts", "left")
+    share = threshold / (1 + threshold) - 1e-6
+
+    def step(weight: F.Column) -> F.Column:
+        return F.floor(F.log(weight) / math.log(STEP)).cast("int")
+
+    most = F.least(F.col("size") / (threshold - 1e-6), F.col("rest") / share - F.col("size")) * (1 + 1e-9)
+    seek = stand.where(most >= F.col("size")).select(
         F.col("key").alias("a"),
         F.col("class").alias("ca"),
         "shingle",
         F.col("size").alias("sa"),
         F.col("rest").alias("ra"),
-        F.explode(F.sequence(step(F.col("size") * (threshold - slack)), step(F.col("size") / (threshold - slack)))).alias("step"),
-    ).where(F.col("ra") >= share * (F.col("sa") + F.pow(F.lit(STEP), F.col("step"))))
-    stand = rows.select(F.col("key").alias("b"), F.col("class").alias("cb"), "shingle", F.col("size").alias("sb"), F.col("rest").alias("rb"), step(F.col("size")).alias("step"))
+        F.explode(F.sequence(step(F.col("size")), step(most))).alias("step"),
+    )
+    stand = stand.select(F.col("key").alias("b"), F.col("class").alias("cb"), "shingle", F.col("size").alias("sb"), F.col("rest").alias("rb"), step(F.col("size")).alias("step"))
     least = share * (F.col("sa") + F.col("sb"))
-    found = seek.join(stand, ["shingle", "step"]).where((F.col("ca") != F.col("cb")) & (F.col("ra") >= least) & (F.col("rb") >= least))
+    larger = (F.col("sa") < F.col("sb")) | ((F.col("sa") == F.col("sb")) & (F.col("a") < F.col("b")))
+    found = seek.join(stand, ["shingle", "step"]).where(larger & (F.col("ca") != F.col("cb")) & (F.col("ra") >= least) & (F.col("rb") >= least))
     return found.select("a", "b")
 
 
-def classes(docs: DataFrame, size: int = WORDS, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+def text_key(text_col: str) -> F.Column:
+    return F.substring(common.text_key(text_col), 1, 16)
+
+
+def classes(
+    docs: DataFrame, size: int = WORDS, threshold: float = THRESHOLD, text_col: str = "text", scratch: common.Scratch | None = None
+) -> DataFrame:
     """(key, class, links) for each distinct text that is linked to another: class is the least key of its component,
-    links the number of verified links found at it. Texts are named by common.text_key.
+    links the number of verified links found at it. Texts are named by text_key.
     """
     spark = docs.sparkSession
-    common.small_batches(spark)
-    texts = docs.select(F.substring(common.text_key(text_col), 1, 16).alias("key"), F.col(text_col).alias("text"))
-    weights = slot_weights(*document_frequencies(texts, size, "text"))
-    shared = spark.sparkContext.broadcast(weights)
-
-    signed = _sign(texts, size, shared).groupBy("key").agg(F.first("bands").alias("bands"))
-    placed = common.written(signed.select("key", F.explode("bands").alias("band")))
-    sizes = placed.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    members = common.written(placed.join(sizes, "band"))
+    scratch = scratch or common.Scratch(spark)
+    texts = docs.select(text_key(text_col).alias("key"), F.col(text_col).alias("text"))
+    shared = spark.sparkContext.broadcast(document_frequencies(texts, size))
+
+    # Of the texts only keys and bands are kept; a text stands in as many rows as it has bands only once it shares one.
+    signed = scratch.write("signed", _sign(texts.groupBy("key").agg(F.first("text").alias("text")), size, shared))
+    sizes = signed.select(F.explode("bands").alias("band")).groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    sizes = scratch.write("sizes", sizes)
+    placed = signed.select("key", F.explode("bands").alias("band"))
+    members = scratch.write("members", common.spread_join(placed, sizes, "band", sizes, "key"))
     # How many texts a text shares its bands with: the text that most others are copies of comes first.
     weight = members.groupBy("key").agg(F.sum(F.col("n") - 1).alias("weight"))
-    weight = common.written(weight.select("key", F.struct(-F.col("weight"), "key").alias("rank")))
-    members = common.written(members.join(weight, "key").select("band", "key", "rank"))
-
-    distinct = texts.groupBy("key").agg(F.first("text").alias("text"))
-    vectors = common.written(_vectors(distinct.join(weight.select("key"), "key", "left_semi"), size, shared))
+    weight = scratch.write("weight", weight.select("key", F.struct(-F.col("weight"), "key").alias("rank")))
+    members = scratch.write("ranked", members.join(weight, "key").select("band", "key", "rank"))
+    of_band = scratch.write("of_band", members.groupBy("band").agg(F.count("*").alias("n")))
+    scratch.drop("signed", "sizes", "members")
+
+    # The texts of these, once each, for the comparisons.
+    some = texts.join(weight.select("key"), "key", "left_semi")
+    texts = scratch.write("texts", some.groupBy("key").agg(F.first("text").alias("text")))
     empty = spark.createDataFrame([], "a binary, b binary, similarity double")
     links, tested, of = empty, empty.select("a", "b"), None
 
-    def classed() -> DataFrame:
-        if of is None:
-            return members.withColumn("class", F.col("key"))
-        return members.join(of, members["key"] == of["node"], "left").select(
-            members["*"], F.coalesce("component", "key").alias("class")
-        )
-
     for turn in range(3):
-        now = classed()
+        now = members.withColumn("class", F.col("key"))
+        if of is not None:
+            now = members.join(of.select(F.col("node").alias("key"), "component"), "key", "left")
+            now = now.select("band", "key", "rank", F.coalesce("component", "key").alias("class"))
         spread = now.groupBy("band").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.min(F.struct("rank", "key", "class")).alias("head"))
-        open_ = spread.where(F.col("x") != F.col("y")).select("band", "head")
+        open_ = scratch.write("open", spread.where(F.col("x") != F.col("y")).select("band", "head"))
         if turn < 2:
-            pairs = now.join(open_, "band").where(F.col("class") != F.col("head.class"))
+            pairs = common.spread_join(now, open_, "band", of_band, "key").where(F.col("class") != F.col("head.class"))
             if turn == 0:
                 pairs = pairs.groupBy("key").agg(F.min("head").alias("head"))
             pairs = pairs.select(F.col("head.key").alias("a"), F.col("key").alias("b"))
         else:
-            left = now.join(open_.select("band"), "band", "left_semi")
-            pairs = _close(common.written(left.select("key", "class").distinct()), vectors, threshold)
+            left = common.spread_join(now, open_.select("band"), "band", of_band, "key").select("key", "class").distinct()
+            pairs = _close(left, texts, size, shared, threshold, scratch)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = common.written(pairs.join(tested, ["a", "b"], "left_anti"))
+        pairs = scratch.write(f"pairs{turn}", pairs.join(tested, ["a", "b"], "left_anti"))
+        scratch.drop("open", "prefixes")
         if pairs.isEmpty():
-            if turn < 2:
-                continue
-            break
-        found = common.written(_verify(pairs, vectors, threshold))
+            continue
+        found = scratch.write(f"links{turn}", _verify(pairs, texts, size, shared, threshold))
         links, tested = links.unionByName(found), tested.unionByName(pairs)
-        of = common.written(connected_components(links))
-    ends = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("links"))
+        of = connected_components(links, scratch=scratch)
     if of is None:
         return spark.createDataFrame([], "key binary, class binary, links long")
-    return of.select(F.col("node").alias("key"), F.col("component").alias("class")).join(ends, "key")
+    ends = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("links"))
+    out = scratch.write("classes", of.select(F.col("node").alias("key"), F.col("component").alias("class")).join(ends, "key"))
+    scratch.drop(*[name for name in scratch.paths if name != "classes"])
+    return out
 
 
 def cluster(
@@ -302,34 +349,42 @@ def cluster(
     words only with their equals; a null text counts as empty. Repeated rows give a row each, null ids a row with
     whatever id their class has; an empty table gives none. Other columns are left out.
     """
-    of = common.written(classes(docs, size, threshold, text_col))
-    rows = docs.select(F.col(id_col).alias("id"), F.substring(common.text_key(text_col), 1, 16).alias("key"))
+    scratch = common.Scratch(docs.sparkSession)
+    of = classes(docs, size, threshold, text_col, scratch)
+    rows = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("key"))
     by_text = rows.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n"))
-    by_text = common.written(by_text.join(of, "key", "left").withColumn("class", F.coalesce("class", "key")))
+    by_text = scratch.write("by_text", by_text.join(of, "key", "left").withColumn("class", F.coalesce("class", "key")))
     by_class = by_text.groupBy("class").agg(
         F.min("least").alias("class_id"), F.sum("n").alias("class_rows"), F.count("*").alias("class_texts")
     )
-    named = by_text.join(by_class, "class").select("key", "class_id", "class_rows", "class_texts", F.coalesce("links", F.lit(0)).alias("links"))
-    return rows.join(named, "key").select("id", "class_id", "class_rows", "class_texts", "links")
+    by_class = scratch.write("by_class", by_class)
+    named = common.spread_join(by_text.drop("n"), by_class, "class", by_class.select("class", F.col("class_texts").alias("n")), "key")
+    named = named.select("key", "class_id", "class_rows", "class_texts", F.coalesce("links", F.lit(0)).alias("links"))
+    named = scratch.write("named", named)
+    scratch.drop("classes", "by_class")
+    out = common.spread_join(rows, named, "key", by_text.select("key", "n"), "id")
+    return out.select("id", "class_id", "class_rows", "class_texts", "links")
 
 
 def deduplicate(
     docs: DataFrame, size: int = WORDS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """One row of docs for each class, with all its columns: that of the least id (null ids last; of equal ids any)."""
-    of = common.written(classes(docs, size, threshold, text_col))
-    name = "_neardup_key"
-    keyed = docs.withColumn(name, F.substring(common.text_key(text_col), 1, 16))
-    by_text = keyed.groupBy(name).agg(F.min(id_col).alias("_neardup_id"))
-    by_text = common.written(
-        by_text.join(of.select(F.col("key").alias(name), F.col("class").alias("_neardup_class")), name, "left").withColumn(
-            "_neardup_class", F.coalesce("_neardup_class", name)
-        )
-    )
-    # The text of each class with the least id, and that id.
-    first = by_text.groupBy("_neardup_class").agg(F.min(F.struct(F.col("_neardup_id").isNull(), "_neardup_id", name)).alias("m"))
-    first = common.written(first.select(F.col(f"m.{name}").alias(name), F.col("m._neardup_id").alias("_neardup_id")))
-    kept = keyed.join(first, name).where(F.col(id_col).eqNullSafe(F.col("_neardup_id")))
-    if kept.select(name).count() > first.count():  # rows of equal texts and ids
-        kept = kept.dropDuplicates([name])
-    return kept.select(*docs.columns)
+    """One row of docs for each class, with all its columns: that of the least id (null ids last; of equal ids any).
+
+    Null and empty texts are one class, texts without words one with their equals; repeated rows leave one; an empty
+    table stays empty; columns of any name stay.
+    """
+    scratch = common.Scratch(docs.sparkSession)
+    of = classes(docs, size, threshold, text_col, scratch)
+    keyed = docs.select(common.as_rows(docs).alias("row"), text_key(text_col).alias("key"), F.col(id_col).alias("id"))
+    by_text = keyed.groupBy("key").agg(F.min("id").alias("id"))
+    by_text = by_text.join(of.select("key", "class"), "key", "left").withColumn("class", F.coalesce("class", "key"))
+    # The text of each class with the least id, and that id. Rows meet it by both, so that copies of a text do not
+    # come together.
+    first = by_text.groupBy("class").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("m"))
+    first = scratch.write("first", first.select(F.col("m.key").alias("key"), F.col("m.id").alias("id")))
+    scratch.drop("classes")
+    kept = keyed.alias("k").join(first.alias("f"), (F.col("k.key") == F.col("f.key")) & F.col("k.id").eqNullSafe(F.col("f.id")), "left_semi")
+    if kept.count() > first.count():  # rows of equal texts and ids
+        kept = kept.dropDuplicates(["key"])
+    return kept.select("row.*")

@@ -208,7 +208,6 @@ def _fit_classifier(patterns: np.ndarray, labels: np.ndarray, counts: np.ndarray
 
 def train(docs: DataFrame, text_col: str = "text") -> Model:
     """Votes on the base spans and candidates of all of docs; without any, a model that accepts none."""
-    common.small_batches(docs.sparkSession)
 
     def run(x: dict[str, list]) -> dict[str, list]:
         counts: dict[tuple[int, ...], int] = {}
@@ -248,7 +247,6 @@ def find(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     Offsets are characters (code points), end exclusive; base is in report order, added by start. A null text counts as
     empty. Repeated rows and null ids give a row each, an empty table none; other columns are left out.
     """
-    common.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(x: dict[str, list]) -> dict[str, list]:
@@ -279,7 +277,6 @@ def redact_text(text: str | None, model: Model) -> str | None:
 
 def redact(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with the spans of text_col replaced by their kinds; all columns and rows stay, null texts stay null."""
-    common.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(common.ddl(docs, c) for c in docs.columns)
     return common.map_batches(docs, schema, lambda x: x | {text_col: [redact_text(t, shared.value) for t in x[text_col]]})

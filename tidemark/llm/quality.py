@@ -158,7 +158,6 @@ class Model:
 
 def train(docs: DataFrame, text_col: str = "text") -> Model:
     """Votes on all of docs give the labellers' accuracies; the scorer learns posteriors of the bounded sample."""
-    common.small_batches(docs.sparkSession)
     rows = docs.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     voted = common.map_batches(rows, "votes array<int>", lambda x: {"votes": [votes_of(t) for t in x["text"]]})
     patterns = voted.groupBy("votes").agg(F.count("*").alias("n")).collect()
@@ -179,7 +178,6 @@ def judge(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     A null or empty text has only the scorer's bias and no votes. Repeated rows and null ids give a row each, an empty
     table none; other columns are left out.
     """
-    common.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(x: dict[str, list]) -> dict[str, list]:
@@ -200,7 +198,6 @@ def judge(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, whose score reaches KEEP."""
-    common.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

@@ -107,6 +107,20 @@ def keys_of(piece: bytes, at: int, n: int) -> list[bytes]:
     return [head + bytes([at - k]) + piece[after : k + SPAN] + before[: at - k] for k in range(n)]
 
 
+#: Length of a piece's key.
+PIECE = SPAN - 1 + WINDOW + 2
+#: In a piece's key, beside how far before the anchor it starts: the anchor's pieces are dealt out to several tasks.
+DEALT = 128
+
+
+def piece_key(piece: bytes, at: int, n: int, dealt: bool) -> bytes:
+    """Sort key of a whole piece, the bytes of the n strings about the anchor at `at`; filled up to one length. Two are
+    equal exactly if the pieces are.
+    """
+    head = piece[at : at + GRAM] + bytes([at + DEALT * dealt, n])
+    return (head + piece[at + GRAM :] + piece[:at][::-1]).ljust(PIECE, b"\0")
+
+
 def common_prefix(a: bytes, b: bytes, known: int) -> int:
     """Length of the common prefix of equally long strings of which `known` bytes are known to agree."""
     x, y = a[known:], b[known:]
@@ -117,9 +131,9 @@ def common_prefix(a: bytes, b: bytes, known: int) -> int:
 
 
 def front_code(ordered: list[bytes]) -> tuple[np.ndarray, bytes]:
-    """(common prefix of each string with the one before it, the rests joined). Strings are KEY long, sorted, distinct."""
-    rows = np.frombuffer(b"".join(ordered), np.uint8).reshape(-1, KEY)
-    shared = np.zeros(len(ordered), np.uint8)
+    """(common prefix of each string with the one before it, the rests joined). Strings are of one length, sorted, distinct."""
+    rows = np.frombuffer(b"".join(ordered), np.uint8).reshape(-1, len(ordered[0]))
+    shared = np.zeros(len(ordered), np.uint16)
     for a in range(1, len(rows), 8192):
         b = min(a + 8192, len(rows))
         shared[a:b] = (rows[a:b] != rows[a - 1 : b - 1]).argmax(axis=1)
@@ -128,11 +142,15 @@ def front_code(ordered: list[bytes]) -> tuple[np.ndarray, bytes]:
 
 @dataclass
 class Run:
-    """Distinct sorted keys, front-coded; counts: occurrences of each; ids and places: of all occurrences, in order."""
+    """Distinct sorted keys of one length, front-coded; counts: entries of each; weights: how many occurrences these stand
+    for; ids and places: of all entries, in order.
+    """
 
+    width: int
     shared: np.ndarray
     rests: bytes
     counts: np.ndarray
+    weights: np.ndarray
     ids: np.ndarray
     places: np.ndarray
 
@@ -140,7 +158,7 @@ class Run:
         """(common prefix with the string before, string), in order."""
         last, at, rests = b"", 0, self.rests
         for k in self.shared.tolist():
-            to = at + KEY - k
+            to = at + self.width - k
             last = last[:k] + rests[at:to]
             at = to
             yield k, last
@@ -150,51 +168,50 @@ class Run:
 
         ids, of = np.unique(self.ids, return_inverse=True)
         parts = [
-            self.shared.tobytes(),
+            self.shared.astype("<u2").tobytes(),
             self.rests,
             self.counts.astype("<u4").tobytes(),
+            self.weights.astype("<i8").tobytes(),
             ids.astype("<i8").tobytes(),
             of.astype("<u4").tobytes(),
             self.places.astype("<u4").tobytes(),
         ]
-        return struct.pack("<6q", *map(len, parts)) + zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+        return struct.pack("<8q", self.width, *map(len, parts)) + zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
     @staticmethod
     def unpack(data: bytes) -> Run:
         import zstandard
 
-        sizes = struct.unpack("<6q", data[:48])
-        body = zstandard.ZstdDecompressor().decompress(data[48:], max_output_size=max(1, sum(sizes)))
+        width, *sizes = struct.unpack("<8q", data[:64])
+        body = zstandard.ZstdDecompressor().decompress(data[64:], max_output_size=max(1, sum(sizes)))
         parts, at = [], 0
         for size in sizes:
             parts.append(body[at : at + size])
             at += size
-        ids = np.frombuffer(parts[3], "<i8")
-        return Run(
-            np.frombuffer(parts[0], np.uint8), parts[1], np.frombuffer(parts[2], "<u4"), ids[np.frombuffer(parts[4], "<u4")], np.frombuffer(parts[5], "<u4")
-        )
+        shared, counts, of, places = np.frombuffer(parts[0], "<u2"), np.frombuffer(parts[2], "<u4"), np.frombuffer(parts[5], "<u4"), np.frombuffer(parts[6], "<u4")
+        return Run(width, shared, parts[1], counts, np.frombuffer(parts[3], "<i8"), np.frombuffer(parts[4], "<i8")[of], places)
 
 
-def make_run(keys: list[bytes], ids: np.ndarray, places: np.ndarray) -> Run:
-    """Sorts keys; ids and places belong to them."""
+def make_run(keys: list[bytes], ids: np.ndarray, places: np.ndarray, weights: np.ndarray | None = None) -> Run:
+    """Sorts keys; ids, places and weights (else 1) belong to them."""
     order = sorted(range(len(keys)), key=keys.__getitem__)
     distinct: list[bytes] = []
-    counts: list[int] = []
+    starts: list[int] = []
     last = None
-    for k in order:
-        if keys[k] == last:
-            counts[-1] += 1
-        else:
+    for n, k in enumerate(order):
+        if keys[k] != last:
             last = keys[k]
             distinct.append(last)
-            counts.append(1)
+            starts.append(n)
     shared, rests = front_code(distinct)
     at = np.array(order, np.int64)
-    return Run(shared, rests, np.array(counts, np.uint32), ids[at], places[at])
+    weight = np.ones(len(keys), np.int64) if weights is None else np.asarray(weights, np.int64)[at]
+    counts = np.diff(np.append(starts, len(order))).astype(np.uint32)
+    return Run(len(keys[0]), shared, rests, counts, np.add.reduceat(weight, starts), ids[at], places[at])
 
 
-def merge(runs: list[Run]) -> Iterator[tuple[int, int]]:
-    """(run, common prefix with the key before) for all keys of all runs in order, by a loser tree.
+def merge(runs: list[Run]) -> Iterator[tuple[int, int, bytes]]:
+    """(run, common prefix with the key before, key) for all keys of all runs in order, by a loser tree.
 
     Each node keeps the loser of its match and that loser's common prefix with the winner, which is the key given out
     last. Of two keys the one that shares more with that key comes first; only if both share equally much are they
@@ -234,7 +251,7 @@ def merge(runs: list[Run]) -> Iterator[tuple[int, int]]:
 
     winner, share = build(1)
     while share >= 0:
-        yield winner, share
+        yield winner, share, now[winner]
         found = next(sources[winner], None)
         if found is None:
             share, mine = -1, None
@@ -257,16 +274,73 @@ def merge(runs: list[Run]) -> Iterator[tuple[int, int]]:
 
 
 def repeated(runs: list[Run]) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, places) of all occurrences of the keys that occur more than once in the runs together."""
-    marks = [(r.counts > 1).tolist() for r in runs]
+    """(ids, places) of all entries of the keys that occur more than once in the runs together."""
+    marks = [(r.weights > 1).tolist() for r in runs]
     at = [-1] * len(runs)
     last = -1
-    for run, share in merge(runs):
+    for run, share, key in merge(runs):
         at[run] += 1
-        if share == KEY:
+        if share == len(key):
             marks[run][at[run]] = True
             marks[last][at[last]] = True
         last = run
     picked = [np.repeat(np.array(m, bool), r.counts) for m, r in zip(marks, runs, strict=True)]
     ids = np.concatenate([np.empty(0, np.int64), *(r.ids[p] for r, p in zip(runs, picked, strict=True))])
     return ids, np.concatenate([np.empty(0, np.int64), *(r.places[p] for r, p in zip(runs, picked, strict=True))]).astype(np.int64)
+
+
+@dataclass
+class Pieces:
+    """By entry of merged runs of pieces: id, lo, n (its strings start at lo .. lo + n - 1), before (how far before the
+    anchor it starts), kind (REPEATED, its FIRST entry, or ALONE) and a hash of the anchor's run of bytes.
+    """
+
+    ids: np.ndarray
+    lo: np.ndarray
+    n: np.ndarray
+    before: np.ndarray
+    kind: np.ndarray
+    gram: np.ndarray
+
+
+REPEATED, FIRST, ALONE = 0, 1, 2
+
+
+def sorted_out(runs: list[Run]) -> Pieces:
+    """Which pieces occur more than once in the runs together. Where no piece of an anchor stands alone, and all of them
+    are here, none is marked FIRST, since nothing is left to look for.
+    """
+    kinds = [np.zeros(len(r.counts), np.uint8) for r in runs]
+    heads = [np.zeros((len(r.counts), 2), np.uint8) for r in runs]
+    grams = [np.zeros(len(r.counts), np.int64) for r in runs]
+    at = [-1] * len(runs)
+    group: list[tuple[int, int, bool]] = []  # (run, key's number there, alone) of the different keys of an anchor
+    gram, dealt = 0, False
+
+    def close() -> None:
+        some = dealt or any(alone for _, _, alone in group)
+        for run, k, alone in group:
+            kinds[run][k] = ALONE if alone else FIRST if some else REPEATED
+        group.clear()
+
+    for run, share, key in merge(runs):
+        at[run] += 1
+        if share < GRAM:
+            close()
+            gram, dealt = int.from_bytes(hashlib.blake2b(key[:GRAM], digest_size=8).digest(), "little", signed=True), key[GRAM] >= DEALT
+        heads[run][at[run]] = key[GRAM] & (DEALT - 1), key[GRAM + 1]
+        grams[run][at[run]] = gram
+        if share == len(key):
+            group[-1] = (*group[-1][:2], False)
+        else:
+            group.append((run, at[run], runs[run].weights[at[run]] == 1))
+    close()
+
+    def entries(of: list[np.ndarray]) -> np.ndarray:
+        return np.concatenate([np.repeat(x, r.counts) for x, r in zip(of, runs, strict=True)])
+
+    kind = entries(kinds)
+    firsts = np.concatenate([np.isin(np.arange(len(r.ids)), np.cumsum(r.counts) - r.counts) for r in runs])
+    kind[(kind == FIRST) & ~firsts] = REPEATED  # one entry is enough
+    ids, lo = np.concatenate([r.ids for r in runs]), np.concatenate([r.places for r in runs]).astype(np.int64)
+    return Pieces(ids, lo, entries([h[:, 1] for h in heads]).astype(np.int64), entries([h[:, 0] for h in heads]).astype(np.int64), kind, entries(grams))
