@@ -9,6 +9,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import bpe, common, components, decontam, neardup, pii, quality, queries, repeats, suffixes, urls
@@ -66,9 +67,10 @@ def test_aliases_share_decisions(spark):
 def test_links_of_html(spark):
     page = "http://h.com/a/b?c#d"
     html = """<LINK REL=canonical href='/z?x=1&amp;y=2'><link rel="stylesheet" href="s"><meta http-equiv="Refresh" content="0; URL=q.html">
-      <link rel="alternate canonical" href="//o.org/"><meta name=refresh content="url=no">"""
+      <link rel="alternate canonical" href="//o.org/"><meta name=refresh content="url=no">
+      <link rel="canonical" data-href="/wrong" href="/right"><link rel=canonical title="a > b href='/no'" href='/yes' href='/second'>"""
     got = urls.html_links(spark.createDataFrame([(page, html), (None, html), (page, None), (page, "")], "url string, html string"))
-    assert sorted(r.target for r in got.collect()) == ["http://h.com/a/q.html", "http://h.com/z?x=1&y=2", "http://o.org/"]
+    assert sorted(r.target for r in got.collect()) == ["http://h.com/a/q.html", "http://h.com/right", "http://h.com/yes", "http://h.com/z?x=1&y=2", "http://o.org/"]
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -248,6 +250,20 @@ def test_decontamination_of_odd_texts(odd, none, spark):
     assert len(got) == N_ODD and sum(r.hits is not None for r in got) == 3
     assert decontam.remove(odd, items).columns == odd.columns and decontam.remove(odd, items).count() == N_ODD - 3
     assert decontam.remove(none, items).collect() == []
+    named = odd.withColumn("_decontam_key", F.lit("mine")).withColumn("row", F.lit(7))
+    assert {(r["_decontam_key"], r.row) for r in decontam.remove(named, items).collect()} == {("mine", 7)}
+
+
+def test_hot_keys_are_dealt_out_whole(spark):
+    """A join dealt out by hash gives the plain join's rows, of all kinds of joins."""
+    rows = spark.range(9000).select("id", F.when(F.col("id") % 3 > 0, F.lit("hot")).when(F.col("id") % 7 > 0, F.col("id").cast("string")).alias("k"))
+    side = spark.createDataFrame([("hot", 1), ("hot", 2), ("3", 4), ("none", 5)], "k string, v int")
+    counts = rows.groupBy("k").agg(F.count("*").alias("n"))
+    for how in ("inner", "left", "left_anti", "left_semi"):
+        got = common.spread_join(rows, side, "k", counts, "id", how)
+        wanted = rows.join(side, "k", how)
+        assert got.columns == wanted.columns
+        assert sorted(got.collect(), key=str) == sorted(wanted.collect(), key=str)
 
 
 # Repeats -------------------------------------------------------------------------------------------------------------

@@ -74,25 +74,13 @@ def probes_of(windows: DataFrame, docs_words: DataFrame) -> DataFrame:
     return rated.groupBy("window").agg(F.min("rare").alias("rare")).select("rare.word", F.col("rare.at").alias("offset"), "window")
 
 
-def find(
-    docs: DataFrame,
-    items: DataFrame,
-    size: int = SIZE,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    item_id_col: str = "item_id",
-    item_text_col: str = "text",
-) -> DataFrame:
-    """(id, key, n_words, hits array<struct<start,length>>, items array<string>) for each row of docs.
-
-    hits: the word ranges (from 1) that equal a window; items: the ids, as strings and sorted, of the items of those
-    windows. Null and empty texts have no words and no hits; items without words are never found; without items there
-    are no hits. Equal texts share their hits; repeated rows and null ids give a row each; an empty table gives none.
-    Other columns are left out.
+def _search(rows: DataFrame, items: DataFrame, size: int, item_id_col: str, item_text_col: str, scratch: common.Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, found, copies) of rows (id, text): rows with key and n_words; (key, hits, items) of the texts with hits;
+    (key, n) how many rows have a text.
     """
-    split = docs.select(F.col(id_col).alias("id"), common.text_key(text_col).alias("key"), words(F.col(text_col)).alias("words"))
-    windows = common.checkpointed(windows_of(items, size, item_id_col, item_text_col))
-    probes = common.checkpointed(probes_of(windows, split.select("words")))
+    split = rows.select("id", common.text_key("text").alias("key"), words(F.col("text")).alias("words"))
+    windows = scratch.write("windows", windows_of(items, size, item_id_col, item_text_col))
+    probes = scratch.write("probes", probes_of(windows, split.select("words")))
     marks = slot_map(probes, "word")
     w = F.col("words")
     places = F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: marked(marks, F.get(w, i - 1)))
@@ -105,12 +93,13 @@ def find(
             F.slice(w, F.greatest(i - (size - 1), F.lit(1)), F.lit(2 * size - 1)).alias("near"),
         ),
     )
-    rows = common.checkpointed(
-        split.select("id", "key", F.size(w).cast("long").alias("n_words"), F.when(F.size(w) > 0, around).alias("places"))
-    )
+    each = scratch.write("places", split.select("id", "key", F.size(w).cast("long").alias("n_words"), F.when(F.size(w) > 0, around).alias("places")))
+    copies = scratch.write("copies", each.groupBy("key").agg(F.count("*").alias("n")))
     start, length = F.col("at") - F.col("offset"), F.size("window")
     hits = (
-        rows.where(F.size("places") > 0)
+        each.where(F.size("places") > 0)
+        .groupBy("key")
+        .agg(F.first("places").alias("places"))
         .select("key", F.explode("places").alias("p"))
         .select("key", "p.*")
         .join(probes, "word")
@@ -118,16 +107,38 @@ def find(
         .where(F.slice("near", start - F.col("low") + 1, length) == F.col("window"))
         .select("key", start.alias("start"), length.alias("length"), "window")
     )
-    named = windows.groupBy("window").agg(F.collect_set("item").alias("items"))
-    found = (
-        hits.join(named, "window")
-        .groupBy("key")
-        .agg(
-            F.collect_set(F.struct("start", "length")).alias("hits"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-        )
+    hits = scratch.write("hits", hits)
+    named = scratch.write("named", windows.groupBy("window").agg(F.collect_set("item").alias("items")))
+    known = common.spread_join(hits, named, "window", hits.groupBy("window").agg(F.count("*").alias("n")), "key")
+    found = known.groupBy("key").agg(
+        F.collect_set(F.struct("start", "length")).alias("hits"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
-    return rows.drop("places").join(found, "key", "left").select("id", "key", "n_words", "hits", "items")
+    found = scratch.write("found", found)
+    scratch.drop("windows", "probes", "hits", "named")
+    return each.drop("places"), found, copies
+
+
+def find(
+    docs: DataFrame,
+    items: DataFrame,
+    size: int = SIZE,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_id_col: str = "item_id",
+    item_text_col: str = "text",
+) -> DataFrame:
+    """(id, key, n_words, hits array<struct<start,length>>, items array<string>) for each row of docs.
+
+    hits: the word ranges (from 1) that equal a window; items: the ids, as strings and sorted, of the items of those
+    windows. Null and empty texts have no words and no hits; items without words are never found; without items there
+    are no hits. Equal texts share their hits; repeated rows and null ids give a row each; an empty table gives none.
+    Other columns are left out, whatever their names.
+    """
+    scratch = common.Scratch(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    each, found, copies = _search(rows, items, size, item_id_col, item_text_col, scratch)
+    return common.spread_join(each, found, "key", copies, "id", "left").select("id", "key", "n_words", "hits", "items")
 
 
 def hit_words(hits: Column) -> Column:
@@ -171,9 +182,14 @@ def remove(
     item_id_col: str = "item_id",
     item_text_col: str = "text",
 ) -> DataFrame:
-    """The rows of docs, with all their columns, whose text holds no window of any item."""
-    one = docs.select(F.lit(0).alias("row"), F.col(text_col).alias("text"))
-    found = find(one, items, size, "row", "text", item_id_col, item_text_col)
-    hit = found.where(F.col("hits").isNotNull()).select(F.col("key").alias("_decontam_key")).distinct()
-    keyed = docs.withColumn("_decontam_key", common.text_key(text_col))
-    return keyed.join(hit, "_decontam_key", "left_anti").select(*docs.columns)
+    """The rows of docs, with all their columns, whose text holds no window of any item.
+
+    Null and empty texts, and all texts if there are no items, stay; repeated rows stay or go together; an empty table
+    stays empty; columns of any name stay.
+    """
+    scratch = common.Scratch(docs.sparkSession)
+    kept = docs.select(common.as_rows(docs).alias("row"), common.text_key(text_col).alias("key"))
+    one = docs.select(F.lit(0).alias("id"), F.col(text_col).alias("text"))
+    _, found, copies = _search(one, items, size, item_id_col, item_text_col, scratch)
+    scratch.drop("places")
+    return common.spread_join(kept, found.select("key"), "key", copies, "row", "left_anti").select("row.*")

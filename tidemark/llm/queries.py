@@ -176,13 +176,17 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = r"""
 WITH RECURSIVE
 p AS (SELECT page_id, url, html FROM pages),
-tag AS (SELECT url AS source, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b[^>]*>')) AS tag FROM p),
+tag AS (SELECT url AS source, regexp_replace(unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b(?:"[^"]*"|''[^'']*''|[^"''>])*>')), '^<\w+', '') AS tag FROM p),
+att AS (
+  SELECT source, list_transform(regexp_extract_all(tag, pat, 1), lambda x: lower(x)) AS k,
+         list_transform(list_zip(regexp_extract_all(tag, pat, 2), regexp_extract_all(tag, pat, 3), regexp_extract_all(tag, pat, 4)), lambda x: x[1] || x[2] || x[3]) AS v
+  FROM tag, (SELECT '([^\s"''>/=]+)(?:\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+)))?' AS pat)),
+val AS (SELECT source, coalesce(v[list_position(k, 'rel')], '') AS rel, coalesce(v[list_position(k, 'href')], '') AS href,
+               coalesce(v[list_position(k, 'http-equiv')], '') AS equiv, coalesce(v[list_position(k, 'content')], '') AS content FROM att),
 lnk AS (
   SELECT source, replace(trim(CASE
-    WHEN regexp_matches(tag, '(?i)\brel\s*=\s*["'']?([^"''>]*\s)?canonical\b')
-      THEN regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]*)', 1)
-    WHEN regexp_matches(tag, '(?i)\bhttp-equiv\s*=\s*["'']?refresh\b')
-      THEN regexp_extract(tag, '(?i)url\s*=\s*[''"]?([^''"\s]+)', 1) END), '&amp;', '&') AS target FROM tag),
+    WHEN list_contains(regexp_split_to_array(lower(rel), '\s+'), 'canonical') THEN href
+    WHEN lower(equiv) = 'refresh' THEN regexp_extract(content, '(?i)url\s*=\s*[''"]?([^''"\s]+)', 1) END), '&amp;', '&') AS target FROM val),
 urls AS (
   SELECT source, CASE WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN target
     WHEN starts_with(target, '//') THEN 'http:' || target

@@ -67,14 +67,24 @@ def resolve(page: Column, target: Column) -> Column:
     )
 
 
+#: A quoted value, in either kind of quotes.
+_QUOTED = "\"[^\"]*\"|'[^']*'"
+
+
 def html_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(source, target) URLs: canonical links and refresh redirects in the pages' HTML. Null HTML or URL gives none."""
-    tags = F.regexp_extract_all(F.col("html"), F.lit(r"(?i)<(?:link|meta)\b[^>]*>"), F.lit(0))
+    tags = F.regexp_extract_all(F.col("html"), F.lit(rf"(?i)<(?:link|meta)\b(?:{_QUOTED}|[^\"'>])*>"), F.lit(0))
     each = pages.select(F.col(url_col).alias("source"), F.col(html_col).alias("html")).select("source", F.explode(tags).alias("tag"))
-    value = r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    inside = F.regexp_replace("tag", r"^<\w+", "")
+    # Names, and values with what quotes them; a quoted value is passed over whole, so that no name is looked for in it.
+    pattern = F.lit(rf"([^\s\"'>/=]+)(?:\s*=\s*(?:{_QUOTED.replace('[^', '([^').replace(']*', ']*)')}|([^\s\"'>]+)))?")
+    names, *values = (F.regexp_extract_all(inside, pattern, F.lit(k)) for k in range(1, 5))
+    values = F.transform(F.arrays_zip(*[v.alias(f"v{k}") for k, v in enumerate(values)]), lambda v: F.concat(v["v0"], v["v1"], v["v2"]))
+    each = each.select("source", F.transform(names, F.lower).alias("names"), values.alias("values"))
 
     def attribute(name: str) -> Column:
-        return F.concat(*[F.regexp_extract("tag", rf"(?i)\b{name}{value}", k) for k in (1, 2, 3)])
+        """The value of the first attribute of this name, or empty."""
+        return F.coalesce(F.get("values", (F.array_position("names", name) - 1).cast("int")), F.lit(""))
 
     canonical = F.when(F.lower(attribute("rel")).rlike(r"(^|\s)canonical(\s|$)"), attribute("href"))
     refresh = F.when(
@@ -103,13 +113,18 @@ def judge(
     ends = links.select(F.explode(F.array("source", "target")).alias("url")).distinct()
     judged = ends.select(node_of(url).alias("node"), rule_for(host_of(url), path_of(url), rules)["verdict"].alias("own"))
     classes = connected_components(links.select(node_of(F.col("source")).alias("a"), node_of(F.col("target")).alias("b")))
+    scratch = common.Scratch(pages.sparkSession)
+    classes = scratch.write("classes", classes)
+    sizes = classes.groupBy("component").agg(F.count("*").alias("n"))
     of_class = (
         classes.join(judged, "node")
         .groupBy("component")
         .agg(F.max(F.col("own") == "allow").alias("allows"), F.max(F.col("own") == "block").alias("blocks"))
     )
-    of_node = classes.join(of_class, "component", "left").select("node", "component", "allows", "blocks")
+    of_class = scratch.write("of_class", of_class)
+    of_node = common.spread_join(classes, of_class, "component", sizes, "node", "left").select("node", "component", "allows", "blocks")
     method = F.when(F.col("allows"), "allow").when(F.col("blocks"), "block").otherwise("allow")
-    return rows.join(of_node, "node", "left").select(
+    visits = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.count("*").alias("n"))
+    return common.spread_join(rows, of_node, "node", visits, "id", "left").select(
         "id", "host", "path", F.col("own.rule").alias("rule"), F.coalesce("own.verdict", method).alias("verdict"), "component"
     )
