@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from . import common, weak
 
-#: Bound of the training sample: the text of least hash in each of SLOTS slots, if it has at most TRAIN_CHARS.
-SLOTS, TRAIN_CHARS = 3000, 20_000
+#: Bound of the training sample: the text of least hash in each of SLOTS slots, whatever its length.
+SLOTS = 3000
 #: Dimensions of the scorer, and the length of the hashed character runs.
 DIMENSIONS = 1 << 16
 VOTE_VALUE = 0.2
@@ -62,11 +62,11 @@ def capitals(text: str, data: bytes, words: list[bytes]) -> int:
 
 
 def variety(text: str, data: bytes, words: list[bytes]) -> int:
-    """Different words as a share of all; the more words, the lower it may be."""
+    """Different words as a share of all, the mean over every fifty words: the same measure for texts of any length."""
     if len(words) < 30:
         return -1
-    share = len(set(words)) / min(len(words), 1000)
-    return _vote(share, share > 0.35, share < 0.2)
+    share = sum(len(set(words[k : k + 50])) for k in range(0, len(words), 50)) / len(words)
+    return _vote(share, share > 0.6, share < 0.4)
 
 
 def sentence_ends(text: str, data: bytes, words: list[bytes]) -> int:
@@ -92,8 +92,8 @@ def repeats(text: str, data: bytes, words: list[bytes]) -> int:
 
 
 LABELLERS = (symbol_share, function_words, word_length, capitals, variety, sentence_ends, separators, repeats)
-#: Each labeller looks for one kind of fault; it is taken to miss at least this share of the bad texts.
-MISSED = 0.6
+#: Texts fail by their characters or by their words: the labellers that look for each.
+KINDS = tuple(tuple(LABELLERS.index(f) for f in k) for k in ((symbol_share, word_length, capitals, separators), (function_words, variety, sentence_ends, repeats)))
 
 
 def votes_of(text: str | None) -> list[int]:
@@ -157,13 +157,17 @@ class Model:
 
 
 def train(docs: DataFrame, text_col: str = "text") -> Model:
-    """Votes on all of docs give the labellers' accuracies; the scorer learns posteriors of the bounded sample."""
+    """Votes on all of docs give the labellers' accuracies; the scorer learns posteriors of the bounded sample.
+
+    Null texts are left out, empty ones have no votes and are not learnt from; repeated rows count as often as they stand
+    and are learnt from once; an empty table gives a model that knows nothing.
+    """
     rows = docs.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     voted = common.map_batches(rows, "votes array<int>", lambda x: {"votes": [votes_of(t) for t in x["text"]]})
     patterns = voted.groupBy("votes").agg(F.count("*").alias("n")).collect()
     votes = np.array([p["votes"] for p in patterns], int).reshape(-1, len(LABELLERS))
-    model = weak.fit(votes, np.array([p["n"] for p in patterns]), missed=MISSED)
-    keyed = rows.select("text", F.xxhash64("text", F.lit(7)).alias("h")).where(F.length("text").between(1, TRAIN_CHARS))
+    model = weak.fit(votes, np.array([p["n"] for p in patterns]), kinds=KINDS)
+    keyed = rows.select("text", F.xxhash64("text", F.lit(7)).alias("h")).where(F.length("text") > 0)
     least = keyed.groupBy(F.pmod("h", F.lit(SLOTS)).alias("slot")).agg(F.min("h").alias("h"))
     sample = keyed.join(F.broadcast(least.select("h")), "h", "left_semi").dropDuplicates(["h"]).orderBy("h").collect()
     texts = [r["text"] for r in sample]
@@ -197,14 +201,18 @@ def judge(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose score reaches KEEP."""
+    """The rows of docs, with all their columns, whose score reaches KEEP.
+
+    A null or empty text has only the scorer's bias, so that all such rows stay or go together, as repeated rows do; an
+    empty table stays empty; columns of any name stay.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in common.slices(batches):
             scores = [shared.value.scorer.score(t, votes_of(t)) for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array([s >= KEEP for s in scores], pa.bool_()))
 

@@ -1,8 +1,10 @@
 """Weak supervision: how far to trust labellers that overlap and disagree, without labelled rows.
 
-Votes are 1 (yes), 0 (no) or -1 (abstains, which says nothing). A two-class model of independent labellers (Dawid and
-Skene's) is fitted by expectation-maximisation over vote patterns and their counts. Patterns are as few as labellers allow, whatever the
-number of rows, so the counts are all that the driver needs.
+Votes are 1 (yes), 0 (no) or -1 (abstains, which says nothing). A model of independent labellers (Dawid and Skene's) is
+fitted by expectation-maximisation over vote patterns and their counts: one class of yes, and one of no or several,
+where texts fail in several ways of which each labeller sees but some. Nothing is held by hand: all chances are
+estimated. Patterns are as few as labellers allow, whatever the number of rows, so the counts are all that the driver
+needs.
 """
 
 from __future__ import annotations
@@ -16,55 +18,52 @@ VOTES = (1, 0)
 
 @dataclass(frozen=True)
 class VoteModel:
-    """prior of class 1, and by labeller the chance of each of VOTES, if it votes, in class 0 and class 1."""
+    """priors of the classes, that of yes last, and by labeller and class the chance of each of VOTES, if it votes."""
 
-    prior: float
-    chances: np.ndarray  # labellers x 2 classes x 2 votes
+    priors: np.ndarray
+    chances: np.ndarray  # labellers x classes x 2 votes
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
-        """The chance of class 1 for each row of votes."""
+    def classes(self, votes: np.ndarray) -> np.ndarray:
+        """The chance of each class for each row of votes."""
         at = np.where(votes == 1, 0, np.where(votes == 0, 1, 2))
         logs = np.pad(np.log(self.chances), ((0, 0), (0, 0), (0, 1)))  # an abstention weighs nothing
-        scores = np.stack(
-            [
-                np.log(p) + sum((logs[j, c][at[:, j]] for j in range(at.shape[1])), np.zeros(len(at)))
-                for c, p in enumerate((1 - self.prior, self.prior))
-            ]
-        )
-        return 1 / (1 + np.exp(np.clip(scores[0] - scores[1], -700, 700)))
+        scores = np.log(self.priors)[None, :] + sum((logs[j][:, at[:, j]].T for j in range(at.shape[1])), np.zeros((len(at), len(self.priors))))
+        scores = np.exp(scores - scores.max(axis=1, keepdims=True))
+        return scores / scores.sum(axis=1, keepdims=True)
+
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        """The chance of yes for each row of votes."""
+        return self.classes(votes)[:, -1]
 
     def reliability(self) -> list[float]:
-        """By labeller, the mean over classes of how often a vote that is no abstention is right."""
-        out = []
-        for no, yes in self.chances:
-            out.append(float((no[1] + yes[0]) / 2))
-        return out
+        """By labeller, the mean over yes and no of how often a vote that is no abstention is right."""
+        no = self.priors[:-1] / self.priors[:-1].sum()
+        return [float((no @ chances[:-1, 1] + chances[-1, 0]) / 2) for chances in self.chances]
 
 
 def fit(
-    votes: np.ndarray, counts: np.ndarray, rounds: int = 100, smoothing: float = 1.0, prior: float = 0.5, missed: float = 0.0
+    votes: np.ndarray, counts: np.ndarray, rounds: int = 500, smoothing: float = 1.0, kinds: tuple[tuple[int, ...], ...] = ((),)
 ) -> VoteModel:
     """EM from the share of yes votes. Labellers are taken to be better than chance at the start, which tells the classes
-    apart; no patterns at all give a model that knows nothing. missed: the least chance of a yes in class 0, for
-    labellers that each look for one fault of many, where not seeing it says little.
+    apart. kinds: for each class of no the labellers whose no speaks for it at the start; one class needs none. No
+    patterns at all give a model that knows nothing.
     """
-    n_labellers = votes.shape[1]
+    n_labellers, n_classes = votes.shape[1], len(kinds) + 1
     if not len(votes):
-        return VoteModel(prior, np.full((n_labellers, 2, 2), 1 / 2))
+        return VoteModel(np.full(n_classes, 1 / n_classes), np.full((n_labellers, n_classes, 2), 1 / 2))
     cast = (votes >= 0).sum(axis=1)
-    belief = np.where(cast > 0, (votes == 1).sum(axis=1) / np.maximum(cast, 1), prior) * 0.9 + 0.05
+    yes = np.where(cast > 0, (votes == 1).sum(axis=1) / np.maximum(cast, 1), 0.5) * 0.9 + 0.05
+    spoken = np.stack([(votes[:, list(k)] == 0).sum(axis=1) + 0.1 for k in kinds], axis=1)
+    belief = np.concatenate([(1 - yes)[:, None] * spoken / spoken.sum(axis=1, keepdims=True), yes[:, None]], axis=1)
     counts = counts.astype(float)
     model = None
     for _ in range(rounds):
-        chances = np.empty((n_labellers, 2, 2))
-        for c, weight in enumerate((counts * (1 - belief), counts * belief)):
-            for k, v in enumerate(VOTES):
-                chances[:, c, k] = ((votes == v) * weight[:, None]).sum(axis=0) + smoothing
+        weight = counts[:, None] * belief
+        chances = np.stack([(votes == v).T @ weight + smoothing for v in VOTES], axis=2)
         chances /= chances.sum(axis=2, keepdims=True)
-        chances[:, 0, 0] = np.maximum(chances[:, 0, 0], missed)
-        chances[:, 0, 1] = 1 - chances[:, 0, 0]
-        model = VoteModel(float(np.clip((counts @ belief) / counts.sum(), 1e-4, 1 - 1e-4)), chances)
-        now = model.posterior(votes)
+        priors = np.maximum(weight.sum(axis=0) / counts.sum(), 1e-4)
+        model = VoteModel(priors / priors.sum(), chances)
+        now = model.classes(votes)
         if np.abs(now - belief).max() < 1e-7:
             break
         belief = now
