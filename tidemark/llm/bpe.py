@@ -20,6 +20,14 @@ LONG = 1 << 16
 SAFE = re.compile(r"(?<=[!-~])(?=[ \n])")
 
 
+@functools.lru_cache(maxsize=4)
+def splitter(pattern: str):
+    """The split pattern, for texts without a safe boundary: its matches are told one by one, in constant stack."""
+    import regex
+
+    return regex.compile(pattern)
+
+
 @functools.lru_cache(maxsize=4)
 def encoding(rank_file: str, pattern: str):
     """The tiktoken encoding of a rank file; one per Python worker. Special tokens: none."""
@@ -42,13 +50,24 @@ def pieces(text: str, most: int = LONG) -> Iterator[str]:
     yield text[start:]
 
 
-def encode_text(text: str | None, rank_file: str, pattern: str) -> list[int]:
+def encode_text(text: str | None, rank_file: str, pattern: str, most: int = LONG) -> list[int]:
+    """The ids of a text, as the library gives them for the whole of it. Null and empty: none.
+
+    A piece that has no safe boundary for very long (blanks, one endless word, scripts without blanks) would overflow
+    the library's pattern engine. There each match of the split pattern, which is what is encoded separately, is found
+    first, and the library encodes match by match.
+    """
     enc = encoding(rank_file, pattern)
     if not text:
         return []
-    if len(text) <= LONG:
-        return enc.encode_ordinary(text)
-    return [x for piece in pieces(text) for x in enc.encode_ordinary(piece)]
+    out: list[int] = []
+    for piece in pieces(text, most):
+        if len(piece) <= 2 * most:
+            out += enc.encode_ordinary(piece)
+        else:
+            for match in splitter(pattern).finditer(piece):
+                out += enc._encode_single_piece(match[0])
+    return out
 
 
 def encode(
