@@ -29,6 +29,26 @@ def test_language_held_out(spark, data):
     judged = [r for r in got if r.held_out and langs[r.doc_id] and r.lang_pred != "und"]
     assert np.mean([r.lang_pred == langs[r.doc_id] for r in judged]) > 0.9
     assert {r.lang_pred for r in got} <= set(langs.values()) - {None} | {"und"}
+    # The same by brute force: a compressor made anew for each text and language, from the sample's dictionaries.
+    import zstandard
+
+    docs = spark.read.parquet(data.replace("0.001", "0.01") + "/documents.parquet")
+    model = langid.train(spark.createDataFrame([(r.text, r.lang) for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1], "text string, lang string"))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in got[:150]:
+        if r.lang_pred != "und":
+            data_ = langid.plain(texts[r.doc_id])
+            sizes = []
+            for lang, words in model.dictionaries:
+                known = zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                sizes.append((len(zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=known, write_content_size=False, write_dict_id=False).compress(data_)), lang))
+            assert dict((b, a) for a, b in sizes)[r.lang_pred] == min(sizes)[0]
+
+
+def test_no_more_languages_than_stated(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    with pytest.raises(ValueError):
+        langid.train(spark.createDataFrame([("one", "a"), ("two", "b"), ("three", "c")], "text string, lang string"))
 
 
 def test_language_of_odd_texts(odd, none):
@@ -59,7 +79,7 @@ def test_language_of_only_short_or_long_texts(spark):
     rows = texts("short", 300, 8) + texts("long", 20, 2000) + texts("usual", 300, 100) + [("az", "tiny"), ("12", "none")]
     model = langid.train(spark.createDataFrame(rows, "text string, lang string"))
     sizes = {lang: len(d) for lang, d in model.dictionaries}
-    assert min(sizes[x] for x in vocabulary) > 5000 and max(sizes.values()) <= langid.SLOTS * (sum(langid.TRAIN_CHARS) + 3)
+    assert min(sizes[x] for x in vocabulary) > 5000
     assert sizes["tiny"] > 0 and sizes["none"] == 0
     again = langid.train(spark.createDataFrame(rows[::-1] * 2, "text string, lang string").repartition(5))
     assert dict(again.dictionaries) == dict(model.dictionaries)
@@ -88,7 +108,7 @@ def plain_spans(text):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet="ab@.-+0145 ()é٣\n", max_size=60))
+@given(st.text(alphabet="ab@.-+0145 ()é٣\n", max_size=60) | st.text(alphabet="0123456789..", max_size=60))
 def test_base_spans_are_the_patterns(text):
     assert pii.base_spans(text) == plain_spans(text)
 
@@ -114,10 +134,48 @@ def test_personal_data_of_odd_texts(odd, none):
 
 
 def test_redaction_replaces_spans():
-    model = pii.Model(weak.fit(np.empty((0, pii.N_LABELLERS), int), np.empty(0)), np.r_[-50, np.zeros(len(pii.KINDS) + 3 * pii.N_LABELLERS + 6)])
+    model = pii.Model(weak.fit(np.empty((0, pii.N_LABELLERS), int), np.empty(0)), np.r_[np.zeros(pii.DIMENSIONS), -50])
     assert pii.redact_text("Mail a.b@c.org or +1 415 555 0199 now", model) == "Mail [EMAIL] or [PHONE] now"
 
 
+def test_added_spans_are_those_planted(spark):
+    """Secrets and phones in other forms are found, numbers that fail the card checksum are not; held-out texts."""
+    rng = np.random.default_rng(8)
+
+    def text(k):
+        filler = " ".join(f"word{x}" for x in rng.integers(0, 50, 12))
+        secret = "".join(rng.choice(list("0123456789abcdef"), 40))
+        digits = "".join(map(str, rng.integers(0, 10, 16)))
+        digits = digits if not pii.luhn(digits) else digits[:-1] + str((int(digits[-1]) + 1) % 10)
+        good = "4111111111111111"
+        return [f'{filler} token = "{secret}" {filler}', f"{filler} call (415) 555-{k % 9000 + 1000} {filler}", f"{filler} {digits} {filler}", f"{filler} card {good} {filler} mail a{k}@b.org"][k % 4]
+
+    rows = [(k, text(k)) for k in range(800)]
+    model = pii.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    held_out = [(k, text(k)) for k in range(1000, 1400)]
+    got = {r.id: [a.kind for a in r.added] for r in pii.find(spark.createDataFrame(held_out, "doc_id long, text string"), model).collect()}
+    for k in got:
+        assert got[k] == [["secret"], ["phone"], [], []][k % 4]
+
+
+def test_long_digits_take_linear_time():
+    import time
+
+    start = time.time()
+    for t in ("1" * 500_000, "1." * 250_000, "+1" + " " * 500_000, "a@" * 200_000, "A" * 500_000, "1 " * 250_000):
+        base = pii.base_spans(t)
+        pii.candidates(t, base)
+    assert time.time() - start < 30
+
+
+def test_candidates_touch_no_base_span():
+    text = "x 10.0.0.1 y +1 415 555 0199 4111 1111 1111 1111 token=" + "ab12" * 12 + " 123-45-6789"
+    base = pii.base_spans(text)
+    for _, a, b in pii.candidates(text, base):
+        assert all(b <= x or a >= y for _, x, y in base)
+    assert pii.candidates("123-45-6789", [("ip", 0, 11), ("card", 1, 2)]) == []
+
+
 def test_votes_weigh_labellers():
     """Two labellers that agree with the truth outweigh one that votes at random."""
     rng = np.random.default_rng(5)
@@ -152,6 +210,25 @@ def test_cuts_change_no_token(text, most):
     assert [x for p in cut for x in enc.encode_ordinary(p)] == enc.encode_ordinary(text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab  \n\n\t\u3000漢字١é's!", max_size=120), st.integers(1, 5))
+def test_matches_encoded_one_by_one_are_the_whole(text, most):
+    ranks, pattern = queries.rank_file(), queries.split_pattern()
+    assert bpe.encode_text(text, ranks, pattern, most) == bpe.encoding(ranks, pattern).encode_ordinary(text)
+
+
+@pytest.mark.parametrize("unit", [" ", "a", "漢", "\n", "1", "!", "\u3000", " \t", "漢字かな、", "é"])
+def test_very_long_runs(unit):
+    """2 million characters without a safe boundary: no crash, and what the library says where it can answer."""
+    ranks, pattern = queries.rank_file(), queries.split_pattern()
+    enc, text = bpe.encoding(ranks, pattern), (unit * 2_000_000)[:2_000_000]
+    ids = bpe.encode_text(text, ranks, pattern)
+    assert enc.decode_bytes(ids) == text.encode()
+    part = text[:150_000]
+    if unit.strip():
+        assert bpe.encode_text(part, ranks, pattern) == enc.encode_ordinary(part)
+
+
 def test_tokens_of_odd_texts(odd, none):
     ranks, pattern = queries.rank_file(), queries.split_pattern()
     got = bpe.decode(bpe.encode(odd, ranks, pattern), ranks, pattern).collect()
@@ -169,7 +246,51 @@ def test_quality_finds_the_labels(spark, data):
     assert len(got) == 1000
     good = [got[k].keep for k, q in labels.items() if q == 1 and k in got]
     bad = [got[k].keep for k, q in labels.items() if q == 0 and k in got]
-    assert np.mean(good) > 0.95 and np.mean(bad) < 0.4
+    assert np.mean(good) > 0.98 and np.mean(bad) < 0.1
+
+
+def test_accuracies_are_estimated(spark, data):
+    """The chances that EM finds without labels are those that the labels give, class by class; and the posteriors are
+    those of a plain EM.
+    """
+    folder = data.replace("0.001", "0.01")
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    model = quality.train(spark.read.parquet(f"{folder}/documents.parquet")).labellers
+    votes = {k: quality.votes_of(t) for k, t in texts.items()}
+    no = model.priors[:-1] / model.priors[:-1].sum()
+    for j in range(len(quality.LABELLERS)):
+        for q, told in ((1, model.chances[j, -1, 0]), (0, no @ model.chances[j, :-1, 0])):
+            cast = [votes[k][j] for k, y in labels.items() if y == q and k in votes and votes[k][j] >= 0]
+            if len(cast) > 30:
+                assert abs(np.mean(cast) - told) < 0.15
+    plain = plain_em(list(votes.values()), quality.KINDS)
+    assert np.allclose(plain, model.posterior(np.array(list(votes.values()))), atol=1e-3)
+
+
+def plain_em(votes, kinds, rounds=500):
+    """The same model row by row, in plain Python."""
+    classes = len(kinds) + 1
+    belief = []
+    for v in votes:
+        cast = [x for x in v if x >= 0]
+        yes = (sum(cast) / len(cast) if cast else 0.5) * 0.9 + 0.05
+        spoken = [sum(v[j] == 0 for j in k) + 0.1 for k in kinds]
+        belief.append([(1 - yes) * s / sum(spoken) for s in spoken] + [yes])
+    for _ in range(rounds):
+        priors = [sum(b[c] for b in belief) / len(votes) for c in range(classes)]
+        chance = {}
+        for j in range(len(votes[0])):
+            for c in range(classes):
+                n = [1 + sum(b[c] for v, b in zip(votes, belief, strict=True) if v[j] == x) for x in (0, 1)]
+                chance[j, c] = (n[0] / sum(n), n[1] / sum(n))
+        before, belief = belief, []
+        for v in votes:
+            p = [priors[c] * np.prod([chance[j, c][x] for j, x in enumerate(v) if x >= 0]) for c in range(classes)]
+            belief.append([x / sum(p) for x in p])
+        if max(abs(a - b) for x, y in zip(before, belief, strict=True) for a, b in zip(x, y, strict=True)) < 1e-6:
+            break
+    return [b[-1] for b in belief]
 
 
 def test_quality_of_odd_texts(odd, none):
@@ -192,7 +313,56 @@ def test_streams_round_trip(blocks, seed):
     assert len(ts) % media.PACKET == 0 and found.data == payload
     assert not (found.counter_errors or found.table_errors or found.sync_errors)
     assert [u[0] for u in found.units] == [k * media.UNIT * media.BLOCK * media.CLOCK // media.RATE for k in range(len(found.units))]
-    assert all(u[1] for u in found.units)
+    assert all(u[1] for u in found.units) and found.clocks == [u[0] for u in found.units]
+
+
+def read_plainly(ts):
+    """(payload, timestamps, clocks) by another reader: all packets by PID first, then sections and elementary packets."""
+    by = {}
+    for k in range(0, len(ts), 188):
+        p = ts[k : k + 188]
+        head = int.from_bytes(p[:4], "big")
+        assert head >> 24 == 0x47 and head >> 4 & 1
+        pid, body, field = head >> 8 & 0x1FFF, p[4:], b""
+        if head >> 5 & 1:
+            field, body = body[1 : 1 + body[0]], body[1 + body[0] :]
+        by.setdefault(pid, []).append((head >> 22 & 1, head & 15, field, body))
+    for each in by.values():
+        assert [c for _, c, _, _ in each] == [k % 16 for k in range(len(each))]
+    pmt = {int.from_bytes(b[11:13], "big") & 0x1FFF for _, _, _, b in by[0]}
+    pid = {int.from_bytes(b[14:16], "big") & 0x1FFF for q in pmt for _, _, _, b in by[q]}
+    assert len(pmt) == len(pid) == 1
+    units, clocks = [], []
+    for start, _, field, body in by[pid.pop()]:
+        if start:
+            units.append(b"")
+            assert field[0] == 0x50
+            clocks.append(int.from_bytes(field[1:7], "big") >> 15)
+        units[-1] += body
+    stamps = []
+    for u in units:
+        bits = "".join(f"{x:08b}" for x in u[9:14])
+        stamps.append(int(bits[4:7] + bits[8:23] + bits[24:39], 2))
+        assert len(u) == 6 + int.from_bytes(u[4:6], "big")
+    return b"".join(u[9 + u[8] :] for u in units), stamps, clocks
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.integers(1, 200), st.integers(0, 2**32 - 1))
+def test_streams_read_by_another_reader(blocks, seed):
+    payload = np.random.default_rng(seed).integers(0, 256, blocks * 576, dtype=np.uint8).tobytes()
+    got, stamps, clocks = read_plainly(media.mux(payload))
+    found = media.demux(media.mux(payload))
+    assert got == payload and stamps == clocks == [u[0] for u in found.units] == found.clocks
+
+
+def test_any_access_unit_is_a_start():
+    """A reader that comes in at a later unit's tables gets the rest of the payload."""
+    payload = np.random.default_rng(2).integers(0, 256, 3 * media.UNIT * 576, dtype=np.uint8).tobytes()
+    ts = media.mux(payload)
+    starts = [k for k in range(0, len(ts), 188) if ts[k + 1 : k + 3] == b"\x40\x00"]
+    assert len(starts) == 3
+    assert [media.demux(ts[k:]).data for k in starts] == [payload[k * media.UNIT * 576 :] for k in range(3)]
 
 
 def test_damage_is_counted():
@@ -222,7 +392,15 @@ def test_streams_query(spark, data, odd, none):
         payload = raw + b"\xff" * (-len(raw) % 576 or 576 * (not raw))
         assert (r.n_bytes, r.payload_bytes) == (len(raw), len(payload))
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-32:])
-        assert r.media_sha256 == hashlib.sha256(media.mux(payload)).hexdigest()
+        ts = media.mux(payload)
+        assert r.media_sha256 == hashlib.sha256(ts).hexdigest() and r.media_bytes == len(ts)
+        stamps = [k * media.UNIT * 576 * 90_000 // 48_000 for k in range(-(-len(payload) // (media.UNIT * 576)))]
+        told = dict(x.split("=") for x in r.feature.split(";"))
+        samples = np.frombuffer(payload, np.uint8)
+        assert [int(told[k]) for k in ("units", "random_access", "clocks", "pts_sum", "last_pts", "errors", "packets", "distinct")] == [
+            *[len(stamps)] * 3, sum(stamps), stamps[-1], 0, len(ts) // 188, len(set(payload))
+        ]
+        assert abs(float(told["mean"]) - samples.mean()) < 1e-5 and abs(float(told["deviation"]) - samples.std()) < 1e-5
     assert media.read_streams(media.write_streams(odd)).count() == N_ODD
     assert media.read_streams(media.write_streams(none)).collect() == []
 
@@ -230,23 +408,9 @@ def test_streams_query(spark, data, odd, none):
 # Licenses ------------------------------------------------------------------------------------------------------------
 
 
-def test_license_query(spark, data):
-    texts = texts_of(spark, data)
-    sets = license.template_sets(license.TEMPLATES)
-    for r in queries.op9_license_scan(spark, data).collect():
-        words = common.words_of(texts[r.doc_id])
-        places = []
-        for phrase, label in license.PHRASES.items():
-            p = common.words_of(phrase)
-            places += [(k, label) for k in range(len(words)) if words[k : k + len(p)] == p]
-        own = set()
-        for block in license.blocks_of(common.utf8(texts[r.doc_id])):
-            have = set(common.words_of(block.decode()))
-            own |= {queries.OP9_LABELS[k] for k, s in sets.items() if len(have & s) >= license.needed(len(s), license.THRESHOLD)}
-        base = {x for _, x in places}
-        assert (r.n_words, r.n_base) == (len(words), len(places))
-        assert (r.first_word, r.last_word) == ((min(places)[0], max(places)[0]) if places else (None, None))
-        assert r.base_labels == ",".join(sorted(base)) and r.labels == ",".join(sorted(base | own))
+def test_license_query_like_sql(spark, data, same_as_sql):
+    for folder in (data, data.replace("0.001", "0.01")):
+        same_as_sql(queries.op9_license_scan(spark, folder), queries.ORACLE_SQL["op9_license_scan"], folder)
 
 
 def test_license_of_odd_texts(odd, none):
@@ -296,6 +460,9 @@ def test_license_templates_are_told_apart(spark):
     other += ["This work is licensed under the Eclipse Public License, version 2", "This work has been released into the public"]
     found = license_labels(spark, *other)
     assert found == [{"cc-by"}, {"cc-by", "cc-by-nc"}, set(), set(), set(), set(), set()]
+    fsf = "you can redistribute it and/or modify it under the terms of the GNU {} Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."
+    long = [f"# This program is free software; {fsf.format(x)}".replace("terms of", "terms of\n#") for x in ("General", "Lesser General", "Affero General")]
+    assert license_labels(spark, *long) == [{"gpl"}, {"lgpl"}, {"agpl"}]
     kept = ["Licensed under the Apache License 2.0", "Released under the terms of the MIT License", "Released under the MIT or Apache licenses"]
     kept += ["This work is licensed under the GNU General Public Licence, version 2", "This work has been placed into the public domain"]
     assert license_labels(spark, *kept) == [{"apache"}, {"mit"}, {"mit"}, {"gpl"}, {"public-domain"}]

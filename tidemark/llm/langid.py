@@ -8,17 +8,18 @@ from __future__ import annotations
 import functools
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Bound of the training sample: so many slots a language, in each the text of a length within TRAIN_CHARS whose hash
-#: is least. A slot without one has its texts of least hashes, longer ones cut, as many as reach the lower length.
-#: At most SLOTS x languages x the sum of both lengths, in characters, reaches the driver.
-SLOTS, TRAIN_CHARS = 64, (200, 8192)
-#: Compression level, and that of texts under SHORT bytes, where a few bytes decide.
-LEVEL, SHORT_LEVEL, SHORT = 3, 12, 256
+#: Bound of the training sample, by rows: of each language the text of least hash in each of SLOTS slots, and of these,
+#: in order of hash, TEXTS, or more until they have FILL characters. Texts are taken whole.
+SLOTS, TEXTS, FILL = 1024, 64, 100_000
+#: Different languages that there can be; more are an error, since the sample grows with them.
+LANGUAGES = 1000
+#: Compression level.
+LEVEL = 3
 #: Relative lead over the second language under which a prediction is rejected.
 MARGIN = 0.02
 
@@ -37,43 +38,38 @@ class Model:
     dictionaries: tuple[tuple[str, bytes], ...]
 
 
-def _without_fitting(rows: DataFrame, slots: list[tuple[str, int]]) -> set[tuple[str, int]]:
-    """(lang, h) of each slot's texts with a letter, by hash, until they have the lower length. Only hashes and lengths
-    are exchanged; a text has a character at least, so that more than that many texts are never needed.
-    """
-    own = rows.sparkSession.createDataFrame(slots, f"lang {rows.schema['lang'].dataType.simpleString()}, slot long")
-    some = rows.where(F.col("text").rlike(r"[A-Za-z]|[^\x00-\x7F]")).join(F.broadcast(own), ["lang", "slot"])
-    each = some.groupBy("lang", "slot", "h").agg(F.max(F.length("text")).alias("n"))
-    by = Window.partitionBy("lang", "slot").orderBy("h")
-    first = each.withColumn("k", F.row_number().over(by)).where(F.col("k") <= TRAIN_CHARS[0])
-    before = F.coalesce(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return {(r["lang"], r["h"]) for r in first.withColumn("before", before).where(F.col("before") < TRAIN_CHARS[0]).collect()}
-
-
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Builds the dictionaries from labelled rows; rows without text or language are left out.
+    """Builds the dictionaries from labelled rows; rows without text or language, and texts without a letter, are left out.
 
-    The sample is one text per (language, slot), or several short ones, the slot and the choice within it by hash of
-    the text: the same whatever the order or the partitioning, and no larger for more rows.
+    The sample is chosen by hash of the text: the same whatever the order or the partitioning, and no larger for more
+    rows. Repeated texts count once in it; languages of equally many rows go by name; without rows the model is empty.
     """
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(
+    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(
         F.col("text").isNotNull() & F.col("lang").isNotNull()
     )
-    rows = rows.withColumn("h", F.xxhash64("text", F.lit(42))).withColumn("slot", F.pmod("h", F.lit(SLOTS)))
-    fits = F.length("text").between(*TRAIN_CHARS)
-    slots = rows.groupBy("lang", "slot").agg(F.count("*").alias("n"), F.min(F.when(fits, F.col("h"))).alias("h")).collect()
-    if not slots:
-        return Model(())
-    seen = {s["lang"]: 0 for s in slots}
-    for s in slots:
-        seen[s["lang"]] += s["n"]
-    wanted = {(s["lang"], s["h"]) for s in slots if s["h"] is not None}
-    if lacking := [(s["lang"], s["slot"]) for s in slots if s["h"] is None]:
-        wanted |= _without_fitting(rows, lacking)
-    chosen = rows.where(F.col("h").isin([h for _, h in wanted])).withColumn("text", F.left("text", F.lit(TRAIN_CHARS[1])))
-    texts = {(r["lang"], r["h"]): r["text"] for r in chosen.dropDuplicates(["lang", "h"]).collect() if (r["lang"], r["h"]) in wanted}
-    order = sorted(seen, key=lambda x: (-seen[x], x))
-    return Model(tuple((x, b"\n".join(plain(t) for (lang, _), t in sorted(texts.items()) if lang == x)) for x in order))
+    rows = rows.withColumn("h", F.xxhash64("text", F.lit(42)))
+    letters = F.col("text").rlike(r"[A-Za-z]|[^\x00-\x7F]")
+    slots = rows.groupBy("lang", F.pmod("h", F.lit(SLOTS)).alias("slot")).agg(
+        F.count("*").alias("n"), F.min(F.when(letters, F.struct("h", F.length("text").alias("length")))).alias("least")
+    )
+    found = slots.groupBy("lang").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list("least")).alias("least")).limit(LANGUAGES + 1).collect()
+    if len(found) > LANGUAGES:
+        raise ValueError(f"over {LANGUAGES} languages")
+    wanted = []
+    for r in found:
+        total = 0
+        for k, x in enumerate(r["least"]):
+            if k >= TEXTS and total >= FILL:
+                break
+            wanted.append((r["lang"], x["h"]))
+            total += x["length"]
+    spark = labelled.sparkSession
+    chosen = rows.join(F.broadcast(spark.createDataFrame(wanted, "lang string, h long")), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    texts: dict[str, list[bytes]] = {r["lang"]: [] for r in found}
+    for r in chosen.orderBy("lang", "h").collect():
+        texts[r["lang"]].append(plain(r["text"]))
+    order = sorted(found, key=lambda r: (-r["n"], r["lang"]))
+    return Model(tuple((r["lang"], b"\n".join(texts[r["lang"]])) for r in order))
 
 
 @functools.lru_cache(maxsize=2)
@@ -81,16 +77,13 @@ def _compressors(model: Model):
     import zstandard
 
     out = []
-    for level in (LEVEL, SHORT_LEVEL):
-        each = []
-        for lang, data in model.dictionaries:
-            # A dictionary has 8 bytes at least.
-            enough = data * max(1, -(-8 // len(data))) if data.strip() else b""
-            words = zstandard.ZstdCompressionDict(enough, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if enough else None
-            if words:
-                words.precompute_compress(level=level)
-            each.append((lang, zstandard.ZstdCompressor(level=level, dict_data=words, write_content_size=False, write_dict_id=False)))
-        out.append(each)
+    for lang, data in model.dictionaries:
+        # A dictionary has 8 bytes at least.
+        enough = data * max(1, -(-8 // len(data))) if data.strip() else b""
+        words = zstandard.ZstdCompressionDict(enough, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if enough else None
+        if words:
+            words.precompute_compress(level=LEVEL)
+        out.append((lang, zstandard.ZstdCompressor(level=LEVEL, dict_data=words, write_content_size=False, write_dict_id=False)))
     return out
 
 
@@ -99,8 +92,7 @@ def classify(text: str | None, model: Model) -> tuple[str, float]:
     if not model.dictionaries or not any(map(str.isalpha, text or "")):
         return "und", 0.0
     data = plain(text)
-    usual, short = _compressors(model)
-    sizes = [(len(c.compress(data)), k, lang) for k, (lang, c) in enumerate(short if len(data) < SHORT else usual)]
+    sizes = [(len(c.compress(data)), k, lang) for k, (lang, c) in enumerate(_compressors(model))]
     best = min(sizes)
     rest = min((s for s, k, _ in sizes if k != best[1]), default=best[0])
     return best[2], (rest - best[0]) / rest if len(sizes) > 1 else 1.0

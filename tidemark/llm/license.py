@@ -26,29 +26,44 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-#: Template label -> its text. Short notices as they are commonly written.
+#: Fixed values. Template label -> its text: notices as licenses give them, and short ones as they are commonly written.
 TEMPLATES = {
+    "agpl-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "apache-header": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
     "apache-2.0": "Licensed under the Apache License, Version 2.0",
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted",
+    "bsd-conditions": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "cc0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
     "cc-by-4.0": "Licensed under CC BY 4.0",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0",
+    "gpl-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "gpl-2.0": "This work is licensed under the GNU General Public License, version 2",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "lgpl-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "mit-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
     "mit-notice": "Released under the MIT License",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "public-domain": "This work has been released into the public domain",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
 }
 #: Template label -> what a window's words, each between blanks, must hold besides.
 KEYS = {
+    "agpl-header": rb" affero ",
+    "apache-header": rb" apache licen[sc]e ",
     "apache-2.0": rb" apache (?:\S+ ){0,3}licen[sc]es? | apache (?:v|version )?2 ",
     "cc-by-4.0": rb" cc (?:4 0 )?by ",
     "cc-by-nc-4.0": rb" cc (?:4 0 )?(?:by nc|nc by) ",
+    "cc0": rb" waived ",
+    "gpl-header": rb" (?:gnu|the|a) general public ",
     "gpl-2.0": rb" (?:gnu|the|a) general public ",
     "gpl-3.0": rb" (?:gnu|the|a) general public ",
+    "lgpl-header": rb" lesser ",
     "mit-notice": rb" mit (?:\S+ ){0,2}licen[sc]es? ",
     "mpl-2.0": rb" mozilla | mpl ",
     "public-domain": rb" public domain ",
+    "unlicense": rb" unencumbered ",
 }
 THRESHOLD = 0.8
 #: Length of the window that a template is looked for in, as a multiple of the template's: room for words put between.
@@ -210,3 +225,40 @@ def scan(
         " matches array<struct<at:long,label:string,containment:double>>"
     )
     return common.map_batches(docs.select(id_col, text_col), schema, run)
+
+
+def oracle_sql(labels: dict[str, str]) -> str:
+    """The query's rows in SQL: every phrase at every place, every template in every window. labels: what each template is
+    reported as.
+    """
+
+    def text(x: str | bytes) -> str:
+        return "'" + (x.decode() if isinstance(x, bytes) else x).replace("'", "''") + "'"
+
+    places, best = [], []
+    for phrase in PHRASES:
+        stands = " AND ".join(f"w[i + {k}] = {text(word)}" for k, word in enumerate(common.words_of(phrase)))
+        places.append(f"list_transform(list_filter(range(1, len(w) + 1), lambda i: {stands}), lambda i: {{'at': i - 1, 'label': {text(PHRASES[phrase])}}})")
+    for name, template in TEMPLATES.items():
+        own = sorted(set(common.words_of(template)))
+        known = "[" + ", ".join(map(text, own)) + "]"
+        length, least = SPREAD * len(common.words_of(template)), needed(len(own), THRESHOLD)
+        window = f"w[i:i + {length - 1}]"
+        key = f" AND regexp_matches(' ' || array_to_string({window}, ' ') || ' ', {text(KEYS[name])})" if name in KEYS else ""
+        held = f"len(list_intersect({known}, {window}))"
+        best.append(
+            f"""CASE WHEN len(list_intersect({known}, w)) >= {least} THEN list_max(list_transform(list_filter(range(1, len(w) + 1),
+              lambda i: list_contains({known}, w[i]) AND {held} >= {least}{key}), lambda i: {held})) / {len(own)}.0 END AS {name.replace("-", "_").replace(".", "_")}"""
+        )
+    columns = [n.replace("-", "_").replace(".", "_") for n in TEMPLATES]
+    told = ", ".join(f"CASE WHEN {c} IS NOT NULL THEN {text(labels[n])} END" for c, n in zip(columns, TEMPLATES, strict=True))
+    upper, lower = common.UPPER, common.LOWER
+    return f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+f AS (SELECT doc_id, len(w)::BIGINT AS n_words, flatten([{", ".join(places)}]) AS p, {", ".join(best)} FROM d),
+l AS (SELECT *, list_distinct(list_transform(p, lambda x: x.label)) AS base, list_filter([{told}], lambda x: x IS NOT NULL) AS own FROM f)
+SELECT doc_id, n_words, len(p)::BIGINT AS n_base, list_min(list_transform(p, lambda x: x.at))::BIGINT AS first_word,
+       list_max(list_transform(p, lambda x: x.at))::BIGINT AS last_word, array_to_string(list_sort(base), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(base, own))), ',') AS labels,
+       (CASE WHEN len(p) > 0 THEN 1.0 ELSE coalesce(greatest({", ".join(columns)}), 0.0) END)::DOUBLE AS score FROM l
+"""

@@ -1,9 +1,10 @@
 """MPEG transport streams in a binary column: writing, reading back, timestamps and features.
 
 A stream here is one programme: a programme association table (PID 0), a programme map table, and one private
-elementary stream whose access units are the payload's blocks of samples. Tables carry the MPEG CRC-32; every packet
-carries its continuity counter; every access unit starts a packet that carries a presentation timestamp and the
-random-access flag, because each block of samples can be read by itself.
+elementary stream whose access units are the payload's blocks of samples. Both tables stand before every access unit
+and carry the MPEG CRC-32; every packet carries its PID's continuity counter; every access unit starts a packet that
+carries a clock reference, a presentation timestamp and the random-access flag, because from there a reader needs
+nothing that came before.
 """
 
 from __future__ import annotations
@@ -52,15 +53,24 @@ def _section(table_id: int, ident: int, body: bytes) -> bytes:
 
 
 def _table_packet(pid: int, section: bytes) -> bytes:
+    """A packet of one section, with continuity counter 0."""
     return (bytes([SYNC, 0x40 | pid >> 8, pid & 255, 0x10, 0]) + section).ljust(PACKET, b"\xff")
 
 
-@functools.lru_cache(maxsize=1)
-def _tables() -> bytes:
+@functools.lru_cache(maxsize=16)
+def _tables(counter: int) -> bytes:
     pat = _section(0, 1, PROGRAM.to_bytes(2, "big") + (0xE000 | PMT_PID).to_bytes(2, "big"))
     entry = bytes([STREAM_TYPE]) + (0xE000 | DATA_PID).to_bytes(2, "big") + b"\xf0\x00"
     pmt = _section(2, PROGRAM, (0xE000 | DATA_PID).to_bytes(2, "big") + b"\xf0\x00" + entry)
-    return _table_packet(0, pat) + _table_packet(PMT_PID, pmt)
+    packets = [bytearray(_table_packet(0, pat)), bytearray(_table_packet(PMT_PID, pmt))]
+    for p in packets:
+        p[3] |= counter
+    return b"".join(packets)
+
+
+def _clock(pts: int) -> bytes:
+    """A programme clock reference: 33 bits of 90 kHz, 6 reserved, 9 of 27 MHz, which are 0."""
+    return (pts << 15 | 0x7E00).to_bytes(6, "big")
 
 
 def _stamp(pts: int) -> bytes:
@@ -71,19 +81,20 @@ def mux(payload: bytes) -> bytes:
     """The payload as a transport stream. It must be a positive multiple of 576 long."""
     if not payload or len(payload) % BLOCK:
         raise ValueError("a payload is a positive multiple of 576 bytes")
-    out, counter = [_tables()], 0
+    out, counter = [], 0
     size, high, low = UNIT * BLOCK, DATA_PID >> 8, DATA_PID & 255
     for start in range(0, len(payload), size):
         unit = payload[start : start + size]
         pts = start * CLOCK // RATE & (1 << 33) - 1
+        out.append(_tables(start // size & 15))
         pes = bytes([0, 0, 1, STREAM_ID]) + (len(unit) + 8).to_bytes(2, "big") + b"\x84\x80\x05" + _stamp(pts) + unit
         at, first = 0, True
         while at < len(pes):
-            room = 182 if first else 184
+            room = 176 if first else 184
             take = min(room, len(pes) - at)
             stuffing = 184 - take
             if first:
-                field_ = bytes([stuffing - 1, 0x40]) + b"\xff" * (stuffing - 2)
+                field_ = bytes([stuffing - 1, 0x50]) + _clock(pts) + b"\xff" * (stuffing - 8)
             else:
                 field_ = b"" if not stuffing else b"\0" if stuffing == 1 else bytes([stuffing - 1, 0]) + b"\xff" * (stuffing - 2)
             head = bytes([SYNC, (0x40 if first else 0) | high, low, (0x30 if field_ else 0x10) | counter])
@@ -94,10 +105,13 @@ def mux(payload: bytes) -> bytes:
 
 @dataclass
 class Stream:
-    """What demux finds. units: (pts in 90 kHz ticks or None, random access, offset in data) for each elementary packet."""
+    """What demux finds. units: (pts in 90 kHz ticks or None, random access, offset in data) for each elementary packet;
+    clocks: clock references, in 90 kHz ticks.
+    """
 
     data: bytes = b""
     units: list[tuple[int | None, bool, int]] = field(default_factory=list)
+    clocks: list[int] = field(default_factory=list)
     packets: int = 0
     counter_errors: int = 0
     table_errors: int = 0
@@ -115,7 +129,8 @@ def _sections(payload: bytes) -> bytes | None:
 
 def demux(ts: bytes) -> Stream:
     """Reads the first programme's first elementary stream. Damage is counted, never raised."""
-    found, pmt_pid, pid, last = Stream(), None, None, None
+    found, pmt_pid, pid = Stream(), None, None
+    last: dict[int, int] = {}
     pes: list[bytes] = []
     kept: list[bytes] = []
     size = 0
@@ -150,13 +165,15 @@ def demux(ts: bytes) -> Stream:
         if b3 & 0x20:
             n = ts[start]
             access = bool(n and ts[start + 1] & 0x40)
+            if n >= 7 and ts[start + 1] & 0x10 and this == pid:
+                found.clocks.append(int.from_bytes(ts[start + 2 : start + 8], "big") >> 15)
             start += 1 + n
         if not b3 & 0x10:
             continue
+        if this in last and b3 & 15 != last[this] + 1 & 15:
+            found.counter_errors += 1
+        last[this] = b3 & 15
         if this == pid:
-            if last is not None and b3 & 15 != last + 1 & 15:
-                found.counter_errors += 1
-            last = b3 & 15
             if b1 & 0x40:
                 close()
                 flag = access
@@ -202,7 +219,7 @@ def write_streams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 #: Of read_streams. units: each elementary packet's timestamp, random-access flag and offset in the payload.
 READ = (
-    "payload binary, units array<struct<pts:long,random_access:boolean,at:long>>, packets long,"
+    "payload binary, units array<struct<pts:long,random_access:boolean,at:long>>, clocks array<long>, packets long,"
     " counter_errors long, table_errors long, sync_errors long, mean double, deviation double, distinct_samples long"
 )
 
@@ -226,6 +243,7 @@ def read_streams(media: DataFrame, media_col: str = "media") -> DataFrame:
         return x | {
             "payload": [f.data for f in found],
             "units": [[{"pts": p, "random_access": r, "at": a} for p, r, a in f.units] for f in found],
+            "clocks": [f.clocks for f in found],
             "packets": [f.packets for f in found],
             "counter_errors": [f.counter_errors for f in found],
             "table_errors": [f.table_errors for f in found],

@@ -36,11 +36,13 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
-    model = langid.train(docs.where(~F.coalesce(held_out, F.lit(False))))
-    found = langid.identify(docs, model)
-    held_out = F.crc32(F.col("id").cast("string").cast("binary")) % 3 == 1
-    return found.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "lang_pred", "score", "accepted")
+
+    def held_out(doc_id: F.Column) -> F.Column:
+        """A null id is not held out."""
+        return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+    found = langid.identify(docs, langid.train(docs.where(~held_out(F.col("doc_id")))))
+    return found.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "lang_pred", "score", "accepted")
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,6 +111,8 @@ def op8_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         ";",
         F.concat(F.lit("units="), F.size(units)),
         F.concat(F.lit("random_access="), F.size(F.filter(units, lambda u: u["random_access"]))),
+        F.concat(F.lit("clocks="), F.size("clocks")),
+        F.concat(F.lit("pts_sum="), F.aggregate(units, F.lit(0).cast("long"), lambda n, u: n + u["pts"])),
         F.concat(F.lit("last_pts="), F.try_element_at(units, F.lit(-1))["pts"]),
         F.concat(F.lit("packets="), "packets"),
         F.concat(F.lit("errors="), F.col("counter_errors") + F.col("table_errors") + F.col("sync_errors")),
@@ -130,16 +134,25 @@ def op8_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Template label -> the label that the query reports for it.
 OP9_LABELS = {
+    "agpl-header": "agpl",
+    "apache-header": "apache",
     "apache-2.0": "apache",
     "bsd": "bsd",
+    "bsd-conditions": "bsd",
+    "cc0": "cc0",
     "cc-by-4.0": "cc-by",
     "cc-by-nc-4.0": "cc-by-nc",
+    "gpl-header": "gpl",
     "gpl-2.0": "gpl",
     "gpl-3.0": "gpl",
+    "isc": "isc",
+    "lgpl-header": "lgpl",
+    "mit-permission": "mit",
     "mit-grant": "mit",
     "mit-notice": "mit",
     "mpl-2.0": "mpl",
     "public-domain": "public-domain",
+    "unlicense": "public-domain",
 }
 
 
@@ -229,4 +242,5 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": OP1_SQL,
     "op4_decontamination": decontam.ORACLE_SQL,
+    "op9_license_scan": license.oracle_sql(OP9_LABELS),
 }
