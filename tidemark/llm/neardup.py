@@ -303,8 +303,8 @@ def classes(
     scratch.drop("signed", "sizes", "members")
 
     # The texts of these, once each, for the comparisons.
-    some = texts.join(weight.select("key"), "key", "left_semi")
-    texts = scratch.write("texts", some.groupBy("key").agg(F.first("text").alias("text")))
+    once = texts.groupBy("key").agg(F.first("text").alias("text"))  # before the join, so that copies are combined in their tasks
+    texts = scratch.write("texts", once.join(weight.select("key"), "key", "left_semi"))
     empty = spark.createDataFrame([], "a binary, b binary, similarity double")
     links, tested, of = empty, empty.select("a", "b"), None
 
