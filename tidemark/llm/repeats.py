@@ -30,9 +30,9 @@ from . import common, suffixes
 from .suffixes import SPAN
 
 #: Bytes of text that anchors are looked for in at once; longer texts are read in slices.
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Keys of a run, and keys that one merge gets on average.
-RUN, PART = 100_000, 300_000
+RUN, PART = 50_000, 150_000
 #: Pieces of one anchor from which they are dealt out one by one.
 HOT = 50_000
 #: Strings of an anchor that are dealt out together start within so many bytes of each other.
