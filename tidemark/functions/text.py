@@ -19,21 +19,40 @@ _NUMBER = re.compile(r"\+?[0-9]+")
 _HEX = re.compile(r"\+?[0-9a-fA-F]+")
 
 
+def _character(body: str) -> str | None:
+    """The character that a numeric entity names, or none."""
+    base, digits = (16, body[1:]) if body[:1] in ("x", "X") else (10, body)
+    if not (_HEX if base == 16 else _NUMBER).fullmatch(digits):
+        return None
+    code = int(digits, base) if len(digits) < 4000 else 1 << 32
+    return None if code > 0x10FFFF or 0xD800 <= code <= 0xDFFF else chr(code)
+
+
 def _decode_numbers(text: str) -> str:
-    """Numeric entities from the first on, each up to the next semicolon; the first that is no character ends it all."""
-    while (at := text.find("&#")) >= 0:
-        end = text.find(";", at)
-        if end < 0:
-            return text
-        body = text[at + 2 : end]
-        base, digits = (16, body[1:]) if body[:1] in ("x", "X") else (10, body)
-        if not (_HEX if base == 16 else _NUMBER).fullmatch(digits):
-            return text
-        code = int(digits, base)
-        if code > 0x10FFFF or 0xD800 <= code <= 0xDFFF:
-            return text
-        text = text[:at] + chr(code) + text[end + 1 :]
-    return text
+    """Numeric entities from the first on, each up to the next semicolon; the first that is no character ends it all. What
+    is decoded may begin the next one.
+    """
+    at, out, done = text.find("&#"), [], 0
+    while at >= 0:
+        if at > done:
+            out.append(text[done:at])
+        body = at + 2
+        while True:
+            end = text.find(";", body)
+            found = _character(text[body:end]) if end >= 0 else None
+            if found is None:
+                return "".join([*out, "&#", text[body:]])
+            done = end + 1
+            if found == "&" and text[done : done + 1] == "#":
+                body = done + 1
+            elif found == "#" and out and out[-1].endswith("&"):
+                out[-1] = out[-1][:-1]
+                body = done
+            else:
+                break
+        out.append(found)
+        at = text.find("&#", done)
+    return "".join([*out, text[done:]])
 
 
 @F.pandas_udf(StringType())
@@ -47,14 +66,20 @@ def _nfc(s: pd.Series) -> pd.Series:
 
 
 def nfc(text: Column) -> Column:
-    """Unicode NFC; texts within ASCII, where it changes nothing, pass by."""
-    return F.when(F.octet_length(text) == F.length(text), text).otherwise(_nfc(text))
+    """Unicode NFC. Spark runs a Python function on all rows, whatever the condition around it; those within ASCII, where
+    it changes nothing, are handed over as nulls.
+    """
+    ascii_only = F.octet_length(text) == F.length(text)
+    return F.coalesce(F.when(ascii_only, text), _nfc(F.when(~ascii_only, text)))
 
 
 def decode_entities(text: Column, numeric: bool = True, entities: tuple = ENTITIES) -> Column:
     for name, value in entities:
         text = F.replace(text, F.lit(name), F.lit(value))
-    return F.when(F.contains(text, F.lit("&#")), _numeric_entities(text)).otherwise(text) if numeric else text
+    if not numeric:
+        return text
+    has = F.contains(text, F.lit("&#"))
+    return F.coalesce(F.when(~has, text), _numeric_entities(F.when(has, text)))
 
 
 def trim(text: Column) -> Column:
@@ -182,7 +207,7 @@ def _graphemes_within(text: str, most: int) -> int:
     import regex
 
     end = 0
-    for m in regex.finditer(r"\X", text[: most + 64]):
+    for m in regex.finditer(r"\X", text):
         if end and m.end() > most:
             break
         end = m.end()
@@ -215,11 +240,20 @@ def segments_of(text: str, most: int) -> list[str]:
     return [*out, text] if text else out
 
 
-def segments(text: Column, most: int) -> Column:
-    """array<string>; only texts that are too long reach Python."""
+def segments(text: Column, most: int, budget: int | None = None) -> Column:
+    """array<string>. budget: tokens of a segment beyond which it is parted again, into pieces of four characters a token.
+    Texts that are short enough are handed to Python as nulls.
+    """
+    smaller = most if budget is None else min(most, budget * 4)
 
     @F.pandas_udf(ArrayType(StringType()))
     def cut(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: segments_of(x, most), na_action="ignore")
+        def parts(x: str) -> list[str]:
+            first = segments_of(x, most)
+            return [p for y in first for p in (segments_of(y, smaller) if budget is not None and (len(y) + 3) // 4 > budget else [y])]
+
+        return s.map(parts, na_action="ignore")
 
-    return F.when(text == "", F.array().cast("array<string>")).when(F.length(text) <= most, F.array(text)).otherwise(cut(text))
+    short = (F.length(text) <= most) & (F.lit(True) if budget is None else F.length(text) <= budget * 4)
+    whole = F.when(text == "", F.array().cast("array<string>")).when(short, F.array(text))
+    return F.coalesce(whole, cut(F.when(~short, text)))

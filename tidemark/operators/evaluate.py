@@ -46,3 +46,33 @@ def compare(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
     return both.agg(
         F.count("a").alias("baseline"), F.count("b").alias("candidate"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("different")
     ).withColumn("equal", F.col("different") == 0)
+
+
+def rates(cases: DataFrame) -> DataFrame:
+    """One row of cases (amplified, wording_ok, failed): accuracy of amplified wording, share of failures; null where there
+    is nothing to divide by.
+    """
+    amplified = F.col("amplified")
+    right, all_, failed = F.count_if(amplified & F.col("wording_ok")), F.count_if(amplified), F.count_if("failed")
+    return cases.agg(scalars.ratio(right, all_).alias("amplified_accuracy"), scalars.ratio(failed, F.count("*")).alias("failure_rate"))
+
+
+def usage(calls: DataFrame, by: list[str]) -> DataFrame:
+    """Tokens and calls summed up, and the most calls of a batch."""
+    sums = [F.sum(c).alias(c) for c in ("input_tokens", "cached_tokens", "output_tokens")]
+    return calls.groupBy(*by).agg(F.count("*").alias("calls"), *sums)
+
+
+def privacy_findings(payloads: DataFrame, by: list[str]) -> DataFrame:
+    """How many payloads hold the id of their source."""
+    return payloads.groupBy(*by).agg(F.count_if(F.contains("payload", "source_id")).alias("findings"))
+
+
+def winner(reports: DataFrame, compared: Column) -> Column:
+    """Which of two reports wins, of columns a and b (recall, cost, hash, prompt_hash): if compared (the cases are equal),
+    that of the smaller prompt hash; else of more recall, then of less cost, then of the smaller hash.
+    """
+    a, b = F.col("a"), F.col("b")
+    rest = F.when(a["recall"] != b["recall"], a["recall"] > b["recall"]).when(a["cost"] != b["cost"], a["cost"] < b["cost"]).otherwise(a["hash"] <= b["hash"])
+    first = F.when(compared, a["prompt_hash"] <= b["prompt_hash"]).otherwise(rest)
+    return F.when(first, "a").otherwise("b")

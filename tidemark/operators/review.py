@@ -13,7 +13,9 @@ def page_size(limit: int | None) -> int:
 
 
 def visible(flags: DataFrame) -> DataFrame:
-    return flags.where(F.col("hidden_at").isNull())
+    """Flags that are not hidden, and whose content (where its column is there) is not purged."""
+    out = flags.where(F.col("hidden_at").isNull())
+    return out.where(F.col("purged_at").isNull()) if "purged_at" in flags.columns else out
 
 
 def review_list(flags: DataFrame, by: list[str], risk: str | None = None, status: str | None = None, cursor: Column | None = None, limit: int | None = None) -> DataFrame:
@@ -26,10 +28,10 @@ def review_list(flags: DataFrame, by: list[str], risk: str | None = None, status
     return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= page_size(limit) + 1)
 
 
-def risk_counts(flags: DataFrame, by: list[str]) -> DataFrame:
-    """Counts by risk; hidden flags count."""
+def risk_counts(flags: DataFrame, by: list[str], status: str = "open") -> DataFrame:
+    """Counts by risk of the visible flags of one status."""
     risk = F.col("risk")
-    return flags.groupBy(*by).agg(
+    return visible(flags).where(F.col("status") == status).groupBy(*by).agg(
         F.count("*").alias("n_all"), *(F.count_if(risk == r).alias(f"n_{r}") for r in ("high", "medium", "low"))
     )
 
@@ -83,3 +85,10 @@ def remaining(grants: DataFrame, usages: DataFrame, grant: str, limit: str) -> D
 
 def platform_limit(imports: DataFrame, by: list[str], limit: int) -> DataFrame:
     return imports.groupBy(*by).agg(F.countDistinct("platform").alias("platforms")).withColumn("within", F.col("platforms") <= limit)
+
+
+def import_list(imports: DataFrame, by: list[str], cursor: Column | None = None, limit: int | None = None) -> DataFrame:
+    """Each list's first page of imports and one row more: oldest first, then by id. The cursor is an id."""
+    rows = imports if cursor is None else imports.where(F.col("import_id") > cursor)
+    order = Window.partitionBy(*by).orderBy("created_at", "import_id")
+    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= page_size(limit) + 1)

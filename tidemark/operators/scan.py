@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import tempfile
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import hashing, scalars, text
 from ..plans import catalog
@@ -17,13 +21,11 @@ from ..plans import catalog
 def prepare(rows: DataFrame, most: int = catalog.MAX_SCALARS, max_tokens: int = catalog.MAX_TOKENS, base: int = catalog.BASE) -> DataFrame:
     """A row for each segment of each row's plain text: the columns of rows, segment_ordinal, text and tokens.
 
-    rows has a column body; empty texts give no segment. Segments beyond what a batch can take are parted again.
+    rows has a column body; empty texts give no segment. A segment beyond what a batch can take is parted again.
     """
     budget = max(max_tokens - base - 64, 64)
-    smaller = min(most, budget * 4)
-    plain = rows.withColumn("_plain", text.minimize(F.col("body"))).where(F.col("_plain") != "")
-    parts = F.flatten(F.transform(text.segments(F.col("_plain"), most), lambda s: F.array(s))) if smaller == most else text.segments(F.col("_plain"), smaller)
-    each = plain.select(*rows.columns, F.posexplode(parts).alias("segment_ordinal", "text"))
+    parts = text.segments(text.minimize(F.col("body")), most, budget)
+    each = rows.select(*rows.columns, F.posexplode(parts).alias("segment_ordinal", "text"))
     return each.withColumn("tokens", text.estimate_tokens(F.col("text")))
 
 
@@ -38,6 +40,7 @@ def pack(
     per_item: int = catalog.PER_ITEM,
     max_output: int = catalog.MAX_OUTPUT,
     out: int = catalog.OUT,
+    also: tuple[str, int] | None = None,
 ) -> DataFrame:
     """items with batch_ordinal and item_index (from 0): each scan's items in order, greedily; the first item of a batch is
     always taken, none is dropped.
@@ -45,45 +48,49 @@ def pack(
     Where a batch ends depends on all items before. The rows are parted by ranges of (scan, order), so that a large scan
     is dealt out to many tasks; each part tells how it ends for every row at which a batch may begin in it (a batch has
     few items, so these are its first few), the driver follows these from part to part, and each part is then packed
-    from where it begins. Ties of the order go by all its columns; nulls come first.
+    from where it begins. Ties of the order go by all its columns; nulls of the order come last. also: a second cost and its
+    limit; it has no base and nothing is added to it.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import IntegerType, StructField, StructType
+    from pyspark.sql.types import IntegerType
 
     most = max(1, min(max_items, max_output // out))
-    ordered = items.repartitionByRange(scan, *order).sortWithinPartitions(scan, *order)
-    ordered = _kept(ordered.withColumn("_part", F.spark_partition_id()))
+    by = [F.col(scan).asc(), *[F.col(c).asc_nulls_last() for c in order]]
+    ordered = items.repartitionByRange(*by).sortWithinPartitions(*by)
+    part = free_name(items, "part")
+    ordered = _kept(ordered.withColumn(part, F.spark_partition_id()))
+    second, limit = also or (tokens, None)
     schema = StructType([*items.schema.fields, StructField("batch_ordinal", IntegerType()), StructField("item_index", IntegerType())])
-    kinds, key, size = to_arrow_schema(schema), items.columns.index(scan), items.columns.index(tokens)
+    kinds, key, size, size2 = to_arrow_schema(schema), items.columns.index(scan), items.columns.index(tokens), items.columns.index(second)
     kept = len(items.columns)
 
-    def step(ordinal: int, index: int, total: int, n: int) -> tuple[int, int, int]:
-        """The state after an item of n tokens: its batch, the items and the tokens of this."""
-        if index >= most or index and total + n + per_item > max_tokens:
-            ordinal, index, total = ordinal + 1, 0, base
-        return ordinal, index + 1, max(total + n + per_item, total + 1)
+    def step(ordinal: int, index: int, total: int, rest: int, n: int, m: int) -> tuple[int, int, int, int]:
+        """The state after an item of n tokens (and second cost m): its batch, the items, the tokens and second cost of this."""
+        if index >= most or index and (total + n + per_item > max_tokens or limit is not None and rest + m > limit):
+            ordinal, index, total, rest = ordinal + 1, 0, base, 0
+        return ordinal, index + 1, max(total + n + per_item, total + 1), rest + m if limit is not None else 0
 
-    new = (0, 0, base)
+    new = (0, 0, base, 0)
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A start's end is that of the state it has run into, so many batches later; equal states are followed once.
         part, first, last, head, changed, rows = None, None, None, [], False, 0
-        states: dict[int, tuple[int, int, int]] = {}
+        states: dict[int, tuple[int, ...]] = {}
         runs_as: list[tuple[int, int]] = []
         for batch in batches:
-            for p, s, n in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            for p, s, n, m in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
                 if not rows:
                     part, first = p, s
                 elif s != last:
                     changed, states = True, {0: new}
                 if not changed and rows < most:
-                    head.append(n)
+                    head.append([n, m])
                     states[rows] = new
                     runs_as.append((rows, 0))
                 last, rows = s, rows + 1
-                seen: dict[tuple[int, int], int] = {}
+                seen: dict[tuple[int, ...], int] = {}
                 for k, state in list(states.items()):
-                    ordinal, *rest = states[k] = step(*state, n)
+                    ordinal, *rest = states[k] = step(*state, n, m)
                     at = seen.setdefault(tuple(rest), k)
                     if at != k:
                         runs_as = [(at, d + ordinal - states[at][0]) if r == k else (r, d) for r, d in runs_as]
@@ -96,11 +103,11 @@ def pack(
             yield pa.RecordBatch.from_arrays([*told.columns, scans[:1], scans[1:]], names=[*ends_kinds.names, "first", "last"])
 
     ends_kinds = pa.schema(
-        [("part", pa.int32()), ("changed", pa.bool_()), ("n", pa.int64()), ("head", pa.list_(pa.int64())), ("found", pa.list_(pa.list_(pa.int64())))]
+        [("part", pa.int32()), ("changed", pa.bool_()), ("n", pa.int64()), ("head", pa.list_(pa.list_(pa.int64()))), ("found", pa.list_(pa.list_(pa.int64())))]
     )
     kind = items.schema[scan].dataType.simpleString()
-    told = ordered.select("_part", scan, F.col(tokens).cast("long")).mapInArrow(
-        ends, f"part int, changed boolean, n long, head array<long>, found array<array<long>>, first {kind}, last {kind}"
+    told = ordered.select(part, scan, F.col(tokens).cast("long").alias("n"), F.col(second).cast("long").alias("m")).mapInArrow(
+        ends, f"part int, changed boolean, n long, head array<array<long>>, found array<array<long>>, first {kind}, last {kind}"
     )
     last, state, begins = object(), new, {}
     for r in sorted(told.collect(), key=lambda r: r["part"]):
@@ -108,8 +115,8 @@ def pack(
             state = new
         begins[r["part"]] = state
         # A batch that is open goes on for some rows; the next begins at one of those told, or in another scan.
-        for k, n in enumerate(r["head"]):
-            after = step(*state, n)
+        for k, (n, m) in enumerate(r["head"]):
+            after = step(*state, n, m)
             if after[1] == 1:
                 ordinal, *rest = r["found"][k]
                 state = (ordinal if r["changed"] else after[0] + ordinal, *rest)
@@ -124,12 +131,12 @@ def pack(
         state = last = None
         for batch in batches:
             where, at = [], []
-            for p, s, n in zip(*(batch.column(c).to_pylist() for c in (kept, key, size)), strict=True):
+            for p, s, n, m in zip(*(batch.column(c).to_pylist() for c in (kept, key, size, size2)), strict=True):
                 if state is None:
                     last, state = s, begins[p]
                 if s != last:
                     last, state = s, new
-                state = step(*state, n)
+                state = step(*state, n, m)
                 where.append(state[0])
                 at.append(state[1] - 1)
             yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(where, pa.int32()), pa.array(at, pa.int32())], schema=kinds)
@@ -137,11 +144,22 @@ def pack(
     return ordered.mapInArrow(run, schema)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A name that no column of df has."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def _kept(df: DataFrame) -> DataFrame:
-    """df, computed once, in the session's spark.checkpoint.dir; where that is unset, in a temporary folder."""
+    """df, computed once, in the session's spark.checkpoint.dir; where that is unset, and only on one machine, in a
+    temporary folder.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[[^,\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "tidemark-checkpoints"))
     return df.checkpoint()
 
@@ -153,14 +171,12 @@ def stub_results(items: DataFrame, concerns: list[str], index: str = "item_index
     hit = (hashing.stub_byte(F.col(index), F.col(body)) % 2 == 1) & (F.octet_length(body) >= 8) & F.lit(category in concerns)
     flag = F.coalesce(hit, F.lit(False))
     return (
-        items.withColumn("_flag", flag)
-        .withColumn("decision", F.when(F.col("_flag"), "flag").otherwise("no_flag"))
-        .withColumn("risk", F.when(F.col("_flag"), "low").otherwise("none"))
-        .withColumn("category", F.when(F.col("_flag"), category))
-        .withColumn("confidence", F.when(F.col("_flag"), 0.75).otherwise(0.91))
-        .withColumn("reason_code", F.when(F.col("_flag"), catalog.STUB_REASONS[category]))
-        .withColumn("evidence", F.when(F.col("_flag"), F.left(F.col(body), F.lit(8))))
-        .drop("_flag")
+        items.withColumn("decision", F.when(flag, "flag").otherwise("no_flag"))
+        .withColumn("risk", F.when(flag, "low").otherwise("none"))
+        .withColumn("category", F.when(flag, category))
+        .withColumn("confidence", F.when(flag, 0.75).otherwise(0.91))
+        .withColumn("reason_code", F.when(flag, catalog.STUB_REASONS[category]))
+        .withColumn("evidence", F.when(flag, F.left(F.col(body), F.lit(8))))
     )
 
 
@@ -208,11 +224,15 @@ def result_error(concerns: list[str], confidence_first: bool = False, nul_is_err
     return first_error([confidence, *rules] if confidence_first else [*rules, confidence])
 
 
-def index_errors(results: DataFrame, batch: list[str], size: str = "batch_items", index: str = "item_index") -> DataFrame:
-    """(batch, ok): whether a batch's results have each index 0 .. size - 1 once."""
-    return results.groupBy(*batch).agg(
-        ((F.count("*") == F.max(size)) & (F.countDistinct(index) == F.max(size)) & (F.min(index) == 0) & (F.max(index) == F.max(size) - 1)).alias("ok")
+def index_errors(batches: DataFrame, results: DataFrame, batch: list[str], size: str = "batch_items", index: str = "item_index") -> DataFrame:
+    """(batch, ok) for each row of batches (batch, size): whether its results have each index 0 .. size - 1 once. A batch
+    without any result is not ok.
+    """
+    found = results.groupBy(*batch).agg(
+        F.count("*").alias("n"), F.countDistinct(index).alias("different"), F.min(index).alias("least"), F.max(index).alias("most")
     )
+    ok = (F.col("n") == F.col(size)) & (F.col("different") == F.col(size)) & (F.col("least") == 0) & (F.col("most") == F.col(size) - 1)
+    return batches.select(*batch, size).join(found, batch, "left").select(*batch, F.coalesce(ok, F.col(size) == 0).alias("ok"))
 
 
 def roll_up(segments: DataFrame, source: list[str]) -> DataFrame:
@@ -221,7 +241,7 @@ def roll_up(segments: DataFrame, source: list[str]) -> DataFrame:
     Columns read: segment_ordinal, decision, risk, category, confidence, reasons array<struct<code,summary>>, evidence
     array<struct<text,supports>>. reasons (once for each code) and evidence (once for each code and text) come from
     segments of the winner's category, in order of segments, three at most. Texts have few segments, so a source's are
-    gathered. Flagged unless risk is none or the decision no_flag.
+    gathered. Flagged unless risk is none or the decision no_flag; what is not flagged has no category.
     """
     rank = F.struct(scalars.risk_rank(F.col("risk")).alias("rank"), "confidence", (-F.col("segment_ordinal")).alias("order"))
     each = F.struct("segment_ordinal", "category", "reasons", "evidence")
@@ -242,7 +262,7 @@ def roll_up(segments: DataFrame, source: list[str]) -> DataFrame:
         *source,
         flagged.alias("flagged"),
         "w.risk",
-        "w.category",
+        F.when(flagged, F.col("w.category")).alias("category"),
         "w.confidence",
         F.when(flagged, once(reasons, lambda r: r["code"])).alias("reasons"),
         F.when(flagged, once(evidence, lambda e: F.struct(e["supports"], e["text"]))).alias("evidence"),
@@ -263,12 +283,106 @@ def screen_hits(plan: DataFrame, answers: DataFrame) -> DataFrame:
     return plan.join(answers, ["post_id", "concern"], "left").withColumn("score", score).withColumn("escalates", F.col("score") >= catalog.ESCALATE_AT)
 
 
+def screen_batches(posts: DataFrame, scan: str, order: list[str], text_col: str = "text", question_tokens: int = 0) -> DataFrame:
+    """posts with batch_ordinal and item_index of screening requests: few posts, a limit for their tokens and one for
+    these with their questions'; a post beyond them has a request of its own.
+    """
+    state, request = free_name(posts, "state_tokens"), free_name(posts, "request_tokens")
+    cost = (text.estimate_tokens(F.col(text_col)) + 4).cast("long")
+    priced = posts.withColumn(state, cost).withColumn(request, cost + question_tokens)
+    limits = {"max_items": catalog.SCREEN_POSTS, "max_tokens": catalog.SCREEN_REQUEST, "base": 0, "per_item": 0}
+    packed = pack(priced, scan, order, request, **limits, max_output=catalog.SCREEN_POSTS, out=1, also=(state, catalog.SCREEN_STATE))
+    return packed.drop(state, request)
+
+
+def confirmations(hits: DataFrame, answers: DataFrame) -> DataFrame:
+    """The escalated rows of hits (post_id, concern) with the confirmed score and error: an answer that is missing or no
+    number has to be asked for again, and is no pass.
+    """
+    asked = hits.where("escalates").select("post_id", "concern").join(answers.select("post_id", "concern", F.col("score").alias("confirmed")), ["post_id", "concern"], "left")
+    missing = F.col("confirmed").isNull() | F.isnan("confirmed")
+    return asked.select("post_id", "concern", F.when(~missing, F.col("confirmed")).alias("score"), F.when(missing, "SCAN_CONFIRM_MISSING").alias("error"))
+
+
 def primary_concern(confirmed: DataFrame) -> DataFrame:
-    """(post_id, concern, score): of each post's confirmed concerns those near the best, and of these the first in order."""
+    """(post_id, concern, score): of each post's confirmed concerns those near the best, and of these the first in order.
+    A post with a row in error has none.
+    """
     place = scalars.lookup(F.col("concern"), {c: k for k, (c, _, _) in enumerate(catalog.RUBRICS)}, len(catalog.RUBRICS))
-    best = F.max("score").over(Window.partitionBy("post_id"))
-    near = confirmed.where(F.col("score") >= catalog.FLAG_AT).withColumn("_best", best).where(F.col("score") >= F.col("_best") - catalog.NEAR_BEST - 1e-12)
-    return near.groupBy("post_id").agg(F.min_by(F.struct("concern", "score"), place).alias("m")).select("post_id", "m.*")
+    each = F.collect_list(F.when(F.col("score") >= catalog.FLAG_AT, F.struct(place.alias("place"), "concern", "score")))
+    failed = F.max(F.col("error").isNotNull()) if "error" in confirmed.columns else F.lit(False)
+    # A post has as many rows as there are rubrics, at most.
+    found = confirmed.groupBy("post_id").agg(each.alias("all"), F.max("score").alias("best"), failed.alias("failed"))
+    near = F.filter("all", lambda x: x["score"] >= F.col("best") - catalog.NEAR_BEST - 1e-12)
+    return found.where(~F.col("failed") & (F.size("all") > 0)).select("post_id", F.array_min(near).alias("m")).select("post_id", "m.concern", "m.score")
+
+
+def screen_results(posts: DataFrame, hits: DataFrame, primary: DataFrame, confirmed: DataFrame, id_col: str = "post_id") -> DataFrame:
+    """One result for each post: post_id, decision, category, confidence, reason_code, error.
+
+    A flag has its concern's score as confidence, and its reason where the concern knows but one. Others have 1 less the
+    highest screening score; a post that was never screened, or without rubrics, 1. Posts in error have no decision.
+    """
+    alone = {c: r[0] for c, _, r in catalog.RUBRICS if len(r) == 1}
+    top = hits.groupBy("post_id").agg(F.max("score").alias("top"))
+    failed = confirmed.where(F.col("error").isNotNull()).groupBy("post_id").agg(F.min("error").alias("error"))
+    out = posts.select(F.col(id_col).alias("post_id")).join(top, "post_id", "left").join(failed, "post_id", "left").join(primary, "post_id", "left")
+    flag = F.col("concern").isNotNull()
+    return out.select(
+        "post_id",
+        F.when(F.col("error").isNull(), F.when(flag, "flag").otherwise("no_flag")).alias("decision"),
+        F.col("concern").alias("category"),
+        F.when(flag, F.col("score")).otherwise(1.0 - F.coalesce("top", F.lit(0.0))).alias("confidence"),
+        scalars.lookup(F.col("concern"), alone, None).alias("reason_code"),
+        "error",
+    )
+
+
+#: What a recorded answer has, at each level, in order of names.
+ANSWER = "schema_version string, results array<struct<category:string,confidence:double,decision:string,evidence:array<struct<supports_reason_code:string,text:string>>,item_index:long,reasons:array<struct<code:string,summary:string>>,risk:string>>"
+
+
+@F.pandas_udf(StructType([StructField("error", StringType()), StructField("answer", StringType())]))
+def _strict(raw: pd.Series) -> pd.DataFrame:
+    """SCAN_OUTPUT_JSON if the whole text is not one JSON value, SCAN_OUTPUT_SCHEMA if its keys are not those of ANSWER."""
+    leaf = {"supports_reason_code", "text"}, {"code", "summary"}
+
+    def pairs(found: list[tuple[str, object]]) -> dict:
+        out = dict(found)
+        if len(out) < len(found):
+            raise KeyError
+        return out
+
+    def number(x: str) -> float:
+        raise ValueError(x)
+
+    def judge(x: str) -> tuple[str | None, str | None]:
+        if x is None or not x.strip() or "```" in x:
+            return "SCAN_OUTPUT_JSON", None
+        try:
+            value = json.loads(x, object_pairs_hook=pairs, parse_constant=number)
+        except KeyError:
+            return "SCAN_OUTPUT_SCHEMA", None
+        except (ValueError, RecursionError):
+            return "SCAN_OUTPUT_JSON", None
+        try:
+            good = set(value) == {"schema_version", "results"} and isinstance(value["schema_version"], str)
+            for r in value["results"]:
+                good &= set(r) == {"item_index", "decision", "risk", "category", "confidence", "reasons", "evidence"}
+                good &= all(set(e) == leaf[0] for e in r["evidence"]) and all(set(e) == leaf[1] for e in r["reasons"])
+                good &= type(r["item_index"]) is int and isinstance(r["confidence"], (int, float)) and all(isinstance(r[k], str) for k in ("decision", "risk"))
+        except (TypeError, KeyError, AttributeError):
+            good = False
+        return (None, json.dumps(value, sort_keys=True, ensure_ascii=False)) if good else ("SCAN_OUTPUT_SCHEMA", None)
+
+    return pd.DataFrame([judge(x) for x in raw], columns=["error", "answer"])
+
+
+def parse_answers(raw: DataFrame, text_col: str = "raw") -> DataFrame:
+    """raw with error and answer (a struct of ANSWER, null where there is an error): strictly parsed recorded answers."""
+    found = free_name(raw, "found")
+    out = raw.withColumn(found, _strict(F.col(text_col)))
+    return out.withColumn("error", F.col(f"{found}.error")).withColumn("answer", F.from_json(F.col(f"{found}.answer"), ANSWER)).drop(found)
 
 
 def scan_stub(rows: DataFrame, scan: str, order: list[str], concerns: list[str]) -> DataFrame:

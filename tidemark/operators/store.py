@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import free_name
+
 
 def insert_ignore(table: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """table with the rows of new whose keys it does not have; of equal new keys any one."""
@@ -20,11 +22,12 @@ def upsert(table: DataFrame, new: DataFrame, keys: list[str], order: Column) ->
 
 def revise(table: DataFrame, new: DataFrame, keys: list[str], revision: str = "revision") -> tuple[DataFrame, DataFrame]:
     """(table, conflicts): rows of new replace those whose revision is expected_revision; the others are conflicts."""
-    now = table.select(*keys, F.col(revision).alias("_now"))
+    name = free_name(new, "_now")
+    now = table.select(*keys, F.col(revision).alias(name))
     tried = new.join(now, keys, "left")
-    good = tried.where(F.col("_now") == F.col("expected_revision"))
+    good = tried.where(F.col(name) == F.col("expected_revision"))
     rows = good.withColumn(revision, F.col("expected_revision") + 1).select(*table.columns)
-    conflicts = tried.where(~F.coalesce(F.col("_now") == F.col("expected_revision"), F.lit(False))).drop("_now")
+    conflicts = tried.where(~F.coalesce(F.col(name) == F.col("expected_revision"), F.lit(False))).drop(name)
     return table.join(rows.select(*keys), keys, "left_anti").unionByName(rows), conflicts
 
 
@@ -36,8 +39,8 @@ def violations(table: DataFrame, keys: list[str], where: Column | None = None) -
 
 def latest(table: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """Each key's first row by order. The order should leave no ties."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return table.withColumn("_rank", rank).where(F.col("_rank") == 1).drop("_rank")
+    rank, name = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)), free_name(table, "_rank")
+    return table.withColumn(name, rank).where(F.col(name) == 1).drop(name)
 
 
 def duplicate_revisions(records: DataFrame, keys: list[str]) -> DataFrame:
@@ -116,11 +119,75 @@ def replay_deletions(markers: DataFrame, since: Column, tables: dict[str, DataFr
     return {name: t.join(gone, key, "left_anti") for name, t in tables.items()}
 
 
+def active_grants(grants: DataFrame, keys: list[str], now: Column) -> DataFrame:
+    """The newest grant of each key that is not revoked and not over; of equally new ones that of the least id."""
+    live = grants.where(F.col("revoked_at").isNull() & (F.col("valid_until").isNull() | (F.col("valid_until") > now)))
+    return latest(live, keys, F.col("created_at").desc(), F.col("grant_id").asc())
+
+
+def selected_content(content: DataFrame, links: DataFrame, imports: DataFrame | None = None, wanted: list[str] | None = None) -> DataFrame:
+    """Each row of content (tenant_id, content_id, platform) of a scanned platform once, that is linked to a ready import,
+    or to one of the wanted imports whatever their state.
+    """
+    if wanted is None:
+        links = links.join(imports.where("status = 'ready'").select("tenant_id", "import_id"), ["tenant_id", "import_id"], "left_semi")
+    else:
+        links = links.where(F.col("import_id").isin(wanted))
+    return content.where(F.col("platform").isin("reddit", "x")).join(links, ["tenant_id", "content_id"], "left_semi")
+
+
+def finish_duplicates(imports: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(imports, links): an import with a holder takes over the holder's links and format, and counts its own links."""
+    copied = imports.where(F.col("holder_id").isNotNull()).select("tenant_id", "import_id", "holder_id")
+    theirs = links.withColumnRenamed("import_id", "holder_id")
+    links = links.unionByName(copied.join(theirs, ["tenant_id", "holder_id"]).select(*links.columns)).dropDuplicates()
+    counts = links.groupBy("tenant_id", "import_id").agg(F.count("*").alias("record_count"))
+    of_holder = imports.select("tenant_id", F.col("import_id").alias("holder_id"), F.col("format").alias("holder_format"))
+    out = imports.drop("record_count").join(counts, ["tenant_id", "import_id"], "left").join(of_holder, ["tenant_id", "holder_id"], "left")
+    out = out.withColumn("format", F.coalesce("holder_format", "format")).withColumn("record_count", F.coalesce("record_count", F.lit(0)))
+    return out.select(*imports.columns), links
+
+
+def due_purges(imports: DataFrame, now: Column, most: int = 100) -> DataFrame:
+    """The imports whose raw upload is due to be purged, the oldest ones, at most `most`: a batch of work, not a result."""
+    return imports.where(F.col("raw_purged_at").isNull() & (F.col("purge_after") <= now)).orderBy("purge_after", "import_id").limit(most)
+
+
+def idempotency(requests: DataFrame, keys: list[str], lock_seconds: int) -> DataFrame:
+    """requests (keys, request_id, at, hash, done_at) with outcome: fresh, replay, in_progress or conflict.
+
+    The first request of a key is fresh and locks it; it is answered at done_at, if that is not null. Later ones with
+    another hash are conflicts; with the same, they replay the answer once it is there, wait while the lock holds, and
+    else take over. A key is used for one call and its retries, so that its requests are folded in one row; equal
+    instants go by request_id.
+    """
+    each = F.array_sort(F.collect_list(F.struct("at", "request_id", "hash", "done_at")))
+    rows = requests.groupBy(*keys).agg(each.alias("all"))
+    kind = "struct<hash:string,until:timestamp,done_at:timestamp,told:array<struct<request_id:bigint,outcome:string>>>"
+    start = F.from_json(F.lit('{"told": []}'), kind)
+
+    def step(s: Column, e: Column) -> Column:
+        other = s["hash"].isNotNull() & (s["hash"] != e["hash"])
+        answered = F.coalesce(s["done_at"] <= e["at"], F.lit(False))
+        outcome = F.when(other, "conflict").when(answered, "replay").when(s["until"] > e["at"], "in_progress").otherwise("fresh")
+        fresh = outcome == "fresh"
+        until = e["at"] + F.make_dt_interval(secs=F.lit(lock_seconds))
+        return F.struct(
+            F.when(fresh, e["hash"]).otherwise(s["hash"]).alias("hash"),
+            F.when(fresh, until).otherwise(s["until"]).alias("until"),
+            F.when(fresh, e["done_at"]).otherwise(s["done_at"]).alias("done_at"),
+            F.concat(s["told"], F.array(F.struct(e["request_id"].cast("bigint").alias("request_id"), outcome.alias("outcome")))).alias("told"),
+        )
+
+    return rows.select(*keys, F.explode(F.aggregate("all", start, step)["told"]).alias("t")).select(*keys, "t.*")
+
+
 # The queue --------------------------------------------------------------------------------------------------------------
 
 
 def claimable(items: DataFrame, now: Column) -> DataFrame:
-    return items.where((F.col("status") == "pending") & (F.col("run_after") <= now) & (F.col("attempt_count") < F.col("max_attempts")))
+    """Pending items that are due, have attempts left, and whose cancellation nobody asked for."""
+    return items.where((F.col("status") == "pending") & F.col("cancel_requested_at").isNull() & (F.col("run_after") <= now) & (F.col("attempt_count") < F.col("max_attempts")))
 
 
 def claim_order(items: DataFrame, now: Column, by: list[str]) -> DataFrame:

@@ -52,13 +52,14 @@ def flags_of(spark: SparkSession, folder: str) -> DataFrame:
         F.when(k % 7 < 5, "open").otherwise("resolved").alias("status"),
         F.timestamp_seconds(k % 50 * 86400).alias("created_at"),
         F.when(k % 11 == 0, F.timestamp_seconds(F.lit(0))).alias("hidden_at"),
+        F.when(k % 13 == 0, F.timestamp_seconds(F.lit(0))).alias("purged_at"),
     )
 
 
 _FLAGS_SQL = """
 flags AS (
   SELECT source AS tenant, doc_id AS flag_id, ['high', 'medium', 'low', 'none'][doc_id % 4 + 1] AS risk,
-         CASE WHEN doc_id % 7 < 5 THEN 'open' ELSE 'resolved' END AS status, doc_id % 50 AS day, doc_id % 11 = 0 AS hidden,
+         CASE WHEN doc_id % 7 < 5 THEN 'open' ELSE 'resolved' END AS status, doc_id % 50 AS day, doc_id % 11 = 0 OR doc_id % 13 = 0 AS hidden,
          CASE doc_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS risk_key
   FROM documents)"""
 
@@ -96,7 +97,7 @@ def stub_scan_flags(spark, folder):
 
 @query(f"""WITH {_FLAGS_SQL}
 SELECT tenant, count(*) AS n_all, count(*) FILTER (risk = 'high') AS n_high, count(*) FILTER (risk = 'medium') AS n_medium,
-       count(*) FILTER (risk = 'low') AS n_low FROM flags GROUP BY tenant""")
+       count(*) FILTER (risk = 'low') AS n_low FROM flags WHERE NOT hidden AND status = 'open' GROUP BY tenant""")
 def flag_counts_by_risk(spark, folder):
     return review.risk_counts(flags_of(spark, folder), ["tenant"])
 
@@ -130,11 +131,24 @@ def dashboard_summary(spark, folder):
     return out.withColumn("preview", F.array_join(F.col("preview").cast("array<string>"), ","))
 
 
+def imports_of(spark: SparkSession, folder: str) -> DataFrame:
+    """documents as archive imports: the text is the archive, the source the tenant."""
+    k = F.col("doc_id")
+    return table(spark, folder, "documents").select(
+        F.col("source").alias("tenant_id"),
+        k.alias("id"),
+        hashing.sha256_hex(F.col("text")).alias("fingerprint"),
+        F.timestamp_seconds(k % 50 * 86400).alias("claimed_at"),
+        F.when(k % 9 == 0, "failed").when(k % 4 == 0, "ready").otherwise("running").alias("status"),
+    )
+
+
 @query("""
-SELECT source AS tenant, sha256(text) AS content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY ALL""")
+WITH i AS (SELECT source, doc_id, sha256(text) AS f, doc_id % 50 AS day, CASE WHEN doc_id % 4 = 0 THEN 'ready' ELSE 'running' END AS status FROM documents WHERE doc_id % 9 > 0)
+SELECT source AS tenant, doc_id, CASE WHEN row_number() OVER w = 1 THEN 'claimed' WHEN first_value(status) OVER w = 'ready' THEN 'duplicate' ELSE 'busy' END AS outcome
+FROM i WINDOW w AS (PARTITION BY source, f ORDER BY day, doc_id)""")
 def import_dedupe(spark, folder):
-    rows = table(spark, folder, "documents").select(F.col("source").alias("tenant"), hashing.sha256_hex(F.col("text")).alias("content_hash"), "doc_id")
-    return rows.groupBy("tenant", "content_hash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    return store.fingerprint_claims(imports_of(spark, folder)).select(F.col("tenant_id").alias("tenant"), F.col("id").alias("doc_id"), "outcome")
 
 
 @query("SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role, arg_max(text, turn) AS body FROM conversations GROUP BY conv_id")
@@ -144,10 +158,12 @@ def latest_revision(spark, folder):
 
 
 @query("""
-SELECT conv_id, role, count(*) AS copies, count(DISTINCT sha256(text)) AS revisions FROM conversations GROUP BY conv_id, role HAVING count(DISTINCT sha256(text)) > 1""")
+WITH r AS (SELECT conv_id, role, turn, turn % 3 = 2 AS deleted, min(CASE WHEN turn % 3 = 2 THEN turn END) OVER (PARTITION BY conv_id, role) AS first_deleted FROM conversations)
+SELECT conv_id, role, CASE WHEN max(first_deleted) IS NOT NULL THEN 'deleted' ELSE 'active' END AS state,
+       count(*) FILTER (NOT deleted AND (first_deleted IS NULL OR turn < first_deleted)) > 1 AS conflict FROM r GROUP BY conv_id, role""")
 def revision_conflicts(spark, folder):
-    rows = table(spark, folder, "conversations").withColumn("h", hashing.sha256_hex(F.col("text")))
-    return rows.groupBy("conv_id", "role").agg(F.count("*").alias("copies"), F.countDistinct("h").alias("revisions")).where("revisions > 1")
+    rows = table(spark, folder, "conversations").select("conv_id", "role", F.col("turn").alias("ordinal"), F.when(F.col("turn") % 3 == 2, "deleted").otherwise("active").alias("state"))
+    return store.duplicate_revisions(rows, ["conv_id", "role"])
 
 
 _SCANS = """(SELECT o_orderkey AS scan_id, o_custkey AS user_id, CASE o_orderstatus WHEN 'F' THEN 'succeeded' WHEN 'P' THEN 'running' ELSE 'queued' END AS status,
@@ -265,7 +281,7 @@ k AS (SELECT *, CASE risk WHEN 'high' THEN 4 WHEN 'medium' THEN 3 WHEN 'low' THE
 w AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY id ORDER BY rank DESC, confidence DESC, o) = 1),
 r AS (SELECT w.id, k.code, min(k.o) AS o FROM w JOIN k ON k.id = w.id AND k.category = w.category GROUP BY w.id, k.code),
 t AS (SELECT id, string_agg(code, ',' ORDER BY o, code) AS reasons FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY o, code) <= 3) GROUP BY id)
-SELECT w.id, risk <> 'none' AS flagged, risk, category, confidence, CASE WHEN risk <> 'none' THEN reasons ELSE '' END AS reasons FROM w JOIN t ON t.id = w.id""")
+SELECT w.id, risk <> 'none' AS flagged, risk, CASE WHEN risk <> 'none' THEN category END AS category, confidence, CASE WHEN risk <> 'none' THEN reasons ELSE '' END AS reasons FROM w JOIN t ON t.id = w.id""")
 def rollup_segments(spark, folder):
     line = table(spark, folder, "lineitem")
     none = F.array().cast("array<struct<text:string,supports:string>>")
@@ -285,14 +301,14 @@ def rollup_segments(spark, folder):
 
 
 @query("""
-SELECT doc_id, CASE doc_id % 12
+SELECT doc_id, CASE WHEN text = '' AND doc_id % 12 IN (9, 10, 11) THEN 'SCAN_OUTPUT_TEXT_LIMIT' ELSE CASE doc_id % 12
   WHEN 1 THEN 'SCAN_DECISION_FIELDS' WHEN 2 THEN 'SCAN_DECISION_FIELDS' WHEN 3 THEN 'SCAN_CATEGORY_NOT_SELECTED' WHEN 4 THEN 'SCAN_CATEGORY_NOT_SELECTED'
   WHEN 5 THEN 'SCAN_DECISION_FIELDS' WHEN 6 THEN 'SCAN_REASON_CATEGORY' WHEN 7 THEN 'SCAN_OUTPUT_TEXT_LIMIT' WHEN 8 THEN 'SCAN_EVIDENCE_NOT_SUBSTRING'
-  WHEN 9 THEN CASE WHEN doc_id % 5 = 0 THEN 'SCAN_AMPLIFIED_ATTRIBUTION' END WHEN 10 THEN 'SCAN_OUTPUT_SCHEMA' END AS error
-FROM documents WHERE length(text) >= 4""")
+  WHEN 9 THEN CASE WHEN doc_id % 5 = 0 THEN 'SCAN_AMPLIFIED_ATTRIBUTION' END WHEN 10 THEN 'SCAN_OUTPUT_SCHEMA' END END AS error
+FROM documents""")
 def validate_output_codes(spark, folder):
     """Answers that break one rule each, by number of the document."""
-    rows = content_items(spark, folder).withColumnRenamed("body", "text").where(F.length("text") >= 4)
+    rows = content_items(spark, folder).withColumnRenamed("body", "text")
     k = F.col("doc_id") % 12
     reason = F.struct(
         F.when(k == 6, "sustained_hostility").otherwise("targeted_harassment").alias("code"),
@@ -370,12 +386,12 @@ def work_items(spark: SparkSession, folder: str) -> DataFrame:
         (k % 4).cast("int").alias("attempt_count"),
         F.lit(3).alias("max_attempts"),
         F.when(k % 3 == 0, F.col("ts") + F.expr("INTERVAL 1 MINUTE")).alias("lease_expires_at"),
-        F.when(k % 15 == 0, F.col("ts")).alias("cancel_requested_at"),
+        F.when(k % 5 == 0, F.col("ts")).alias("cancel_requested_at"),
     )
 
 
 @query("""
-SELECT event_type AS kind, event_id AS id, (props->>'$.k')::INT AS priority FROM events WHERE event_id % 3 > 0 AND event_id % 4 < 3
+SELECT event_type AS kind, event_id AS id, (props->>'$.k')::INT AS priority FROM events WHERE event_id % 3 > 0 AND event_id % 4 < 3 AND event_id % 5 > 0
 QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY (props->>'$.k')::INT DESC NULLS LAST, ts, event_id) = 1""")
 def queue_claim_order(spark, folder):
     now = F.to_timestamp(F.lit("2100-01-01 00:00:00"))
@@ -426,10 +442,10 @@ def lifecycle_gate(spark, folder):
 
 
 @query(r"""
-SELECT doc_id, array_to_string(list_transform(list_filter(list_transform(string_split(text, '|'), lambda x: regexp_replace(x, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), lambda x: x <> '')[1:3],
-  lambda x: left(x, 40)), ';') AS tags FROM documents WHERE text IS NOT NULL""")
+SELECT doc_id, array_to_string(list_transform(list_filter(list_transform(string_split(coalesce(text, ''), '|'), lambda x: regexp_replace(x, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), lambda x: x <> '')[1:3],
+  lambda x: left(x, 40)), ';') AS tags FROM documents""")
 def evidence_tags(spark, folder):
-    rows = table(spark, folder, "documents").where("text IS NOT NULL")
+    rows = table(spark, folder, "documents")
     return rows.select("doc_id", F.array_join(text.tags(F.col("text")), ";").alias("tags"))
 
 
@@ -456,5 +472,263 @@ def _pad(byte: int) -> str:
 @query(f"""
 SELECT doc_id, sha256(unhex('{_pad(0x5C)}') || unhex(sha256(unhex('{_pad(0x36)}') || encode(text)))) AS hmac FROM documents WHERE text IS NOT NULL""")
 def batch_hmac(spark, folder):
-    rows = table(spark, folder, "documents").where("text IS NOT NULL")
+    rows = table(spark, folder, "documents")
     return rows.select("doc_id", F.lower(F.hex(hashing.hmac_sha256(KEY, F.col("text")))).alias("hmac"))
+
+
+@query("""
+SELECT o_custkey AS user_id, o_orderkey AS grant_id FROM orders WHERE o_orderstatus <> 'P' AND (o_orderkey % 4 = 0 OR o_orderdate > TIMESTAMP '1996-01-01')
+QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) = 1""")
+def active_grant(spark, folder):
+    """orders as grants: pending ones are revoked, one in four has no end."""
+    grants = table(spark, folder, "orders").select(
+        F.col("o_custkey").alias("user_id"),
+        F.col("o_orderkey").alias("grant_id"),
+        F.col("o_orderdate").alias("created_at"),
+        F.when(F.col("o_orderkey") % 4 > 0, F.col("o_orderdate")).alias("valid_until"),
+        F.when(F.col("o_orderstatus") == "P", F.col("o_orderdate")).alias("revoked_at"),
+    )
+    return store.active_grants(grants, ["user_id"], F.to_timestamp(F.lit("1996-01-01 00:00:00"))).select("user_id", "grant_id")
+
+
+def links_of(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(content, links, imports): parts are content, order lines link it to orders, which are imports of no tenant but one."""
+    tenant = F.lit(1).alias("tenant_id")
+    platform = F.when(F.col("p_partkey") % 3 == 0, "x").when(F.col("p_partkey") % 3 == 1, "reddit").otherwise("tiktok").alias("platform")
+    content = table(spark, folder, "part").select(tenant, F.col("p_partkey").alias("content_id"), platform)
+    links = table(spark, folder, "lineitem").select(tenant, F.col("l_orderkey").alias("import_id"), F.col("l_partkey").alias("content_id"))
+    status = F.when(F.col("o_orderkey") % 10 == 1, "ready").otherwise("failed").alias("status")
+    imports = table(spark, folder, "orders").select(tenant, F.col("o_orderkey").alias("import_id"), status)
+    return content, links, imports
+
+
+@query("""
+SELECT p_partkey AS content_id, CASE p_partkey % 3 WHEN 0 THEN 'x' ELSE 'reddit' END AS platform FROM part
+WHERE p_partkey % 3 < 2 AND p_partkey IN (SELECT l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey % 10 = 1)""")
+def selected_content(spark, folder):
+    return store.selected_content(*links_of(spark, folder)).select("content_id", "platform")
+
+
+@query("""
+WITH l AS (SELECT DISTINCT l_orderkey AS i, l_partkey AS c FROM lineitem),
+a AS (SELECT i, c FROM l UNION SELECT o_orderkey, c FROM orders JOIN l ON i = o_orderkey - 2 WHERE o_orderkey % 7 = 0)
+SELECT o_orderkey AS import_id, coalesce(n, 0)::BIGINT AS record_count, CASE WHEN o_orderkey % 7 = 0 AND h THEN (o_orderkey - 2) % 2 ELSE o_orderkey % 2 END::BIGINT AS format
+FROM (SELECT *, o_orderkey - 2 IN (SELECT o_orderkey FROM orders) AS h FROM orders) LEFT JOIN (SELECT i, count(*) AS n FROM a GROUP BY i) ON i = o_orderkey""")
+def finish_duplicates(spark, folder):
+    """One order in seven is a duplicate import of the order two before it."""
+    key = F.col("import_id")
+    _, links, imports = links_of(spark, folder)
+    imports = imports.withColumn("holder_id", F.when(key % 7 == 0, key - 2)).withColumn("format", key % 2).withColumn("record_count", F.lit(0).cast("long"))
+    return store.finish_duplicates(imports, links)[0].select("import_id", "record_count", "format")
+
+
+@query("""
+SELECT o_orderkey AS import_id, o_orderdate AS purge_after FROM orders WHERE o_orderdate <= TIMESTAMP '1996-01-01' AND o_orderkey % 3 > 0 ORDER BY o_orderdate, o_orderkey LIMIT 100""")
+def due_purges(spark, folder):
+    rows = table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("import_id"), F.col("o_orderdate").alias("purge_after"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderdate")).alias("raw_purged_at")
+    )
+    return store.due_purges(rows, F.to_timestamp(F.lit("1996-01-01 00:00:00"))).select("import_id", "purge_after")
+
+
+@query("""
+SELECT o_custkey AS user_id, o_orderkey AS import_id, place::INT AS place FROM (
+  SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS place FROM orders WHERE o_orderkey > 100) WHERE place <= 6""")
+def import_page(spark, folder):
+    rows = table(spark, folder, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("import_id"), F.col("o_orderdate").alias("created_at"))
+    return review.import_list(rows, ["user_id"], cursor=F.lit(100), limit=5).select("user_id", "import_id", "place")
+
+
+@query("""
+WITH RECURSIVE r AS (
+  SELECT user_id AS u, event_type AS t, event_id AS id, ts, (props->>'$.k')::INT % 2 AS h, CASE WHEN event_id % 3 = 0 THEN ts + INTERVAL 1 HOUR END AS done,
+         row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events),
+s AS (
+  SELECT u, t, id, n, h, done, ts + INTERVAL 2 HOUR AS until, 'fresh' AS outcome FROM r WHERE n = 1
+  UNION ALL
+  SELECT q.u, q.t, q.id, q.n, CASE WHEN q.o = 'fresh' THEN q.nh ELSE q.h END, CASE WHEN q.o = 'fresh' THEN q.nd ELSE q.done END, CASE WHEN q.o = 'fresh' THEN q.ts + INTERVAL 2 HOUR ELSE q.until END, q.o
+  FROM (SELECT r.u, r.t, r.id, r.n, r.ts, r.h AS nh, r.done AS nd, s.h, s.done, s.until,
+          CASE WHEN s.h <> r.h THEN 'conflict' WHEN s.done <= r.ts THEN 'replay' WHEN s.until > r.ts THEN 'in_progress' ELSE 'fresh' END AS o
+        FROM s JOIN r ON r.u = s.u AND r.t = s.t AND r.n = s.n + 1) q)
+SELECT id AS request_id, outcome FROM s""")
+def idempotency_claims(spark, folder):
+    """events as requests of a user by type; one in three is answered after an hour, the lock holds for two."""
+    requests = table(spark, folder, "events").select(
+        "user_id",
+        "event_type",
+        F.col("event_id").alias("request_id"),
+        F.col("ts").cast("timestamp").alias("at"),
+        (F.get_json_object("props", "$.k").cast("int") % 2).cast("string").alias("hash"),
+        F.when(F.col("event_id") % 3 == 0, F.col("ts").cast("timestamp") + F.expr("INTERVAL 1 HOUR")).alias("done_at"),
+    )
+    return store.idempotency(requests, ["user_id", "event_type"], 7200).select("request_id", "outcome")
+
+
+@query("""
+WITH RECURSIVE i AS (
+  SELECT source AS tenant, doc_id, (length(text) + 3) // 4 + 4 AS c, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents),
+p AS (
+  SELECT tenant, doc_id, r, 0 AS b, 0 AS k, c AS state, c + 3000 AS request FROM i WHERE r = 1
+  UNION ALL
+  SELECT tenant, doc_id, r, CASE WHEN full_ THEN b + 1 ELSE b END, CASE WHEN full_ THEN 0 ELSE k + 1 END,
+         CASE WHEN full_ THEN c ELSE state + c END, CASE WHEN full_ THEN c + 3000 ELSE request + c + 3000 END
+  FROM (SELECT i.tenant, i.doc_id, i.r, b, k, state, request, c, p.k + 1 >= 8 OR state + c > 20000 OR request + c + 3000 > 48000 AS full_
+        FROM p JOIN i ON i.tenant IS NOT DISTINCT FROM p.tenant AND i.r = p.r + 1))
+SELECT doc_id, tenant, b::INT AS batch_ordinal, k::INT AS item_index FROM p""")
+def pack_screen_batches(spark, folder):
+    rows = content_items(spark, folder).select("doc_id", "tenant", F.col("body").alias("text"))
+    return scan.screen_batches(rows, "tenant", ["doc_id"], question_tokens=3000).select("doc_id", "tenant", "batch_ordinal", "item_index")
+
+
+def screened(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(posts, hits, confirmed): documents as posts of two concerns; what is answered follows from the number."""
+    k = F.col("post_id")
+    posts = table(spark, folder, "documents").select(F.col("doc_id").alias("post_id"), "text")
+    plan = scan.screen_plan(posts.withColumnRenamed("post_id", "id"), ["hate", "drug_use"], "id")
+    answers = plan.select("post_id", "concern", F.when(k % 7 > 0, (k % 20) / 100.0 + F.when(F.col("concern") == "hate", 0.05).otherwise(0.0)).alias("score"))
+    hits = scan.screen_hits(plan, answers)
+    told = hits.select("post_id", "concern", F.when(k % 11 > 0, (k % 9) / 10.0 + F.when(F.col("concern") == "hate", 0.05).otherwise(0.1)).alias("score"))
+    return posts, hits, scan.confirmations(hits, told)
+
+
+@query(r"""
+WITH p AS (SELECT doc_id AS id, c AS concern, CASE c WHEN 'hate' THEN 0 ELSE 1 END AS place FROM documents, (VALUES ('hate'), ('drug_use')) v(c) WHERE regexp_replace(text, '[\s\p{Z}]', '', 'g') <> ''),
+h AS (SELECT *, CASE WHEN id % 7 > 0 THEN (id % 20) / 100.0::DOUBLE + CASE concern WHEN 'hate' THEN 0.05 ELSE 0.0 END ELSE 1.0 END AS s FROM p),
+c AS (SELECT id, concern, place, CASE WHEN id % 11 > 0 THEN (id % 9) / 10.0::DOUBLE + CASE concern WHEN 'hate' THEN 0.05 ELSE 0.1 END END AS t FROM h WHERE s >= 0.15),
+e AS (SELECT id, bool_or(t IS NULL) AS failed, max(t) AS best FROM c GROUP BY id),
+f AS (SELECT id, arg_min(concern, place) AS concern, arg_min(t, place) AS t FROM c JOIN e USING (id) WHERE NOT failed AND t >= 0.3 AND t >= best - 0.1 - 1e-12 GROUP BY id),
+m AS (SELECT id, max(s) AS top FROM h GROUP BY id)
+SELECT doc_id AS post_id, CASE WHEN NOT coalesce(failed, false) THEN CASE WHEN f.concern IS NOT NULL THEN 'flag' ELSE 'no_flag' END END AS decision, f.concern AS category,
+       round(coalesce(f.t, 1.0 - coalesce(top, 0.0)), 9)::DOUBLE AS confidence, CASE f.concern WHEN 'drug_use' THEN 'risky_drug_use' END AS reason_code,
+       CASE WHEN failed THEN 'SCAN_CONFIRM_MISSING' END AS error
+FROM documents LEFT JOIN e ON e.id = doc_id LEFT JOIN f ON f.id = doc_id LEFT JOIN m ON m.id = doc_id""")
+def screen_documents(spark, folder):
+    """Screening in two stages, over all documents, with one result for each."""
+    posts, hits, confirmed = screened(spark, folder)
+    out = scan.screen_results(posts, hits, scan.primary_concern(confirmed), confirmed)
+    return out.withColumn("confidence", F.round("confidence", 9))
+
+
+@query("""
+SELECT doc_id, CASE doc_id % 6 WHEN 1 THEN 'SCAN_OUTPUT_JSON' WHEN 2 THEN 'SCAN_OUTPUT_JSON' WHEN 3 THEN 'SCAN_OUTPUT_SCHEMA' WHEN 4 THEN 'SCAN_OUTPUT_SCHEMA' END AS error,
+       CASE WHEN doc_id % 6 IN (0, 5) THEN left(text, 30) END AS quote FROM documents""")
+def parsed_answers(spark, folder):
+    """Recorded answers about documents, most with a fault: trailing text, a code fence, a key too many, a key missing."""
+    k = F.col("doc_id") % 6
+    result = F.struct(
+        F.lit(0).alias("item_index"), F.lit("flag").alias("decision"), F.lit("low").alias("risk"), F.lit("hate").alias("category"), F.lit(0.5).alias("confidence"),
+        F.array(F.struct(F.lit("c").alias("code"), F.lit("s").alias("summary"))).alias("reasons"),
+        F.array(F.struct(F.left("text", F.lit(30)).alias("text"), F.lit("c").alias("supports_reason_code"))).alias("evidence"),
+    )
+    good = F.to_json(F.struct(F.lit("1").alias("schema_version"), F.array(result).alias("results")))
+    raw = (
+        F.when(k == 1, F.concat(good, F.lit(" and more")))
+        .when(k == 2, F.concat(F.lit("```json\n"), good, F.lit("\n```")))
+        .when(k == 3, F.regexp_replace(good, "^[{]", '{"note":1,'))
+        .when(k == 4, F.regexp_replace(good, '"risk":"low",', ""))
+        .when(k == 5, F.concat(F.lit(" \n"), good, F.lit("\n")))
+        .otherwise(good)
+    )
+    out = scan.parse_answers(table(spark, folder, "documents").select("doc_id", raw.alias("raw")))
+    return out.select("doc_id", "error", F.col("answer.results")[0]["evidence"][0]["text"].alias("quote"))
+
+
+@query("""
+WITH r AS (SELECT l_orderkey AS b, l_linenumber - CASE WHEN l_orderkey % 5 = 0 AND l_linenumber = 2 THEN 2 ELSE 1 END AS i FROM lineitem WHERE NOT (l_orderkey % 3 = 0)),
+f AS (SELECT b, count(*) AS n, count(DISTINCT i) AS d, min(i) AS lo, max(i) AS hi FROM r GROUP BY b),
+s AS (SELECT l_orderkey AS b, count(*) AS size FROM lineitem GROUP BY l_orderkey)
+SELECT s.b AS batch, coalesce(n = size AND d = size AND lo = 0 AND hi = size - 1, false) AS ok FROM s LEFT JOIN f ON f.b = s.b""")
+def batch_completeness(spark, folder):
+    """Order lines as results of orders: some have an index twice, some orders have none at all."""
+    line, key = table(spark, folder, "lineitem"), F.col("l_orderkey")
+    sizes = line.groupBy(key.alias("batch")).agg(F.count("*").alias("batch_items"))
+    shift = F.when((key % 5 == 0) & (F.col("l_linenumber") == 2), 2).otherwise(1)
+    results = line.where(key % 3 != 0).select(key.alias("batch"), (F.col("l_linenumber") - shift).alias("item_index"))
+    return scan.index_errors(sizes, results, ["batch"])
+
+
+@query("""
+SELECT doc_id AS flag_id, CASE WHEN doc_id % 2 = 0 THEN 'Reddit' ELSE 'X' END AS platform_label, strftime(TIMESTAMP '1970-01-01' + to_days((doc_id % 50)::INT), '%b %-d, %Y') AS date,
+       CASE WHEN doc_id % 3 = 0 THEN 'drug_use' ELSE 'other' END AS category, CASE WHEN doc_id % 3 = 0 THEN 'Matches your drug-use review concern.' ELSE 'Matches your other review concern.' END AS why_flagged,
+       CASE WHEN doc_id % 7 < 5 THEN 'open' ELSE 'resolved' END AS status FROM documents""")
+def flag_detail(spark, folder):
+    k = F.col("doc_id")
+    flags = content_items(spark, folder).select(
+        k.alias("flag_id"), "platform", "body", F.timestamp_seconds(k % 50 * 86400).alias("created_at"), F.when(k % 3 == 0, "drug_use").alias("category"),
+        F.lit("a|b").alias("evidence"), F.lit(None).cast("string").alias("reason_summary"), F.when(k % 7 < 5, "open").otherwise("closed").alias("status"),
+    )
+    return review.flag_cards(flags).select("flag_id", "platform_label", "date", "category", "why_flagged", "status")
+
+
+@query("""
+WITH a AS (SELECT l_partkey AS f, arg_min(CASE WHEN l_returnflag = 'R' THEN 'resolved' ELSE 'closed' END, l_orderkey * 10 + l_linenumber) AS s FROM lineitem GROUP BY l_partkey)
+SELECT p_partkey AS flag_id, CASE WHEN p_partkey % 4 = 0 THEN 'snoozed' ELSE coalesce(s, 'open') END AS status FROM part LEFT JOIN a ON f = p_partkey""")
+def reviewed_flags(spark, folder):
+    """parts as flags, order lines as actions on them: the first action counts, on open flags only."""
+    flags = table(spark, folder, "part").select(F.col("p_partkey").alias("flag_id"), F.when(F.col("p_partkey") % 4 == 0, "snoozed").otherwise("open").alias("status"))
+    order = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    actions = table(spark, folder, "lineitem").select(
+        F.col("l_partkey").alias("flag_id"), F.lit("review").alias("action"), F.when(F.col("l_returnflag") == "R", "resolved").otherwise("closed").alias("new_status"),
+        order.alias("created_at"), order.alias("action_id"),
+    )
+    return store.first_reviews(flags, actions).select("flag_id", "status")
+
+
+@query("""
+SELECT o_orderkey AS flag_id, o_orderkey % 6 = 0 OR o_custkey % 5 = 0 AS hidden FROM orders""")
+def hidden_flags(spark, folder):
+    """customers as content, one in five deleted; orders as their flags, one in six hidden before."""
+    content = table(spark, folder, "customer").select(F.col("c_custkey").alias("content_id"), F.lit(None).cast("timestamp").alias("purged_at"))
+    then, now = (F.to_timestamp(F.lit(x)) for x in ("1995-01-01 00:00:00", "1996-01-01 00:00:00"))
+    flags = table(spark, folder, "orders").select(F.col("o_orderkey").alias("flag_id"), F.col("o_custkey").alias("content_id"), F.when(F.col("o_orderkey") % 6 == 0, then).alias("hidden_at"))
+    _, out = store.hide_content(content, flags, content.where("content_id % 5 = 0"), now)
+    return out.select("flag_id", F.col("hidden_at").isNotNull().alias("hidden"))
+
+
+@query("""
+SELECT 'orders' AS kind, count(*) AS rows FROM orders WHERE o_custkey % 10 > 0 OR o_custkey % 20 = 0
+UNION ALL SELECT 'customers', count(*) FROM customer WHERE c_custkey % 10 > 0 OR c_custkey % 20 = 0""")
+def deletions_replayed(spark, folder):
+    """One customer in ten is deleted, half of them before the restore point."""
+    users = table(spark, folder, "customer").select(F.col("c_custkey").alias("tenant_id"))
+    at = F.when(F.col("tenant_id") % 20 == 0, "1995-01-01 00:00:00").otherwise("1997-01-01 00:00:00")
+    markers = users.where("tenant_id % 10 = 0").withColumn("deleted_at", F.to_timestamp(at))
+    tables = {"orders": table(spark, folder, "orders").select(F.col("o_custkey").alias("tenant_id")), "customers": users}
+    left = store.replay_deletions(markers, F.to_timestamp(F.lit("1996-01-01 00:00:00")), tables)
+    one, two = (t.agg(F.lit(name).alias("kind"), F.count("*").alias("rows")) for name, t in left.items())
+    return one.unionByName(two)
+
+
+@query("""
+SELECT source AS tenant, count(*) AS calls, sum(100 + doc_id % 37)::BIGINT AS input_tokens, sum(doc_id % 31)::BIGINT AS cached_tokens, sum(doc_id % 17)::BIGINT AS output_tokens FROM documents GROUP BY source""")
+def usage_by_tenant(spark, folder):
+    k = F.col("doc_id")
+    calls = table(spark, folder, "documents").select(F.col("source").alias("tenant"), (100 + k % 37).alias("input_tokens"), (k % 31).alias("cached_tokens"), (k % 17).alias("output_tokens"))
+    return evaluate.usage(calls, ["tenant"])
+
+
+@query("""
+SELECT count(*) FILTER (doc_id % 5 = 0 AND doc_id % 3 > 0) / nullif(count(*) FILTER (doc_id % 5 = 0), 0) AS amplified_accuracy, count(*) FILTER (doc_id % 50 = 1) / nullif(count(*), 0) AS failure_rate FROM documents""")
+def evaluation_rates(spark, folder):
+    k = F.col("doc_id")
+    return evaluate.rates(table(spark, folder, "documents").select((k % 5 == 0).alias("amplified"), (k % 3 > 0).alias("wording_ok"), (k % 50 == 1).alias("failed")))
+
+
+@query("""
+SELECT source AS tenant, count(*) FILTER (contains(text, 'the')) AS findings FROM documents GROUP BY source""")
+def privacy_findings(spark, folder):
+    rows = table(spark, folder, "documents").select(F.col("source").alias("tenant"), F.col("text").alias("payload"), F.lit("the").alias("source_id"))
+    return evaluate.privacy_findings(rows, ["tenant"])
+
+
+@query("""
+SELECT l_orderkey AS id, l_linenumber AS line, CASE WHEN l_orderkey % 3 = 0 THEN CASE WHEN l_partkey <= l_suppkey THEN 'a' ELSE 'b' END
+  WHEN l_linenumber % 2 <> l_suppkey % 2 THEN CASE WHEN l_linenumber % 2 > l_suppkey % 2 THEN 'a' ELSE 'b' END
+  WHEN l_discount <> l_tax THEN CASE WHEN l_discount < l_tax THEN 'a' ELSE 'b' END
+  WHEN l_partkey <= l_suppkey THEN 'a' ELSE 'b' END AS winner FROM lineitem""")
+def report_winner(spark, folder):
+    """Order lines as pairs of reports."""
+    a = F.struct((F.col("l_linenumber") % 2).alias("recall"), F.col("l_discount").alias("cost"), F.col("l_partkey").alias("hash"), F.col("l_partkey").alias("prompt_hash"))
+    b = F.struct((F.col("l_suppkey") % 2).alias("recall"), F.col("l_tax").alias("cost"), F.col("l_suppkey").alias("hash"), F.col("l_suppkey").alias("prompt_hash"))
+    rows = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), a.alias("a"), b.alias("b"))
+    return rows.select("id", "line", evaluate.winner(rows, F.col("id") % 3 == 0).alias("winner"))
