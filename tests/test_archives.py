@@ -49,23 +49,39 @@ def test_archive_rules(spark):
 def test_csv_records(spark, tmp_path):
     path = tmp_path / "comments.csv"
     lines = [
-        "﻿id,permalink,date,extra,parent,body",
-        'a1,https://r/r/s/comments/p1/t/a1/,2020-01-02 03:04:05 UTC,x,t3_p1,"He said ""hi"",\r\nthen left"',
-        "a2,,2020-01-02T03:04:05Z,x,t1_b,[deleted]",
-        "a3,,yesterday,x,t1_b,text",
-        "A4,,2020-01-02T03:04:05Z,x,t1_b,text",
-        "a5,https://r/r/s/comments/p1/t/zz/,2020-01-02T03:04:05Z,x,t1_b,text",
-        "a6,,2020-01-02T03:04:05Z,x,b,text",
-        "a7,,2020-01-02T03:04:05Z,x,t1_b,  ",
-        "a8,,2020-01-02T03:04:05Z,x,t1_b,[removed]",
+        "﻿id,permalink,date,extra,subreddit,parent,body",
+        'a1,https://r/r/s/comments/p1/t/a1/,2020-01-02 03:04:05 UTC,x,s,t3_p1,"He said ""hi"",\r\nthen left"',
+        "a2,,2020-01-02T03:04:05Z,x,s,t1_b,[deleted]",
+        "a3,,yesterday,x,s,t1_b,text",
+        "A4,,2020-01-02T03:04:05Z,x,s,t1_b,text",
+        "a5,https://r/r/s/comments/p1/t/zz/,2020-01-02T03:04:05Z,x,s,t1_b,text",
+        "a6,,2020-01-02T03:04:05Z,x,s,b,text",
+        "a7,,2020-01-02T03:04:05Z,x,s,t1_b,  ",
+        "a8,,2020-01-02T03:04:05Z,x,s,t1_b,[removed]",
     ]
     path.write_text("\n".join(lines) + "\n", newline="")
     got = {r.source_id: r for r in archives.csv_records(archives.read_csv(spark, str(path), "comments"), "comments").collect()}
     assert got["a1"].body == 'He said "hi",\nthen left' and got["a1"].error is None and got["a1"].parent_id == "p1"
     assert (got["a2"].state, got["a2"].body) == ("deleted", None) and got["a8"].state == "removed"
-    assert [got[k].error for k in ("a3", "A4", "a5", "a6", "a7")] == [
-        "invalid_timestamp", "invalid_identifier", "identifier_mismatch", "invalid_identifier", "malformed_record",
-    ]
+    assert [got[k].error for k in ("a3", "A4", "a5", "a6", "a7")] == ["invalid_record"] * 5 and got["a1"].format_confidence == "compatible"
+
+
+def test_posts_need_text_and_width(spark, tmp_path):
+    path = tmp_path / "posts.csv"
+    lines = [
+        ",".join(archives.POSTS),
+        "a1,/r/s/comments/a1/t/,2020-01-02T03:04:05Z,s,Title,,Body",
+        "a2,/r/s/comments/a2/t/,2020-01-02T03:04:05Z,s, ,,Body",
+        "a3,/r/s/comments/a3/t/,2020-01-02T03:04:05Z,s,Title,,  ",
+        "a4,/r/s/comments/other/t/,2020-01-02T03:04:05Z,s,Title,,Body",
+        "a5,/r/s/comments/a5/t/,2020-01-02T03:04:05Z,s,[deleted by user],,",
+        "a6,/r/s/comments/a6/t/,2020-01-02T03:04:05Z,s,Title",
+    ]
+    path.write_text("\n".join(lines) + "\n", newline="")
+    got = {r.source_id: r for r in archives.csv_records(archives.read_csv(spark, str(path), "posts"), "posts").collect()}
+    assert got["a1"].error is None and (got["a1"].title, got["a1"].body, got["a1"].format_confidence) == ("Title", "Body", "provisional")
+    assert [got[k].error for k in ("a2", "a3", "a4", "a6")] == ["invalid_record"] * 4
+    assert (got["a5"].state, got["a5"].error, got["a5"].title) == ("deleted", None, None)
 
 
 def test_tweets(spark):
@@ -76,16 +92,27 @@ def test_tweets(spark):
       {{"tweet": {{"id_str": "4", "full_text": "RT @who: said", {at}}}}},
       {{"tweet": {{"id_str": "5", "full_text": "r", "in_reply_to_status_id_str": "4", {at}}}}},
       {{"tweet": {{"id_str": "6", "full_text": "q", "entities": {{"urls": [{{"expanded_url": "https://x.com/u/status/77?s=1"}}]}}, {at}}}}},
-      {{"tweet": {{"id_str": "7", "full_text": "d", "created_at": "Thu Oct 10 20:19:24 +0000 2018"}}}}
+      {{"tweet": {{"id_str": "7", "full_text": "d", "created_at": "Thu Oct 10 20:19:24 +0000 2018"}}}},
+      {{"tweet": {{"id_str": "8", "full_text": "see  https://t.co/a now", "entities": {{"urls": [{{"url": "https://t.co/a", "expanded_url": "https://x.com/u/status/77"}}]}}, {at}}}}},
+      {{"tweet": {{"id_str": "9", "full_text": "r", "in_reply_to_status_id": 4, "entities": {{"urls": [{{"url": "t", "expanded_url": "https://x.com/u/status/77"}}]}}, {at}}}}},
+      {{"tweet": {{"id_str": "10", "full_text": "", {at}}}}},
+      {{"tweet": {{"id_str": "11", "full_text": "e", "edit_control": {{"edit_tweet_ids": []}}, {at}}}}},
+      {{"tweet": {{"id_str": "12", "full_text": "e", "edit_control": {{"edit_tweet_ids": ["1", "12"]}}, {at}}}}}
     ];"""
-    entries = spark.createDataFrame([("z", "data/tweets.js", body.encode()), ("z", "bad.js", b"alert(1)")], "archive string, name string, content binary")
+    gone = f"""window.YTD.deleted_tweets.part0 = [ {{"tweet": {{"id_str": "20", "full_text": "RT @who: said", {at}}}}} ]"""
+    entries = spark.createDataFrame([("z", "data/tweets.js", body.encode()), ("z", "d.js", gone.encode()), ("z", "bad.js", b"alert(1)")], "archive string, name string, content binary")
     elements = archives.js_elements(entries)
     assert elements.where("error = 'malformed_wrapper'").count() == 1
     got = {r.revision: r for r in archives.tweets(elements).collect()}
     assert got["18446744073709551615"].body == "a &amp; b" and got["18446744073709551615"].created_at == datetime.datetime(2018, 10, 10, 20, 19, 24)
-    assert got["2"].error == "identifier_mismatch" and got["7"].error == "invalid_timestamp"
-    assert (got["4"].kind, got["4"].body) == ("repost", "said")
-    assert (got["5"].kind, got["5"].parent_id, got["6"].kind, got["6"].quoted_id) == ("reply", "4", "quote", "77")
+    assert [got[k].error for k in ("2", "7", "10", "11", "12")] == ["invalid_record", "invalid_record", "invalid_record", "invalid_edit_chain", None]
+    assert (got["4"].kind, got["4"].body, got["4"].authorship) == ("repost", "said", "reshared")
+    assert (got["5"].kind, got["5"].parent_id, got["5"].relation_confidence) == ("reply", "4", "explicit")
+    assert (got["6"].kind, got["6"].quoted_id) == ("post", None)  # a link without its token in the text
+    assert (got["8"].kind, got["8"].quoted_id, got["8"].body) == ("quote", "77", "see now")
+    assert (got["9"].kind, got["9"].quoted_id, got["9"].parent_id) == ("reply", None, "4")
+    assert (got["20"].state, got["20"].kind, got["20"].body, got["20"].error) == ("deleted", "post", None, None)
+    assert (got["12"].logical_id, got["12"].chain) == ("1", ["1", "12"])
 
 
 def test_resolution(spark):
@@ -162,3 +189,43 @@ def test_hmac_and_screening(spark):
 def test_unknown_suite(spark):
     with pytest.raises(ValueError):
         archives.gold_cases(spark, "/nowhere", "other")
+
+
+def test_strict_answers(spark):
+    good = '{"schema_version": "1", "results": [{"item_index": 0, "decision": "no_flag", "risk": "none", "category": null, "confidence": 1, "reasons": [], "evidence": []}]}'
+    cases = {
+        good: None, f" {good} \n": None, "": "SCAN_OUTPUT_JSON", good + "x": "SCAN_OUTPUT_JSON", good.replace("1,", "NaN,", 1): "SCAN_OUTPUT_JSON",
+        f"```{good}```": "SCAN_OUTPUT_JSON", "[]": "SCAN_OUTPUT_SCHEMA", good.replace('"risk": "none", ', ""): "SCAN_OUTPUT_SCHEMA", good.replace("{", '{"x": 1, ', 1): "SCAN_OUTPUT_SCHEMA",
+        good.replace("0,", '"0",', 1): "SCAN_OUTPUT_SCHEMA", "[" * 5000: "SCAN_OUTPUT_JSON",
+    }
+    found = scan.parse_answers(spark.createDataFrame([(k,) for k in cases] + [(None,)], "raw string")).collect()
+    assert {r.raw: r.error for r in found} == cases | {None: "SCAN_OUTPUT_JSON"}
+    assert all((r.answer is None) == (r.error is not None) for r in found)
+
+
+def test_numbers_are_decoded_like_one_by_one():
+    def plainly(x):
+        while (at := x.find("&#")) >= 0:
+            end = x.find(";", at)
+            found = text._character(x[at + 2 : end]) if end >= 0 else None
+            if found is None:
+                return x
+            x = x[:at] + found + x[end + 1 :]
+        return x
+
+    for x in ("&#38;#65;&#66;", "&&#35;65;!", "a&#38;#38;#67;", "&#x41;&#;&#66;", "&#38;&#35;65;", "&#1114112;", "no", "&#65", "&#38;#38;#35;68;"):
+        assert text._decode_numbers(x) == plainly(x)
+    assert text._decode_numbers("&#65;" * 200_000) == "A" * 200_000
+
+
+def test_packing_with_a_second_cost(spark):
+    rows = [(k, 10, 5 if k % 3 else 30) for k in range(60)]
+    items = spark.createDataFrame([("s", *r) for r in rows], "scan string, id int, tokens long, other long").repartition(4)
+    got = {r.id: (r.batch_ordinal, r.item_index) for r in scan.pack(items, "scan", ["id"], max_items=8, max_tokens=1000, base=0, per_item=0, max_output=8, out=1, also=("other", 50)).collect()}
+    batch, index, total, wanted = 0, 0, 0, {}
+    for k, _, n in rows:
+        if index and (index >= 8 or total + n > 50):
+            batch, index, total = batch + 1, 0, 0
+        wanted[k] = (batch, index)
+        index, total = index + 1, total + n
+    assert got == wanted

@@ -9,6 +9,7 @@ from __future__ import annotations
 import io
 import json
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,26 +44,34 @@ def zip_entries(files: DataFrame) -> DataFrame:
         import re
 
         allowed = re.compile(wanted)
+
+        def one(row: dict) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([row], schema=kinds)
+
         for batch in batches:
             for archive, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows: list[dict] = []
+                none = dict.fromkeys(("ordinal", "name", "size", "compressed", "method", "encrypted", "content")) | {"archive": archive}
                 try:
                     end = content.rfind(b"PK\5\6")
                     if content[:4] not in (b"PK\3\4", b"PK\5\6") or end < 0 or end + 22 + int.from_bytes(content[end + 20 : end + 22], "little") != len(content):
                         raise zipfile.BadZipFile
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        for k, e in enumerate(z.infolist()):
+                        listed = z.infolist()
+                        mine = [e for e in listed if allowed.match(e.filename)]
+                        # By the directory alone: an archive beyond the limits is listed, and nothing of it inflated.
+                        fits = len(listed) <= MAX_ENTRIES and len(mine) <= MAX_SELECTED and sum(e.file_size for e in mine) <= MAX_TOTAL
+                        fits &= all(e.file_size <= MAX_ENTRY and e.file_size // max(e.compress_size, 1) <= MAX_RATIO for e in mine)
+                        for k, e in enumerate(listed):
                             row = {"archive": archive, "ordinal": k, "name": e.filename, "size": e.file_size, "compressed": e.compress_size}
                             row |= {"method": e.compress_type, "encrypted": bool(e.flag_bits & 1), "content": None, "error": None}
-                            if allowed.match(e.filename) and e.file_size <= MAX_ENTRY and not row["encrypted"]:
+                            if fits and allowed.match(e.filename) and not row["encrypted"]:
                                 try:
                                     row["content"] = z.read(e)
-                                except (zipfile.BadZipFile, NotImplementedError, EOFError, OSError, ValueError):
+                                except (zipfile.BadZipFile, NotImplementedError, EOFError, OSError, ValueError, zlib.error):
                                     row["error"] = "integrity_mismatch"
-                            rows.append(row)
+                            yield one(row)
                 except (zipfile.BadZipFile, UnicodeDecodeError):
-                    rows = [dict.fromkeys(("ordinal", "name", "size", "compressed", "method", "encrypted", "content")) | {"archive": archive, "error": "invalid_archive"}]
-                yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+                    yield one(none | {"error": "invalid_archive"})
 
     kinds = pa.schema(
         [("archive", pa.string()), ("ordinal", pa.int32()), ("name", pa.string()), ("size", pa.int64()), ("compressed", pa.int64()), ("method", pa.int32()), ("encrypted", pa.bool_()), ("content", pa.binary()), ("error", pa.string())]
@@ -127,54 +136,75 @@ def archive_errors(entries: DataFrame, platform: str) -> DataFrame:
 # Comma-separated records ------------------------------------------------------------------------------------------------
 
 _ID = r"^[a-z0-9]{1,20}$"
+# The columns of both files.
+COMMENTS = ("id", "permalink", "date", "subreddit", "parent", "body")
+POSTS = ("id", "permalink", "date", "subreddit", "title", "url", "body")
+MAX_HEADER = 16 << 10
 
 
 def read_csv(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """(id, permalink, created, parent, title, body, malformed) of a comments or posts file. Columns go by name, whatever
-    their order; a byte order mark is skipped; quotes are doubled; records may span lines.
+    """(id, permalink, created, parent, title, body, record_bytes, malformed, format_confidence) of a comments or posts file.
+
+    Columns go by name, whatever their order; a byte order mark is skipped; quotes are doubled; records may span lines. A
+    record of another width is malformed. format_confidence: confirmed for exactly the columns of comments, compatible
+    for others of comments, provisional for posts.
     """
-    names = ("id", "permalink", "date", "parent", "body") if kind == "comments" else ("id", "permalink", "date", "title", "url", "body")
+    names = COMMENTS if kind == "comments" else POSTS
     reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
     head = reader.csv(path)
+    if len("".join(head.columns).encode()) > MAX_HEADER:
+        raise ValueError(f"resource_limit: header of {path}")
     schema = ", ".join(f"`{c}` string" for c in head.columns) + ", _malformed string"
     rows = reader.schema(schema).option("columnNameOfCorruptRecord", "_malformed").option("enforceSchema", False).csv(path)
     missing = [c for c in names if c not in rows.columns]
     if missing:
-        raise ValueError(f"columns missing from {path}: {missing}")
+        raise ValueError(f"unsupported_format_version: {path} has no {missing}")
     null = F.lit(None).cast("string")
+    exact = "confirmed" if tuple(head.columns) == COMMENTS else "compatible"
+    size = sum((F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c in head.columns), F.lit(0))
     return rows.select(
-        "id", "permalink", F.col("date").alias("created"), *[F.col(c) if c in rows.columns else null.alias(c) for c in ("parent", "title", "body")], F.col("_malformed").isNotNull().alias("malformed")
+        "id", "permalink", F.col("date").alias("created"), *[F.col(c) if c in rows.columns else null.alias(c) for c in ("parent", "title", "body")],
+        size.alias("record_bytes"), F.col("_malformed").isNotNull().alias("malformed"), F.lit(exact if kind == "comments" else "provisional").alias("format_confidence"),
     )
 
 
 def csv_records(rows: DataFrame, kind: str) -> DataFrame:
-    """(source_id, created_at, state, title, body, parent_id, error) of read_csv's rows."""
-    linked = F.regexp_extract("permalink", r"/comments/([^/?#]+)", 1) if kind == "posts" else F.regexp_extract("permalink", r"/comments/[^/]+/[^/]*/([^/?#]+)", 1)
+    """(source_id, created_at, state, title, body, parent_id, format_confidence, error) of read_csv's rows.
+
+    A permalink's id is its last part for comments, and the part after `comments` for posts; one without that part names
+    none. What is deleted or removed has no text; what is active has to have some.
+    """
+    parts = F.filter(F.split(F.coalesce("permalink", F.lit("")), "/"), lambda p: p != "")
+    at_comments = F.array_position(parts, "comments").cast("int")
+    linked = F.when(at_comments > 0, F.get(parts, at_comments) if kind == "posts" else F.get(parts, F.size(parts) - 1))
     body, title = F.coalesce("body", F.lit("")), F.coalesce("title", F.lit(""))
     deleted = (body == "[deleted]") | title.isin("[deleted]", "[deleted by user]")
     removed = (body == "[removed]") | (title == "[removed]")
     state = F.when(deleted, "deleted").when(removed, "removed").otherwise("active")
+    active = state == "active"
     parent = F.coalesce("parent", F.lit(""))
     at = scalars.archive_time(F.col("created"))
     rules = [
-        (F.col("malformed"), "malformed_record"),
-        (~F.coalesce(F.col("id").rlike(_ID), F.lit(False)), "invalid_identifier"),
-        ((linked != "") & (linked != F.col("id")), "identifier_mismatch"),
-        (at.isNull(), "invalid_timestamp"),
-        ((F.octet_length(body) > MAX_FIELD) | (F.octet_length(title) > MAX_FIELD), "resource_limit"),
-        (F.lit(kind == "comments") & ~parent.rlike(r"^t[13]_[a-z0-9]{1,20}$"), "invalid_identifier"),
-        (F.lit(kind == "comments") & (state == "active") & (text.trim(body) == ""), "malformed_record"),
+        (F.col("record_bytes") > MAX_RECORD, "resource_limit"),
+        (F.col("malformed"), "invalid_record"),
+        (~F.coalesce(F.col("id").rlike(_ID), F.lit(False)), "invalid_record"),
+        (F.coalesce(linked != F.col("id"), F.lit(False)), "invalid_record"),
+        (active & ((F.octet_length(body) > MAX_FIELD) | (F.octet_length(title) > MAX_FIELD)), "resource_limit"),
+        (active & (text.trim(body) == ""), "invalid_record"),
+        (F.lit(kind == "posts") & active & (text.trim(title) == ""), "invalid_record"),
+        (F.lit(kind == "comments") & ~parent.rlike(r"^t[13]_[a-z0-9]{1,20}$"), "invalid_record"),
+        (at.isNull(), "invalid_record"),
     ]
     from ..operators.scan import first_error
 
-    active = state == "active"
     return rows.select(
         F.col("id").alias("source_id"),
         at.alias("created_at"),
         state.alias("state"),
-        F.when(active & (title != ""), text.import_text(title, False)).alias("title"),
+        F.when(active & F.lit(kind == "posts"), text.import_text(title, False)).alias("title"),
         F.when(active, text.import_text(body, False)).alias("body"),
-        F.when(parent != "", F.substring(parent, 4, 20)).alias("parent_id"),
+        F.when(F.lit(kind == "comments") & (parent != ""), F.substring(parent, 4, 20)).alias("parent_id"),
+        "format_confidence",
         first_error(rules).alias("error"),
     )
 
@@ -244,51 +274,68 @@ def status_id(url: Column) -> Column:
 
 
 def tweets(elements: DataFrame) -> DataFrame:
-    """(archive, name, ordinal, revision, created_at, state, kind, body, parent_id, quoted_id, chain, error) of elements of
-    tweets and deleted tweets. Ids stay strings: they are unsigned 64-bit numbers.
+    """(archive, name, ordinal, revision, logical_id, created_at, state, kind, authorship, body, parent_id, quoted_id,
+    relation_confidence, chain, error) of elements of tweets and deleted tweets. Ids stay strings: they are unsigned 64-bit
+    numbers.
+
+    What is deleted has no text, and can be a reply but no repost. A repost is neither a reply nor a quote; only what is no
+    reply can be a quote, and of exactly one other status; its link goes from its text, and white space there becomes
+    single blanks.
     """
     inner = F.coalesce(F.get_json_object("element", "$.tweet"), F.col("element"))
-    rows = elements.where(F.col("dataset").isin("tweets", "tweet", "deleted_tweets")).withColumn("_t", inner)
+    rows = elements.where(F.col("dataset").isin("tweets", "tweet", "deleted_tweets")).select("archive", "name", "ordinal", "dataset", "error", inner.alias("tweet"))
 
     def get(path: str) -> Column:
-        return F.get_json_object("_t", f"$.{path}")
+        return F.get_json_object("tweet", f"$.{path}")
 
+    digits = r"^[0-9]+$"
     own, number = get("id_str"), get("id")
     revision = F.coalesce(own, number)
-    body = F.coalesce(get("full_text"), get("text"))
-    chain = F.from_json(F.coalesce(get("edit_control.edit_tweet_ids"), get("editControl.editTweetIds"), get("edit_control.initial.editTweetIds")), "array<string>")
-    links = F.from_json(get("entities.urls"), "array<struct<url:string,expanded_url:string>>")
-    quoted = F.array_distinct(F.filter(F.transform(links, lambda u: status_id(u["expanded_url"])), lambda x: x.isNotNull() & (x != revision)))
-    reply = F.coalesce(get("in_reply_to_status_id_str"), get("in_reply_to_status_id"))
-    repost = F.coalesce(F.startswith(body, F.lit("RT @")), F.lit(False)) | get("retweeted_status").isNotNull()
     deleted = F.col("dataset") == "deleted_tweets"
-    kind = F.when(repost, "repost").when(reply.isNotNull(), "reply").when(F.size(quoted) == 1, "quote").otherwise("post")
+    body = F.when(~deleted, text.import_text(F.coalesce(get("full_text"), get("text")), True))
+    listed = F.coalesce(get("edit_control.edit_tweet_ids"), get("edit_control.editTweetIds"), get("editControl.edit_tweet_ids"), get("editControl.editTweetIds"))
+    chain = F.from_json(listed, "array<string>")
+    bad_chain = listed.isNotNull() & ~F.coalesce(F.forall(chain, lambda x: F.coalesce(x.rlike(digits), F.lit(False))) & F.array_contains(chain, revision), F.lit(False))
+    reply = F.coalesce(get("in_reply_to_status_id_str"), get("in_reply_to_status_id"))
+    repost = ~deleted & (F.coalesce(F.startswith(body, F.lit("RT @")), F.lit(False)) | get("retweeted_status").isNotNull())
+    links = F.from_json(get("entities.urls"), "array<struct<url:string,expanded_url:string>>")
+    links = F.transform(links, lambda u: F.struct(u["url"].alias("token"), status_id(u["expanded_url"]).alias("id")))
+    others = F.filter(links, lambda u: u["token"].isNotNull() & u["id"].isNotNull() & (u["id"] != revision))
+    can_quote = ~repost & reply.isNull() & (F.size(F.array_distinct(F.transform(others, lambda u: u["id"]))) == 1)
+    quoted = F.when(can_quote, F.get(others, F.lit(0))["id"])
+    without_link = text.trim(F.regexp_replace(F.replace(body, F.element_at(others, -1)["token"], F.lit("")), r"(?U)\s+", " "))
+    reposted = F.when(F.startswith(body, F.lit("RT @")), F.regexp_replace(body, r"(?Us)^RT @[^:]*:\s*", "")).otherwise(body)
+    kind = F.when(repost, "repost").when(reply.isNotNull(), "reply").when(quoted.isNotNull(), "quote").otherwise("post")
     at = scalars.tweet_time(get("created_at"))
-    plain = text.import_text(F.regexp_replace(body, r"(?U)^RT @[^:]*:\s*", ""), True)
     rules = [
-        (F.col("error").isNotNull(), "malformed_record"),
-        (~F.coalesce(revision.rlike(r"^[0-9]+$"), F.lit(False)), "invalid_identifier"),
-        (own.isNotNull() & number.isNotNull() & (own != number), "identifier_mismatch"),
-        (reply.isNotNull() & ~reply.rlike(r"^[0-9]+$"), "invalid_identifier"),
-        (at.isNull(), "invalid_timestamp"),
-        (~deleted & body.isNull(), "malformed_record"),
-        (F.octet_length(body) > MAX_FIELD, "resource_limit"),
-        (chain.isNotNull() & ~F.array_contains(chain, revision), "edit_chain_incomplete"),
+        (F.col("error").isNotNull(), "invalid_record"),
+        (~F.coalesce(revision.rlike(digits), F.lit(False)), "invalid_record"),
+        (own.isNotNull() & number.isNotNull() & (own != number), "invalid_record"),
+        (at.isNull(), "invalid_record"),
+        (bad_chain, "invalid_edit_chain"),
+        (~deleted & body.isNull(), "invalid_record"),
+        (F.octet_length(F.coalesce(get("full_text"), get("text"))) > MAX_FIELD, "resource_limit"),
+        (~deleted & (body == ""), "invalid_record"),
+        (reply.isNotNull() & ~reply.rlike(digits), "invalid_record"),
     ]
     from ..operators.scan import first_error
 
+    chain = F.coalesce(chain, F.array(revision))
     return rows.select(
         "archive",
         "name",
         "ordinal",
         revision.alias("revision"),
+        F.get(chain, F.lit(0)).alias("logical_id"),
         at.alias("created_at"),
         F.when(deleted, "deleted").otherwise("active").alias("state"),
         kind.alias("kind"),
-        F.when(~deleted, F.when(repost, plain).otherwise(text.import_text(body, True))).alias("body"),
-        reply.alias("parent_id"),
-        F.when(F.size(quoted) == 1, quoted[0]).alias("quoted_id"),
-        F.coalesce(chain, F.array(revision)).alias("chain"),
+        F.when(repost, "reshared").otherwise("owner_authored").alias("authorship"),
+        F.when(repost, reposted).when(quoted.isNotNull(), without_link).otherwise(body).alias("body"),
+        F.when(~repost, reply).alias("parent_id"),
+        quoted.alias("quoted_id"),
+        F.when(~repost & reply.isNotNull(), "explicit").when(quoted.isNotNull(), "heuristic").otherwise("none").alias("relation_confidence"),
+        chain.alias("chain"),
         first_error(rules).alias("error"),
     )
 
