@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import hashing, text
 from tidemark.operators import scan, store
-from tidemark.sources import archives
+from tidemark.sources import archives, sinks
 
 
 def zipped(**entries):
@@ -192,11 +192,14 @@ def test_unknown_suite(spark):
 
 
 def test_strict_answers(spark):
-    good = '{"schema_version": "1", "results": [{"item_index": 0, "decision": "no_flag", "risk": "none", "category": null, "confidence": 1, "reasons": [], "evidence": []}]}'
+    good = '{"schemaVersion": "1", "results": [{"itemIndex": 0, "decision": "no_flag", "risk": "none", "category": null, "confidence": 1, "reasons": [], "evidence": []}]}'
     cases = {
         good: None, f" {good} \n": None, "": "SCAN_OUTPUT_JSON", good + "x": "SCAN_OUTPUT_JSON", good.replace("1,", "NaN,", 1): "SCAN_OUTPUT_JSON",
         f"```{good}```": "SCAN_OUTPUT_JSON", "[]": "SCAN_OUTPUT_SCHEMA", good.replace('"risk": "none", ', ""): "SCAN_OUTPUT_SCHEMA", good.replace("{", '{"x": 1, ', 1): "SCAN_OUTPUT_SCHEMA",
-        good.replace("0,", '"0",', 1): "SCAN_OUTPUT_SCHEMA", "[" * 5000: "SCAN_OUTPUT_JSON",
+        good.replace("0,", '"0",', 1): "SCAN_OUTPUT_SCHEMA", "[" * 5000: "SCAN_OUTPUT_JSON", good.replace('"category": null, ', ""): None,
+        good.replace("itemIndex", "item_index"): "SCAN_OUTPUT_SCHEMA", good.replace("0,", "-1,", 1): "SCAN_OUTPUT_SCHEMA", good.replace(": 1,", ": true,"): "SCAN_OUTPUT_SCHEMA",
+        good.replace(": 1,", ": 1e999,"): "SCAN_OUTPUT_JSON", good.replace('"none"', r'"\ud800"'): "SCAN_OUTPUT_JSON", "\u00a0" + good: None,
+        good.replace('"none"', '"low", "risk": "none"'): None,
     }
     found = scan.parse_answers(spark.createDataFrame([(k,) for k in cases] + [(None,)], "raw string")).collect()
     assert {r.raw: r.error for r in found} == cases | {None: "SCAN_OUTPUT_JSON"}
@@ -229,3 +232,43 @@ def test_packing_with_a_second_cost(spark):
         wanted[k] = (batch, index)
         index, total = index + 1, total + n
     assert got == wanted
+
+
+def test_canonical_numbers_and_texts(spark):
+    numbers = {0.0: "0.0", 1.0: "1.0", 0.5: "0.5", 0.001: "0.001", 0.00012: "0.00012", 0.0005: "0.0005", 0.00001: "0.00001", 0.000001: "1e-6", 0.00000125: "1.25e-6"}
+    got = spark.createDataFrame([(k,) for k in numbers], "x double").select("x", hashing.json_number(F.col("x")).alias("j")).collect()
+    assert {r.x: r.j for r in got} == numbers
+    texts = {'a"b': '"a\\"b"', "\\u000B": '"\\\\u000B"', "\x0b\x1f\x01": '"\\u000b\\u001f\\u0001"', "\\\x0b": '"\\\\\\u000b"', "é\n[x]": '"é\\n[x]"', "": '""', None: "null"}
+    got = spark.createDataFrame([(k,) for k in texts], "x string").select("x", hashing.json_text(F.col("x")).alias("j")).collect()
+    assert {r.x: r.j for r in got} == texts
+
+
+def test_sinks(spark, tmp_path):
+    path = str(tmp_path / "flags")
+    one = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (None, "n")], "id long, v string")
+    sinks.append(one, path, ["id"])
+    sinks.append(spark.createDataFrame([(2, "new"), (3, "c"), (None, "m")], "id long, v string"), path, ["id"])
+    got = sorted(((r.id, r.v) for r in spark.read.parquet(path).collect()), key=repr)
+    assert got == [(1, "a"), (2, "b"), (3, "c"), (None, "m"), (None, "n")]
+    sinks.append(one.limit(0), path, ["id"])
+    sinks.write_report(one.where("id = 1").withColumn("n", F.lit(None).cast("int")), str(tmp_path / "report"))
+    assert [line for f in (tmp_path / "report").glob("*.json") for line in f.read_text().splitlines()] == ['{"id":1,"v":"a","n":null}']
+    assert spark.read.parquet(path).count() == 5
+
+
+def test_ended_imports_free_staging(spark):
+    imports = spark.createDataFrame([(1, 1, "parsing", None, "f"), (1, 2, "ready", None, "g"), (2, 1, "parsing", None, "h")], "tenant_id int, import_id int, status string, error_code string, fingerprint string")
+    staged = spark.createDataFrame([(1, 1, "x"), (1, 1, "y"), (2, 1, "z")], "tenant_id int, import_id int, row string")
+    ended = spark.createDataFrame([(1, 1, "failed", "e"), (1, 2, "failed", "e")], "tenant_id int, import_id int, status string, error_code string")
+    out, left = store.end_imports(imports, staged, ended, F.current_timestamp())
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 1, "failed", "e", None), (1, 2, "ready", None, "g"), (2, 1, "parsing", None, "h")]
+    assert [r.row for r in left.collect()] == ["z"]
+
+
+def test_exit_codes_and_scan_checks(spark):
+    from tidemark.operators import evaluate
+
+    rows = spark.createDataFrame([(False, 1, ["x"]), (True, 1, ["x"]), (True, 0, ["x"]), (True, 0, [])], "c boolean, p int, f array<string>")
+    assert [r[0] for r in rows.select(evaluate.exit_code(F.col("c"), F.col("p"), F.col("f"))).collect()] == [11, 12, 10, 0]
+    scans = spark.createDataFrame([("queued", "complete", 100), ("lost", "none", -1), (None, None, None)], "status string, phase string, progress int")
+    assert [r.broken for r in store.broken_checks(scans, store.scan_checks()).collect()] == [[], ["status", "phase", "progress"], []]

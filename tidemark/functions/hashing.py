@@ -57,3 +57,59 @@ def pool_offset(value: Column, size: Column) -> Column:
 
 def pseudonym(salt: str, kind: str, value: Column, size: int = 12) -> Column:
     return F.left(F.sha2(F.concat(F.lit(f"{salt}{kind}::"), value).cast("binary"), 256), F.lit(size))
+
+
+#: Control characters that two writers of JSON escape with digits of another case.
+_UPPER_ESCAPES = (*"BEF", *(f"1{d}" for d in "ABCDEF"))
+
+
+def json_text(x: Column) -> Column:
+    """A text as JSON, with lower-case digits in escapes; null is null."""
+    out = F.regexp_extract(F.to_json(F.array(x)), r"(?s)^\[(.*)\]$", 1)
+    for digits in _UPPER_ESCAPES:
+        code = digits.rjust(4, "0")
+        out = F.regexp_replace(out, rf"(?<!\\)((?:\\\\)*)\\u{code}", rf"$1\\u{code.lower()}")
+    return F.when(x.isNull(), "null").otherwise(out)
+
+
+def json_number(x: Column) -> Column:
+    """A real number of 0 up to 1,000 in its shortest form: with a point, and with an exponent only below 0.00001."""
+    plain, small = x.cast("double").cast("string"), (x > 0) & (x < 0.001)
+    digits = F.replace(F.regexp_replace(F.regexp_extract(plain, r"^([^E]*)", 1), r"\.0$", ""), F.lit("."), F.lit(""))
+    power = F.regexp_extract(plain, r"E-(\d+)$", 1).cast("int")
+    point = F.concat(F.lit("0."), F.repeat(F.lit("0"), power - 1), digits)
+    short = F.concat(F.regexp_replace(F.regexp_extract(plain, r"^([^E]*)", 1), r"\.0$", ""), F.lit("e-"), power.cast("string"))
+    return F.when(small & (x < 0.00001), short).when(small, point).otherwise(plain)
+
+
+def json_list(items: Column, each) -> Column:
+    return F.concat(F.lit("["), F.array_join(F.transform(items, each), ","), F.lit("]"))
+
+
+def json_object(**fields: Column) -> Column:
+    """Members in order of their names; the values are JSON already."""
+    parts = [F.concat(F.lit(f'"{name}":'), fields[name]) for name in sorted(fields)]
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
+def canonical_results(results: Column) -> Column:
+    """Results of a batch (those of scan.ANSWER) as JSON: in order of item_index, members in order of their names."""
+
+    def one(r: Column) -> Column:
+        return json_object(
+            category=json_text(r["category"]),
+            confidence=json_number(r["confidence"]),
+            decision=json_text(r["decision"]),
+            evidence=json_list(r["evidence"], lambda e: json_object(supportsReasonCode=json_text(e["supports_reason_code"]), text=json_text(e["text"]))),
+            itemIndex=r["item_index"].cast("string"),
+            reasons=json_list(r["reasons"], lambda x: json_object(code=json_text(x["code"]), summary=json_text(x["summary"]))),
+            risk=json_text(r["risk"]),
+        )
+
+    places = F.array_sort(F.transform(results, lambda r, k: F.struct(r["item_index"].alias("at"), k.alias("k"))))
+    return json_list(F.transform(places, lambda p: F.get(results, p["k"])), one)
+
+
+def request_hash(**fields: Column) -> Column:
+    """SHA-256 of a request's JSON, members in order of their names; the values are JSON already."""
+    return sha256_hex(json_object(**fields))

@@ -56,6 +56,14 @@ def backoff_seconds(attempt: Column) -> Column:
     return F.least(F.greatest(F.pow(F.lit(2.0), attempt - 1), F.lit(1.0)), F.lit(300.0)).cast("long")
 
 
+def transport_delay(failures: Column, retry_after: Column, jitter: Column) -> Column:
+    """Milliseconds before the next call after so many failures: 1, 2, then 4 seconds; what a rate limit asks for counts
+    instead, up to twice that and 1 at least; jitter is added, below 250.
+    """
+    delay = F.when(failures <= 1, 1000).when(failures == 2, 2000).otherwise(4000)
+    return F.coalesce(F.greatest(F.least(retry_after, delay * 2), F.lit(1)), delay) + F.pmod(jitter, F.lit(250))
+
+
 def risk_rank(risk: Column) -> Column:
     return F.coalesce(lookup(risk, catalog.RISK_RANKS, 0), F.lit(0))
 
@@ -129,6 +137,37 @@ def onboarding_status(completed_at: Column, coming_up: Column, concerns: Column,
     return F.when(completed_at.isNotNull(), "completed").when(blank, "not_started").otherwise("in_progress")
 
 
+def onboarding_error(coming_up: Column, concerns: Column, platforms: Column, step: Column, status: Column, consent: Column, version: Column) -> Column:
+    """The first rule that a questionnaire breaks, or null. Lists go before the step, this before the status; in a list the
+    first value at fault tells. Null counts as an empty list, as no consent, as an unknown value.
+    """
+    no = F.lit(False)
+
+    def listed(values: Column, known: tuple[str, ...], enabled: tuple[str, ...] | None = None) -> tuple[Column, Column]:
+        values = F.coalesce(values, F.array().cast("array<string>"))
+
+        def fault(x: Column, k: Column) -> Column:
+            out = F.when(~F.coalesce(x.isin(*known), no), "ONBOARDING_INVALID_ENUM")
+            if enabled is not None:
+                out = out.when(~x.isin(*enabled), "ONBOARDING_PLATFORM_DISABLED")
+            return out.when(F.array_position(values, x) <= k, "ONBOARDING_DUPLICATE_ENUM")
+
+        return F.get(F.array_compact(F.transform(values, fault)), F.lit(0)), F.size(values) == 0
+
+    lists = [listed(coming_up, catalog.COMING_UP), listed(concerns, catalog.CONCERNS), listed(platforms, tuple(catalog.PLATFORM_LABELS), catalog.ARCHIVE_PLATFORMS)]
+    blank = [empty for _, empty in lists]
+    accepted = F.coalesce(consent, no)
+    fresh = blank[0] & blank[1] & blank[2] & (step == 1) & ~accepted
+    whole = ~blank[0] & ~blank[1] & ~blank[2] & (step == 3) & accepted & F.coalesce(version == catalog.DISCLOSURE, no)
+    return F.coalesce(
+        *[fault for fault, _ in lists],
+        F.when(~F.coalesce(step.between(1, 3), no), "ONBOARDING_STEP"),
+        F.when((status == "not_started") & ~fresh, "ONBOARDING_STATUS"),
+        F.when((status == "completed") & ~whole, "ONBOARDING_INCOMPLETE"),
+        F.when(~F.coalesce(status.isin("not_started", "in_progress", "completed"), no), "ONBOARDING_STATUS"),
+    )
+
+
 def lifecycle_gate(signed_in: Column, onboarding: Column, platforms: Column, ready: Column, scan_status: Column, review_access: Column) -> Column:
     """platforms: wanted; ready: platforms that have a ready import."""
     required = F.filter(platforms, lambda p: p.isin("reddit", "x"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
@@ -76,3 +76,30 @@ def winner(reports: DataFrame, compared: Column) -> Column:
     rest = F.when(a["recall"] != b["recall"], a["recall"] > b["recall"]).when(a["cost"] != b["cost"], a["cost"] < b["cost"]).otherwise(a["hash"] <= b["hash"])
     first = F.when(compared, a["prompt_hash"] <= b["prompt_hash"]).otherwise(rest)
     return F.when(first, "a").otherwise("b")
+
+
+def case_records(cases: DataFrame, replay: bool) -> DataFrame:
+    """cases with passed_expect, invariant_failed, terminal_failure, error_code, result_sha256.
+
+    Columns read: expect_failure (the answer is meant to break a rule), provider_failed, error (the rule that the answer
+    breaks, or null), passed (a valid answer meets what is expected), result_sha256. Where a broken rule is meant, breaking
+    one is the pass and a valid answer the failure; such cases exist in recordings only (replay).
+    """
+    meant, failed = F.col("expect_failure"), F.col("provider_failed")
+    skipped = meant & F.lit(not replay)
+    error = F.when(failed, "PROVIDER").otherwise(F.col("error"))
+    valid = error.isNull()
+    code = F.when(skipped, "REPLAY_ONLY_FIXTURE").when(meant & valid, "EXPECTED_INVARIANT_MISS").otherwise(error)
+    broken = ~skipped & (meant == valid)
+    return (
+        cases.withColumn("passed_expect", skipped | F.when(meant, ~valid).otherwise(valid & F.col("passed")))
+        .withColumn("invariant_failed", broken & ~failed)
+        .withColumn("terminal_failure", broken)
+        .withColumn("error_code", code)
+        .withColumn("result_sha256", F.when(~meant & valid, F.col("result_sha256")))
+    )
+
+
+def exit_code(compared: Column, findings: Column, failures: Column) -> Column:
+    """0; 11 if compared hashes differ (compared false), 12 with findings of privacy, 10 with failed gates."""
+    return F.when(~compared, 11).when(findings > 0, 12).when(F.size(failures) > 0, 10).otherwise(0)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import os
 import re
 import tempfile
@@ -180,6 +181,25 @@ def stub_results(items: DataFrame, concerns: list[str], index: str = "item_index
     )
 
 
+def expected_results(items: DataFrame, concerns: list[str]) -> DataFrame:
+    """items (text, authorship, expected_decision, expected_category, expected_risk; null where nothing is expected) with
+    the result that meets what is expected: decision, risk, category, confidence, reason_code, summary, evidence.
+    """
+    flag = F.coalesce(F.col("expected_decision") == "flag", F.lit(False))
+    category = F.coalesce("expected_category", F.lit(next((c for c in concerns if c != "other"), "negativity")))
+    told = F.concat(F.when(F.col("authorship") == "amplified", "you shared content matching ").otherwise("text matches "), category)
+    head = F.left(F.coalesce("text", F.lit("")), F.lit(40))
+    return (
+        items.withColumn("decision", F.when(flag, "flag").otherwise("no_flag"))
+        .withColumn("risk", F.when(flag, F.coalesce("expected_risk", F.lit("low"))).otherwise("none"))
+        .withColumn("category", F.when(flag, category))
+        .withColumn("confidence", F.when(flag, 0.91).otherwise(0.92))
+        .withColumn("reason_code", F.when(flag, scalars.lookup(category, catalog.STUB_REASONS, catalog.STUB_REASONS["negativity"])))
+        .withColumn("summary", F.when(flag, told))
+        .withColumn("evidence", F.when(flag, F.when(head == "", "x").otherwise(head)))
+    )
+
+
 def replay_results(items: DataFrame, answers: DataFrame, on: list[str]) -> DataFrame:
     """Recorded answers (their columns besides `on`) of items; items without one have nulls."""
     return items.join(answers, on, "left")
@@ -317,6 +337,20 @@ def primary_concern(confirmed: DataFrame) -> DataFrame:
     return found.where(~F.col("failed") & (F.size("all") > 0)).select("post_id", F.array_min(near).alias("m")).select("post_id", "m.concern", "m.score")
 
 
+def chosen_reason(concern: Column, choice: Column) -> Column:
+    """A concern's only reason code, or the one chosen; null (to be asked for again) if that is none of the concern's."""
+    codes = F.split(scalars.lookup(concern, {c: "|".join(r) for c, _, r in catalog.RUBRICS}, ""), r"\|")
+    return F.when(F.size(codes) == 1, F.nullif(codes[0], F.lit(""))).when(F.array_contains(codes, choice), choice)
+
+
+def chosen_evidence(passages: Column, whole: Column, choice: Column) -> Column:
+    """The evidence of a flag: without passages the head of the whole text; the only passage; else the passage that the
+    choice (`s` and its number, from 0) names; null (to be asked for again) if it names none.
+    """
+    number = F.when(choice.rlike(r"^s\+?[0-9]{1,9}$"), F.regexp_extract(choice, "([0-9]+)", 1).cast("int"))
+    return F.when(F.size(passages) == 0, text.whole_text_evidence(whole)).when(F.size(passages) == 1, passages[0]).otherwise(F.get(passages, number))
+
+
 def screen_results(posts: DataFrame, hits: DataFrame, primary: DataFrame, confirmed: DataFrame, id_col: str = "post_id") -> DataFrame:
     """One result for each post: post_id, decision, category, confidence, reason_code, error.
 
@@ -338,42 +372,54 @@ def screen_results(posts: DataFrame, hits: DataFrame, primary: DataFrame, confir
     )
 
 
-#: What a recorded answer has, at each level, in order of names.
+#: What a parsed answer has, at each level, in order of names.
 ANSWER = "schema_version string, results array<struct<category:string,confidence:double,decision:string,evidence:array<struct<supports_reason_code:string,text:string>>,item_index:long,reasons:array<struct<code:string,summary:string>>,risk:string>>"
 
 
 @F.pandas_udf(StructType([StructField("error", StringType()), StructField("answer", StringType())]))
 def _strict(raw: pd.Series) -> pd.DataFrame:
-    """SCAN_OUTPUT_JSON if the whole text is not one JSON value, SCAN_OUTPUT_SCHEMA if its keys are not those of ANSWER."""
-    leaf = {"supports_reason_code", "text"}, {"code", "summary"}
-
-    def pairs(found: list[tuple[str, object]]) -> dict:
-        out = dict(found)
-        if len(out) < len(found):
-            raise KeyError
-        return out
+    """SCAN_OUTPUT_JSON if the whole text is not one JSON value, SCAN_OUTPUT_SCHEMA if its keys (in camel case) and kinds
+    are not those of an answer; a category may be left out, of equal keys the last counts.
+    """
 
-    def number(x: str) -> float:
+    def constant(x: str) -> float:
         raise ValueError(x)
 
+    def real(x: str) -> float:
+        if not math.isfinite(value := float(x)):
+            raise ValueError(x)
+        return value
+
+    def texts(value: dict, *names: str) -> bool:
+        return set(value) == set(names) and all(isinstance(value[n], str) for n in names)
+
+    def result(r: dict) -> dict | None:
+        own = {k: r[k] for k in ("decision", "risk", "confidence", "reasons", "evidence")}
+        own |= {"category": r.get("category"), "item_index": r["itemIndex"]}
+        good = len(r) == len(own) - ("category" not in r) and all(isinstance(r[k], str) for k in ("decision", "risk"))
+        good &= own["category"] is None or isinstance(own["category"], str)
+        good &= type(own["item_index"]) is int and 0 <= own["item_index"] < 2**32 and type(own["confidence"]) in (int, float)
+        good &= all(isinstance(own[k], list) for k in ("reasons", "evidence")) and all(texts(x, "code", "summary") for x in own["reasons"])
+        if not good or not all(texts(e, "text", "supportsReasonCode") for e in own["evidence"]):
+            return None
+        return own | {"evidence": [{"text": e["text"], "supports_reason_code": e["supportsReasonCode"]} for e in own["evidence"]]}
+
     def judge(x: str) -> tuple[str | None, str | None]:
         if x is None or not x.strip() or "```" in x:
             return "SCAN_OUTPUT_JSON", None
         try:
-            value = json.loads(x, object_pairs_hook=pairs, parse_constant=number)
-        except KeyError:
-            return "SCAN_OUTPUT_SCHEMA", None
+            value = json.loads(x.strip(), parse_constant=constant, parse_float=real)
+            json.dumps(value, ensure_ascii=False).encode()
         except (ValueError, RecursionError):
             return "SCAN_OUTPUT_JSON", None
         try:
-            good = set(value) == {"schema_version", "results"} and isinstance(value["schema_version"], str)
-            for r in value["results"]:
-                good &= set(r) == {"item_index", "decision", "risk", "category", "confidence", "reasons", "evidence"}
-                good &= all(set(e) == leaf[0] for e in r["evidence"]) and all(set(e) == leaf[1] for e in r["reasons"])
-                good &= type(r["item_index"]) is int and isinstance(r["confidence"], (int, float)) and all(isinstance(r[k], str) for k in ("decision", "risk"))
+            results = [result(r) for r in value["results"]] if isinstance(value["results"], list) else [None]
+            good = set(value) == {"schemaVersion", "results"} and isinstance(value["schemaVersion"], str) and None not in results
         except (TypeError, KeyError, AttributeError):
             good = False
-        return (None, json.dumps(value, sort_keys=True, ensure_ascii=False)) if good else ("SCAN_OUTPUT_SCHEMA", None)
+        if not good:
+            return "SCAN_OUTPUT_SCHEMA", None
+        return None, json.dumps({"schema_version": value["schemaVersion"], "results": results}, ensure_ascii=False)
 
     return pd.DataFrame([judge(x) for x in raw], columns=["error", "answer"])
 

@@ -148,6 +148,43 @@ def finish_duplicates(imports: DataFrame, links: DataFrame) -> tuple[DataFrame,
     return out.select(*imports.columns), links
 
 
+def end_imports(imports: DataFrame, staging: DataFrame, ended: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(imports, staging) after the imports of ended (tenant_id, import_id, status, error_code; each once) came to their end:
+    what they staged goes; their fingerprint is free again, unless they are ready, cancelled or being deleted.
+    """
+    key = ["tenant_id", "import_id"]
+    told = ended.select(*key, F.struct(F.col("status").alias("status"), F.col("error_code").alias("code")).alias("_end"))
+    open_ = F.col("_end").isNotNull() & ~F.col("status").isin("ready", "deleting", "deleted", "cancelled")
+    values = {"status": F.col("_end.status"), "error_code": F.col("_end.code"), "fingerprint": F.lit(None), "finished_at": now}
+    columns = [F.when(open_, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in imports.columns]
+    return imports.join(told, key, "left").select(*columns), staging.join(ended.select(*key), key, "left_anti")
+
+
+def broken_checks(table: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """table with broken: the names of the checks that a row does not meet, in order of checks. A check that is null is met,
+    as in SQL.
+    """
+    return table.withColumn("broken", F.array_compact(F.array(*[F.when(~check, F.lit(name)) for name, check in checks.items()])))
+
+
+def work_item_checks() -> dict[str, Column]:
+    """The checks of the table of work items."""
+    return {
+        "status": F.col("status").isin("pending", "running", "succeeded", "failed", "cancelled"),
+        "attempt_count": F.col("attempt_count") >= 0,
+        "max_attempts": F.col("max_attempts") >= 1,
+    }
+
+
+def scan_checks() -> dict[str, Column]:
+    """The checks of the table of scans."""
+    return {
+        "status": F.col("status").isin("queued", "running", "succeeded", "failed", "cancelled"),
+        "phase": F.col("phase").isin("connecting", "scanning", "flagging", "complete"),
+        "progress": F.col("progress").between(0, 100),
+    }
+
+
 def due_purges(imports: DataFrame, now: Column, most: int = 100) -> DataFrame:
     """The imports whose raw upload is due to be purged, the oldest ones, at most `most`: a batch of work, not a result."""
     return imports.where(F.col("raw_purged_at").isNull() & (F.col("purge_after") <= now)).orderBy("purge_after", "import_id").limit(most)

@@ -10,6 +10,8 @@ CONCERNS = (
     "controversial_topics", "negativity", "public_image", "other",
 )
 PLATFORM_LABELS = {"x": "X", "reddit": "Reddit", "facebook": "Facebook", "instagram": "Instagram", "tiktok": "TikTok"}
+#: Platforms whose archives can be imported, and the version of the disclosure that is to be accepted.
+ARCHIVE_PLATFORMS, DISCLOSURE = ("reddit", "x"), "2026-07-23"
 FOCUS_SYMBOLS = {
     "rush": "⌂", "college_apps": "🎓", "job_interviews": "💼", "friends_family": "👥", "just_concerned": "🔍",
     "something_else": "•", "internships": "🧑‍💻", "career_change": "🚀", "background_check": "📋",

@@ -616,11 +616,11 @@ def parsed_answers(spark, folder):
     """Recorded answers about documents, most with a fault: trailing text, a code fence, a key too many, a key missing."""
     k = F.col("doc_id") % 6
     result = F.struct(
-        F.lit(0).alias("item_index"), F.lit("flag").alias("decision"), F.lit("low").alias("risk"), F.lit("hate").alias("category"), F.lit(0.5).alias("confidence"),
+        F.lit(0).alias("itemIndex"), F.lit("flag").alias("decision"), F.lit("low").alias("risk"), F.lit("hate").alias("category"), F.lit(0.5).alias("confidence"),
         F.array(F.struct(F.lit("c").alias("code"), F.lit("s").alias("summary"))).alias("reasons"),
-        F.array(F.struct(F.left("text", F.lit(30)).alias("text"), F.lit("c").alias("supports_reason_code"))).alias("evidence"),
+        F.array(F.struct(F.left("text", F.lit(30)).alias("text"), F.lit("c").alias("supportsReasonCode"))).alias("evidence"),
     )
-    good = F.to_json(F.struct(F.lit("1").alias("schema_version"), F.array(result).alias("results")))
+    good = F.to_json(F.struct(F.lit("1").alias("schemaVersion"), F.array(result).alias("results")))
     raw = (
         F.when(k == 1, F.concat(good, F.lit(" and more")))
         .when(k == 2, F.concat(F.lit("```json\n"), good, F.lit("\n```")))
@@ -732,3 +732,118 @@ def report_winner(spark, folder):
     b = F.struct((F.col("l_suppkey") % 2).alias("recall"), F.col("l_tax").alias("cost"), F.col("l_suppkey").alias("hash"), F.col("l_suppkey").alias("prompt_hash"))
     rows = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), a.alias("a"), b.alias("b"))
     return rows.select("id", "line", evaluate.winner(rows, F.col("id") % 3 == 0).alias("winner"))
+
+
+@query("""
+SELECT c_custkey AS user_id, CASE c_custkey % 12 WHEN 0 THEN 'ONBOARDING_INVALID_ENUM' WHEN 1 THEN 'ONBOARDING_DUPLICATE_ENUM' WHEN 2 THEN 'ONBOARDING_PLATFORM_DISABLED'
+  WHEN 3 THEN 'ONBOARDING_STEP' WHEN 4 THEN 'ONBOARDING_STATUS' WHEN 5 THEN 'ONBOARDING_INCOMPLETE' WHEN 6 THEN 'ONBOARDING_STATUS' WHEN 9 THEN 'ONBOARDING_INCOMPLETE' END AS error FROM customer""")
+def onboarding_errors(spark, folder):
+    """Questionnaires of customers that break one rule each, by number."""
+    k = F.col("c_custkey") % 12
+
+    def listed(*values: str) -> F.Column:
+        return F.array(*map(F.lit, values)).cast("array<string>")
+
+    coming = F.when(k == 0, listed("rush", "party", "rush")).when(k == 7, listed()).otherwise(listed("rush", "internships"))
+    concerns = F.when(k == 1, listed("hate", "hate", "none")).when(k == 7, listed()).otherwise(listed("hate"))
+    platforms = F.when(k == 2, listed("x", "tiktok", "x")).when(k == 7, listed()).otherwise(listed("x", "reddit"))
+    step = F.when(k == 3, 4).when(k.isin(4, 7), 1).when(k == 5, 2).otherwise(3)
+    status = F.when(k.isin(4, 7), "not_started").when(k == 6, "done").when(k == 8, "in_progress").otherwise("completed")
+    error = scalars.onboarding_error(coming, concerns, platforms, step, status, ~k.isin(7), F.when(k == 9, "2020-01-01").otherwise(catalog.DISCLOSURE))
+    return table(spark, folder, "customer").select(F.col("c_custkey").alias("user_id"), error.alias("error"))
+
+
+@query("""
+SELECT event_id AS id, concat_ws(',', CASE WHEN event_id % 7 = 0 THEN 'status' END, CASE WHEN event_id % 4 = 3 THEN 'attempt_count' END, CASE WHEN event_id % 5 = 0 THEN 'max_attempts' END) AS broken FROM events""")
+def constraint_violations(spark, folder):
+    k = F.col("id")
+    items = work_items(spark, folder).withColumn("status", F.when(k % 7 == 0, "waiting").otherwise(F.col("status")))
+    items = items.withColumn("attempt_count", F.when(k % 4 == 3, -1).otherwise(F.col("attempt_count"))).withColumn("max_attempts", F.when(k % 5 == 0, 0).when(k % 5 > 1, 3))
+    return store.broken_checks(items, store.work_item_checks()).select("id", F.array_join("broken", ",").alias("broken"))
+
+
+@query("""
+SELECT doc_id, sha256('{"action":"review","expectedStatus":' || coalesce('"' || lang || '"', 'null') || ',"flagId":"' || doc_id || '"}') AS hash FROM documents""")
+def request_hashes(spark, folder):
+    """documents as requests to review them."""
+    parts = {"expectedStatus": hashing.json_text(F.col("lang")), "flagId": hashing.json_text(F.col("doc_id").cast("string")), "action": hashing.json_text(F.lit("review"))}
+    return table(spark, folder, "documents").select("doc_id", hashing.request_hash(**parts).alias("hash"))
+
+
+@query("""
+SELECT doc_id, sha256('[{"category":null,"confidence":' || (doc_id % 100 / 128.0::DOUBLE)::VARCHAR || ',"decision":"no_flag","evidence":[],"itemIndex":0,"reasons":[],"risk":"none"},'
+  || '{"category":"hate","confidence":0.5,"decision":"flag","evidence":[{"supportsReasonCode":"c","text":' || coalesce(to_json(text)::VARCHAR, 'null')
+  || '}],"itemIndex":1,"reasons":[{"code":"c","summary":"s"}],"risk":"low"}]') AS hash FROM documents""")
+def result_hashes(spark, folder):
+    """Two results for each document, given in the wrong order."""
+    flag = "struct<category:string,confidence:double,decision:string,evidence:array<struct<supports_reason_code:string,text:string>>,item_index:bigint,reasons:array<struct<code:string,summary:string>>,risk:string>"
+    proof = F.array(F.struct(F.lit("c").alias("supports_reason_code"), F.col("text").alias("text")))
+    second = F.struct(F.lit("hate"), F.lit(0.5), F.lit("flag"), proof, F.lit(1), F.array(F.struct(F.lit("c"), F.lit("s"))), F.lit("low")).cast(flag)
+    first = F.struct(F.lit(None), F.col("doc_id") % 100 / 128.0, F.lit("no_flag"), F.array(), F.lit(0), F.array(), F.lit("none")).cast(flag)
+    return table(spark, folder, "documents").select("doc_id", F.sha2(hashing.canonical_results(F.array(second, first)).cast("binary"), 256).alias("hash"))
+
+
+@query("""
+SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'risky_drug_use' WHEN 1 THEN CASE WHEN doc_id % 2 = 0 THEN 'targeted_harassment' END END AS reason,
+       CASE doc_id % 4 WHEN 0 THEN 'only' WHEN 1 THEN 'b' WHEN 2 THEN NULL ELSE 'whole' END AS evidence FROM documents""")
+def screening_choices(spark, folder):
+    """Reasons and evidence that are chosen for documents, by number."""
+    k = F.col("doc_id")
+    concern = F.when(k % 3 == 0, "drug_use").when(k % 3 == 1, "hate").otherwise("unknown")
+    reason = scan.chosen_reason(concern, F.when(k % 2 == 0, "targeted_harassment").otherwise("targeted_insult"))
+    two = F.array(F.lit("a"), F.lit("b"))
+    passages = F.when(k % 4 == 0, F.array(F.lit("only"))).when(k % 4 == 3, F.array().cast("array<string>")).otherwise(two)
+    evidence = scan.chosen_evidence(passages, F.lit("whole"), F.when(k % 4 == 1, "s1").otherwise("s2"))
+    return table(spark, folder, "documents").select("doc_id", reason.alias("reason"), evidence.alias("evidence"))
+
+
+@query("""
+SELECT doc_id, CASE WHEN f THEN 'flag' ELSE 'no_flag' END AS decision, CASE WHEN f THEN CASE WHEN doc_id % 3 = 0 THEN 'high' ELSE 'low' END ELSE 'none' END AS risk,
+  CASE WHEN f THEN c END AS category, CASE WHEN f THEN CASE c WHEN 'hate' THEN 'hateful_or_dehumanizing_content' ELSE 'risky_drug_use' END END AS reason_code,
+  CASE WHEN f THEN CASE WHEN doc_id % 5 = 0 THEN 'you shared content matching ' ELSE 'text matches ' END || c END AS summary,
+  CASE WHEN f THEN coalesce(nullif(left(text, 40), ''), 'x') END AS evidence
+FROM (SELECT *, doc_id % 2 = 0 AS f, CASE WHEN doc_id % 4 = 0 THEN 'drug_use' ELSE 'hate' END AS c FROM documents)""")
+def expected_results(spark, folder):
+    k = F.col("doc_id")
+    items = content_items(spark, folder).withColumnRenamed("body", "text").withColumn("expected_decision", F.when(k % 2 == 0, "flag"))
+    items = items.withColumn("expected_category", F.when(k % 4 == 0, "drug_use")).withColumn("expected_risk", F.when(k % 3 == 0, "high"))
+    return scan.expected_results(items, ["other", "hate"]).select("doc_id", "decision", "risk", "category", "reason_code", "summary", "evidence")
+
+
+@query("""
+WITH c AS (SELECT o_orderkey AS id, o_orderkey % 3 = 0 AS meant, o_orderkey % 7 = 0 AS gone, o_orderkey % 2 = 0 AS bad, o_orderkey % 5 > 0 AS good FROM orders)
+SELECT id, CASE WHEN meant THEN gone OR bad ELSE NOT gone AND NOT bad AND good END AS passed_expect, NOT gone AND meant <> bad AS invariant_failed,
+       CASE WHEN meant THEN NOT gone AND NOT bad ELSE gone OR bad END AS terminal_failure,
+       CASE WHEN gone THEN 'PROVIDER' WHEN bad THEN 'SCAN_OUTPUT_JSON' WHEN meant THEN 'EXPECTED_INVARIANT_MISS' END AS error_code,
+       CASE WHEN NOT meant AND NOT gone AND NOT bad THEN 'h' END AS result_sha256 FROM c""")
+def case_records(spark, folder):
+    """orders as cases of a replayed suite."""
+    k = F.col("id")
+    cases = table(spark, folder, "orders").select(F.col("o_orderkey").alias("id")).withColumn("expect_failure", k % 3 == 0).withColumn("provider_failed", k % 7 == 0)
+    cases = cases.withColumn("error", F.when(k % 2 == 0, "SCAN_OUTPUT_JSON")).withColumn("passed", k % 5 > 0).withColumn("result_sha256", F.lit("h"))
+    return evaluate.case_records(cases, True).select("id", "passed_expect", "invariant_failed", "terminal_failure", "error_code", "result_sha256")
+
+
+@query("""
+WITH i AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'ready' ELSE 'running' END AS s, CASE doc_id % 3 WHEN 0 THEN 'rejected' WHEN 1 THEN 'failed' END AS e FROM documents)
+SELECT doc_id, CASE WHEN s = 'running' AND e IS NOT NULL THEN e ELSE s END AS status, CASE WHEN s = 'running' AND e IS NOT NULL THEN 'code' END AS error_code,
+       NOT (s = 'running' AND e IS NOT NULL) AS held FROM i""")
+def ended_imports(spark, folder):
+    """Two imports in three come to an end; those that are ready stay as they are."""
+    k = F.col("doc_id")
+    imports = table(spark, folder, "documents").select(
+        F.lit(1).alias("tenant_id"), k.alias("import_id"), F.when(k % 4 == 0, "ready").otherwise("running").alias("status"), F.lit(None).cast("string").alias("error_code"),
+        F.lit("f").alias("fingerprint"), F.lit(None).cast("timestamp").alias("finished_at"),
+    )
+    ended = imports.where(F.col("import_id") % 3 < 2).select("tenant_id", "import_id", F.when(F.col("import_id") % 3 == 0, "rejected").otherwise("failed").alias("status"), F.lit("code").alias("error_code"))
+    out, _ = store.end_imports(imports, imports.select("tenant_id", "import_id"), ended, F.to_timestamp(F.lit("2020-01-01 00:00:00")))
+    return out.select(F.col("import_id").alias("doc_id"), "status", "error_code", F.col("fingerprint").isNotNull().alias("held"))
+
+
+@query("""
+SELECT event_id AS id, coalesce(greatest(least(CASE WHEN event_id % 3 = 0 THEN event_id % 10000 END, d * 2), CASE WHEN event_id % 3 = 0 THEN 1 END), d)::BIGINT + event_id % 250 AS delay
+FROM (SELECT *, CASE WHEN event_id % 5 <= 1 THEN 1000 WHEN event_id % 5 = 2 THEN 2000 ELSE 4000 END AS d FROM events)""")
+def transport_delays(spark, folder):
+    k = F.col("event_id")
+    delay = scalars.transport_delay(k % 5, F.when(k % 3 == 0, k % 10_000), k)
+    return table(spark, folder, "events").select(k.alias("id"), delay.cast("long").alias("delay"))
