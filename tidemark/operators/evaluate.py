@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import scalars
+from ..functions import hashing, scalars
+from .scan import free_name, kept
 
 GATES = {"core_recall": 0.92, "core_precision": 0.88, "edge_recall": 0.85}
 
@@ -103,3 +106,83 @@ def case_records(cases: DataFrame, replay: bool) -> DataFrame:
 def exit_code(compared: Column, findings: Column, failures: Column) -> Column:
     """0; 11 if compared hashes differ (compared false), 12 with findings of privacy, 10 with failed gates."""
     return F.when(~compared, 11).when(findings > 0, 12).when(F.size(failures) > 0, 10).otherwise(0)
+
+
+def case_hashes(records: DataFrame, by: list[str], order: Column) -> DataFrame:
+    """by, and case_hashes: a map of a report's cases to the hashes of their results, in order of the cases.
+
+    records: by, case_id, result_sha256. Cases and hashes that are null are left out, a report without others has an empty
+    map; of a case's several records the last in order counts (of ties any). No records give no rows.
+    """
+    each = records.withColumn("last", F.struct(order.alias("at"), "result_sha256"))
+    each = each.groupBy(*by, "case_id").agg(F.max(F.when(F.col("result_sha256").isNotNull(), F.col("last"))).alias("last"))
+    entry = F.when(F.col("case_id").isNotNull() & F.col("last").isNotNull(), F.struct("case_id", F.col("last")["result_sha256"]))
+    return each.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("case_hashes"))
+
+
+def attempts(responses: DataFrame, batch: list[str], order: list[str], max_calls: int = 5, max_answers: int = 2) -> DataFrame:
+    """The responses that a batch's budget of calls lets happen, with attempt_no, repair, failures and last.
+
+    responses: batch, order, answered (else the call failed), error (of the call or the answer; null: a good answer),
+    retryable (of a failed call). A batch ends (last) with a good answer, a call that is not to be tried again, the second
+    answer or the fifth call. repair: an answer before was bad; failures: calls that failed up to this one, for the delay.
+    Null answered or retryable are no. A batch without a last row has more calls to make. Equal places in order stand in any
+    order; no responses give none.
+    """
+    # Only max_calls rows of a batch are kept before the shuffle, so that one with very many is no hot group.
+    first = Window.partitionBy(*batch).orderBy(*order)
+    over = free_name(responses, "over")
+    tried = responses.withColumn("attempt_no", F.row_number().over(first)).where(F.col("attempt_no") <= max_calls)
+    calls = Window.partitionBy(*batch).orderBy("attempt_no")
+    upto, before = calls.rowsBetween(Window.unboundedPreceding, 0), calls.rowsBetween(Window.unboundedPreceding, -1)
+    answered, again = F.coalesce("answered", F.lit(False)), F.coalesce("retryable", F.lit(False))
+    ends = F.when(answered, F.col("error").isNull() | (F.count_if(answered).over(upto) >= max_answers)).otherwise(~again)
+    return (
+        tried.withColumn("repair", F.count_if(answered).over(before) > 0)
+        .withColumn("failures", F.count_if(~answered).over(upto))
+        .withColumn("last", ends | (F.col("attempt_no") >= max_calls))
+        .withColumn(over, F.count_if("last").over(before) > 0)
+        .where(~F.col(over))
+        .drop(over)
+    )
+
+
+def outcomes(tried: DataFrame, batch: list[str]) -> DataFrame:
+    """Of attempts: batch, calls, done, and the error_code of the last one (null where it is a good answer or not done)."""
+    end = F.when(F.col("last"), F.col("error"))
+    return tried.groupBy(*batch).agg(F.count("*").alias("calls"), F.max("last").alias("done"), F.max(end).alias("error_code"))
+
+
+def neighbours(cases: DataFrame, pool: DataFrame, n: int) -> DataFrame:
+    """case_id, own, neighbours: the first n texts of the pool, walked around from a place that case_id gives, that are
+    neither empty nor the case's own.
+
+    cases: case_id, own (array of texts; null: none). pool: place (0 up to its size, each once), text. Null texts are empty
+    ones; a text that stands at several places may come several times. A null case_id has no neighbours, nor has any case
+    where the pool is empty. Repeated cases are one; no cases give none.
+
+    Each round joins as many further places as a case may need, at first n and one for each own text, twice as many in each
+    round after; only cases that are short of texts go on, so the rounds are few, and none after the pool's last place.
+    """
+    size = pool.count()
+    own = F.coalesce("own", F.array().cast("array<string>"))
+    open_ = cases.select("case_id", own.alias("own")).distinct()
+    open_ = open_.withColumn("neighbours", F.array().cast("array<string>")).withColumn("seen", F.lit(0).cast("long"))
+    open_ = open_.withColumn("start", hashing.pool_offset(F.col("case_id"), F.lit(max(size, 1))))
+    texts = pool.select(F.col("place").cast("long").alias("place"), "text")
+    more = (F.size("neighbours") < n) & (F.col("seen") < size) & F.col("start").isNotNull()
+    out, rounds = [open_.where(~more)], 0
+    open_ = open_.where(more)
+    while size and n > 0:
+        width = F.least((F.size("own") + n) * F.lit(2**rounds).cast("long"), size - F.col("seen"))
+        steps = open_.withColumn("width", width).withColumn("step", F.explode(F.sequence(F.col("seen"), F.col("seen") + F.col("width") - 1)))
+        met = steps.withColumn("place", (F.col("start") + F.col("step")) % size).join(texts, "place", "left")
+        fits = (F.col("text") != "") & ~F.array_contains("own", F.col("text"))
+        near = met.groupBy("case_id", "own", "neighbours", "seen", "start", "width").agg(F.array_sort(F.collect_list(F.when(fits, F.struct("step", "text")))).alias("near"))
+        joined = F.slice(F.concat("neighbours", F.col("near")["text"]), 1, n)
+        now = kept(near.select("case_id", "own", joined.alias("neighbours"), (F.col("seen") + F.col("width")).alias("seen"), "start"))
+        out.append(now.where(~more))
+        open_, rounds = now.where(more), rounds + 1
+        if open_.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, out).select("case_id", "own", "neighbours")

@@ -59,7 +59,7 @@ def pack(
     by = [F.col(scan).asc(), *[F.col(c).asc_nulls_last() for c in order]]
     ordered = items.repartitionByRange(*by).sortWithinPartitions(*by)
     part = free_name(items, "part")
-    ordered = _kept(ordered.withColumn(part, F.spark_partition_id()))
+    ordered = kept(ordered.withColumn(part, F.spark_partition_id()))
     second, limit = also or (tokens, None)
     schema = StructType([*items.schema.fields, StructField("batch_ordinal", IntegerType()), StructField("item_index", IntegerType())])
     kinds, key, size, size2 = to_arrow_schema(schema), items.columns.index(scan), items.columns.index(tokens), items.columns.index(second)
@@ -152,7 +152,7 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
     """df, computed once, in the session's spark.checkpoint.dir; where that is unset, and only on one machine, in a
     temporary folder.
     """

@@ -847,3 +847,51 @@ def transport_delays(spark, folder):
     k = F.col("event_id")
     delay = scalars.transport_delay(k % 5, F.when(k % 3 == 0, k % 10_000), k)
     return table(spark, folder, "events").select(k.alias("id"), delay.cast("long").alias("delay"))
+
+
+@query("""
+WITH r AS (SELECT o_custkey, o_orderkey % 10 AS c, o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN 'h' || o_orderkey END AS h FROM orders),
+l AS (SELECT o_custkey, c, arg_max(h, o_orderkey) AS h FROM r WHERE h IS NOT NULL GROUP BY ALL)
+SELECT o_custkey, coalesce(string_agg(c || ':' || l.h, ',' ORDER BY c), '') AS hashes FROM (SELECT DISTINCT o_custkey FROM orders) LEFT JOIN l USING (o_custkey) GROUP BY o_custkey""")
+def case_hashes(spark, folder):
+    """customers as reports, their orders as records of cases."""
+    k = F.col("o_orderkey")
+    records = table(spark, folder, "orders").select("o_custkey", k, (k % 10).alias("case_id"), F.when(k % 3 > 0, F.concat(F.lit("h"), k)).alias("result_sha256"))
+    entries = F.transform(F.map_entries("case_hashes"), lambda e: F.concat_ws(":", e["key"], e["value"]))
+    return evaluate.case_hashes(records, ["o_custkey"], k).select("o_custkey", F.array_join(entries, ",").alias("hashes"))
+
+
+@query("""
+WITH RECURSIVE r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS no, o_orderkey % 4 = 0 AS answered,
+                  o_orderkey % 16 > 0 AS bad, o_orderkey % 9 > 0 AS again FROM orders),
+t AS (
+  SELECT o_custkey, no, answered::INT AS answers, (NOT answered)::INT AS failures, FALSE AS repair, CASE WHEN answered THEN NOT bad ELSE NOT again END AS done, answered, bad FROM r WHERE no = 1
+  UNION ALL
+  SELECT r.o_custkey, r.no, t.answers + r.answered::INT, t.failures + (NOT r.answered)::INT, t.answers > 0,
+         r.no = 5 OR CASE WHEN r.answered THEN NOT r.bad OR t.answers = 1 ELSE NOT r.again END, r.answered, r.bad
+  FROM t JOIN r ON r.o_custkey = t.o_custkey AND r.no = t.no + 1 WHERE NOT t.done)
+SELECT o_custkey, count(*) AS calls, bool_or(done) AS done, max(CASE WHEN done AND (NOT answered OR bad) THEN CASE WHEN answered THEN 'output' ELSE 'transport' END END) AS error_code,
+       count(*) FILTER (repair) AS repairs, max(failures)::BIGINT AS failures FROM t GROUP BY o_custkey""")
+def retry_budget(spark, folder):
+    """customers as batches, their orders as what calls would answer."""
+    k = F.col("o_orderkey")
+    error = F.when(k % 4 > 0, "transport").when(k % 16 > 0, "output")
+    calls = table(spark, folder, "orders").select("o_custkey", k, (k % 4 == 0).alias("answered"), error.alias("error"), (k % 9 > 0).alias("retryable"))
+    tried = evaluate.attempts(calls, ["o_custkey"], ["o_orderkey"])
+    sums = tried.groupBy("o_custkey").agg(F.count_if("repair").alias("repairs"), F.max("failures").alias("failures"))
+    return evaluate.outcomes(tried, ["o_custkey"]).join(sums, "o_custkey")
+
+
+@query("""
+WITH p AS (SELECT s_suppkey AS place, CASE WHEN s_suppkey % 4 = 0 THEN '' WHEN s_suppkey % 10 = 7 THEN 'common' ELSE s_name END AS text, count(*) OVER () AS size FROM supplier),
+w AS (SELECT c_custkey, text, CASE WHEN c_custkey % 2 = 0 THEN 'common' ELSE '-' END AS own,
+             (place - (('0x' || left(sha256('case-' || c_custkey), 16))::UBIGINT % size)::BIGINT + size) % size AS step FROM customer, p)
+SELECT c_custkey, coalesce(array_to_string((list(text ORDER BY step) FILTER (text <> '' AND text <> own))[1:5], '|'), '') AS neighbours FROM w GROUP BY c_custkey""")
+def case_neighbours(spark, folder):
+    """customers as cases, suppliers as the pool of texts."""
+    k = F.col("s_suppkey")
+    pool = table(spark, folder, "supplier").select(k.alias("place"), F.when(k % 4 == 0, "").when(k % 10 == 7, "common").otherwise(F.col("s_name")).alias("text"))
+    own = F.when(F.col("c_custkey") % 2 == 0, F.array(F.lit("common")))
+    cases = table(spark, folder, "customer").select(F.concat(F.lit("case-"), "c_custkey").alias("case_id"), own.alias("own"))
+    number = F.substring_index("case_id", "-", -1).cast("long")
+    return evaluate.neighbours(cases, pool, 5).select(number.alias("c_custkey"), F.array_join("neighbours", "|").alias("neighbours"))
