@@ -83,8 +83,8 @@ def decode_entities(text: Column, numeric: bool = True, entities: tuple = ENTITI
 
 
 def trim(text: Column) -> Column:
-    """Without Unicode white space at both ends; Spark's own trims blanks only."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Without Unicode white space at both ends; Spark's own trims blanks only. A run of white space is looked at once."""
+    return F.regexp_replace(text, r"(?U)^\s++|(?<!\s)\s++$", "")
 
 
 def scalar_length(text: Column) -> Column:
@@ -109,7 +109,7 @@ def drop_controls(text: Column) -> Column:
 def squeeze(text: Column) -> Column:
     """Runs of blanks and tabs become a blank; blank lines go, others lose what white space they end with."""
     lines = F.split(F.regexp_replace(text, r"[ \t]+", " "), "\n", -1)
-    lines = F.transform(lines, lambda x: F.regexp_replace(x, r"(?U)\s+$", ""))
+    lines = F.transform(lines, lambda x: F.regexp_replace(x, r"(?U)(?<!\s)\s++$", ""))
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 

@@ -63,7 +63,7 @@ def pack(
     second, limit = also or (tokens, None)
     schema = StructType([*items.schema.fields, StructField("batch_ordinal", IntegerType()), StructField("item_index", IntegerType())])
     kinds, key, size, size2 = to_arrow_schema(schema), items.columns.index(scan), items.columns.index(tokens), items.columns.index(second)
-    kept = len(items.columns)
+    width = len(items.columns)
 
     def step(ordinal: int, index: int, total: int, rest: int, n: int, m: int) -> tuple[int, int, int, int]:
         """The state after an item of n tokens (and second cost m): its batch, the items, the tokens and second cost of this."""
@@ -132,7 +132,7 @@ def pack(
         state = last = None
         for batch in batches:
             where, at = [], []
-            for p, s, n, m in zip(*(batch.column(c).to_pylist() for c in (kept, key, size, size2)), strict=True):
+            for p, s, n, m in zip(*(batch.column(c).to_pylist() for c in (width, key, size, size2)), strict=True):
                 if state is None:
                     last, state = s, begins[p]
                 if s != last:
@@ -140,7 +140,7 @@ def pack(
                 state = step(*state, n, m)
                 where.append(state[0])
                 at.append(state[1] - 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(where, pa.int32()), pa.array(at, pa.int32())], schema=kinds)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(where, pa.int32()), pa.array(at, pa.int32())], schema=kinds)
 
     return ordered.mapInArrow(run, schema)
 

@@ -470,7 +470,7 @@ def _pad(byte: int) -> str:
 
 
 @query(f"""
-SELECT doc_id, sha256(unhex('{_pad(0x5C)}') || unhex(sha256(unhex('{_pad(0x36)}') || encode(text)))) AS hmac FROM documents WHERE text IS NOT NULL""")
+SELECT doc_id, sha256(unhex('{_pad(0x5C)}') || unhex(sha256(unhex('{_pad(0x36)}') || encode(text)))) AS hmac FROM documents""")
 def batch_hmac(spark, folder):
     rows = table(spark, folder, "documents")
     return rows.select("doc_id", F.lower(F.hex(hashing.hmac_sha256(KEY, F.col("text")))).alias("hmac"))
