@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontam, langid, license, media, neardup, pii, quality, repeats, urls
+from . import audit, bpe, common, decontam, langid, license, media, neardup, pii, quality, repeats, toxicity, urls, whitening
 
 
 def rank_file() -> str:
@@ -186,6 +186,26 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = audit.flagged(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+    return audit.audit(rows, "ABCDE", ("good", "toxic"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(common.table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+
+    def held_out(doc_id: F.Column) -> F.Column:
+        """A null id is not held out."""
+        return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+    found = toxicity.score(docs, toxicity.train(docs.where(~held_out(F.col("doc_id"))), labels.where(~held_out(F.col("doc_id")))))
+    return found.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 OP1_SQL = r"""
 WITH RECURSIVE
 p AS (SELECT page_id, url, html FROM pages),
@@ -238,9 +258,13 @@ QUERIES = {
     "op8_transport_stream": op8_transport_stream,
     "op9_license_scan": op9_license_scan,
     "op10_repeats": op10_repeats,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_whitening": op12_whitening,
+    "op13_toxicity": op13_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": OP1_SQL,
     "op4_decontamination": decontam.ORACLE_SQL,
     "op9_license_scan": license.oracle_sql(OP9_LABELS),
+    "op11_filter_audit": audit.ORACLE_SQL,
 }
