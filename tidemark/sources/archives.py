@@ -1,15 +1,11 @@
 """Post archives as tables: files to entries, entries to records. Errors are codes in a column, never exceptions.
 
-A ZIP's entries are read by one small Arrow function, entry by entry; what follows (which entries count, limits, order
-of parts) are DataFrame expressions over (archive, name, size, compressed, ordinal, content).
+What is read block by block is in `ranges` (ZIP), `delimited` (records) and `scripts` (arrays); what follows (which entries
+count, limits, order of parts, what records mean) are DataFrame expressions.
 """
 
 from __future__ import annotations
 
-import io
-import json
-import zipfile
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,10 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars, text
+from . import delimited, ranges, scripts
 
 # Limits of archives.
 MAX_ARCHIVE, MAX_ENTRIES, MAX_SELECTED, MAX_ENTRY, MAX_TOTAL, MAX_RATIO, MAX_TOTAL_RATIO = 2 << 30, 100_000, 4_096, 128 << 20, 512 << 20, 200, 100
-MAX_NESTING, MAX_ELEMENT, MAX_RECORD, MAX_FIELD = 64, 4 << 20, 2 << 20, 1 << 20
+MAX_FIELD = 1 << 20
 REDDIT = r"^(?:posts|comments|statistics|checkfile)\.csv$"
 X = r"^data/(?:manifest|tweets|tweet|note-tweet|deleted-tweets|tweets?-part[0-9]{1,4}|tweets/[0-9]{4}_(?:0[1-9]|1[0-2]))\.js$"
 
@@ -33,7 +30,8 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def zip_entries(files: DataFrame) -> DataFrame:
-    """(archive, ordinal, name, size, compressed, method, encrypted, content, error) of each entry of each ZIP.
+    """(archive, ordinal, name, size, compressed, method, encrypted, content, error) of each entry of each ZIP at hand
+    (archive, content), for archives that are small; `ranges` reads others.
 
     Names that no platform allows are listed without content. A file that is no ZIP, or has bytes after its end record's
     comment, gives one row with invalid_archive; an entry whose size or checksum is wrong integrity_mismatch.
@@ -50,28 +48,24 @@ def zip_entries(files: DataFrame) -> DataFrame:
 
         for batch in batches:
             for archive, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                none = dict.fromkeys(("ordinal", "name", "size", "compressed", "method", "encrypted", "content")) | {"archive": archive}
+                file = ranges.Bytes(content)
                 try:
-                    end = content.rfind(b"PK\5\6")
-                    if content[:4] not in (b"PK\3\4", b"PK\5\6") or end < 0 or end + 22 + int.from_bytes(content[end + 20 : end + 22], "little") != len(content):
-                        raise zipfile.BadZipFile
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        listed = z.infolist()
-                        mine = [e for e in listed if allowed.match(e.filename)]
-                        # By the directory alone: an archive beyond the limits is listed, and nothing of it inflated.
-                        fits = len(listed) <= MAX_ENTRIES and len(mine) <= MAX_SELECTED and sum(e.file_size for e in mine) <= MAX_TOTAL
-                        fits &= all(e.file_size <= MAX_ENTRY and e.file_size // max(e.compress_size, 1) <= MAX_RATIO for e in mine)
-                        for k, e in enumerate(listed):
-                            row = {"archive": archive, "ordinal": k, "name": e.filename, "size": e.file_size, "compressed": e.compress_size}
-                            row |= {"method": e.compress_type, "encrypted": bool(e.flag_bits & 1), "content": None, "error": None}
-                            if fits and allowed.match(e.filename) and not row["encrypted"]:
-                                try:
-                                    row["content"] = z.read(e)
-                                except (zipfile.BadZipFile, NotImplementedError, EOFError, OSError, ValueError, zlib.error):
-                                    row["error"] = "integrity_mismatch"
-                            yield one(row)
-                except (zipfile.BadZipFile, UnicodeDecodeError):
-                    yield one(none | {"error": "invalid_archive"})
+                    listed = list(ranges.directory_of(file))
+                except ranges.Broken as error:
+                    yield one({"archive": archive, "error": str(error)})
+                    continue
+                mine = [e for e in listed if allowed.match(e["name"])]
+                # By the directory alone: an archive beyond the limits is listed, and nothing of it inflated.
+                fits = len(listed) <= MAX_ENTRIES and len(mine) <= MAX_SELECTED and sum(e["size"] for e in mine) <= MAX_TOTAL
+                fits &= all(e["size"] <= MAX_ENTRY and e["size"] // max(e["compressed"], 1) <= MAX_RATIO for e in mine)
+                for e in listed:
+                    row = {"archive": archive, **e, "content": None, "error": None}
+                    if fits and allowed.match(e["name"]) and not e["encrypted"]:
+                        try:
+                            row["content"] = b"".join(ranges.inflated(file, e))
+                        except ranges.Broken as error:
+                            row["error"] = str(error)
+                    yield one(row)
 
     kinds = pa.schema(
         [("archive", pa.string()), ("ordinal", pa.int32()), ("name", pa.string()), ("size", pa.int64()), ("compressed", pa.int64()), ("method", pa.int32()), ("encrypted", pa.bool_()), ("content", pa.binary()), ("error", pa.string())]
@@ -139,33 +133,22 @@ _ID = r"^[a-z0-9]{1,20}$"
 # The columns of both files.
 COMMENTS = ("id", "permalink", "date", "subreddit", "parent", "body")
 POSTS = ("id", "permalink", "date", "subreddit", "title", "url", "body")
-MAX_HEADER = 16 << 10
 
 
-def read_csv(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """(id, permalink, created, parent, title, body, record_bytes, malformed, format_confidence) of a comments or posts file.
+def read_csv(spark: SparkSession, path: str, kind: str, split: int = delimited.SPLIT) -> DataFrame:
+    """(id, permalink, created, parent, title, body, record_bytes, malformed, format_confidence) of comments or posts files.
 
-    Columns go by name, whatever their order; a byte order mark is skipped; quotes are doubled; records may span lines. A
-    record of another width is malformed. format_confidence: confirmed for exactly the columns of comments, compatible
-    for others of comments, provisional for posts.
+    Files are read in splits, see `delimited`. Columns go by name, whatever their order; a byte order mark is skipped;
+    quotes are doubled; records may span lines. A record of another width is malformed. format_confidence: confirmed for
+    exactly the columns of comments, compatible for others of comments, provisional for posts.
     """
-    names = COMMENTS if kind == "comments" else POSTS
-    reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
-    head = reader.csv(path)
-    if len("".join(head.columns).encode()) > MAX_HEADER:
-        raise ValueError(f"resource_limit: header of {path}")
-    schema = ", ".join(f"`{c}` string" for c in head.columns) + ", _malformed string"
-    rows = reader.schema(schema).option("columnNameOfCorruptRecord", "_malformed").option("enforceSchema", False).csv(path)
-    missing = [c for c in names if c not in rows.columns]
-    if missing:
-        raise ValueError(f"unsupported_format_version: {path} has no {missing}")
-    null = F.lit(None).cast("string")
-    exact = "confirmed" if tuple(head.columns) == COMMENTS else "compatible"
-    size = sum((F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c in head.columns), F.lit(0))
-    return rows.select(
-        "id", "permalink", F.col("date").alias("created"), *[F.col(c) if c in rows.columns else null.alias(c) for c in ("parent", "title", "body")],
-        size.alias("record_bytes"), F.col("_malformed").isNotNull().alias("malformed"), F.lit(exact if kind == "comments" else "provisional").alias("format_confidence"),
-    )
+    rows = delimited.read_records(spark, path, tuple(dict.fromkeys(COMMENTS + POSTS)), COMMENTS if kind == "comments" else POSTS, split)
+    return _of_kind(rows, kind)
+
+
+def _of_kind(rows: DataFrame, kind: str) -> DataFrame:
+    confidence = F.when(F.col("exact"), "confirmed").otherwise("compatible") if kind == "comments" else F.lit("provisional")
+    return rows.select("id", "permalink", F.col("date").alias("created"), "parent", "title", "body", "record_bytes", "malformed", confidence.alias("format_confidence"))
 
 
 def csv_records(rows: DataFrame, kind: str) -> DataFrame:
@@ -185,7 +168,7 @@ def csv_records(rows: DataFrame, kind: str) -> DataFrame:
     parent = F.coalesce("parent", F.lit(""))
     at = scalars.archive_time(F.col("created"))
     rules = [
-        (F.col("record_bytes") > MAX_RECORD, "resource_limit"),
+        (F.col("record_bytes") > delimited.MAX_RECORD, "resource_limit"),
         (F.col("malformed"), "invalid_record"),
         (~F.coalesce(F.col("id").rlike(_ID), F.lit(False)), "invalid_record"),
         (F.coalesce(linked != F.col("id"), F.lit(False)), "invalid_record"),
@@ -212,42 +195,22 @@ def csv_records(rows: DataFrame, kind: str) -> DataFrame:
 # Script-wrapped arrays --------------------------------------------------------------------------------------------------
 
 
-def _elements(data: bytes) -> Iterator[tuple[str, int, str | None, str | None]]:
-    """(dataset, ordinal, element, error) of `window.YTD.<dataset>.partN = [ ... ]`, one element at a time."""
-    import re
-
-    try:
-        source = data.decode("utf-8-sig")
-    except UnicodeDecodeError:
-        yield "", 0, None, "malformed_record"
-        return
-    head = re.match(r"\s*window\.YTD\.(\w+)\.part\d+\s*=\s*\[", source)
-    if not head:
-        yield "", 0, None, "malformed_wrapper"
-        return
-    decode, at, k, dataset = json.JSONDecoder().raw_decode, head.end(), 0, head[1]
-    gap, comma = re.compile(r"\s*"), re.compile(r"\s*,\s*")
-    at = gap.match(source, at).end()
-    while not source.startswith("]", at):
-        try:
-            _, end = decode(source, at)
-        except (ValueError, RecursionError):
-            yield dataset, k, None, "malformed_record"
-            return
-        element = source[at:end]
-        depth = most = 0
-        for c in re.sub(r'"(?:[^"\\]|\\.)*"', "", element):
-            depth += (c in "[{") - (c in "]}")
-            most = max(most, depth)
-        bad = len(element.encode("utf-8", "surrogatepass")) > MAX_ELEMENT or most > MAX_NESTING
-        yield dataset, k, None if bad else element, "resource_limit" if bad else None
-        k, found = k + 1, comma.match(source, end)
-        at = found.end() if found else gap.match(source, end).end()
-        if not found and not source.startswith("]", at):
-            yield dataset, k, None, "malformed_record"
-            return
-    if not re.fullmatch(r"[\s;]*", source[at + 1 :]):
-        yield dataset, k, None, "malformed_wrapper"
+_ELEMENTS = ("archive", "name", "dataset", "ordinal", "element", "error")
+_ELEMENTS_SCHEMA = "archive string, name string, dataset string, ordinal int, element string, error string"
+
+
+def _batches(archive: str, name: str, found: Iterator[tuple[str, int, str | None, str | None]]) -> Iterator[pa.RecordBatch]:
+    """Rows of elements, some thousands of them or some megabytes at once."""
+    kinds = pa.schema(list(zip(_ELEMENTS, (pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string()), strict=True)))
+    rows, held = [], 0
+    for e in found:
+        rows.append(dict(zip(_ELEMENTS, (archive, name, *e), strict=True)))
+        held += len(e[2] or "")
+        if len(rows) == 1000 or held > scripts.MAX_ELEMENT:
+            yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+            rows, held = [], 0
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
 
 def js_elements(entries: DataFrame) -> DataFrame:
@@ -256,13 +219,23 @@ def js_elements(entries: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for archive, name, content in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                rows = [(archive, name, *e) for e in _elements(content or b"")]
-                for a in range(0, len(rows), 1000):
-                    columns = zip(*rows[a : a + 1000], strict=True)
-                    kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["archive", "name", "dataset", "ordinal", "element", "error"])
+                yield from _batches(archive, name, scripts.elements([content or b""]))
+
+    return entries.select("archive", "name", "content").mapInArrow(run, _ELEMENTS_SCHEMA)
+
+
+def js_elements_by_range(entries: DataFrame) -> DataFrame:
+    """The same of entries listed by `ranges.directory`, inflated and parsed block by block. An entry whose size or checksum
+    is wrong has, after its elements, a row with integrity_mismatch: none of them count.
+    """
+
+    def parse(blocks: Iterator[bytes], entry: dict) -> Iterator[pa.RecordBatch]:
+        return _batches(entry["archive"], entry["name"], scripts.elements(blocks))
+
+    def failed(entry: dict, code: str) -> pa.RecordBatch:
+        return next(_batches(entry["archive"], entry["name"], iter([("", 0, None, code)])))
 
-    return entries.select("archive", "name", "content").mapInArrow(run, "archive string, name string, dataset string, ordinal int, element string, error string")
+    return ranges.read_entries(entries, parse, _ELEMENTS_SCHEMA, failed)
 
 
 def status_id(url: Column) -> Column:
