@@ -1,7 +1,10 @@
 """Archives to records, and the rules on keyed tables and queues."""
 
 import datetime
+import hashlib
 import io
+import json
+import random
 import unicodedata
 import zipfile
 
@@ -140,14 +143,77 @@ def test_keyed_tables(spark):
     assert [r.k for r in store.violations(new, ["k"]).collect()] == [3]
 
 
-def test_queue_log(spark):
-    log = [
-        (1, 1, 1, "claim", "w1"), (1, 2, 2, "success", "w2"), (1, 3, 3, "success", "w1"),
-        (2, 1, 4, "claim", "w1"), (2, 2, 5, "defer", "w1"), (2, 3, 6, "claim", "w2"), (2, 4, 7, "heartbeat", "w2"),
-    ]
-    items = spark.createDataFrame([(1,), (2,), (3,)], "id int")
-    got = {r.id: (r.status, r.attempts, r.lost) for r in store.replay_queue(items, spark.createDataFrame(log, "id int, at int, seq int, event string, owner string")).collect()}
-    assert got == {1: ("succeeded", 1, 1), 2: ("running", 1, 0), 3: ("pending", 0, 0)}
+def closure(tables, foreign, gone):
+    """What goes with `gone`, row by row."""
+    found = {(t, r) for t, keys in gone.items() for r in tables[t] if r[0] in keys}
+    while True:
+        more = {(child, r) for child, k, parent, j in foreign for r in tables[child] if r[k] is not None and any(p == parent and q[j] == r[k] for p, q in found)} - found
+        if not more:
+            return found
+        found |= more
+
+
+def test_cascade_over_circles_and_diamonds(spark):
+    draw = random.Random(4)
+    tables = {t: [(k, draw.choice([None, *range(30)]), draw.choice([None, *range(30)])) for k in range(30)] for t in "abc"}
+    # a points to itself, b to a by two ways, c to b and a, a to c: a circle.
+    foreign = [("a", 1, "a", 0), ("b", 1, "a", 0), ("b", 2, "a", 0), ("c", 1, "b", 0), ("c", 2, "a", 0), ("a", 2, "c", 0)]
+    names = ["k", "x", "y"]
+    frames = {t: (spark.createDataFrame(rows, "k int, x int, y int"), ["k"]) for t, rows in tables.items()}
+    keys = [(c, [names[k]], p, [names[j]]) for c, k, p, j in foreign]
+    for gone in ({"a": {3}}, {"b": {1, 2}, "c": {5}}, {"a": {99}}):
+        out, left = store.cascade(frames, keys, {t: spark.createDataFrame([(k,) for k in ks], "k int") for t, ks in gone.items()})
+        found = closure(tables, foreign, gone)
+        assert left == 0
+        for t, rows in tables.items():
+            assert {tuple(r) for r in out[t].collect()} == {r for r in rows if (t, r) not in found}
+
+
+JSON = st.recursive(st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False, allow_infinity=False) | st.text(max_size=4), lambda v: st.lists(v, max_size=3) | st.dictionaries(st.text(max_size=3), v, max_size=3), max_leaves=10)
+
+
+def test_canonical_json(spark):
+    values = []
+
+    @settings(max_examples=150, deadline=None, database=None)
+    @given(JSON)
+    def draw(value):
+        values.append(value)
+
+    draw()
+    whole = [v for v in values if json.dumps(v, ensure_ascii=False).encode("utf-8", "ignore").decode() == json.dumps(v, ensure_ascii=False)]
+    rows = [(k, json.dumps(v, indent=1)) for k, v in enumerate(whole)] + [(-1, "no json"), (-2, None), (-3, "NaN"), (-4, "[" * 100_000), (-5, '{"a":1,"a":2}')]
+    got = {r.k: r.c for r in spark.createDataFrame(rows, "k int, x string").select("k", hashing.canonical_json(F.col("x")).alias("c")).collect()}
+    assert all(got[k] == json.dumps(v, sort_keys=True, ensure_ascii=False, separators=(",", ":")) for k, v in enumerate(whole)) and len(whole) > 50
+    assert [got[-k] for k in range(1, 6)] == [None] * 4 + ['{"a":2}']
+    assert hashing.table_hash({"b": [1], "a": "é"}) == hashlib.sha256('{"a":"é","b":[1]}'.encode()).hexdigest()
+
+
+def test_trims_of_long_white_space_take_linear_time(spark):
+    import time
+
+    blanks = "\u3000 \n\t" * 250_000
+    frame = spark.createDataFrame([(f"a{blanks}b",), (blanks,), (f"{blanks}x{blanks}",), (None,)], "t string")
+    start = time.perf_counter()
+    got = [r.t for r in frame.select(text.trim(F.col("t")).alias("t")).collect()]
+    assert got == [f"a{blanks}b", "", "x", None]
+    assert [r.t for r in frame.select(text.minimize(F.col("t")).alias("t")).collect()] == ["a\n b", "", "x", None]
+    assert time.perf_counter() - start < 20
+
+
+def test_claims_go_by_platform(spark):
+    rows = [(1, "x", "f", 2, 1, "running"), (1, "x", "f", 1, 2, "ready"), (1, "reddit", "f", 9, 3, "running"), (2, "x", "f", 9, 4, "queued"), (1, "reddit", "f", 10, 5, "failed"), (1, "reddit", "f", 10, 6, "queued"), (None, "x", None, 1, 7, "queued"), (None, "x", None, 1, 8, "queued")]
+    frame = spark.createDataFrame(rows, "tenant_id int, platform string, fingerprint string, claimed_at int, id int, status string")
+    assert {r.id: r.outcome for r in store.fingerprint_claims(frame).collect()} == {1: "duplicate", 2: "claimed", 3: "claimed", 4: "claimed", 6: "busy", 7: "claimed", 8: "busy"}
+
+
+def test_duplicates_are_finished_whole(spark):
+    imports = spark.createDataFrame([(1, 1, None, "ready", "a", "f", None, 0), (1, 2, 1, "running", None, "f", None, 0), (1, 3, 9, "running", None, "g", None, 0)], "tenant_id int, import_id int, holder_id int, status string, format string, fingerprint string, finished_at timestamp, record_count long")
+    links = spark.createDataFrame([(1, 1, 5), (1, 1, 6), (1, 2, 6)], "tenant_id int, import_id int, content_id int")
+    out, all_links, staging = store.finish_duplicates(imports, links, F.to_timestamp(F.lit("2020-01-01")), links.select("tenant_id", "import_id"))
+    got = {r.import_id: (r.status, r.format, r.fingerprint, r.finished_at is not None, r.record_count) for r in out.collect()}
+    assert got == {1: ("ready", "a", "f", False, 2), 2: ("ready", "a", None, True, 2), 3: ("running", None, "g", False, 0)}
+    assert all_links.count() == 4 and {r.import_id for r in staging.collect()} == {1}
 
 
 @settings(max_examples=200, deadline=None)

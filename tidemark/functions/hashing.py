@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import json
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def sha256_hex(x: Column) -> Column:
@@ -113,3 +116,28 @@ def canonical_results(results: Column) -> Column:
 def request_hash(**fields: Column) -> Column:
     """SHA-256 of a request's JSON, members in order of their names; the values are JSON already."""
     return sha256_hex(json_object(**fields))
+
+
+def _canonical(x: str) -> str | None:
+    try:
+        return json.dumps(json.loads(x), sort_keys=True, ensure_ascii=False, separators=(",", ":"), allow_nan=False)
+    except (ValueError, RecursionError):
+        return None
+
+
+@F.pandas_udf(StringType())
+def canonical_json(x: pd.Series) -> pd.Series:
+    """A text of JSON of any shape in its canonical form: members by code points of their names, at every level, no blanks,
+    the shortest form of numbers, nothing escaped that need not be. Of equal names the last counts. What is no JSON is null.
+    """
+    return x.map(_canonical, na_action="ignore")
+
+
+def content_identity(key: bytes, tenant: Column, record: Column) -> Column:
+    """HMAC-SHA-256 in hex over the tenant's bytes and a record's canonical JSON; null where either is."""
+    return F.lower(F.hex(hmac_sha256(key, F.concat(tenant.cast("binary"), canonical_json(record).cast("binary")))))
+
+
+def table_hash(value: object) -> str:
+    """SHA-256 in hex of the canonical JSON of a fixed table of the policy: another table, another hash."""
+    return hashlib.sha256(json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()

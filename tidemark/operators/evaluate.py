@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import hashing, scalars
 from .scan import free_name, kept
 
-GATES = {"core_recall": 0.92, "core_precision": 0.88, "edge_recall": 0.85}
+# What has to be reached, and what must not be passed.
+GATES = {"core_recall": 0.92, "core_precision": 0.88, "edge_recall": 0.85, "amplified_accuracy": 0.95}
+LIMITS = {"invariant_failures": 0, "failure_rate": 0.0, "most_calls": 5, "findings": 0}
+#: The order in which gates are told.
+TOLD = ("core_recall", "core_precision", "edge_recall", "invariant_failures", "failure_rate", "amplified_accuracy", "most_calls", "findings")
 
 
 def confusion(cases: DataFrame) -> DataFrame:
@@ -37,12 +41,46 @@ def ratios(counts: DataFrame) -> DataFrame:
     )
 
 
-def gates(report: DataFrame, thresholds: dict[str, float] = GATES) -> DataFrame:
-    """report with failures (names of gates that are not reached or not measured) and passed."""
-    missed = [F.when(~F.coalesce(F.col(k) >= v - 1e-12, F.lit(False)), F.lit(k)) for k, v in thresholds.items()]
+def gates(report: DataFrame, least: dict[str, float] = GATES, most: dict[str, float] = LIMITS) -> DataFrame:
+    """report with failures (names of gates not met, in order of TOLD) and passed; gates whose column is not there are not
+    asked for. A ratio that has nothing to divide by fails for core cases, and for edge cases in a suite that has them (the
+    column suite is all, edge or null, or is not there); other gates then say nothing. 1e-12 is allowed for rounding.
+    """
+    has_edge = F.coalesce(F.col("suite").isin("all", "edge"), F.lit(True)) if "suite" in report.columns else F.lit(True)
+    unmeasured = {"core_recall": F.lit(True), "core_precision": F.lit(True), "edge_recall": has_edge}
+    missed = []
+    for name in TOLD:
+        if name in report.columns:
+            bad = F.col(name) < least[name] - 1e-12 if name in least else F.col(name) > most[name] + 1e-12
+            missed.append(F.when(F.coalesce(bad, unmeasured.get(name, F.lit(False))), F.lit(name)))
     return report.withColumn("failures", F.array_compact(F.array(*missed))).withColumn("passed", F.size("failures") == 0)
 
 
+def suite_report(cases: DataFrame, by: list[str]) -> DataFrame:
+    """by, and what gates ask of each suite of cases: counts as in `confusion`, their ratios, amplified_accuracy,
+    failure_rate, invariant_failures, most_calls, findings.
+
+    cases: by, slice, expected, predicted, amplified, wording_ok, invariant_failed, failed, calls, finding. Nulls count
+    as no and as no call; no cases give no suites.
+    """
+    slices = {"core": F.col("slice") == "core", "edge": F.col("slice") == "edge"}
+    counts = {
+        f"{s}_{name}": F.count_if(here & hit)
+        for s, here in slices.items()
+        for name, hit in {"tp": F.col("expected") & F.col("predicted"), "fn": F.col("expected") & ~F.col("predicted"), "fp": ~F.col("expected") & F.col("predicted")}.items()
+        if (s, name) != ("edge", "fp")
+    }
+    out = cases.groupBy(*by).agg(
+        *[c.alias(name) for name, c in counts.items()],
+        scalars.ratio(F.count_if(F.col("amplified") & F.col("wording_ok")), F.count_if("amplified")).alias("amplified_accuracy"),
+        scalars.ratio(F.count_if("failed"), F.count("*")).alias("failure_rate"),
+        F.count_if("invariant_failed").alias("invariant_failures"),
+        F.coalesce(F.max("calls"), F.lit(0)).alias("most_calls"),
+        F.count_if("finding").alias("findings"),
+    )
+    return ratios(out)
+
+
 def compare(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
     """One row: cases on each side and whether all hashes are equal. Both have (case_id, hash)."""
     both = baseline.select("case_id", F.col("hash").alias("a")).join(candidate.select("case_id", F.col("hash").alias("b")), "case_id", "full")
@@ -60,10 +98,11 @@ def rates(cases: DataFrame) -> DataFrame:
     return cases.agg(scalars.ratio(right, all_).alias("amplified_accuracy"), scalars.ratio(failed, F.count("*")).alias("failure_rate"))
 
 
-def usage(calls: DataFrame, by: list[str]) -> DataFrame:
-    """Tokens and calls summed up, and the most calls of a batch."""
-    sums = [F.sum(c).alias(c) for c in ("input_tokens", "cached_tokens", "output_tokens")]
-    return calls.groupBy(*by).agg(F.count("*").alias("calls"), *sums)
+def usage(calls: DataFrame, by: list[str], batch: list[str]) -> DataFrame:
+    """Tokens and calls summed up, and the most calls of a batch. Null tokens count nothing; null keys are a key."""
+    names = ("input_tokens", "cached_tokens", "output_tokens")
+    each = calls.groupBy(*by, *batch).agg(F.count("*").alias("calls"), *[F.sum(c).alias(c) for c in names])
+    return each.groupBy(*by).agg(F.sum("calls").alias("calls"), F.max("calls").alias("most_calls"), *[F.sum(c).alias(c) for c in names])
 
 
 def privacy_findings(payloads: DataFrame, by: list[str]) -> DataFrame:

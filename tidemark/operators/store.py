@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scan import free_name
+from .scan import free_name, kept
 
 
 def insert_ignore(table: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -89,14 +89,21 @@ def join_notes(posts: DataFrame, notes: DataFrame) -> DataFrame:
 
 
 def fingerprint_claims(imports: DataFrame) -> DataFrame:
-    """imports (tenant_id, fingerprint, claimed_at, id, status) with outcome: the first live claim holds; later ones are
-    duplicates if it is ready, else wait.
+    """imports (tenant_id, platform, fingerprint, claimed_at, id, status) with outcome: of one tenant, platform and
+    fingerprint the first live claim holds; later ones are duplicates if it is ready, else busy.
+
+    Imports that have ended are left out. Equal instants go by id; a repeated row is its own holder. Null keys are equal to
+    each other; no imports give none. The holder is found by aggregation and joined, so that a fingerprint with very many
+    claims is no group of one task.
     """
-    live = ~F.col("status").isin("rejected", "failed", "cancelled", "deleted")
-    rows = imports.where(live)
-    who = Window.partitionBy("tenant_id", "fingerprint").orderBy("claimed_at", "id")
-    rank, holder = F.row_number().over(who), F.first("status").over(who)
-    return rows.withColumn("outcome", F.when(rank == 1, "claimed").when(holder == "ready", "duplicate").otherwise("busy"))
+    rows = imports.where(~F.col("status").isin("rejected", "failed", "cancelled", "deleted"))
+    keys = ["tenant_id", "platform", "fingerprint"]
+    first, same = free_name(imports, "first"), [free_name(imports, f"of_{k}") for k in keys]
+    holders = rows.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, same, strict=True)]).agg(F.min(F.struct("claimed_at", "id", "status")).alias(first))
+    fits = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, same, strict=True)]
+    own = F.struct("claimed_at", "id").eqNullSafe(F.struct(f"{first}.claimed_at", f"{first}.id"))
+    outcome = F.when(own, "claimed").when(F.col(f"{first}.status") == "ready", "duplicate").otherwise("busy")
+    return rows.join(holders, fits).withColumn("outcome", outcome).drop(first, *same)
 
 
 def first_reviews(flags: DataFrame, actions: DataFrame) -> DataFrame:
@@ -136,16 +143,82 @@ def selected_content(content: DataFrame, links: DataFrame, imports: DataFrame |
     return content.where(F.col("platform").isin("reddit", "x")).join(links, ["tenant_id", "content_id"], "left_semi")
 
 
-def finish_duplicates(imports: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(imports, links): an import with a holder takes over the holder's links and format, and counts its own links."""
-    copied = imports.where(F.col("holder_id").isNotNull()).select("tenant_id", "import_id", "holder_id")
+def finish_duplicates(imports: DataFrame, links: DataFrame, now: Column, staging: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(imports, links, staging): an import whose holder is there is ready; it takes over the holder's links and format, and
+    counts its own links; its fingerprint is free (so are other claims on those bytes), and what it staged goes.
+
+    imports: tenant_id, import_id, holder_id, status, format, fingerprint, finished_at, record_count; each once. An import
+    without a holder, or with one that is not there, stays as it is, but for its count. Null keys join nothing.
+    """
+    key, found = ["tenant_id", "import_id"], free_name(imports, "found")
+    holders = imports.select("tenant_id", F.col("import_id").alias("holder_id"), F.struct(F.col("format").alias("format")).alias(found))
+    joined = imports.join(holders, ["tenant_id", "holder_id"], "left")
+    done = F.col(found).isNotNull()
     theirs = links.withColumnRenamed("import_id", "holder_id")
-    links = links.unionByName(copied.join(theirs, ["tenant_id", "holder_id"]).select(*links.columns)).dropDuplicates()
-    counts = links.groupBy("tenant_id", "import_id").agg(F.count("*").alias("record_count"))
-    of_holder = imports.select("tenant_id", F.col("import_id").alias("holder_id"), F.col("format").alias("holder_format"))
-    out = imports.drop("record_count").join(counts, ["tenant_id", "import_id"], "left").join(of_holder, ["tenant_id", "holder_id"], "left")
-    out = out.withColumn("format", F.coalesce("holder_format", "format")).withColumn("record_count", F.coalesce("record_count", F.lit(0)))
-    return out.select(*imports.columns), links
+    copied = joined.where(done).select(*key, "holder_id").join(theirs, ["tenant_id", "holder_id"]).select(*links.columns)
+    links = links.unionByName(copied).dropDuplicates()
+    counts = links.groupBy(*key).agg(F.count("*").alias("record_count"))
+    values = {"status": F.lit("ready"), "format": F.col(f"{found}.format"), "fingerprint": F.lit(None), "finished_at": now}
+    columns = [F.when(done, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in imports.columns if c != "record_count"]
+    out = joined.select(*columns).join(counts, key, "left").withColumn("record_count", F.coalesce("record_count", F.lit(0)))
+    if staging is not None:
+        staging = staging.join(joined.where(done).select(*key), key, "left_anti")
+    return out.select(*imports.columns), links, staging
+
+
+def retention(keys: DataFrame, content: DataFrame, now: Column, hours: int = 24) -> tuple[DataFrame, DataFrame]:
+    """(keys, content): idempotency keys made more than `hours` ago go; content whose deletion has been pending for longer
+    loses its texts (body, title) and is purged now, unless it was purged before. A null time is not past.
+    """
+    limit = now - F.make_dt_interval(hours=F.lit(hours))
+    due = F.coalesce((F.col("deletion_pending_at") < limit) & F.col("purged_at").isNull(), F.lit(False))
+    values = {"body": F.lit(None), "title": F.lit(None), "purged_at": now}
+    scrubbed = content.select(*[F.when(due, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in content.columns])
+    return keys.where(~F.coalesce(F.col("created_at") < limit, F.lit(False))), scrubbed
+
+
+def backfill(users: DataFrame, grants: DataFrame, product: str) -> DataFrame:
+    """The grants (user_id, product) that users without any live one of theirs are given; a user named twice has one."""
+    return users.select("user_id").distinct().join(grants, "user_id", "left_anti").withColumn("product", F.lit(product))
+
+
+def cascade(tables: dict[str, tuple[DataFrame, list[str]]], foreign: list[tuple[str, list[str], str, list[str]]], gone: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], int]:
+    """(tables, rows left that point to what is gone): the tables without the rows in `gone` and all that hang on them.
+
+    tables: name to (rows, the columns of its key). foreign: (child, its columns, parent, the parent's columns that these
+    name): a row goes with the row it points to. gone: name to keys. Keys may run in circles, and two ways may lead to a row.
+    Each round finds, by a semi join for each foreign key, the rows that point to those found in the round before,
+    until there are none; a row is found once, so the rounds are as many as the longest way. A null key points to nothing.
+    The keys found are written once in each round, in the session's spark.checkpoint.dir.
+    """
+    pointed = {name: sorted({c for _, _, p, cs in foreign if p == name for c in cs} | set(key)) for name, (_, key) in tables.items()}
+    found = {name: kept(gone[name].join(rows.select(*pointed[name]), key).select(*pointed[name]).distinct()) if name in gone else None for name, (rows, key) in tables.items()}
+    fresh = dict(found)
+    while True:
+        now: dict[str, DataFrame] = {}
+        for child, columns, parent, theirs in foreign:
+            if fresh.get(parent) is None:
+                continue
+            ends = fresh[parent].select(*[F.col(t).alias(c) for c, t in zip(columns, theirs, strict=True)]).dropna().distinct()
+            hit = tables[child][0].join(ends, columns, "left_semi").select(*pointed[child])
+            now[child] = hit if child not in now else now[child].unionByName(hit)
+        for name in list(now):
+            rows = now[name].distinct()
+            rows = kept(rows if found[name] is None else rows.join(found[name].select(*tables[name][1]), tables[name][1], "left_anti"))
+            if rows.isEmpty():
+                del now[name]
+                continue
+            now[name], found[name] = rows, rows if found[name] is None else found[name].unionByName(rows)
+        if not now:
+            break
+        fresh = now
+    out = {name: rows if found[name] is None else rows.join(found[name].select(*key).distinct(), key, "left_anti") for name, (rows, key) in tables.items()}
+    left = 0
+    for child, columns, parent, theirs in foreign:
+        if found[parent] is not None:
+            ends = found[parent].select(*[F.col(t).alias(c) for c, t in zip(columns, theirs, strict=True)]).dropna().distinct()
+            left += out[child].join(ends, columns, "left_semi").count()
+    return out, left
 
 
 def end_imports(imports: DataFrame, staging: DataFrame, ended: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
@@ -244,30 +317,3 @@ def sweep(items: DataFrame, now: Column) -> DataFrame:
         .when(stale, "pending")
         .otherwise(F.col("status")),
     )
-
-
-def replay_queue(items: DataFrame, log: DataFrame) -> DataFrame:
-    """(id, status, attempts, lost): items after the log's events (id, at, seq, event, owner) in order.
-
-    claim takes a pending item; success, failure, defer and cancel count only for the owner that claimed last (else the
-    event is lost). Each item's events are folded by one aggregate, in the JVM.
-    """
-    events = log.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "seq", "event", "owner"))).alias("events"))
-    start = F.struct(F.lit("pending").alias("status"), F.lit(None).cast("string").alias("owner"), F.lit(0).alias("attempts"), F.lit(0).alias("lost"))
-
-    def step(s: Column, e: Column) -> Column:
-        claims = (e["event"] == "claim") & (s["status"] == "pending")
-        owns = (s["status"] == "running") & (s["owner"] == e["owner"]) & (e["event"] != "claim")
-        status = F.when(claims, "running").when(
-            owns, F.when(e["event"] == "success", "succeeded").when(e["event"] == "failure", "failed").when(e["event"] == "cancel", "cancelled").when(e["event"] == "heartbeat", "running").otherwise("pending")
-        )
-        change = F.when(claims, 1).when(owns & (e["event"] == "defer"), -1).otherwise(0)
-        return F.struct(
-            F.coalesce(status, s["status"]).alias("status"),
-            F.when(claims, e["owner"]).otherwise(s["owner"]).alias("owner"),
-            (s["attempts"] + change).alias("attempts"),
-            (s["lost"] + F.when(claims | owns, 0).otherwise(1)).alias("lost"),
-        )
-
-    found = items.select("id").join(events, "id", "left")
-    return found.select("id", F.aggregate(F.coalesce("events", F.array().cast(events.schema["events"].dataType)), start, step).alias("s")).select("id", "s.status", "s.attempts", "s.lost")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,6 +138,7 @@ def imports_of(spark: SparkSession, folder: str) -> DataFrame:
     k = F.col("doc_id")
     return table(spark, folder, "documents").select(
         F.col("source").alias("tenant_id"),
+        F.when(k % 3 == 0, "x").otherwise("reddit").alias("platform"),
         k.alias("id"),
         hashing.sha256_hex(F.col("text")).alias("fingerprint"),
         F.timestamp_seconds(k % 50 * 86400).alias("claimed_at"),
@@ -144,9 +147,9 @@ def imports_of(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-WITH i AS (SELECT source, doc_id, sha256(text) AS f, doc_id % 50 AS day, CASE WHEN doc_id % 4 = 0 THEN 'ready' ELSE 'running' END AS status FROM documents WHERE doc_id % 9 > 0)
+WITH i AS (SELECT source, doc_id % 3 = 0 AS x, doc_id, sha256(text) AS f, doc_id % 50 AS day, CASE WHEN doc_id % 4 = 0 THEN 'ready' ELSE 'running' END AS status FROM documents WHERE doc_id % 9 > 0)
 SELECT source AS tenant, doc_id, CASE WHEN row_number() OVER w = 1 THEN 'claimed' WHEN first_value(status) OVER w = 'ready' THEN 'duplicate' ELSE 'busy' END AS outcome
-FROM i WINDOW w AS (PARTITION BY source, f ORDER BY day, doc_id)""")
+FROM i WINDOW w AS (PARTITION BY source, x, f ORDER BY day, doc_id)""")
 def import_dedupe(spark, folder):
     return store.fingerprint_claims(imports_of(spark, folder)).select(F.col("tenant_id").alias("tenant"), F.col("id").alias("doc_id"), "outcome")
 
@@ -199,7 +202,7 @@ def latest_succeeded_scan(spark, folder):
 def grant_backfill_anti(spark, folder):
     users = table(spark, folder, "customer").select(F.col("c_custkey").alias("user_id"))
     live = table(spark, folder, "orders").where("o_orderstatus <> 'F'").select(F.col("o_custkey").alias("user_id"))
-    return users.join(live, "user_id", "left_anti").withColumn("product", F.lit("free_beta"))
+    return store.backfill(users, live, "free_beta")
 
 
 @query("""
@@ -408,10 +411,45 @@ def queue_sweep(spark, folder):
 @query("""
 SELECT event_type AS kind, count(*) AS kept FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR GROUP BY event_type""")
 def retention_sweep(spark, folder):
-    rows = table(spark, folder, "events")
-    newest = rows.agg(F.max("ts").alias("newest"))
-    kept = rows.join(F.broadcast(newest), F.col("ts") >= F.col("newest") - F.expr("INTERVAL 24 HOURS"))
-    return kept.groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("kept"))
+    rows = table(spark, folder, "events").select("event_type", F.col("ts").cast("timestamp").alias("created_at"))
+    now = rows.agg(F.max("created_at")).first()[0]
+    content = spark.createDataFrame([], "body string, title string, deletion_pending_at timestamp, purged_at timestamp")
+    left, _ = store.retention(rows, content, F.lit(now))
+    return left.groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("kept"))
+
+
+@query("""
+SELECT o_orderkey AS content_id, CASE WHEN NOT (o_orderstatus = 'F' AND o_orderdate < TIMESTAMP '1995-12-31' AND o_orderkey % 4 > 0) THEN o_orderpriority END AS body,
+       CASE WHEN o_orderkey % 4 = 0 THEN o_orderdate WHEN o_orderstatus = 'F' AND o_orderdate < TIMESTAMP '1995-12-31' THEN TIMESTAMP '1996-01-01' END AS purged_at FROM orders""")
+def scrubbed_content(spark, folder):
+    """orders as content: filled ones are pending deletion since their date, one in four was purged before."""
+    content = table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("content_id"), F.col("o_orderpriority").alias("body"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("deletion_pending_at"),
+        F.when(F.col("o_orderkey") % 4 == 0, F.col("o_orderdate")).alias("purged_at"),
+    )
+    keys = spark.createDataFrame([], "created_at timestamp")
+    _, out = store.retention(keys, content, F.to_timestamp(F.lit("1996-01-01 00:00:00")))
+    return out.select("content_id", "body", "purged_at")
+
+
+@query("""
+WITH RECURSIVE s AS (SELECT s_suppkey AS k FROM supplier WHERE s_nationkey = 3), c AS (SELECT c_custkey AS k FROM customer WHERE c_nationkey = 3),
+o AS (SELECT o_orderkey AS k FROM orders WHERE o_custkey IN (SELECT k FROM c)),
+l AS (SELECT count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT k FROM o) OR l_suppkey IN (SELECT k FROM s))
+SELECT 'nation' AS name, (SELECT count(*) FROM nation) - 1 AS rows, 0 AS left_over UNION ALL SELECT 'supplier', (SELECT count(*) FROM supplier) - (SELECT count(*) FROM s), 0
+UNION ALL SELECT 'customer', (SELECT count(*) FROM customer) - (SELECT count(*) FROM c), 0 UNION ALL SELECT 'orders', (SELECT count(*) FROM orders) - (SELECT count(*) FROM o), 0
+UNION ALL SELECT 'lineitem', (SELECT count(*) FROM lineitem) - (SELECT n FROM l), 0""")
+def cascaded_deletions(spark, folder):
+    """A nation goes, and with it suppliers, customers, their orders, and the lines of either."""
+    keys = {"nation": ["n_nationkey"], "supplier": ["s_suppkey"], "customer": ["c_custkey"], "orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_linenumber", "l_suppkey"]}
+    foreign = [
+        ("supplier", ["s_nationkey"], "nation", ["n_nationkey"]), ("customer", ["c_nationkey"], "nation", ["n_nationkey"]), ("orders", ["o_custkey"], "customer", ["c_custkey"]),
+        ("lineitem", ["l_orderkey"], "orders", ["o_orderkey"]), ("lineitem", ["l_suppkey"], "supplier", ["s_suppkey"]),
+    ]
+    tables = {name: (table(spark, folder, name), key) for name, key in keys.items()}
+    out, left = store.cascade(tables, foreign, {"nation": tables["nation"][0].where("n_nationkey = 3").select("n_nationkey")})
+    counts = [rows.agg(F.lit(name).alias("name"), F.count("*").alias("rows"), F.lit(left).alias("left_over")) for name, rows in out.items()]
+    return reduce(DataFrame.unionByName, counts)
 
 
 @query("""
@@ -512,14 +550,17 @@ def selected_content(spark, folder):
 @query("""
 WITH l AS (SELECT DISTINCT l_orderkey AS i, l_partkey AS c FROM lineitem),
 a AS (SELECT i, c FROM l UNION SELECT o_orderkey, c FROM orders JOIN l ON i = o_orderkey - 2 WHERE o_orderkey % 7 = 0)
-SELECT o_orderkey AS import_id, coalesce(n, 0)::BIGINT AS record_count, CASE WHEN o_orderkey % 7 = 0 AND h THEN (o_orderkey - 2) % 2 ELSE o_orderkey % 2 END::BIGINT AS format
+SELECT o_orderkey AS import_id, coalesce(n, 0)::BIGINT AS record_count, CASE WHEN o_orderkey % 7 = 0 AND h THEN (o_orderkey - 2) % 2 ELSE o_orderkey % 2 END::BIGINT AS format,
+       CASE WHEN o_orderkey % 7 = 0 AND h OR o_orderkey % 10 = 1 THEN 'ready' ELSE 'failed' END AS status, NOT (o_orderkey % 7 = 0 AND h) AS held
 FROM (SELECT *, o_orderkey - 2 IN (SELECT o_orderkey FROM orders) AS h FROM orders) LEFT JOIN (SELECT i, count(*) AS n FROM a GROUP BY i) ON i = o_orderkey""")
 def finish_duplicates(spark, folder):
     """One order in seven is a duplicate import of the order two before it."""
     key = F.col("import_id")
     _, links, imports = links_of(spark, folder)
     imports = imports.withColumn("holder_id", F.when(key % 7 == 0, key - 2)).withColumn("format", key % 2).withColumn("record_count", F.lit(0).cast("long"))
-    return store.finish_duplicates(imports, links)[0].select("import_id", "record_count", "format")
+    imports = imports.withColumn("fingerprint", F.lit("f")).withColumn("finished_at", F.lit(None).cast("timestamp"))
+    out, _, _ = store.finish_duplicates(imports, links, F.to_timestamp(F.lit("2020-01-01 00:00:00")))
+    return out.select("import_id", "record_count", "format", "status", F.col("fingerprint").isNotNull().alias("held"))
 
 
 @query("""
@@ -700,11 +741,14 @@ def deletions_replayed(spark, folder):
 
 
 @query("""
-SELECT source AS tenant, count(*) AS calls, sum(100 + doc_id % 37)::BIGINT AS input_tokens, sum(doc_id % 31)::BIGINT AS cached_tokens, sum(doc_id % 17)::BIGINT AS output_tokens FROM documents GROUP BY source""")
+SELECT source AS tenant, sum(n)::BIGINT AS calls, max(n) AS most_calls, sum(i)::BIGINT AS input_tokens, sum(c)::BIGINT AS cached_tokens, sum(o)::BIGINT AS output_tokens
+FROM (SELECT source, n_chars % 7 AS batch, count(*) AS n, sum((length(text) + 3) // 4) AS i, sum(doc_id % 31) AS c, sum(doc_id % 17) AS o FROM documents GROUP BY ALL) GROUP BY source""")
 def usage_by_tenant(spark, folder):
     k = F.col("doc_id")
-    calls = table(spark, folder, "documents").select(F.col("source").alias("tenant"), (100 + k % 37).alias("input_tokens"), (k % 31).alias("cached_tokens"), (k % 17).alias("output_tokens"))
-    return evaluate.usage(calls, ["tenant"])
+    calls = table(spark, folder, "documents").select(
+        F.col("source").alias("tenant"), (F.col("n_chars") % 7).alias("batch"), text.estimate_tokens(F.col("text")).alias("input_tokens"), (k % 31).alias("cached_tokens"), (k % 17).alias("output_tokens")
+    )
+    return evaluate.usage(calls, ["tenant"], ["batch"])
 
 
 @query("""
@@ -895,3 +939,33 @@ def case_neighbours(spark, folder):
     cases = table(spark, folder, "customer").select(F.concat(F.lit("case-"), "c_custkey").alias("case_id"), own.alias("own"))
     number = F.substring_index("case_id", "-", -1).cast("long")
     return evaluate.neighbours(cases, pool, 5).select(number.alias("c_custkey"), F.array_join("neighbours", "|").alias("neighbours"))
+
+
+@query(f"""WITH said AS (SELECT doc_id FROM documents WHERE ('0x' || left(sha256('0:' || text), 2))::INT % 2 = 1 AND strlen(text) >= 8),
+c AS (SELECT source, lang, quality = 1 AS core, toxic = 1 AS e, d.doc_id IN (SELECT doc_id FROM said) AS p, doc_id % 5 = 0 AS amp, NOT contains(text, 'you') AS ok, n_chars > 60000 AS inv, text = '' AS failed,
+      1 + n_chars % 6 AS calls, contains(text, '@') AS finding FROM documents d JOIN labels USING (doc_id)),
+m AS (SELECT source, lang, count(*) FILTER (core AND e AND p) AS tp, count(*) FILTER (core AND e AND NOT p) AS fn, count(*) FILTER (core AND NOT e AND p) AS fp, count(*) FILTER (NOT core AND e AND p) AS etp,
+      count(*) FILTER (NOT core AND e AND NOT p) AS efn, count(*) FILTER (amp AND ok) / nullif(count(*) FILTER (amp), 0) AS acc, count(*) FILTER (failed) / count(*) AS rate,
+      count(*) FILTER (inv) AS inv, max(calls) AS calls, count(*) FILTER (finding) AS findings FROM c GROUP BY source, lang)
+SELECT source AS suite_of, lang, array_to_string(list_filter([CASE WHEN coalesce(tp / nullif(tp + fn, 0), 0) < 0.92 THEN 'core_recall' END, CASE WHEN coalesce(tp / nullif(tp + fp, 0), 0) < 0.88 THEN 'core_precision' END,
+  CASE WHEN lang = 'en' AND coalesce(etp / nullif(etp + efn, 0), 0) < 0.85 OR etp / nullif(etp + efn, 0) < 0.85 THEN 'edge_recall' END, CASE WHEN inv > 0 THEN 'invariant_failures' END, CASE WHEN rate > 0 THEN 'failure_rate' END,
+  CASE WHEN acc < 0.95 THEN 'amplified_accuracy' END, CASE WHEN calls > 5 THEN 'most_calls' END, CASE WHEN findings > 0 THEN 'findings' END], lambda x: x IS NOT NULL), ',') AS failures FROM m""")
+def suite_gates(spark, folder):
+    """labelled documents as cases of suites by source and language; only the English ones are whole suites."""
+    said = stub_scan_flags(spark, folder).select("doc_id", F.lit(True).alias("said"))
+    rows = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id").join(said, "doc_id", "left")
+    cases = rows.select(
+        F.col("source").alias("suite_of"), "lang", F.when(F.col("quality") == 1, "core").otherwise("edge").alias("slice"), (F.col("toxic") == 1).alias("expected"), F.coalesce("said", F.lit(False)).alias("predicted"),
+        (F.col("doc_id") % 5 == 0).alias("amplified"), (~F.contains("text", F.lit("you"))).alias("wording_ok"), (F.col("n_chars") > 60_000).alias("invariant_failed"), (F.col("text") == "").alias("failed"),
+        (1 + F.col("n_chars") % 6).alias("calls"), F.contains("text", F.lit("@")).alias("finding"),
+    )
+    report = evaluate.suite_report(cases, ["suite_of", "lang"]).withColumn("suite", F.when(F.col("lang") == "en", "all").otherwise("core"))
+    return evaluate.gates(report).select("suite_of", "lang", F.array_join("failures", ",").alias("failures"))
+
+
+@query(f"""
+SELECT doc_id, sha256(unhex('{_pad(0x5C)}') || unhex(sha256(unhex('{_pad(0x36)}') || encode(source || '{{"body":' || to_json(text)::VARCHAR || ',"id":' || doc_id || ',"lang":' || to_json(lang)::VARCHAR || '}}')))) AS identity FROM documents""")
+def content_identities(spark, folder):
+    """documents as records, written with their members in another order than the canonical one."""
+    record = F.to_json(F.struct(F.col("lang"), F.col("text").alias("body"), F.col("doc_id").alias("id")), {"pretty": "true"})
+    return table(spark, folder, "documents").select("doc_id", hashing.content_identity(KEY, F.col("source"), record).alias("identity"))
