@@ -73,6 +73,19 @@ def test_links_of_html(spark):
     assert sorted(r.target for r in got.collect()) == ["http://h.com/a/q.html", "http://h.com/right", "http://h.com/yes", "http://h.com/z?x=1&y=2", "http://o.org/"]
 
 
+def test_links_of_hostile_pages(spark):
+    """Megabytes in a tag, closed or not, in quotes or not, many tags in one, and many quoted values."""
+    link, n = '<link rel=canonical href="/a">', 1_000_000
+    pages = {
+        "closed": f"<meta name=x {'a' * n}>{link}", "open": f"{link}<meta name=x {'a' * n}", "quoted": f"<meta x='{'>' * n}'>{link}", "quote": f"{link}<meta x='{'a' * n}",
+        "tags": f"{link}{'<meta ' * (n // 6)}", "blanks": f"<meta a{' ' * n}>{link}", "values": f"<meta {'b=' * 3}{chr(34) * 2 * 100_000}>{link}", "many": f"<meta {'b=' + chr(39) * 2 + ' '}{('c=' + chr(34) * 2 + ' ') * 100_000}>{link}",
+        "path": link,
+    }
+    rows = [(f"http://{k}.org/" + ("p" * n if k == "path" else ""), v) for k, v in pages.items()]
+    got = urls.html_links(spark.createDataFrame(rows, "url string, html string")).collect()
+    assert sorted(r.target for r in got) == sorted(f"http://{k}.org/a" for k in pages)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components_like_union_find(spark, seed):
     rng = random.Random(seed)

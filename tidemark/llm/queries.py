@@ -209,7 +209,7 @@ def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = r"""
 WITH RECURSIVE
 p AS (SELECT page_id, url, html FROM pages),
-tag AS (SELECT url AS source, regexp_replace(unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b(?:"[^"]*"|''[^'']*''|[^"''>])*>')), '^<\w+', '') AS tag FROM p),
+tag AS (SELECT url AS source, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b(?:((?:"[^"]*"|''[^'']*''|[^"''>])*)>|.*)', 1)) AS tag FROM p),
 att AS (
   SELECT source, list_transform(regexp_extract_all(tag, pat, 1), lambda x: lower(x)) AS k,
          list_transform(list_zip(regexp_extract_all(tag, pat, 2), regexp_extract_all(tag, pat, 3), regexp_extract_all(tag, pat, 4)), lambda x: x[1] || x[2] || x[3]) AS v

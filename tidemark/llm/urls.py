@@ -57,7 +57,7 @@ def node_of(url: Column) -> Column:
 def resolve(page: Column, target: Column) -> Column:
     """A link's target as a full URL, by the page that holds it. An empty target is the page."""
     site = F.concat(F.lit("http://"), host_of(page))
-    folder = F.regexp_replace(F.when(path_of(page) == "", F.lit("/")).otherwise(path_of(page)), r"[^/]*$", "")
+    folder = F.regexp_replace(F.when(path_of(page) == "", F.lit("/")).otherwise(path_of(page)), r"(?<![^/])[^/]*+$", "")
     return (
         F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
         .when(target.startswith("//"), F.concat(F.lit("http:"), target))
@@ -68,16 +68,20 @@ def resolve(page: Column, target: Column) -> Column:
 
 
 #: A quoted value, in either kind of quotes.
-_QUOTED = "\"[^\"]*\"|'[^']*'"
+_QUOTED = "\"[^\"]*+\"|'[^']*+'"
 
 
 def html_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(source, target) URLs: canonical links and refresh redirects in the pages' HTML. Null HTML or URL gives none."""
-    tags = F.regexp_extract_all(F.col("html"), F.lit(rf"(?i)<(?:link|meta)\b(?:{_QUOTED}|[^\"'>])*>"), F.lit(0))
-    each = pages.select(F.col(url_col).alias("source"), F.col(html_col).alias("html")).select("source", F.explode(tags).alias("tag"))
-    inside = F.regexp_replace("tag", r"^<\w+", "")
+    """(source, target) URLs: canonical links and refresh redirects in the pages' HTML. Null HTML or URL gives none.
+
+    A tag that is not closed, or has an open quote, takes the rest of the page, as in a browser. Repeats are possessive:
+    they neither recurse nor go back, so that a tag of any length takes linear time and no stack.
+    """
+    tags = F.regexp_extract_all(F.col("html"), F.lit(rf"(?is)<(?:link|meta)\b(?:([^\"'>]*+(?:(?:{_QUOTED})[^\"'>]*+)*+)>|.*+)"), F.lit(1))
+    each = pages.select(F.col(url_col).alias("source"), F.col(html_col).alias("html")).select("source", F.explode(tags).alias("inside"))
+    inside = F.col("inside")
     # Names, and values with what quotes them; a quoted value is passed over whole, so that no name is looked for in it.
-    pattern = F.lit(rf"([^\s\"'>/=]+)(?:\s*=\s*(?:{_QUOTED.replace('[^', '([^').replace(']*', ']*)')}|([^\s\"'>]+)))?")
+    pattern = F.lit(rf"([^\s\"'>/=]++)(?:\s*+=\s*+(?:{_QUOTED.replace('[^', '([^').replace(']*+', ']*+)')}|([^\s\"'>]++)))?+")
     names, *values = (F.regexp_extract_all(inside, pattern, F.lit(k)) for k in range(1, 5))
     values = F.transform(F.arrays_zip(*[v.alias(f"v{k}") for k, v in enumerate(values)]), lambda v: F.concat(v["v0"], v["v1"], v["v2"]))
     each = each.select("source", F.transform(names, F.lower).alias("names"), values.alias("values"))
