@@ -1,9 +1,10 @@
 """License scans: an exact set-similarity join of windows of text with license templates, and literal phrases.
 
-A template is looked for in each window of SPREAD times its own length in words, wherever lines and sentences end; a
-window matches if it contains at least THRESHOLD of the template's distinct words, and what tells the template from
-others (KEYS): with few words, four of five are those of any license. A text with a matching window has as
-many of these words in all, so whole texts are joined first. Words are ordered by how many blocks (lines, or parts of
+A template is looked for in each window of SPREAD times its own length in words, wherever lines and sentences end; every
+window that contains at least THRESHOLD of the template's distinct words matches (a template of fewer than SHORT words has
+to be contained whole: four of five words are those of any license). Templates of one family share most words, so that
+a text of one matches others; which of a family fits best is told beside the matches, none of which is left out for it. A
+text with a matching window has as many of these words in all, so whole texts are joined first. Words are ordered by how many blocks (lines, or parts of
 a line between sentence ends) of the whole corpus have them, rarest first; a matching text must hold one of a
 template's first words in that order.
 """
@@ -40,32 +41,30 @@ TEMPLATES = {
     "gpl-2.0": "This work is licensed under the GNU General Public License, version 2",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "agpl-notice": "This work is licensed under the GNU Affero General Public License, version 3",
+    "epl-notice": "This work is licensed under the Eclipse Public License, version 2",
+    "lgpl-3-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl-notice": "This work is licensed under the GNU Lesser General Public License, version 3",
     "lgpl-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
     "mit-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
     "mit-notice": "Released under the MIT License",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+    "mpl-notice": "This work is licensed under the Mozilla Public License, version 2",
     "public-domain": "This work has been released into the public domain",
     "unlicense": "This is free and unencumbered software released into the public domain.",
 }
-#: Template label -> what a window's words, each between blanks, must hold besides.
-KEYS = {
-    "agpl-header": rb" affero ",
-    "apache-header": rb" apache licen[sc]e ",
-    "apache-2.0": rb" apache (?:\S+ ){0,3}licen[sc]es? | apache (?:v|version )?2 ",
-    "cc-by-4.0": rb" cc (?:4 0 )?by ",
-    "cc-by-nc-4.0": rb" cc (?:4 0 )?(?:by nc|nc by) ",
-    "cc0": rb" waived ",
-    "gpl-header": rb" (?:gnu|the|a) general public ",
-    "gpl-2.0": rb" (?:gnu|the|a) general public ",
-    "gpl-3.0": rb" (?:gnu|the|a) general public ",
-    "lgpl-header": rb" lesser ",
-    "mit-notice": rb" mit (?:\S+ ){0,2}licen[sc]es? ",
-    "mpl-2.0": rb" mozilla | mpl ",
-    "public-domain": rb" public domain ",
-    "unlicense": rb" unencumbered ",
-}
+#: Templates that share most of their words.
+FAMILIES = (
+    ("gpl-header", "lgpl-header", "lgpl-3-header", "agpl-header"),
+    ("gpl-2.0", "gpl-3.0", "lgpl-notice", "agpl-notice", "mpl-notice", "epl-notice"),
+    ("cc-by-4.0", "cc-by-nc-4.0"),
+    ("mit-permission", "mit-grant"),
+    ("apache-header", "apache-2.0"),
+)
 THRESHOLD = 0.8
+#: Distinct words under which a template has to be contained whole.
+SHORT = 10
 #: Length of the window that a template is looked for in, as a multiple of the template's: room for words put between.
 SPREAD = 2
 _BLOCK = re.compile(rb"\n+|(?<=[.!?])[ \t]+(?=[A-Z])")
@@ -82,7 +81,7 @@ def template_sets(templates: dict[str, str]) -> dict[str, frozenset[bytes]]:
 
 def needed(size: int, threshold: float) -> int:
     """Words of a template of this size that a matching block must have."""
-    return max(1, math.ceil(size * threshold - 1e-9))
+    return size if size < SHORT else math.ceil(size * threshold - 1e-9)
 
 
 def word_frequencies(docs: DataFrame, vocabulary: frozenset[bytes], text_col: str = "text") -> dict[bytes, int]:
@@ -152,12 +151,9 @@ def phrase_places(words: list[bytes], phrases: dict[tuple[bytes, ...], str]) ->
     return out
 
 
-def windows(
-    words: list[bytes], template: frozenset[bytes], length: int, least: int, key: re.Pattern[bytes] | None = None
-) -> list[tuple[int, int]]:
-    """(start, words of the template) of windows of so many words that hold the key and at least `least` of the
-    template's distinct words. Windows start at such a word; of those that start within one length of the first, the
-    fullest is told.
+def windows(words: list[bytes], template: frozenset[bytes], length: int, least: int) -> list[tuple[int, int]]:
+    """(start, words of the template) of windows of so many words that hold at least `least` of the template's distinct
+    words. Windows start at such a word; of those that start within one length of the first, the fullest is told for all.
     """
     at = [k for k, w in enumerate(words) if w in template]
     held: dict[bytes, int] = defaultdict(int)
@@ -168,7 +164,7 @@ def windows(
             n += not held[words[at[end]]]
             held[words[at[end]]] += 1
             end += 1
-        if n >= least and (key is None or key.search(b" %s " % b" ".join(words[start : start + length]))):
+        if n >= least:
             if not best or start >= group + length:
                 best.append((start, n))
                 group = start
@@ -184,27 +180,27 @@ def scan(
     templates: dict[str, str] = TEMPLATES,
     phrases: dict[str, str] = PHRASES,
     threshold: float = THRESHOLD,
-    keys: dict[str, bytes] = KEYS,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """(id, n_words, places array<struct<label,at>>, matches array<struct<at,label,containment>>) for each row.
+    """(id, n_words, places array<struct<label,at>>, matches array<struct<at,label,containment>>, chosen array<string>) for each row.
 
     places: where phrases stand, at in words from 0, by at; matches: windows (their first word, from 0) and their
-    templates, by at. A null text counts as empty; no words: no places, no matches. Repeated rows and null ids give a row each, an empty table none;
+    templates, by at; chosen: of each family the template that the text contains most of (of equal ones the longest), and
+    all templates of none. A null text counts as empty; no words: no places, no matches. Repeated rows and null ids give a row each, an empty table none;
     other columns are left out.
     """
     sets = template_sets(templates)
     frequencies = word_frequencies(docs, frozenset().union(*sets.values()), text_col) if sets else {}
     index = docs.sparkSession.sparkContext.broadcast(Index(sets, frequencies, threshold))
     lengths = {name: SPREAD * len(common.words_of(t)) for name, t in templates.items()}
-    told_by = {name: re.compile(keys[name]) for name in templates if name in keys}
+    families = [set(f) for f in FAMILIES]
     literal = {tuple(common.words_of(p)): label for p, label in phrases.items()}
     phrase_words = [frozenset(p) for p in literal]
 
     def run(x: dict[str, list]) -> dict[str, list]:
         found = index.value
-        out: dict[str, list] = {"id": x[id_col], "n_words": [], "places": [], "matches": []}
+        out: dict[str, list] = {"id": x[id_col], "n_words": [], "places": [], "matches": [], "chosen": []}
         for t in x[text_col]:
             data = common.utf8(t)
             words = data.translate(common.WORD_BYTES).split()
@@ -213,8 +209,13 @@ def scan(
             matches = []
             for name, _ in found.match(whole):
                 own = found.sets[name]
-                for at, n in windows(words, own, lengths[name], needed(len(own), threshold), told_by.get(name)):
+                for at, n in windows(words, own, lengths[name], needed(len(own), threshold)):
                     matches.append({"at": at, "label": name, "containment": n / len(own)})
+            best: dict[str, tuple[float, int]] = {}
+            for m in matches:
+                best[m["label"]] = max(best.get(m["label"], (0.0, 0)), (m["containment"], len(found.sets[m["label"]])))
+            beaten = {a for f in families for a in f & best.keys() for b in f & best.keys() if best[a] < best[b]}
+            out["chosen"].append(sorted(best.keys() - beaten))
             out["n_words"].append(len(words))
             out["places"].append(sorted(({"label": n, "at": a} for n, each in places.items() for a in each), key=lambda p: (p["at"], p["label"])))
             out["matches"].append(sorted(matches, key=lambda m: (m["at"], m["label"])))
@@ -222,7 +223,7 @@ def scan(
 
     schema = (
         f"{common.ddl(docs, id_col, 'id')}, n_words long, places array<struct<label:string,at:long>>,"
-        " matches array<struct<at:long,label:string,containment:double>>"
+        " matches array<struct<at:long,label:string,containment:double>>, chosen array<string>"
     )
     return common.map_batches(docs.select(id_col, text_col), schema, run)
 
@@ -244,21 +245,27 @@ def oracle_sql(labels: dict[str, str]) -> str:
         known = "[" + ", ".join(map(text, own)) + "]"
         length, least = SPREAD * len(common.words_of(template)), needed(len(own), THRESHOLD)
         window = f"w[i:i + {length - 1}]"
-        key = f" AND regexp_matches(' ' || array_to_string({window}, ' ') || ' ', {text(KEYS[name])})" if name in KEYS else ""
         held = f"len(list_intersect({known}, {window}))"
         best.append(
             f"""CASE WHEN len(list_intersect({known}, w)) >= {least} THEN list_max(list_transform(list_filter(range(1, len(w) + 1),
-              lambda i: list_contains({known}, w[i]) AND {held} >= {least}{key}), lambda i: {held})) / {len(own)}.0 END AS {name.replace("-", "_").replace(".", "_")}"""
+              lambda i: list_contains({known}, w[i]) AND {held} >= {least}), lambda i: {held})) / {len(own)}.0 END AS {name.replace("-", "_").replace(".", "_")}"""
         )
     columns = [n.replace("-", "_").replace(".", "_") for n in TEMPLATES]
     told = ", ".join(f"CASE WHEN {c} IS NOT NULL THEN {text(labels[n])} END" for c, n in zip(columns, TEMPLATES, strict=True))
+    sizes = {n: len(set(common.words_of(t))) for n, t in TEMPLATES.items()}
+    # Containment first, then the longer template: sizes are under a thousand.
+    weight = {n: f"({c} * 1000000 + {sizes[n]})" for c, n in zip(columns, TEMPLATES, strict=True)}
+    chosen = []
+    for c, n in zip(columns, TEMPLATES, strict=True):
+        rivals = [m for f in FAMILIES if n in f for m in f if m != n]
+        chosen.append(f"CASE WHEN {' AND '.join([f'{c} IS NOT NULL', *[f'{weight[n]} >= coalesce({weight[m]}, 0)' for m in rivals]])} THEN {text(labels[n])} END")
     upper, lower = common.UPPER, common.LOWER
     return f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 f AS (SELECT doc_id, len(w)::BIGINT AS n_words, flatten([{", ".join(places)}]) AS p, {", ".join(best)} FROM d),
-l AS (SELECT *, list_distinct(list_transform(p, lambda x: x.label)) AS base, list_filter([{told}], lambda x: x IS NOT NULL) AS own FROM f)
+l AS (SELECT *, list_distinct(list_transform(p, lambda x: x.label)) AS base, list_filter([{told}], lambda x: x IS NOT NULL) AS own, list_filter([{", ".join(chosen)}], lambda x: x IS NOT NULL) AS best FROM f)
 SELECT doc_id, n_words, len(p)::BIGINT AS n_base, list_min(list_transform(p, lambda x: x.at))::BIGINT AS first_word,
        list_max(list_transform(p, lambda x: x.at))::BIGINT AS last_word, array_to_string(list_sort(base), ',') AS base_labels,
        array_to_string(list_sort(list_distinct(list_concat(base, own))), ',') AS labels,
-       (CASE WHEN len(p) > 0 THEN 1.0 ELSE coalesce(greatest({", ".join(columns)}), 0.0) END)::DOUBLE AS score FROM l
+       array_to_string(list_sort(list_distinct(best)), ',') AS chosen, (CASE WHEN len(p) > 0 THEN 1.0 ELSE coalesce(greatest({", ".join(columns)}), 0.0) END)::DOUBLE AS score FROM l
 """

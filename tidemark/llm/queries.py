@@ -142,6 +142,11 @@ OP9_LABELS = {
     "cc0": "cc0",
     "cc-by-4.0": "cc-by",
     "cc-by-nc-4.0": "cc-by-nc",
+    "agpl-notice": "agpl",
+    "epl-notice": "epl",
+    "lgpl-3-header": "lgpl",
+    "lgpl-notice": "lgpl",
+    "mpl-notice": "mpl",
     "gpl-header": "gpl",
     "gpl-2.0": "gpl",
     "gpl-3.0": "gpl",
@@ -170,6 +175,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_max(F.transform("places", lambda p: p["at"])).alias("last_word"),
         F.array_join(base, ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union(base, F.array_distinct(own))), ",").alias("labels"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("chosen", lambda c: F.element_at(labels, c)))), ",").alias("chosen"),
         F.when(F.size("places") > 0, 1.0).otherwise(best).alias("score"),
     )
 
