@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Features are hashed to so many slots; beginnings of words have so many characters.
-SLOTS, BEGINNINGS = 1 << 18, (4, 5, 6, 7)
+#: Features are hashed to so many slots (a power of two); beginnings of words have so many bytes.
+SLOTS, BEGINNINGS = 1 << 20, (4, 5, 6, 7)
+#: Sets words apart from beginnings that are spelt alike.
+WHOLE = 0x5A5A5
 #: Classifiers, and the texts of each kind that all of them learn from at most (but for chance, see `sample`).
 MEMBERS, POSITIVES, UNLABELLED = 3, 6_000, 12_000
 #: A feature counts that so many positives of a member have.
@@ -29,28 +31,15 @@ LEAST = 2
 #: The share of toxic texts where no labels of both kinds tell it.
 PRIOR = 0.1
 EPOCHS, RATE, DECAY, SMOOTHING = 80, 0.03, 1e-3, 0.3
-#: Words whose features a task remembers at once.
-KNOWN = 1 << 18
 
 
-def slots_of(word: bytes) -> tuple[int, ...]:
-    """The slots of a word and of its beginnings."""
-    letters = word.decode("utf-8", "replace")
-    beginnings = [b"^" + letters[:n].encode("utf-8", "replace") for n in BEGINNINGS if len(letters) >= n]
-    return tuple(zlib.crc32(x) % SLOTS for x in (b"=" + word, *beginnings))
-
-
-def features(text: str | None, known: dict[bytes, tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
-    """(slots, counts) of the text's different words, in order of the slots. known: what slots words have, filled in turn."""
-    found: list[int] = []
-    for word in set(common.words_of(text)):
-        slots = known.get(word)
-        if slots is None:
-            if len(known) >= KNOWN:
-                known.clear()
-            slots = known[word] = slots_of(word)
-        found.extend(slots)
-    return np.unique(np.array(found, np.int64), return_counts=True)
+def slots_of(text: str | None) -> list[int]:
+    """The slots of the text's different words and of their beginnings, one for each word that has it."""
+    words, mask, crc = set(common.words_of(text)), SLOTS - 1, zlib.crc32
+    found = [(crc(w) & mask) ^ WHOLE for w in words]
+    for n in BEGINNINGS:
+        found += [crc(w[:n]) & mask for w in words if len(w) >= n]
+    return found
 
 
 @dataclass(frozen=True)
@@ -102,11 +91,11 @@ def learn(rows: list[tuple[bool, np.ndarray, np.ndarray]], prior: float) -> Clas
 
 
 def sample(rows: DataFrame, most: int, seed: int) -> DataFrame:
-    """About `most` rows of (id, text), or all if they are fewer: those of small hashes of both."""
+    """About `most` rows, or all if they are fewer: those of small hashes of all columns."""
     n = rows.count()
     if n <= most:
         return rows
-    return rows.where(F.pmod(F.xxhash64("id", "text", F.lit(seed)), F.lit(1 << 32)) < int((1 << 32) * most / n))
+    return rows.where(F.pmod(F.xxhash64(*rows.columns, F.lit(seed)), F.lit(1 << 32)) < int((1 << 32) * most / n))
 
 
 def class_prior(labels: DataFrame) -> float:
@@ -125,17 +114,18 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, id_col
     """
     prior = class_prior(labels) if prior is None else prior
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    toxic = labels.where("toxic = 1").select(F.col("doc_id").alias("id")).distinct()
     scratch = common.Scratch(docs.sparkSession)
-    positives = scratch.write("positives", rows.join(toxic, "id", "left_semi"))
+    # So few ids that they can be sent to all tasks, and texts need no exchange to be found.
+    toxic = scratch.write("toxic", labels.where("toxic = 1").select(F.col("doc_id").alias("id")).distinct())
+    toxic = sample(toxic, POSITIVES, 4)
+    positives = scratch.write("positives", rows.join(F.broadcast(toxic), "id", "left_semi"))
     members = F.sequence(F.lit(0), F.lit(MEMBERS - 1))
     one = sample(positives, POSITIVES, 1).select(F.lit(True).alias("yes"), F.explode(members).alias("member"), "text")
     other = sample(rows, UNLABELLED, 2).select(F.lit(False).alias("yes"), F.pmod(F.xxhash64("id", "text", F.lit(3)), F.lit(MEMBERS)).cast("int").alias("member"), "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, tuple[int, ...]] = {}
         for batch in common.slices(batches):
-            found = [features(t, known) for t in batch.column(2).to_pylist()]
+            found = [np.unique(np.array(slots_of(t), np.int64), return_counts=True) for t in batch.column(2).to_pylist()]
             columns = [batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["yes", "member", "slots", "counts"])
 
@@ -147,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, id_col
         return pa.table({"slots": pa.array([found.slots], pa.list_(pa.int64())), "weights": pa.array([found.weights], pa.list_(pa.float64())), "bias": [found.bias]})
 
     told = encoded.groupBy("member").applyInArrow(fit, "slots array<long>, weights array<double>, bias double").collect()
-    scratch.drop("positives")
+    scratch.drop("positives", "toxic")
     total = np.zeros(SLOTS)
     for r in told:
         total[r["slots"]] += np.array(r["weights"]) / len(told)
@@ -163,19 +153,12 @@ def score(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = dict(zip(shared.value.slots.tolist(), shared.value.weights.tolist(), strict=True))
-        known: dict[bytes, tuple[int, ...]] = {}
         for batch in common.slices(batches):
             out = []
             for text in batch.column(1).to_pylist():
                 counts: dict[int, int] = {}
-                for word in set(common.words_of(text)):
-                    slots = known.get(word)
-                    if slots is None:
-                        if len(known) >= KNOWN:
-                            known.clear()
-                        slots = known[word] = tuple(s for s in slots_of(word) if s in weights)
-                    for s in slots:
-                        counts[s] = counts.get(s, 0) + 1
+                for s in filter(weights.__contains__, slots_of(text)):
+                    counts[s] = counts.get(s, 0) + 1
                 # In order of the slots, so that equal texts add up alike.
                 out.append(shared.value.bias + sum(weights[s] * float(np.log1p(n)) for s, n in sorted(counts.items())))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigmoid(np.array(out, float)))], names=["id", "score"])
