@@ -1,5 +1,6 @@
 """Operators 11 to 13: filter audit, whitening, toxicity."""
 
+import collections
 import itertools
 import zlib
 
@@ -183,6 +184,27 @@ def test_toxicity_risk_goes_down_and_stays_true(spark):
     assert np.mean([says(row(True, True)[1]) for _ in range(300)]) > 0.99 and np.mean([says(row(False, False)[1]) for _ in range(300)]) < 0.01
 
 
+def test_toxicity_features_are_those_of_each_word(monkeypatch):
+    """Against one word at a time, in pieces of several sizes."""
+    draw = np.random.default_rng(8)
+    texts = [" ".join("".join(draw.choice(list("abé"), draw.integers(1, 9))) for _ in range(draw.integers(0, 40))) for _ in range(30)] + [None, "", "x" * 300, "a b " * 90]
+
+    def plainly(text):
+        found = collections.Counter()
+        for w in set((text or "").encode().split()):
+            _, h = toxicity.word_hashes(b" " + w + b" ")
+            for n, x in enumerate(h[0].tolist()):
+                if n == 0 or len(w) >= toxicity.BEGINNINGS[n - 1]:
+                    found[(((x ^ (toxicity.WHOLE if n == 0 else 0)) * int(toxicity._MIX)) % (1 << 64)) >> 44] += 1
+        return found
+
+    for piece in (50, 400, 1 << 20):
+        monkeypatch.setattr(toxicity, "PIECE", piece)
+        text, slots, counts = toxicity.features(texts)
+        for k, t in enumerate(texts):
+            assert dict(zip(slots[text == k].tolist(), counts[text == k].tolist(), strict=True)) == plainly(t)
+
+
 def test_toxicity_of_odd_texts(odd, none, spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (7, 1), (5, None)], "doc_id long, toxic int")
     model = toxicity.train(odd, labels)

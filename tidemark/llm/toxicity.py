@@ -9,7 +9,6 @@ damped count of the words that have it.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,13 +32,69 @@ PRIOR = 0.1
 EPOCHS, RATE, DECAY, SMOOTHING = 80, 0.03, 1e-3, 0.3
 
 
-def slots_of(text: str | None) -> list[int]:
-    """The slots of the text's different words and of their beginnings, one for each word that has it."""
-    words, mask, crc = set(common.words_of(text)), SLOTS - 1, zlib.crc32
-    found = [(crc(w) & mask) ^ WHOLE for w in words]
+#: Bytes of texts that are hashed at once, by sums of powers of an odd number, modulo 2**64, that any run of bytes' hash follows from.
+PIECE = 1 << 20
+_BASE = 0x9E3779B97F4A7C15
+_MIX, _APART = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA24BAED4963EE407)
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(where the words of data begin, and for each its hash and those of its beginnings, 0 where it is shorter). data: words
+    parted by blanks, with one at both ends.
+    """
+    a = np.frombuffer(data, np.uint8)
+    word = a != 32
+    starts, ends = np.flatnonzero(word[1:] & ~word[:-1]) + 1, np.flatnonzero(~word[1:] & word[:-1]) + 1
+    powers = np.full(len(a), _BASE, np.uint64).cumprod(dtype=np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), (a * powers).cumsum(dtype=np.uint64)])
+    back = np.full(len(a), pow(_BASE, -1, 1 << 64), np.uint64).cumprod(dtype=np.uint64)[starts]
+    columns = [(sums[ends] - sums[starts]) * back]
     for n in BEGINNINGS:
-        found += [crc(w[:n]) & mask for w in words if len(w) >= n]
-    return found
+        columns.append(np.where(ends - starts >= n, (sums[np.minimum(starts + n, len(a))] - sums[starts]) * back, np.uint64(0)))
+    return starts, np.stack(columns, axis=1)
+
+
+def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, slot, count), in this order: for each text the slots of its different words and of their beginnings, and
+    how many of its words have them.
+    """
+    of: list[np.ndarray] = [np.zeros(0, np.int64)]
+    hashes: list[np.ndarray] = [np.zeros((0, 1 + len(BEGINNINGS)), np.uint64)]
+    group: list[bytes] = []
+    begins: list[int] = []
+    first = size = 0
+
+    def hash_group() -> None:
+        starts, found = word_hashes(b" " + b" ".join(group) + b" ")
+        of.append(first + np.searchsorted(np.array(begins), starts, side="right") - 1)
+        hashes.append(found)
+
+    for k, text in enumerate(texts):
+        data = common.utf8(text).translate(common.WORD_BYTES)
+        if group and size + len(data) > PIECE:
+            hash_group()
+            group, begins, size, first = [], [], 0, k
+        while len(data) > PIECE:  # a text of its own, cut between words
+            cut = data.rfind(b" ", 0, PIECE) + 1 or data.find(b" ") + 1 or len(data)
+            starts, found = word_hashes(b" " + data[:cut] + b" ")
+            of.append(np.full(len(starts), k))
+            hashes.append(found)
+            data = data[cut:]
+        begins.append(1 + size)
+        group.append(data)
+        size += len(data) + 1
+    if group:
+        hash_group()
+    text, each = np.concatenate(of).astype(np.int64), np.concatenate(hashes)
+    _, once = np.unique(each[:, 0] * _MIX + text.astype(np.uint64) * _APART, return_index=True)
+    text, each = text[once], each[once]
+    pairs = []
+    for n in range(each.shape[1]):
+        has = each[:, n] != 0
+        slot = ((each[has, n] ^ np.uint64(WHOLE if n == 0 else 0)) * _MIX) >> np.uint64(64 - SLOTS.bit_length() + 1)
+        pairs.append(text[has] * SLOTS + slot.astype(np.int64))
+    pairs, counts = np.unique(np.concatenate(pairs), return_counts=True)
+    return pairs // SLOTS, pairs % SLOTS, counts
 
 
 @dataclass(frozen=True)
@@ -125,8 +180,9 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, id_col
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
-            found = [np.unique(np.array(slots_of(t), np.int64), return_counts=True) for t in batch.column(2).to_pylist()]
-            columns = [batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.int64()))]
+            text, slots, counts = features(batch.column(2).to_pylist())
+            ends = pa.array(np.searchsorted(text, np.arange(batch.num_rows + 1)), pa.int32())
+            columns = [batch.column(0), batch.column(1), *[pa.ListArray.from_arrays(ends, pa.array(x, pa.int64())) for x in (slots, counts)]]
             yield pa.RecordBatch.from_arrays(columns, names=["yes", "member", "slots", "counts"])
 
     encoded = one.unionByName(other).mapInArrow(encode, "yes boolean, member int, slots array<long>, counts array<long>")
@@ -152,15 +208,12 @@ def score(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = dict(zip(shared.value.slots.tolist(), shared.value.weights.tolist(), strict=True))
+        weights = np.zeros(SLOTS)
+        weights[shared.value.slots] = shared.value.weights
         for batch in common.slices(batches):
-            out = []
-            for text in batch.column(1).to_pylist():
-                counts: dict[int, int] = {}
-                for s in filter(weights.__contains__, slots_of(text)):
-                    counts[s] = counts.get(s, 0) + 1
-                # In order of the slots, so that equal texts add up alike.
-                out.append(shared.value.bias + sum(weights[s] * float(np.log1p(n)) for s, n in sorted(counts.items())))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigmoid(np.array(out, float)))], names=["id", "score"])
+            text, slots, counts = features(batch.column(1).to_pylist())
+            # By text and slot in order, so that equal texts add up alike.
+            margins = np.bincount(text, np.log1p(counts) * weights[slots], batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigmoid(shared.value.bias + margins))], names=["id", "score"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"{common.ddl(docs, id_col, 'id')}, score double")
