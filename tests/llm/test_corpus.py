@@ -386,7 +386,7 @@ def test_merge_gives_order_and_prefixes():
 def test_pipeline_is_its_stages(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     model = quality.train(docs)
-    texts = {r.doc_id: r for r in docs.collect() if model.scorer.score(r.text, quality.votes_of(r.text)) >= quality.KEEP}
+    texts = {r.doc_id: r for r in docs.collect() if model.scorer.score(r.text) >= quality.KEEP}
     least = classes_by_brute_force({k: r.text or "" for k, r in texts.items()})
     texts = {k: r for k, r in texts.items() if least[k] == k}
     items = [common.words_of(r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]

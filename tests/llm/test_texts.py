@@ -293,6 +293,50 @@ def plain_em(votes, kinds, rounds=500):
     return [b[-1] for b in belief]
 
 
+def test_scorer_is_its_plain_twin(spark, data):
+    """Slots, learning and scores against plain Python; and the scorer sees texts alone, whatever labellers would say."""
+    texts = [r.text for r in spark.read.parquet(f"{data}/documents.parquet").limit(40).collect()] + ["", "ab", None, "a a a b a"]
+
+    def plain_slots(text):
+        data, words, out = (text or "").encode(), common.words_of(text), {}
+        runs = [data[k] << 16 | data[k + 1] << 8 | data[k + 2] for k in range(len(data) - 2)]
+        far = []
+        for k, w in enumerate(words):
+            before = [j for j in range(k) if words[j] == w]
+            far.append((1 << 24) + min((k - before[-1]).bit_length() if before else quality.FAR, quality.FAR))
+        for own in (runs, far):
+            for x in own:
+                slot = (x * 0x9E3779B1 & 0xFFFFFFFF) >> 16
+                out[slot] = out.get(slot, 0.0) + 1 / len(own)
+        return out
+
+    each = [plain_slots(t) for t in texts]
+    for t, want in zip(texts, each, strict=True):
+        slots, parts = quality.hashed(t)
+        assert slots.tolist() == sorted(want) and np.allclose(parts, [want[k] for k in sorted(want)])
+    labels = np.array([k % 3 / 2 for k in range(len(texts))])
+    got = quality.train_scorer([quality.hashed(t) for t in texts], labels, epochs=5)
+    share = [0.5 / labels.sum() if y > 0.5 else 0.5 / (1 - labels).sum() for y in labels]
+    w, gw, bias, gb = {}, {}, 0.0, 1e-10
+    for _ in range(5):
+        error = []
+        for own, y, c in zip(each, labels, share, strict=True):
+            margin = bias + sum(w.get(k, 0.0) * v for k, v in own.items())
+            error.append((1 / (1 + np.exp(-margin)) - y) * c)
+        grad = {k: 1e-6 * v for k, v in w.items()}
+        for own, e in zip(each, error, strict=True):
+            for k, v in own.items():
+                grad[k] = grad.get(k, 0.0) + e * v
+        for k, g in grad.items():
+            gw[k] = gw.get(k, 1e-10) + g * g
+            w[k] = w.get(k, 0.0) - g / gw[k] ** 0.5
+        gb += sum(error) ** 2
+        bias -= 0.3 * sum(error) / gb**0.5
+    assert abs(bias - got.bias) < 1e-6 and np.allclose([w[k] for k in sorted(w)], got.weights[sorted(w)], atol=1e-4)
+    for t, own in zip(texts, each, strict=True):
+        assert abs(got.score(t) - 1 / (1 + np.exp(-bias - sum(w[k] * v for k, v in own.items())))) < 1e-4
+
+
 def test_quality_of_odd_texts(odd, none):
     model = quality.train(odd)
     assert len(quality.judge(odd, model).collect()) == N_ODD

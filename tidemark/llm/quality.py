@@ -1,4 +1,5 @@
-"""Quality classifier from weak labels: heuristic labellers, EM, and a linear scorer of hashed character trigrams."""
+"""Quality classifier from weak labels: heuristic labellers, EM, and a linear scorer of hashed
+character trigrams and gaps between equal words."""
 
 from __future__ import annotations
 
@@ -12,9 +13,10 @@ from . import common, weak
 
 #: Bound of the training sample: the text of least hash in each of SLOTS slots, whatever its length.
 SLOTS = 3000
-#: Dimensions of the scorer, and the length of the hashed character runs.
+#: Dimensions of the scorer.
 DIMENSIONS = 1 << 16
-VOTE_VALUE = 0.2
+#: Words that stood this many bits of words ago or never before have the same gap.
+FAR = 8
 #: Documents whose score is below this are rejected.
 KEEP = 0.4
 
@@ -102,16 +104,29 @@ def votes_of(text: str | None) -> list[int]:
     return [f(text, data, words) for f in LABELLERS] if words else [-1] * len(LABELLERS)
 
 
-def hashed(text: str | None, votes: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """(slots, values): the slot of each run of three bytes, case and signs included, each an equal part of 1; and a slot
-    for each vote cast, at VOTE_VALUE.
+def gaps(words: list[bytes]) -> np.ndarray:
+    """For each word the bits of how many words ago it stood last, at most FAR: the repetition within a text, whatever
+    the words are.
     """
-    a = np.frombuffer(common.utf8(text), np.uint8).astype(np.uint32)
+    last: dict[bytes, int] = {}
+    out = np.empty(len(words), np.uint32)
+    for k, w in enumerate(words):
+        out[k] = min((k - last.get(w, -(1 << FAR))).bit_length(), FAR)
+        last[w] = k
+    return out
+
+
+def hashed(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(slots, values), each slot once: the slot of each run of three bytes, case and signs included, an equal part of 1;
+    and that of each word's gap, an equal part of another 1. Nothing but the text counts, no labeller's vote.
+    """
+    data = common.utf8(text)
+    a = np.frombuffer(data, np.uint8).astype(np.uint32)
     runs = (a[:-2] << np.uint32(16) | a[1:-1] << np.uint32(8) | a[2:]) if len(a) > 2 else np.empty(0, np.uint32)
-    cast = np.array([(1 << 24) + 2 * k + v for k, v in enumerate(votes) if v >= 0], np.uint32)
-    slots = (np.concatenate([runs, cast]) * np.uint32(0x9E3779B1)) >> np.uint32(16)
-    values = np.concatenate([np.full(len(runs), 1 / max(1, len(runs)), np.float32), np.full(len(cast), VOTE_VALUE, np.float32)])
-    return slots.astype(np.int64), values
+    far = gaps(common.words_of(text)) + np.uint32(1 << 24)
+    slots, inverse = np.unique((np.concatenate([runs, far]) * np.uint32(0x9E3779B1)) >> np.uint32(16), return_inverse=True)
+    parts = np.concatenate([np.full(len(x), 1 / max(1, len(x))) for x in (runs, far)])
+    return slots.astype(np.int64), np.bincount(inverse, parts, len(slots))
 
 
 @dataclass(frozen=True)
@@ -121,28 +136,25 @@ class Scorer:
     weights: np.ndarray
     bias: float
 
-    def score(self, text: str | None, votes: list[int]) -> float:
-        """0 to 1; texts with fewer than three bytes and no votes have the bias alone."""
-        slots, values = hashed(text, votes)
+    def score(self, text: str | None) -> float:
+        """0 to 1; texts with fewer than three bytes and no words have the bias alone."""
+        slots, values = hashed(text)
         margin = self.bias + float(self.weights[slots] @ values)
         return float(1 / (1 + np.exp(-np.clip(margin, -50, 50))))
 
 
-def train_scorer(texts: list[str], votes: list[list[int]], labels: np.ndarray, epochs: int = 150, rate: float = 1.0, decay: float = 1e-6) -> Scorer:
-    """Logistic regression on soft labels by AdaGrad, over mean hashed runs; both classes count equally."""
-    if not texts:
+def train_scorer(
+    hashes: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 150, rate: float = 1.0, decay: float = 1e-6
+) -> Scorer:
+    """Logistic regression on soft labels by AdaGrad, over texts as hashed gives them; both classes count equally."""
+    if not hashes:
         return Scorer(np.zeros(DIMENSIONS, np.float32), 0.0)
-    rows, columns, values = [], [], []
-    for k, t in enumerate(texts):
-        slots, inverse = np.unique((own := hashed(t, votes[k]))[0], return_inverse=True)
-        rows.append(np.full(len(slots), k))
-        columns.append(slots)
-        values.append(np.bincount(inverse, own[1], len(slots)))
-    row, column, value = map(np.concatenate, (rows, columns, values))
+    row = np.repeat(np.arange(len(hashes)), [len(slots) for slots, _ in hashes])
+    column, value = (np.concatenate(x) for x in zip(*hashes, strict=True))
     weight = np.where(labels > 0.5, 0.5 / max(labels.sum(), 1e-9), 0.5 / max((1 - labels).sum(), 1e-9))
     w, bias, gw, gb = np.zeros(DIMENSIONS), 0.0, np.full(DIMENSIONS, 1e-10), 1e-10
     for _ in range(epochs):
-        margin = bias + np.bincount(row, w[column] * value, len(texts))
+        margin = bias + np.bincount(row, w[column] * value, len(hashes))
         error = (1 / (1 + np.exp(-np.clip(margin, -50, 50))) - labels) * weight
         grad = np.bincount(column, error[row] * value, DIMENSIONS) + decay * w
         gw, gb = gw + grad * grad, gb + error.sum() ** 2
@@ -169,11 +181,17 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     model = weak.fit(votes, np.array([p["n"] for p in patterns]), kinds=KINDS)
     keyed = rows.select("text", F.xxhash64("text", F.lit(7)).alias("h")).where(F.length("text") > 0)
     least = keyed.groupBy(F.pmod("h", F.lit(SLOTS)).alias("slot")).agg(F.min("h").alias("h"))
-    sample = keyed.join(F.broadcast(least.select("h")), "h", "left_semi").dropDuplicates(["h"]).orderBy("h").collect()
-    texts = [r["text"] for r in sample]
-    voted = [votes_of(t) for t in texts]
-    labels = model.posterior(np.array(voted, int).reshape(-1, len(LABELLERS)))
-    return Model(model, train_scorer(texts, voted, labels))
+    sample = keyed.join(F.broadcast(least.select("h")), "h", "left_semi").dropDuplicates(["h"])
+
+    # Only slots and votes of the sample reach the driver: at most DIMENSIONS numbers a text, however long it is.
+    def learnt(x: dict[str, list]) -> dict[str, list]:
+        each = [hashed(t) for t in x["text"]]
+        return {"h": x["h"], "slots": [s.tolist() for s, _ in each], "parts": [v.tolist() for _, v in each], "votes": [votes_of(t) for t in x["text"]]}
+
+    sample = common.map_batches(sample.select("text", "h"), "h long, slots array<int>, parts array<double>, votes array<int>", learnt)
+    found = sample.orderBy("h").collect()
+    labels = model.posterior(np.array([r["votes"] for r in found], int).reshape(-1, len(LABELLERS)))
+    return Model(model, train_scorer([(np.array(r["slots"], np.int64), np.array(r["parts"])) for r in found], labels))
 
 
 def judge(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -186,7 +204,7 @@ def judge(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(x: dict[str, list]) -> dict[str, list]:
         voted = [votes_of(t) for t in x[text_col]]
-        scores = [shared.value.scorer.score(t, v) for t, v in zip(x[text_col], voted, strict=True)]
+        scores = [shared.value.scorer.score(t) for t in x[text_col]]
         votes = np.array(voted, int).reshape(-1, len(LABELLERS))
         return {
             "id": x[id_col],
@@ -213,7 +231,7 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFram
         import pyarrow as pa
 
         for batch in common.slices(batches):
-            scores = [shared.value.scorer.score(t, votes_of(t)) for t in batch.column(at).to_pylist()]
+            scores = [shared.value.scorer.score(t) for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array([s >= KEEP for s in scores], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
