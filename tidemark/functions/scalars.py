@@ -186,3 +186,8 @@ def migrated_concerns(concerns: Column) -> Column:
     """Concerns of the three-step questionnaire: the combined one becomes two, unknown ones go, each stands once."""
     each = F.flatten(F.transform(concerns, lambda c: F.when(c == "drinking_drugs", F.array(F.lit("underage_drinking"), F.lit("drug_use"))).otherwise(F.array(c))))
     return F.array_distinct(F.filter(each, lambda c: c.isin(*catalog.STEP_CONCERNS)))
+
+
+def id_set(*lists) -> Column:
+    """All ids of the lists once, sorted; nulls are left out, and a null list gives null."""
+    return F.array_sort(F.array_distinct(F.array_compact(F.concat(*lists))))

@@ -225,3 +225,8 @@ def neighbours(cases: DataFrame, pool: DataFrame, n: int) -> DataFrame:
         if open_.isEmpty():
             break
     return reduce(DataFrame.unionByName, out).select("case_id", "own", "neighbours")
+
+
+def expects_any_flag(expected: DataFrame, case: list[str]) -> DataFrame:
+    """(case, any_flag): whether any expected item of a case is a flag (decision); null decisions are none."""
+    return expected.groupBy(*case).agg(F.coalesce(F.bool_or(F.col("decision") == "flag"), F.lit(False)).alias("any_flag"))

@@ -92,3 +92,38 @@ def import_list(imports: DataFrame, by: list[str], cursor: Column | None = None,
     rows = imports if cursor is None else imports.where(F.col("import_id") > cursor)
     order = Window.partitionBy(*by).orderBy("created_at", "import_id")
     return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= page_size(limit) + 1)
+
+
+def admissions(requests: DataFrame, imports: DataFrame, entitlements: DataFrame, scans: DataFrame) -> DataFrame:
+    """(request_id, error_code) of requests (request_id, tenant_id, user_id, import_ids, created_at) for a scan: the first
+    rule broken, or null if it is admitted.
+
+    Ids have to be some, not null and without repeats; there has to be an entitlement (tenant_id, user_id, platform_limit,
+    rescans_remaining; a null remainder is no limit) with scans left; the imports (tenant_id, user_id, import_id, platform,
+    status) have to be the user's own, ready, and of no more platforms than allowed; and no scan (tenant_id, user_id,
+    status) may be active. Of several requests of a user that pass all these only the earliest is admitted. An entitlement
+    is one row a user. Other columns are left out.
+    """
+    user = ["tenant_id", "user_id"]
+    ids = F.coalesce("import_ids", F.array().cast(requests.schema["import_ids"].dataType))
+    asked = requests.select("request_id", *user, "created_at", ids.alias("ids"))
+    wanted = asked.select("request_id", *user, F.explode(scalars.id_set("ids")).alias("import_id"))
+    found = wanted.join(imports.select(*user, "import_id", "platform", "status"), [*user, "import_id"]).groupBy("request_id").agg(
+        F.count("*").alias("found"), F.count_if(F.coalesce(F.col("status") != "ready", F.lit(True))).alias("unready"), F.countDistinct("platform").alias("platforms")
+    )
+    rights = entitlements.select(*user, "platform_limit", "rescans_remaining", F.lit(True).alias("entitled"))
+    active = scans.where(F.col("status").isin("queued", "running")).select(*user).distinct().withColumn("active", F.lit(True))
+    valid = (F.size("ids") > 0) & (F.size(scalars.id_set("ids")) == F.size("ids")) & ~F.exists("ids", lambda x: x.isNull())
+    code = (
+        F.when(~valid, "INVALID_ARCHIVE_IMPORT_IDS")
+        .when(F.col("entitled").isNull() | (F.col("rescans_remaining") == 0), "ENTITLEMENT_REQUIRED")
+        .when(F.coalesce("found", F.lit(0)) != F.size("ids"), "RESOURCE_NOT_FOUND")
+        .when(F.col("unready") > 0, "IMPORTS_NOT_READY")
+        .when(F.col("platforms") > F.col("platform_limit"), "PLATFORM_LIMIT_EXCEEDED")
+        .when(F.col("active"), "SCAN_ALREADY_RUNNING")
+    )
+    judged = asked.join(found, "request_id", "left").join(rights, user, "left").join(active, user, "left")
+    judged = judged.select("request_id", *user, "created_at", code.alias("error_code"))
+    first = judged.where(F.col("error_code").isNull()).groupBy(*user).agg(F.min(F.struct("created_at", "request_id")).alias("first"))
+    late = F.col("error_code").isNull() & (F.struct("created_at", "request_id") != F.col("first"))
+    return judged.join(first, user, "left").select("request_id", F.when(late, "SCAN_ALREADY_RUNNING").otherwise(F.col("error_code")).alias("error_code"))

@@ -317,3 +317,13 @@ def sweep(items: DataFrame, now: Column) -> DataFrame:
         .when(stale, "pending")
         .otherwise(F.col("status")),
     )
+
+
+def owned_imports(items: DataFrame, imports: DataFrame, owner: Column, path: str = "$.import_id") -> DataFrame:
+    """(id, import columns) of the running items (id, payload, status, lease_owner) of owner and the imports (import_id, ...)
+    that their payload names. A payload that is null, no JSON, or names none meets none; the item's key is read once, before
+    the join, which is a plain one on equal keys.
+    """
+    kind = imports.schema["import_id"].dataType
+    named = items.where((F.col("status") == "running") & (F.col("lease_owner") == owner)).select("id", F.get_json_object("payload", path).try_cast(kind).alias("import_id"))
+    return named.join(imports, "import_id")

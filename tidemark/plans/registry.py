@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import hashing, scalars, text
+from ..functions import hashing, redact, scalars, text
 from ..operators import evaluate, review, scan, store
 from . import catalog
 
@@ -969,3 +969,98 @@ def content_identities(spark, folder):
     """documents as records, written with their members in another order than the canonical one."""
     record = F.to_json(F.struct(F.col("lang"), F.col("text").alias("body"), F.col("doc_id").alias("id")), {"pretty": "true"})
     return table(spark, folder, "documents").select("doc_id", hashing.content_identity(KEY, F.col("source"), record).alias("identity"))
+
+
+_SALT = "salt::"
+_X_ID = "('0x' || left(sha256('salt::x_id::' || {0}), 15))::UBIGINT::VARCHAR"
+
+
+@query(f"""
+SELECT doc_id, {_X_ID.format("doc_id")} AS id_str, {_X_ID.format("(doc_id // 2)")} AS reply_to, 'user_' || left(sha256('salt::handle::' || source), 8) AS mention,
+       'https://example.invalid/' || left(sha256('salt::url::https://t.example/' || doc_id), 12) AS url,
+       CASE WHEN starts_with(text, '@') THEN '@user_' || left(sha256('salt::handle::reply'), 8) || ' synthetic reply ' || doc_id
+            WHEN starts_with(text, 'RT @') THEN 'RT @user_' || left(sha256('salt::handle::rt'), 8) || ': synthetic retweet ' || doc_id ELSE 'Synthetic tweet body ' || doc_id END AS body, lang
+FROM documents""")
+def redacted_tweets(spark, folder):
+    """documents as tweets, each with a mention of its source and an address."""
+    k = F.col("doc_id").cast("string")
+    mention, address = F.struct(F.col("source").alias("screen_name")), F.struct(F.concat(F.lit("https://t.example/"), k).alias("expanded_url"))
+    tweet = F.struct(
+        k.alias("id_str"), F.col("text").alias("full_text"), F.floor(F.col("doc_id") / 2).cast("string").alias("in_reply_to_status_id_str"), F.col("lang").alias("lang"),
+        F.struct(F.array(mention).alias("user_mentions"), F.array(address).alias("urls")).alias("entities"),
+    )
+    rows = table(spark, folder, "documents").select("doc_id", F.to_json(F.struct(tweet.alias("tweet"))).alias("record"))
+    out = redact.records(rows, _SALT, place_col="doc_id")
+
+    def member(path: str) -> F.Column:
+        return F.get_json_object("record", f"$.tweet.{path}")
+
+    return out.select(
+        "doc_id", member("id_str").alias("id_str"), member("in_reply_to_status_id_str").alias("reply_to"), member("entities.user_mentions[0].screen_name").alias("mention"),
+        member("entities.urls[0].expanded_url").alias("url"), member("full_text").alias("body"), member("lang").alias("lang"),
+    )
+
+
+@query("""
+SELECT page_id, left(sha256('salt::reddit_id::' || page_id), 7) AS id, CASE WHEN url = '' THEN url ELSE 'https://example.invalid/' || left(sha256('salt::url::' || url), 12) END AS permalink,
+       'r_' || left(sha256('salt::subreddit::' || (page_id % 7)), 8) AS subreddit, CASE WHEN page_id % 3 = 0 THEN '' ELSE left(sha256('salt::reddit_id::' || (page_id // 3)), 7) END AS parent,
+       CASE WHEN page_id % 5 = 0 THEN '[removed]' ELSE 'Synthetic comment body ' || page_id || '.' END AS body FROM pages""")
+def redacted_comments(spark, folder):
+    """pages as comments."""
+    k = F.col("page_id")
+    rows = table(spark, folder, "pages").select(
+        "page_id", k.cast("string").alias("id"), F.col("url").alias("permalink"), (k % 7).cast("string").alias("subreddit"), F.lit(None).cast("string").alias("link"),
+        F.when(k % 3 == 0, "").otherwise(F.floor(k / 3).cast("string")).alias("parent"), F.when(k % 5 == 0, "[removed]").otherwise(F.col("html")).alias("body"),
+    )
+    return redact.comments(rows, _SALT, k).drop("link")
+
+
+@query("""
+WITH q AS (SELECT c_custkey AS request_id, c_custkey // 2 AS user_id FROM customer),
+own AS (SELECT o_custkey // 2 AS user_id, o_orderkey AS import_id, CASE WHEN o_orderkey % 3 = 0 THEN 'x' ELSE 'reddit' END AS platform, o_orderstatus <> 'P' AS ready FROM orders WHERE o_orderkey % 4 = 0),
+w AS (SELECT request_id, user_id, import_id FROM q JOIN own USING (user_id) UNION ALL SELECT request_id, user_id, -1 FROM q WHERE request_id % 13 = 0),
+a AS (SELECT request_id, count(*) AS n, count(DISTINCT import_id) AS ids FROM (FROM w UNION ALL SELECT request_id, user_id, import_id FROM w WHERE request_id % 11 = 0) GROUP BY request_id),
+f AS (SELECT request_id, count(*) AS found, bool_and(ready) AS ready, count(DISTINCT platform) AS platforms FROM w JOIN own USING (user_id, import_id) GROUP BY request_id),
+c AS (SELECT request_id, user_id, CASE WHEN n IS NULL OR n <> ids THEN 'INVALID_ARCHIVE_IMPORT_IDS' WHEN user_id % 10 = 0 OR user_id % 9 = 0 THEN 'ENTITLEMENT_REQUIRED' WHEN coalesce(found, 0) <> n THEN 'RESOURCE_NOT_FOUND'
+  WHEN NOT ready THEN 'IMPORTS_NOT_READY' WHEN platforms > 1 + user_id % 2 THEN 'PLATFORM_LIMIT_EXCEEDED'
+  WHEN EXISTS (FROM supplier WHERE s_suppkey = user_id AND s_suppkey % 3 > 0) THEN 'SCAN_ALREADY_RUNNING' END AS code FROM q LEFT JOIN a USING (request_id) LEFT JOIN f USING (request_id))
+SELECT request_id, CASE WHEN code IS NULL AND row_number() OVER (PARTITION BY user_id, code IS NULL ORDER BY request_id) > 1 THEN 'SCAN_ALREADY_RUNNING' ELSE code END AS error_code FROM c""")
+def scan_admissions(spark, folder):
+    """customers as requests, two a user, for all of the user's orders of one in four as imports; some name ids that no one has, or
+    all twice. Suppliers are their scans.
+    """
+    k, user, tenant = F.col("request_id"), F.col("user_id"), F.lit("t").alias("tenant_id")
+    requests = table(spark, folder, "customer").select(F.col("c_custkey").alias("request_id"), F.floor(F.col("c_custkey") / 2).alias("user_id"))
+    imports = table(spark, folder, "orders").where("o_orderkey % 4 = 0").select(
+        tenant, F.floor(F.col("o_custkey") / 2).alias("user_id"), F.col("o_orderkey").alias("import_id"), F.when(F.col("o_orderkey") % 3 == 0, "x").otherwise("reddit").alias("platform"),
+        F.when(F.col("o_orderstatus") == "P", "parsing").otherwise("ready").alias("status"),
+    )
+    ids = imports.groupBy("user_id").agg(F.collect_list("import_id").alias("own"))
+    asked = F.concat(F.coalesce("own", F.array().cast("array<long>")), F.when(k % 13 == 0, F.array(F.lit(-1).cast("long"))).otherwise(F.array().cast("array<long>")))
+    asked = F.when(k % 11 == 0, F.concat(asked, asked)).otherwise(asked)
+    requests = requests.join(ids, "user_id", "left").select("request_id", tenant, "user_id", k.alias("created_at"), asked.alias("import_ids"))
+    rights = requests.select(tenant, "user_id").distinct().where("user_id % 10 > 0").select(
+        tenant, "user_id", (1 + user % 2).alias("platform_limit"), F.when(user % 9 == 0, 0).when(user % 2 == 0, 5).alias("rescans_remaining")
+    )
+    scans = table(spark, folder, "supplier").select(
+        tenant, F.col("s_suppkey").alias("user_id"), F.element_at(F.array(*map(F.lit, ("failed", "queued", "running"))), (F.col("s_suppkey") % 3 + 1).cast("int")).alias("status")
+    )
+    return review.admissions(requests, imports, rights, scans)
+
+
+@query("""
+SELECT event_id AS id, s_suppkey AS import_id, s_name FROM events JOIN supplier ON s_suppkey = (props->>'$.k')::BIGINT WHERE event_id % 3 = 0 AND user_id % 2 = 1""")
+def owned_imports(spark, folder):
+    """events as work items whose payload names a supplier; users are the workers."""
+    items = work_items(spark, folder).join(table(spark, folder, "events").select(F.col("event_id").alias("id"), F.col("props").alias("payload")), "id")
+    owned = items.withColumn("lease_owner", F.when(F.col("tenant_id") % 2 == 1, "a").otherwise("b"))
+    suppliers = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("import_id"), "s_name")
+    return store.owned_imports(owned, suppliers, F.lit("a"), "$.k")
+
+
+@query("""
+SELECT conv_id, coalesce(bool_or(contains(text, '?')), FALSE) AS any_flag FROM conversations GROUP BY conv_id""")
+def cases_expecting_flags(spark, folder):
+    """conversations as cases: a turn with a question is to be flagged."""
+    expected = table(spark, folder, "conversations").select("conv_id", F.when(F.contains("text", F.lit("?")), "flag").otherwise("no_flag").alias("decision"))
+    return evaluate.expects_any_flag(expected, ["conv_id"])

@@ -33,14 +33,21 @@ def list_archives(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("path").alias("archive"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
+def store_of(uri: str):
+    """(file system, path) of a file or folder of any store."""
+    from pyarrow import fs
+
+    local = re.match(r"file:/+", uri)
+    if local or uri.startswith("/"):
+        return fs.LocalFileSystem(), "/" + uri[local.end() if local else 1 :]
+    return fs.FileSystem.from_uri(uri)
+
+
 class Ranges:
     """A file of any store by ranges, pinned: of another size or time than when it was listed, it is not read."""
 
     def __init__(self, uri: str, size: int | None = None, modified=None):
-        from pyarrow import fs
-
-        local = re.match(r"file:/+", uri)
-        store, path = (fs.LocalFileSystem(), "/" + uri[local.end() :]) if local else fs.FileSystem.from_uri(uri)
+        store, path = store_of(uri)
         info = store.get_file_info(path)
         if size is not None and info.size != size or modified is not None and info.mtime is not None and abs(info.mtime.timestamp() - modified.timestamp()) >= 1:
             raise Broken("integrity_mismatch")
