@@ -8,15 +8,18 @@ the text follows from the word's place in the window; whole windows are then com
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 SIZE = 10
-#: Bytes of the Bloom filter that tells, before any row is made, whether a word can be one that is looked for. Its
-#: size is fixed; a word that passes by chance costs a row, never a hit.
-SLOTS, SEEDS = 1 << 16, (7, 8)
+#: The Bloom filter that tells, before any row is made, whether a word can be one that is looked for: at least PER_WORD
+#: bits a word, from LEAST to MOST bits (at MOST it takes 1 MB, and 1 word in 70 passes by chance with 500,000 words). A
+#: word that passes by chance costs a row, never a hit.
+PER_WORD, LEAST, MOST, SEEDS = 16, 1 << 16, 1 << 23, (7, 8)
 
 
 def words(text: Column) -> Column:
@@ -38,22 +41,38 @@ def windows_of(items: DataFrame, size: int = SIZE, id_col: str = "item_id", text
     )
 
 
-def slot(word: Column, seed: int) -> Column:
-    return F.pmod(F.xxhash64(word, F.lit(seed)), F.lit(SLOTS)).cast("int")
+@dataclass(frozen=True)
+class Marks:
+    """A Bloom filter of `size` bits, eight a byte from the lowest on, as a literal."""
+
+    bits: bytearray
+    size: int
+
+    def has(self, word: Column) -> Column:
+        found = []
+        for seed in SEEDS:
+            at = slot(word, seed, self.size)
+            byte = F.conv(F.hex(F.substr(F.lit(self.bits), F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+            found.append(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1)
+        return found[0] & found[1]
 
 
-def slot_map(frame: DataFrame, word_col: str) -> Column:
-    """A literal of SLOTS bytes, 1 in each slot of the frame's words. At most SLOTS numbers reach the driver."""
-    marks = bytearray(SLOTS)
-    slots = F.explode(F.array(*[slot(F.col(word_col), s) for s in SEEDS]))
-    for (k,) in frame.select(slots).distinct().collect():
-        marks[k] = 1
-    return F.lit(marks)
+def slot(word: Column, seed: int, size: int) -> Column:
+    return F.pmod(F.xxhash64(word, F.lit(seed)), F.lit(size))
 
 
-def marked(marks: Column, word: Column) -> Column:
-    first, second = (F.substr(marks, slot(word, s) + 1, F.lit(1)) == F.lit(bytearray(b"\1")) for s in SEEDS)
-    return first & second
+def marks_of(frame: DataFrame, word_col: str) -> Marks:
+    """The filter of the frame's words, sized by how many there are. Rows of 32,768 bits reach the driver: MOST bits in all."""
+    n = frame.agg(F.approx_count_distinct(word_col)).first()[0]
+    size = LEAST
+    while size < min(PER_WORD * n, MOST):
+        size *= 2
+    slots = frame.select(F.explode(F.array(*[slot(F.col(word_col), s, size) + 1 for s in SEEDS])).alias("slot"))
+    parts = slots.groupBy(F.bitmap_bucket_number("slot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    marks = bytearray(size // 8)
+    for part, bits in parts.collect():
+        marks[(part - 1) * len(bits) : part * len(bits)] = bits
+    return Marks(marks, size)
 
 
 def probes_of(windows: DataFrame, docs_words: DataFrame) -> DataFrame:
@@ -63,8 +82,8 @@ def probes_of(windows: DataFrame, docs_words: DataFrame) -> DataFrame:
     """
     each = windows.select("window").distinct()
     vocabulary = each.select(F.explode("window").alias("word")).distinct()
-    marks = slot_map(vocabulary, "word")
-    known = docs_words.select(F.explode(F.filter("words", lambda x: marked(marks, x))).alias("word"))
+    marks = marks_of(vocabulary, "word")
+    known = docs_words.select(F.explode(F.filter("words", marks.has)).alias("word"))
     counts = known.groupBy("word").agg(F.count("*").alias("n"))
     rated = (
         each.select("window", F.posexplode("window").alias("at", "word"))
@@ -81,9 +100,9 @@ def _search(rows: DataFrame, items: DataFrame, size: int, item_id_col: str, item
     split = rows.select("id", common.text_key("text").alias("key"), words(F.col("text")).alias("words"))
     windows = scratch.write("windows", windows_of(items, size, item_id_col, item_text_col))
     probes = scratch.write("probes", probes_of(windows, split.select("words")))
-    marks = slot_map(probes, "word")
+    marks = marks_of(probes, "word")
     w = F.col("words")
-    places = F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: marked(marks, F.get(w, i - 1)))
+    places = F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: marks.has(F.get(w, i - 1)))
     around = F.transform(
         places,
         lambda i: F.struct(
