@@ -17,9 +17,9 @@ from . import common
 
 SIZE = 10
 #: The Bloom filter that tells, before any row is made, whether a word can be one that is looked for: at least PER_WORD
-#: bits a word, from LEAST to MOST bits (at MOST it takes 1 MB, and 1 word in 70 passes by chance with 500,000 words). A
-#: word that passes by chance costs a row, never a hit.
-PER_WORD, LEAST, MOST, SEEDS = 16, 1 << 16, 1 << 23, (7, 8)
+#: slots a word, from LEAST to MOST, a byte each (eight a byte take less room, but bits cost far more to test). By chance 1
+#: word in 20 passes, or 1 in 7 where 500,000 words are looked for; such a word costs a row, never a hit.
+PER_WORD, LEAST, MOST, SEEDS = 8, 1 << 16, 1 << 21, (7, 8)
 
 
 def words(text: Column) -> Column:
@@ -43,18 +43,13 @@ def windows_of(items: DataFrame, size: int = SIZE, id_col: str = "item_id", text
 
 @dataclass(frozen=True)
 class Marks:
-    """A Bloom filter of `size` bits, eight a byte from the lowest on, as a literal."""
+    """A Bloom filter as a literal: a byte a slot, 1 or 0."""
 
-    bits: bytearray
-    size: int
+    slots: bytearray
 
     def has(self, word: Column) -> Column:
-        found = []
-        for seed in SEEDS:
-            at = slot(word, seed, self.size)
-            byte = F.conv(F.hex(F.substr(F.lit(self.bits), F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
-            found.append(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1)
-        return found[0] & found[1]
+        first, second = (F.substr(F.lit(self.slots), slot(word, s, len(self.slots)).cast("int") + 1, F.lit(1)) == F.lit(bytearray(b"\1")) for s in SEEDS)
+        return first & second
 
 
 def slot(word: Column, seed: int, size: int) -> Column:
@@ -62,7 +57,9 @@ def slot(word: Column, seed: int, size: int) -> Column:
 
 
 def marks_of(frame: DataFrame, word_col: str) -> Marks:
-    """The filter of the frame's words, sized by how many there are. Rows of 32,768 bits reach the driver: MOST bits in all."""
+    """The filter of the frame's words, sized by how many there are. The driver is given
+    bitmaps of 32,768 slots: MOST bits in all.
+    """
     n = frame.agg(F.approx_count_distinct(word_col)).first()[0]
     size = LEAST
     while size < min(PER_WORD * n, MOST):
@@ -72,7 +69,7 @@ def marks_of(frame: DataFrame, word_col: str) -> Marks:
     marks = bytearray(size // 8)
     for part, bits in parts.collect():
         marks[(part - 1) * len(bits) : part * len(bits)] = bits
-    return Marks(marks, size)
+    return Marks(bytearray(byte >> k & 1 for byte in marks for k in range(8)))
 
 
 def probes_of(windows: DataFrame, docs_words: DataFrame) -> DataFrame:
