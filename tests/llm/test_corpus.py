@@ -380,23 +380,6 @@ def test_merge_gives_order_and_prefixes():
         assert len(suffixes.repeated(runs)[0]) == sum(flat.count(x) > 1 for x in flat)
 
 
-# Decontamination: the filter ------------------------------------------------------------------------------------------
-
-
-def test_filter_is_sized_by_its_words(spark):
-    """Every word that is looked for passes, of others few do, with few words and with half a million."""
-    from pyspark.sql import functions as F
-
-    for n in (10, 500_000):
-        words = spark.range(n).select(F.concat(F.lit("w"), "id").alias("word"))
-        marks = decontam.marks_of(words, "word")
-        others = spark.range(20_000).select(F.concat(F.lit("v"), "id").alias("word"))
-        assert words.where(marks.has(F.col("word"))).count() == n
-        assert others.where(marks.has(F.col("word"))).count() < (200 if n == 10 else 4000)
-        assert len(marks.slots) == (decontam.LEAST if n == 10 else decontam.MOST)
-    assert decontam.marks_of(words.limit(0), "word").slots == bytearray(decontam.LEAST)
-
-
 # The pipeline --------------------------------------------------------------------------------------------------------
 
 
