@@ -377,14 +377,16 @@ def deduplicate(
     scratch = common.Scratch(docs.sparkSession)
     of = classes(docs, size, threshold, text_col, scratch)
     keyed = docs.select(common.as_rows(docs).alias("row"), text_key(text_col).alias("key"), F.col(id_col).alias("id"))
-    by_text = keyed.groupBy("key").agg(F.min("id").alias("id"))
+    # How many rows have a text's least id is counted here, so that repeated rows are known before any row is joined.
+    by_id = keyed.groupBy("key", "id").agg(F.count("*").alias("n"))
+    by_text = by_id.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "n")).alias("least"))
     by_text = by_text.join(of.select("key", "class"), "key", "left").withColumn("class", F.coalesce("class", "key"))
     # The text of each class with the least id, and that id. Rows meet it by both, so that copies of a text do not
     # come together.
-    first = by_text.groupBy("class").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("m"))
-    first = scratch.write("first", first.select(F.col("m.key").alias("key"), F.col("m.id").alias("id")))
+    first = by_text.groupBy("class").agg(F.min(F.struct("least.null", "least.id", "key", "least.n")).alias("m"))
+    first = scratch.write("first", first.select(F.col("m.key").alias("key"), F.col("m.id").alias("id"), F.col("m.n").alias("n")))
     scratch.drop("classes")
     kept = keyed.alias("k").join(first.alias("f"), (F.col("k.key") == F.col("f.key")) & F.col("k.id").eqNullSafe(F.col("f.id")), "left_semi")
-    if kept.count() > first.count():  # rows of equal texts and ids
+    if not first.where(F.col("n") > 1).isEmpty():  # rows of equal texts and ids
         kept = kept.dropDuplicates(["key"])
     return kept.select("row.*")
