@@ -237,18 +237,22 @@ def _close(left: DataFrame, texts: DataFrame, size: int, shared, threshold: floa
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
-            key, of, text, known = (batch.column(k).to_pylist() for k in range(4))
-            hashes, ends = shingles.word_hashes(text)
+            # What is known of shingles stays in arrays of numbers: as lists of rows it would be many times the texts.
+            known, ends_of = batch.column(3).flatten(), batch.column(3).offsets.to_numpy()
+            named_, n_of = known.field("shingle").to_numpy().view(np.uint64), known.field("n").to_numpy()
+            hashes, ends = shingles.word_hashes(batch.column(2).to_pylist())
             for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
                 h, w = vector(hashes[a:b], size, shared.value)
                 w, n = w.astype(np.float64), np.ones(len(h), np.int64)
-                n[np.searchsorted(h, np.array([x["shingle"] for x in known[k]], np.int64).view(np.uint64))] = [x["n"] for x in known[k]]
+                mine = slice(ends_of[k] - ends_of[0], ends_of[k + 1] - ends_of[0])
+                n[np.searchsorted(h, named_[mine])] = n_of[mine]
                 order = np.lexsort((h, n))
                 before = np.cumsum(w[order]) - w[order]
                 total = w.sum()
                 use = np.flatnonzero((n[order] > 1) & (before <= (1 - threshold + 1e-6) * total))
-                columns = [[key[k]] * len(use), [of[k]] * len(use), h[order][use].view(np.int64), np.full(len(use), total), total - before[use]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, kinds, strict=True)], schema=kinds)
+                same = pa.array(np.full(len(use), k))
+                columns = [batch.column(0).take(same), batch.column(1).take(same), h[order][use].view(np.int64), np.full(len(use), total), total - before[use]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) if isinstance(c, np.ndarray) else c.cast(t.type) for c, t in zip(columns, kinds, strict=True)], schema=kinds)
 
     each = left.join(common_, "id").select("key", "class", "text", "known")
     stand = scratch.write("prefixes", each.mapInArrow(prefixes, "key binary, class binary, shingle long, size double, rest double"))
