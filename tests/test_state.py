@@ -6,6 +6,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import store
 from tidemark.sources import sinks
 from tidemark.streaming import leases, usage
 
@@ -128,3 +129,36 @@ def test_touched_rows_are_counted_as_they_are_written(spark, tmp_path):
     told = sinks.write_counted(rows, str(tmp_path / "t"), {"failed": F.col("new") == "failed", "none": F.lit(None).cast("boolean")})
     assert told == {"failed": 334, "none": 0} and spark.read.parquet(str(tmp_path / "t")).count() == 1000
     assert sinks.write_counted(rows.where("false"), str(tmp_path / "e"), {"failed": F.col("new") == "failed"}) == {"failed": 0}
+
+
+def test_recovery_from_cancellations_and_lost_workers(spark):
+    now = datetime.datetime(2024, 1, 1)
+    past, to_come = now - HOUR, now + HOUR
+    rows = [(1, "queued", past, None), (2, "running", past, past), (3, "running", past, to_come), (4, "running", None, past), (5, "running", None, None),
+            (6, "failed", past, past), (7, "queued", past, to_come), (8, "parsing", past, None), (9, "parsing", None, past), (10, None, past, past)]
+    frame = spark.createDataFrame([(*r, "w", None) for r in rows], "id int, status string, cancel_requested_at timestamp, lease_expires_at timestamp, lease_owner string, finished_at timestamp")
+
+    def after(f):
+        return {r.id: (r.status, r.lease_owner, r.finished_at) for r in f(frame, F.lit(now)).collect()}
+
+    same = {r[0]: (r[1], "w", None) for r in rows}
+    gone, back = ("cancelled", None, now), ("queued", None, None)
+    assert after(store.recover_scans) == same | {1: gone, 2: gone, 4: back, 7: gone}
+    assert after(store.recover_imports) == same | {1: gone, 8: gone, 9: back}
+    assert after(store.recover_items) == same | {2: gone}
+    assert store.recover_scans(frame.limit(0), F.lit(now)).collect() == []
+    attempts = spark.createDataFrame([(2, "retry", past), (2, None, None), (3, None, None), (None, None, None)], "id int, outcome string, finished_at timestamp")
+    closed = store.close_attempts(attempts, spark.createDataFrame([(2,), (2,), (None,)], "id int"), ["id"], "cancelled", F.lit(now))
+    assert sorted(map(tuple, closed.collect()), key=str) == sorted([(2, "retry", past), (2, "cancelled", now), (3, None, None), (None, None, None)], key=str)
+
+
+def test_items_wait_for_an_identical_archive(spark):
+    now = datetime.datetime(2024, 1, 1)
+    kind = "tenant_id string, import_id int, status string, attempt_count int, run_after timestamp, lease_owner string, busy int"
+    items = spark.createDataFrame([("t", 1, "running", 2, now, "w", 0), ("t", 2, "running", 0, now, "w", 0), ("t", 3, "pending", 1, now, None, 0), ("u", 1, "running", 1, now, "w", 0), ("t", None, "running", 1, now, "w", 0)], kind)
+    claims = spark.createDataFrame([("t", 1, "busy"), ("t", 1, "busy"), ("t", 2, "busy"), ("t", 3, "busy"), ("u", 1, "duplicate"), ("t", None, "busy")], "tenant_id string, id int, outcome string")
+    out = store.defer_busy(items, claims, F.lit(now))
+    got = {tuple(r[:2]): tuple(r[2:6]) for r in out.collect()}
+    later = now + datetime.timedelta(seconds=30)
+    assert out.columns == items.columns and out.count() == 5
+    assert got == {("t", 1): ("pending", 1, later, None), ("t", 2): ("pending", 0, later, None), ("t", 3): ("pending", 1, now, None), ("u", 1): ("running", 1, now, "w"), ("t", None): ("running", 1, now, "w")}

@@ -327,3 +327,84 @@ def owned_imports(items: DataFrame, imports: DataFrame, owner: Column, path: str
     kind = imports.schema["import_id"].dataType
     named = items.where((F.col("status") == "running") & (F.col("lease_owner") == owner)).select("id", F.get_json_object("payload", path).try_cast(kind).alias("import_id"))
     return named.join(imports, "import_id")
+
+
+def _set(table: DataFrame, changes: list[tuple[Column, dict[str, Column]]]) -> DataFrame:
+    """table with the columns of each change set in the rows that it is for; changes exclude each other. A change of a
+    column that table does not have is left out; a null condition is not met.
+    """
+    out = []
+    for c in table.columns:
+        value = F.col(f"`{c}`")
+        for where, values in changes:
+            if c in values:
+                value = F.when(F.coalesce(where, F.lit(False)), values[c].cast(table.schema[c].dataType)).otherwise(value)
+        out.append(value.alias(c))
+    return table.select(*out)
+
+
+def recover(table: DataFrame, now: Column, waiting: list[str], running: list[str], resumed: str | None = None, unleased: bool = False) -> DataFrame:
+    """table (status, cancel_requested_at, lease_expires_at, ...) after one round of recovery from cancellations and lost workers.
+
+    A row whose cancellation was asked for is cancelled: at once while it waits, and while it runs once its lease is over;
+    a running one without a lease only if `unleased`. With `unleased`, a lease that holds keeps waiting rows too. A running
+    row that nobody cancels goes back to `resumed` (None: stays) once its lease is over. What is cancelled has finished_at
+    (now, unless it had one); both lose owner and lease. Rows that ended, statuses not named and nulls stay; a repeated row is treated
+    like each other, and no rows give none. Nothing is shuffled.
+    """
+    asked, over = F.col("cancel_requested_at").isNotNull(), F.coalesce(F.col("lease_expires_at") < now, F.lit(False))
+    runs, waits = F.col("status").isin(running), F.col("status").isin(waiting)
+    free = over | F.col("lease_expires_at").isNull()
+    ends = asked & (((waits | runs) & free) if unleased else (waits | (runs & over)))
+    none = {"lease_owner": F.lit(None), "lease_expires_at": F.lit(None), "updated_at": now}
+    finished = F.coalesce("finished_at", now) if "finished_at" in table.columns else now
+    changes = [(ends, none | {"status": F.lit("cancelled"), "finished_at": finished})]
+    if resumed is not None:
+        changes.append((~asked & runs & over, none | {"status": F.lit(resumed)}))
+    return _set(table, changes)
+
+
+def recover_items(items: DataFrame, now: Column) -> DataFrame:
+    """Work items after recovery from cancellations; lost leases that nobody cancels are for `sweep`."""
+    return recover(items, now, ["pending"], ["running"])
+
+
+def recover_scans(scans: DataFrame, now: Column) -> DataFrame:
+    """Scans after recovery."""
+    return recover(scans, now, ["queued"], ["running"], "queued")
+
+
+def recover_imports(imports: DataFrame, now: Column) -> DataFrame:
+    """Imports after recovery."""
+    return recover(imports, now, ["queued"], ["parsing", "normalizing"], "queued", unleased=True)
+
+
+def close_attempts(attempts: DataFrame, of: DataFrame, keys: list[str], outcome: str, now: Column, why: str | None = None) -> DataFrame:
+    """attempts with those still open of the items in `of` (keys) closed: outcome, finished_at and, if told, error_text.
+
+    An item named twice closes its attempts once; null keys name none; closed attempts stay.
+    """
+    name = free_name(attempts, "found")
+    rows = attempts.join(of.select(*keys).dropna().distinct().withColumn(name, F.lit(True)), keys, "left")
+    values = {"outcome": F.lit(outcome), "finished_at": now} | ({} if why is None else {"error_text": F.lit(why)})
+    return _set(rows, [(F.col(name) & F.col("finished_at").isNull(), values)]).select(*attempts.columns)
+
+
+def defer_busy(items: DataFrame, claims: DataFrame, now: Column, seconds: int = 30) -> DataFrame:
+    """items (tenant_id, import_id, status, attempt_count, run_after, ...) after those running for an import whose bytes
+    another import that is not there yet holds were put off: pending again in `seconds`, with the attempt unspent.
+
+    claims: what `fingerprint_claims` tells (tenant_id, id, outcome). Other items stay as they are, and so do items without
+    an import; an import told busy twice puts an item off once.
+    """
+    name = free_name(items, "busy")
+    busy = claims.where(F.col("outcome") == "busy").select("tenant_id", F.col("id").alias("import_id")).distinct()
+    rows = items.join(busy.withColumn(name, F.lit(True)), ["tenant_id", "import_id"], "left")
+    values = {
+        "status": F.lit("pending"),
+        "attempt_count": F.greatest(F.col("attempt_count") - 1, F.lit(0)),
+        "run_after": now + F.make_dt_interval(secs=F.lit(seconds)),
+        "last_error": F.lit("waiting for identical archive to finish"),
+        "updated_at": now,
+    } | {c: F.lit(None) for c in ("lease_owner", "lease_expires_at", "heartbeat_at")}
+    return _set(rows, [(F.col(name) & (F.col("status") == "running"), values)]).select(*items.columns)

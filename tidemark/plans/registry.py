@@ -1064,3 +1064,54 @@ def cases_expecting_flags(spark, folder):
     """conversations as cases: a turn with a question is to be flagged."""
     expected = table(spark, folder, "conversations").select("conv_id", F.when(F.contains("text", F.lit("?")), "flag").otherwise("no_flag").alias("decision"))
     return evaluate.expects_any_flag(expected, ["conv_id"])
+
+
+_NOW = "1997-01-01 00:00:00"
+_LEASED = """
+SELECT o_orderkey AS k, ['{0}', '{1}', '{2}', 'succeeded'][o_orderkey % 4 + 1] AS status, CASE WHEN o_custkey % 2 = 0 THEN o_orderdate END AS asked,
+       CASE WHEN o_custkey % 3 > 0 THEN o_orderdate + INTERVAL 1 HOUR END AS lease, CASE WHEN o_custkey % 5 = 0 THEN o_orderdate END AS ended, TIMESTAMP '1997-01-01' AS now FROM orders"""
+
+
+def leased(spark: SparkSession, folder: str, *statuses: str) -> DataFrame:
+    """orders as rows that workers hold: by key in one of the statuses, some cancelled, leased for an hour from their date."""
+    key, by, date = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderdate").cast("timestamp")
+    return table(spark, folder, "orders").select(
+        key.alias("id"), F.element_at(F.array(*map(F.lit, (*statuses, "succeeded"))), (key % 4 + 1).cast("int")).alias("status"),
+        F.when(by % 2 == 0, date).alias("cancel_requested_at"), F.when(by % 3 > 0, date + F.expr("INTERVAL 1 HOUR")).alias("lease_expires_at"),
+        F.when(by % 5 == 0, date).alias("finished_at"),
+    )
+
+
+@query(f"""
+WITH r AS ({_LEASED.format("queued", "running", "failed")}),
+s AS (SELECT *, CASE WHEN asked IS NOT NULL AND (status = 'queued' OR (status = 'running' AND lease < now)) THEN 'cancelled'
+                     WHEN asked IS NULL AND status = 'running' AND lease < now THEN 'queued' ELSE status END AS new FROM r)
+SELECT k AS id, new AS status, CASE WHEN new = status THEN lease END AS lease_expires_at, CASE WHEN new = 'cancelled' THEN coalesce(ended, now) ELSE ended END AS finished_at FROM s""")
+def recovered_scans(spark, folder):
+    out = store.recover_scans(leased(spark, folder, "queued", "running", "failed"), F.to_timestamp(F.lit(_NOW)))
+    return out.select("id", "status", "lease_expires_at", "finished_at")
+
+
+@query(f"""
+WITH r AS ({_LEASED.format("queued", "parsing", "normalizing")}),
+s AS (SELECT *, CASE WHEN asked IS NOT NULL AND status <> 'succeeded' AND (lease IS NULL OR lease < now) THEN 'cancelled'
+                     WHEN asked IS NULL AND status IN ('parsing', 'normalizing') AND lease < now THEN 'queued' ELSE status END AS new FROM r)
+SELECT k AS id, new AS status, CASE WHEN new = status THEN lease END AS lease_expires_at, CASE WHEN new = 'cancelled' THEN coalesce(ended, now) ELSE ended END AS finished_at FROM s""")
+def recovered_imports(spark, folder):
+    out = store.recover_imports(leased(spark, folder, "queued", "parsing", "normalizing"), F.to_timestamp(F.lit(_NOW)))
+    return out.select("id", "status", "lease_expires_at", "finished_at")
+
+
+@query("""
+WITH i AS (SELECT source, doc_id % 3 = 0 AS x, doc_id, sha256(text) AS f, doc_id % 50 AS day, doc_id % 4 = 0 AS ready FROM documents WHERE doc_id % 9 > 0),
+b AS (SELECT doc_id FROM i WINDOW w AS (PARTITION BY source, x, f ORDER BY day, doc_id) QUALIFY row_number() OVER w > 1 AND NOT first_value(ready) OVER w)
+SELECT d.doc_id AS id, CASE WHEN b.doc_id IS NULL THEN 'running' ELSE 'pending' END AS status,
+       (CASE WHEN b.doc_id IS NULL THEN d.doc_id % 3 ELSE greatest(d.doc_id % 3 - 1, 0) END)::INT AS attempt_count,
+       CASE WHEN b.doc_id IS NOT NULL THEN TIMESTAMP '1997-01-01 00:00:30' END AS run_after
+FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id""")
+def deferred_imports(spark, folder):
+    """Every import has one running item; those whose archive another import is still reading are put off."""
+    imports = imports_of(spark, folder)
+    items = imports.select("tenant_id", F.col("id").alias("import_id"), F.lit("running").alias("status"), (F.col("id") % 3).cast("int").alias("attempt_count"), F.lit(None).cast("timestamp").alias("run_after"))
+    out = store.defer_busy(items, store.fingerprint_claims(imports), F.to_timestamp(F.lit(_NOW)))
+    return out.select(F.col("import_id").alias("id"), "status", "attempt_count", "run_after")
