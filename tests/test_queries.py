@@ -55,3 +55,15 @@ def test_packing_deals_a_hot_scan_out(spark, sizes, most):
     assert len(got) == len(rows)
     assert {r.id: (r.batch_ordinal, r.item_index) for r in got} == packed_plainly(rows, most, 200, 20, 2)
     assert len({r.p for r in got if r.tenant == "hot"}) > 3
+
+
+def test_of_equal_actions_the_first_of_the_table_counts(spark, tmp_path, same_as_sql):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    pq.write_table(pa.table({"p_partkey": pa.array(range(1, 41), pa.int64())}), tmp_path / "part.parquet")
+    lines = [(part, order, flag) for part in range(1, 41) for order, flag in ((7, "RA"[part % 2]), (7, "AR"[part % 2]), (9, "R"))]
+    columns = {"l_partkey": pa.array([r[0] for r in lines], pa.int64()), "l_orderkey": pa.array([r[1] for r in lines], pa.int64())}
+    columns |= {"l_linenumber": pa.array([1] * len(lines), pa.int32()), "l_returnflag": [r[2] for r in lines]}
+    pq.write_table(pa.table(columns), tmp_path / "lineitem.parquet")
+    same_as_sql(registry.reviewed_flags(spark, str(tmp_path)), registry.ORACLE_SQL["reviewed_flags"], str(tmp_path))

@@ -705,12 +705,14 @@ def flag_detail(spark, folder):
 WITH a AS (SELECT l_partkey AS f, arg_min(CASE WHEN l_returnflag = 'R' THEN 'resolved' ELSE 'closed' END, l_orderkey * 10 + l_linenumber) AS s FROM lineitem GROUP BY l_partkey)
 SELECT p_partkey AS flag_id, CASE WHEN p_partkey % 4 = 0 THEN 'snoozed' ELSE coalesce(s, 'open') END AS status FROM part LEFT JOIN a ON f = p_partkey""")
 def reviewed_flags(spark, folder):
-    """parts as flags, order lines as actions on them: the first action counts, on open flags only."""
+    """parts as flags, order lines as actions on them: the first action counts, on open flags only. Lines of one part, order
+    and number are told apart by their place in the table, so that of equal ones the first counts, as in SQL.
+    """
     flags = table(spark, folder, "part").select(F.col("p_partkey").alias("flag_id"), F.when(F.col("p_partkey") % 4 == 0, "snoozed").otherwise("open").alias("status"))
     order = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     actions = table(spark, folder, "lineitem").select(
         F.col("l_partkey").alias("flag_id"), F.lit("review").alias("action"), F.when(F.col("l_returnflag") == "R", "resolved").otherwise("closed").alias("new_status"),
-        order.alias("created_at"), order.alias("action_id"),
+        order.alias("created_at"), F.struct("_metadata.file_path", "_metadata.row_index").alias("action_id"),
     )
     return store.first_reviews(flags, actions).select("flag_id", "status")
 
