@@ -191,6 +191,23 @@ def test_frequencies_are_exact(spark, monkeypatch):
     assert len(got.shingles) == len(wanted)
 
 
+def test_no_frequent_shingle_is_left_out(spark, monkeypatch):
+    """Long documents over few words: more frequent shingles than the table once held, all with their own frequency."""
+    monkeypatch.setattr(neardup, "TABLE", 100, raising=False)
+    rng = random.Random(4)
+    words = [[f"w{rng.randrange(30)}" for _ in range(rng.randint(0, 300))] for _ in range(200)]
+    counts = collections.Counter()
+    for w in words:
+        counts.update({" ".join(w[k : k + 2]) for k in range(max(1, len(w) - 1))} if w else ())
+    got = neardup.document_frequencies(spark.createDataFrame([(" ".join(w),) for w in words], "text string").repartition(3), 2)
+    from tidemark.llm import shingles
+
+    hashes, ends = shingles.word_hashes(list(counts))
+    assert len(got.shingles) == len(counts) > 700
+    for n, a, b in zip(counts.values(), ends[:-1], ends[1:], strict=True):
+        assert abs(got.of(shingles.shingle_hashes(hashes[a:b], 2))[0] - (1 + math.log(201 / (n + 1)))) < 1e-5
+
+
 def test_samples_agree_as_often_as_sets_are_similar():
     rng = np.random.default_rng(1)
     hashes = np.sort(rng.integers(0, 1 << 63, 400, dtype=np.uint64))

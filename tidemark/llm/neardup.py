@@ -32,9 +32,6 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 4
 #: Shingles of more than one in DEEP documents have their own document frequency; rarer ones all count as that rare.
 DEEP = 400
-#: Bound of the table of those; fewer than 4/3 DEEP times the different shingles of a mean document are looked at. Of
-#: more than that, those of most documents are taken, and the rest weigh as the rarest of these.
-TABLE = 1 << 20
 #: Texts and shingles that a task counts at once.
 BLOCK = (4096, 1 << 22)
 #: Ratio of the steps of size by which texts meet in the last round.
@@ -82,11 +79,12 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int,
 
 
 def document_frequencies(docs: DataFrame, size: int, text_col: str = "text") -> Weights:
-    """Exact frequencies, over all rows, of the shingles of more than one in DEEP of them.
+    """Exact frequencies, over all rows, of all shingles of more than one in DEEP of them.
 
     A block of texts tells its shingles of at least one in 4 DEEP of its texts. What a shingle has in blocks that do not
     tell it is less than one in 4 DEEP of all texts, so one of more than one in DEEP is told of three quarters of these at
-    least; there are few such, and they are counted again in all texts.
+    least; these are counted again in all texts. Fewer than 4/3 DEEP times the different shingles of a mean document are:
+    their number follows the length of documents, not how many there are, and none is left out.
     """
     column = docs.select(F.col(text_col).alias("text"))
 
@@ -99,10 +97,10 @@ def document_frequencies(docs: DataFrame, size: int, text_col: str = "text") ->
     sums = column.mapInArrow(told, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     sums = common.Scratch(docs.sparkSession).write("shingles", sums)
     documents = sums.where(F.col("shingle").isNull()).agg(F.sum("n")).first()[0] or 0
-    some = sums.where(F.col("shingle").isNotNull() & (F.col("n") >= 0.75 * documents / DEEP)).orderBy(F.desc("n"), "shingle").limit(TABLE + 1)
-    found = np.array([r[0] for r in some.select("shingle").collect()], np.int64).view(np.uint64)
-    more = len(found) > TABLE
-    looked_for = docs.sparkSession.sparkContext.broadcast(np.sort(found[:TABLE]))
+    some = sums.where(F.col("shingle").isNotNull() & (F.col("n") >= 0.75 * documents / DEEP))
+    # Columns of numbers, not rows: eight bytes a shingle.
+    found = some.select("shingle").toArrow().column("shingle").to_numpy().view(np.uint64)
+    looked_for = docs.sparkSession.sparkContext.broadcast(np.sort(found))
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = looked_for.value
@@ -116,11 +114,10 @@ def document_frequencies(docs: DataFrame, size: int, text_col: str = "text") ->
 
     exact = np.zeros(len(looked_for.value), np.int64)
     if len(exact):
-        for at, n in column.mapInArrow(counts, "at int, n long").groupBy("at").agg(F.sum("n")).collect():
-            exact[at] = n
+        all_counts = column.mapInArrow(counts, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+        exact[all_counts.column("at").to_numpy()] = all_counts.column("n").to_numpy()
     own = exact > documents / DEEP
-    rarest = exact[own].min() if more and own.any() else documents / DEEP
-    return Weights(looked_for.value[own], _idf(exact[own], documents), float(_idf(np.array(rarest), documents)))
+    return Weights(looked_for.value[own], _idf(exact[own], documents), float(_idf(np.array(documents / DEEP), documents)))
 
 
 def vector(words: np.ndarray, size: int, weights: Weights) -> tuple[np.ndarray, np.ndarray]:
