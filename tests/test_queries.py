@@ -67,3 +67,10 @@ def test_of_equal_actions_the_first_of_the_table_counts(spark, tmp_path, same_as
     columns |= {"l_linenumber": pa.array([1] * len(lines), pa.int32()), "l_returnflag": [r[2] for r in lines]}
     pq.write_table(pa.table(columns), tmp_path / "lineitem.parquet")
     same_as_sql(registry.reviewed_flags(spark, str(tmp_path)), registry.ORACLE_SQL["reviewed_flags"], str(tmp_path))
+
+
+def test_texts_are_cleaned_once(spark):
+    """The plan of the segments holds each step once: named twice, Spark would run it twice."""
+    rows = spark.createDataFrame([("a", 1, "x<br>y")], "tenant string, doc_id long, body string")
+    plan = scan.prepare(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("(?:br|BR|Br)") == 1 and plan.count("blockquote") == 1

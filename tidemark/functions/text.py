@@ -1,5 +1,7 @@
-"""Text functions on columns. Built-in expressions throughout; Arrow UDFs only for what Spark cannot say, and only on the rows
-that need them."""
+"""Text functions on columns. Built-in expressions throughout; Arrow UDFs only for what Spark cannot say.
+
+Each names its text once: Spark puts what a name stands for in its place, and where a Python function is among it also
+where this makes it run several times. So a condition on a text that goes to Python is looked at there."""
 
 from __future__ import annotations
 
@@ -62,24 +64,18 @@ def _numeric_entities(s: pd.Series) -> pd.Series:
 
 @F.pandas_udf(StringType())
 def _nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+    return s.map(lambda x: x if x.isascii() else unicodedata.normalize("NFC", x), na_action="ignore")
 
 
 def nfc(text: Column) -> Column:
-    """Unicode NFC. Spark runs a Python function on all rows, whatever the condition around it; those within ASCII, where
-    it changes nothing, are handed over as nulls.
-    """
-    ascii_only = F.octet_length(text) == F.length(text)
-    return F.coalesce(F.when(ascii_only, text), _nfc(F.when(~ascii_only, text)))
+    """Unicode NFC."""
+    return _nfc(text)
 
 
 def decode_entities(text: Column, numeric: bool = True, entities: tuple = ENTITIES) -> Column:
     for name, value in entities:
         text = F.replace(text, F.lit(name), F.lit(value))
-    if not numeric:
-        return text
-    has = F.contains(text, F.lit("&#"))
-    return F.coalesce(F.when(~has, text), _numeric_entities(F.when(has, text)))
+    return _numeric_entities(text) if numeric else text
 
 
 def trim(text: Column) -> Column:
@@ -242,7 +238,7 @@ def segments_of(text: str, most: int) -> list[str]:
 
 def segments(text: Column, most: int, budget: int | None = None) -> Column:
     """array<string>. budget: tokens of a segment beyond which it is parted again, into pieces of four characters a token.
-    Texts that are short enough are handed to Python as nulls.
+    An empty text has none.
     """
     smaller = most if budget is None else min(most, budget * 4)
 
@@ -254,6 +250,4 @@ def segments(text: Column, most: int, budget: int | None = None) -> Column:
 
         return s.map(parts, na_action="ignore")
 
-    short = (F.length(text) <= most) & (F.lit(True) if budget is None else F.length(text) <= budget * 4)
-    whole = F.when(text == "", F.array().cast("array<string>")).when(short, F.array(text))
-    return F.coalesce(whole, cut(F.when(~short, text)))
+    return cut(text)

@@ -170,14 +170,17 @@ def stub_results(items: DataFrame, concerns: list[str], index: str = "item_index
     first = next((c for c in concerns if c != "other"), "negativity")
     category = first if first in catalog.STUB_REASONS else "negativity"
     hit = (hashing.stub_byte(F.col(index), F.col(body)) % 2 == 1) & (F.octet_length(body) >= 8) & F.lit(category in concerns)
-    flag = F.coalesce(hit, F.lit(False))
+    name = free_name(items, "hit")
+    flag = F.col(name)
     return (
-        items.withColumn("decision", F.when(flag, "flag").otherwise("no_flag"))
+        items.withColumn(name, F.coalesce(hit, F.lit(False)))
+        .withColumn("decision", F.when(flag, "flag").otherwise("no_flag"))
         .withColumn("risk", F.when(flag, "low").otherwise("none"))
         .withColumn("category", F.when(flag, category))
         .withColumn("confidence", F.when(flag, 0.75).otherwise(0.91))
         .withColumn("reason_code", F.when(flag, catalog.STUB_REASONS[category]))
         .withColumn("evidence", F.when(flag, F.left(F.col(body), F.lit(8))))
+        .drop(name)
     )
 
 
@@ -433,7 +436,9 @@ def parse_answers(raw: DataFrame, text_col: str = "raw") -> DataFrame:
 
 def scan_stub(rows: DataFrame, scan: str, order: list[str], concerns: list[str]) -> DataFrame:
     """The whole scan with the stub classifier: flags of rows (id columns, body), a row for each flagged source."""
-    packed = pack(prepare(rows), scan, [*order, "segment_ordinal"])
+    # A source's whole text is left behind: else each of its segments would take it along. Segments are made once, not
+    # again for the sample of their ranges.
+    packed = pack(kept(prepare(rows).drop("body")), scan, [*order, "segment_ordinal"])
     found = stub_results(packed, concerns)
     found = found.withColumn("reasons", F.when(F.col("decision") == "flag", F.array(F.struct(F.col("reason_code").alias("code"), F.lit("stub flag").alias("summary")))).otherwise(F.array().cast("array<struct<code:string,summary:string>>")))
     found = found.withColumn("evidence", F.when(F.col("decision") == "flag", F.array(F.struct(F.col("evidence").alias("text"), F.col("reason_code").alias("supports")))).otherwise(F.array().cast("array<struct<text:string,supports:string>>")))
