@@ -8,7 +8,8 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -57,14 +58,28 @@ def _decode_numbers(text: str) -> str:
     return "".join([*out, text[done:]])
 
 
-@F.pandas_udf(StringType())
-def _numeric_entities(s: pd.Series) -> pd.Series:
-    return s.map(_decode_numbers, na_action="ignore")
+#: Texts that are Python's at once, of a batch of thousands.
+_TEXTS = 256
 
 
-@F.pandas_udf(StringType())
-def _nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: x if x.isascii() else unicodedata.normalize("NFC", x), na_action="ignore")
+def _changed(texts: pa.Array, needs: pa.Array, change) -> pa.Array:
+    """texts, those that need it changed; the others never become Python's."""
+    needs, parts = pc.fill_null(needs, False), []
+    for at in range(0, len(texts), _TEXTS):
+        some, need = texts.slice(at, _TEXTS), needs.slice(at, _TEXTS)
+        new = pa.array([change(x) for x in some.filter(need).to_pylist()], texts.type)
+        parts.append(pc.replace_with_mask(some, need, new) if len(new) else some)
+    return pa.concat_arrays(parts) if parts else texts
+
+
+@F.arrow_udf(StringType())
+def _numeric_entities(s: pa.Array) -> pa.Array:
+    return _changed(s, pc.match_substring(s, "&#"), _decode_numbers)
+
+
+@F.arrow_udf(StringType())
+def _nfc(s: pa.Array) -> pa.Array:
+    return _changed(s, pc.not_equal(pc.binary_length(s), pc.utf8_length(s)), lambda x: unicodedata.normalize("NFC", x))
 
 
 def nfc(text: Column) -> Column:
@@ -242,12 +257,16 @@ def segments(text: Column, most: int, budget: int | None = None) -> Column:
     """
     smaller = most if budget is None else min(most, budget * 4)
 
-    @F.pandas_udf(ArrayType(StringType()))
-    def cut(s: pd.Series) -> pd.Series:
-        def parts(x: str) -> list[str]:
+    @F.arrow_udf(ArrayType(StringType()))
+    def cut(s: pa.Array) -> pa.Array:
+        def parts(x: str | None) -> list[str] | None:
+            if x is None:
+                return None
             first = segments_of(x, most)
             return [p for y in first for p in (segments_of(y, smaller) if budget is not None and (len(y) + 3) // 4 > budget else [y])]
 
-        return s.map(parts, na_action="ignore")
+        kind = pa.list_(s.type)
+        each = [pa.array([parts(x) for x in s.slice(at, _TEXTS).to_pylist()], kind) for at in range(0, len(s), _TEXTS)]
+        return pa.concat_arrays(each) if each else pa.array([], kind)
 
     return cut(text)
