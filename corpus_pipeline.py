@@ -50,7 +50,7 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     ranks, pattern = queries.rank_file(), queries.split_pattern()
     row = docs.select(F.struct("doc_id", "lang", "source").alias("row"), "text")
-    tokens = bpe.decode(bpe.encode(row, ranks, pattern, id_col="row"), ranks, pattern)
+    tokens = bpe.encode_decode(row, ranks, pattern, id_col="row")
     return tokens.select("id.*", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

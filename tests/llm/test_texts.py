@@ -8,7 +8,9 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidemark.llm import bpe, common, langid, license, media, pii, quality, queries, weak
 
 N_ODD = 10
@@ -236,6 +238,41 @@ def test_tokens_of_odd_texts(odd, none):
     assert bpe.decode(bpe.encode(none, ranks, pattern), ranks, pattern).collect() == []
 
 
+def test_tokens_and_bytes_in_one_step(spark, odd, none, data):
+    """A task's ranks are held by one Python worker; the rows are those of the two steps."""
+    ranks, pattern = queries.rank_file(), queries.split_pattern()
+    rows = lambda d: sorted(map(repr, d.select("id", "ids", "decoded").collect()))
+    assert rows(bpe.encode_decode(odd, ranks, pattern)) == rows(bpe.decode(bpe.encode(odd, ranks, pattern), ranks, pattern))
+    assert bpe.encode_decode(none, ranks, pattern).collect() == []
+    docs = common.table(spark, data, "documents")
+    for out in (queries.op6_byte_bpe(spark, data), corpus_pipeline.bpe_stage(spark, docs, data)):
+        assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+# Batches -------------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("length", [20_000, 200_000])
+def test_python_steps_hold_few_bytes_at_once(spark, length):
+    """However long the texts are: without a limit a slice of 256 of them would be 5 and 51 MB."""
+    docs = spark.range(0, 300, 1, 1).select(F.repeat(F.lit("x"), length).alias("text"))
+    got = common.map_batches(docs, "n long", lambda x: {"n": [sum(map(len, x["text"]))]}).collect()
+    assert sum(r.n for r in got) == 300 * length
+    assert max(r.n for r in got) <= common.BATCH + length
+
+
+def test_a_limit_of_the_session_stays(spark):
+    before = spark.conf.get(common.BATCH_SETTING, None)
+    spark.conf.set(common.BATCH_SETTING, "12345678")
+    try:
+        common.map_batches(spark.range(3), "n long", lambda x: {"n": x["id"]}).collect()
+        assert spark.conf.get(common.BATCH_SETTING) == "12345678"
+    finally:
+        spark.conf.unset(common.BATCH_SETTING)
+        if before is not None:
+            spark.conf.set(common.BATCH_SETTING, before)
+
+
 # Quality -------------------------------------------------------------------------------------------------------------
 
 

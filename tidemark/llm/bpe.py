@@ -70,6 +70,18 @@ def encode_text(text: str | None, rank_file: str, pattern: str, most: int = LONG
     return out
 
 
+def _ids(texts: pa.Array, rank_file: str, pattern: str) -> pa.ListArray:
+    each = [np.array(encode_text(x, rank_file, pattern), np.int32) for x in texts.to_pylist()]
+    ends = np.cumsum([0, *map(len, each)], dtype=np.int32)
+    return pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, np.int32), *each]))
+
+
+def _decoded(column: pa.ListArray, rank_file: str, pattern: str) -> pa.Array:
+    enc = encoding(rank_file, pattern)
+    ids, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return pa.array([enc.decode_bytes(ids[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+
+
 def encode(
     docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -81,13 +93,11 @@ def encode(
     schema = f"{common.ddl(docs, id_col, 'id')}, ids array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            each = [np.array(encode_text(x, rank_file, pattern), np.int32) for x in batch.column(1).to_pylist()]
-            ends = np.cumsum([0, *map(len, each)], dtype=np.int32)
-            ids = pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, np.int32), *each]))
+        for batch in common.slices(batches):
+            ids = _ids(batch.column(1), rank_file, pattern)
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["id", "ids"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return common.map_arrow(docs.select(id_col, text_col), run, schema)
 
 
 def decode(tokens: DataFrame, rank_file: str, pattern: str, ids_col: str = "ids") -> DataFrame:
@@ -104,11 +114,28 @@ def decode(tokens: DataFrame, rank_file: str, pattern: str, ids_col: str = "ids"
     kinds, at = to_arrow_schema(schema), tokens.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(rank_file, pattern)
-        for batch in batches:
-            column = batch.column(at)
-            ids, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-            out = [enc.decode_bytes(ids[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], schema=kinds)
-
-    return tokens.mapInArrow(run, schema)
+        for batch in common.slices(batches):
+            out = _decoded(batch.column(at), rank_file, pattern)
+            yield pa.RecordBatch.from_arrays([*batch.columns, out], schema=kinds)
+
+    return common.map_arrow(tokens, run, schema)
+
+
+def encode_decode(
+    docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(id, ids array<int>, decoded binary) for each row of docs: decode of encode, in one step, so that a task has one
+    Python worker that holds the ranks, not two.
+
+    Null and empty texts give no ids and empty bytes; repeated rows and null ids give a row each; an empty table gives
+    none; other columns are left out, whatever their names.
+    """
+    schema = f"{common.ddl(docs, id_col, 'id')}, ids array<int>, decoded binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches):
+            ids = _ids(batch.column(1), rank_file, pattern)
+            out = _decoded(ids, rank_file, pattern)
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, out], names=["id", "ids", "decoded"])
+
+    return common.map_arrow(docs.select(id_col, text_col), run, schema)

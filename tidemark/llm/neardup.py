@@ -94,7 +94,7 @@ def document_frequencies(docs: DataFrame, size: int, text_col: str = "text") ->
             names = pa.array([None, *hashes[some].view(np.int64).tolist()], pa.int64())
             yield pa.RecordBatch.from_arrays([names, pa.array(np.append(texts, n[some]), pa.int64())], names=["shingle", "n"])
 
-    sums = column.mapInArrow(told, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    sums = common.map_arrow(column, told, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     sums = common.Scratch(docs.sparkSession).write("shingles", sums)
     documents = sums.where(F.col("shingle").isNull()).agg(F.sum("n")).first()[0] or 0
     some = sums.where(F.col("shingle").isNotNull() & (F.col("n") >= 0.75 * documents / DEEP))
@@ -114,7 +114,7 @@ def document_frequencies(docs: DataFrame, size: int, text_col: str = "text") ->
 
     exact = np.zeros(len(looked_for.value), np.int64)
     if len(exact):
-        all_counts = column.mapInArrow(counts, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+        all_counts = common.map_arrow(column, counts, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
         exact[all_counts.column("at").to_numpy()] = all_counts.column("n").to_numpy()
     own = exact > documents / DEEP
     return Weights(looked_for.value[own], _idf(exact[own], documents), float(_idf(np.array(documents / DEEP), documents)))
@@ -227,7 +227,7 @@ def _close(left: DataFrame, texts: DataFrame, size: int, shared, threshold: floa
             ids = np.repeat(batch.column(0).to_numpy(), [len(h) for h in each])
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate([np.empty(0, np.uint64), *each]).view(np.int64))], names=["id", "shingle"])
 
-    rows = scratch.write("rows", left.select("id", "text").mapInArrow(named, "id long, shingle long"))
+    rows = scratch.write("rows", common.map_arrow(left.select("id", "text"), named, "id long, shingle long"))
     counts = scratch.write("counts", rows.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") > 1))
     common_ = common.spread_join(rows, counts, "shingle", counts, "id").groupBy("id").agg(F.collect_list(F.struct("shingle", "n")).alias("known"))
     kinds = pa.schema([("key", pa.binary()), ("class", pa.binary()), ("shingle", pa.int64()), ("size", pa.float64()), ("rest", pa.float64())])
@@ -252,7 +252,7 @@ def _close(left: DataFrame, texts: DataFrame, size: int, shared, threshold: floa
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) if isinstance(c, np.ndarray) else c.cast(t.type) for c, t in zip(columns, kinds, strict=True)], schema=kinds)
 
     each = left.join(common_, "id").select("key", "class", "text", "known")
-    stand = scratch.write("prefixes", each.mapInArrow(prefixes, "key binary, class binary, shingle long, size double, rest double"))
+    stand = scratch.write("prefixes", common.map_arrow(each, prefixes, "key binary, class binary, shingle long, size double, rest double"))
     scratch.drop("rows", "counts", "left")
     share = threshold / (1 + threshold) - 1e-6
 

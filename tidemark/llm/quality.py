@@ -234,4 +234,4 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFram
             scores = [shared.value.scorer.score(t) for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array([s >= KEEP for s in scores], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.map_arrow(docs, run, docs.schema)
